@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, token_store, topk
+from . import bpe, langid, licenses, packing, templates, token_store, topk
 from . import quality as quality_model
 from .common import drop_path, held_out, read_table, shared_dir, staged
 from .fingerprints import edit_report
@@ -39,12 +39,25 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@register
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
+SQL["op4_license_scan"] = licenses.scan_sql()
+
+
 @register
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     return quality_model.quality(docs, labels).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+@register
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract(read_table(spark, sf_dir, "pages"))
+
+
 @register
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
