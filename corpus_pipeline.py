@@ -1,12 +1,68 @@
-"""A corpus pipeline of four training-data operators."""
+"""A corpus pipeline: quality filter, language filter, near duplicates out, sequences packed.
+
+Each stage reads all that its predecessor kept. All but the last return the columns of
+``documents``; the last returns packed pieces.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallystone.llm import langid, packing, quality
+from tallystone.llm.common import read_table, staged
+from tallystone.llm.ngram_join import ngram_components
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A document goes if its language's probability is below this, or it has no letter.
+LEAST_LANGUAGE = 0.4
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the rows that the quality model does not predict to be bad."""
+    docs = docs.select(*COLUMNS)
+    return quality.quality(docs, read_table(spark, sf_dir, "labels"), keep=COLUMNS).where("predicted = 1").select(*COLUMNS)
+
+
+def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the rows whose language the network can tell."""
+    return langid.language(docs.select(*COLUMNS), keep=COLUMNS).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one row of each group of texts linked by 0.8 of their 5-word shingles: the one with the smallest doc_id (of equal rows, one)."""
+    docs = docs.select(*COLUMNS)
+    groups = ngram_components(docs, k=5, percent=80)
+    heads = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    kept = docs.join(heads.where("doc_id is not null"), "doc_id", "left_semi")
+    # several rows with one id: those of one text are copies
+    return kept.unionByName(docs.where("doc_id is null")).dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every kept text in sequences of at most 2048 ids."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=2048, end_id=0)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality_filter),
+    ("language ID", language_filter),
+    ("n-gram Jaccard join", near_duplicates),
+    ("best-fit packing", pack_sequences),
+]
 
-STAGES: list = []
+#: The models and the tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``, each written and read again."""
+    docs = read_table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs, _ = staged(docs, f"stage{i}")
+    return docs
