@@ -1,7 +1,503 @@
-"""All registered queries of the engine's own operators."""
+"""All registered queries of the engine's own operators, each with its SQL."""
 
 from __future__ import annotations
 
-from . import QUERIES, SQL
+import datetime as dt
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators import audit, encrypt, integrity, ledger, optimize, profile, usage, vector
+from ..sources.table import Table
+from . import QUERIES, SQL, query
 
 __all__ = ["QUERIES", "SQL"]
+
+
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder that driver and executors share, for tables that queries write."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        import tempfile
+
+        base = "file://" + tempfile.mkdtemp(prefix="tallystone-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
+
+
+_built: dict[tuple[str, str, str], Table] = {}
+
+
+def built(spark: SparkSession, sf: str, name: str, part: str | None) -> Table:
+    """A table written from one of the inputs, kept for the session's other queries."""
+    key = (spark.sparkContext.applicationId, sf, f"{name}/{part}")
+    if key not in _built:
+        _built[key] = Table(spark, scratch(spark)).write(read(spark, sf, name), partition_by=[part] if part else None, auto_snapshot=False)
+    return _built[key]
+
+
+# ---------------------------------------------------------------- scans, projection, filters
+
+ORDERS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
+
+
+@query("scan_all", f"SELECT {ORDERS} FROM orders")
+def scan_all(spark, sf):
+    return built(spark, sf, "orders", "o_orderstatus").read()
+
+
+@query("scan_project", "SELECT o_totalprice, o_orderkey FROM orders")
+def scan_project(spark, sf):
+    return built(spark, sf, "orders", "o_orderstatus").read(["o_totalprice", "o_orderkey"])
+
+
+@query("write_read_roundtrip", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
+def write_read_roundtrip(spark, sf):
+    return built(spark, sf, "events", "event_type").read(["event_id", "ts", "user_id", "event_type", "value", "props"])
+
+
+@query("write_read_pruned", "SELECT event_id, ts, value FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-10'")
+def write_read_pruned(spark, sf):
+    return built(spark, sf, "events", "event_type").read(["event_id", "ts", "value"], "event_type == 'click' AND ts >= '2024-01-10'")
+
+
+@query("filter_eq_string", "SELECT event_id, event_type FROM events WHERE event_type = 'view'")
+def filter_eq_string(spark, sf):
+    return built(spark, sf, "events", "event_type").read(["event_id", "event_type"], "event_type = 'view'")
+
+
+@query("filter_eq_int", "SELECT event_id, user_id FROM events WHERE user_id = 7")
+def filter_eq_int(spark, sf):
+    return built(spark, sf, "events", "event_type").read(["event_id", "user_id"], "user_id == 7")
+
+
+@query("filter_negative", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal < -5 AND c_acctbal > -9e2")
+def filter_negative(spark, sf):
+    return built(spark, sf, "customer", "c_mktsegment").read(["c_custkey", "c_acctbal"], "c_acctbal < -5 AND c_acctbal > -9e2")
+
+
+@query("filter_range_ts", "SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-06 12:00:00'")
+def filter_range_ts(spark, sf):
+    return built(spark, sf, "events", "event_type").read(["event_id", "ts"], "ts >= '2024-01-05' AND ts < '2024-01-06 12:00:00'")
+
+
+@query("filter_and", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 49 AND l_discount <= 0.02")
+def filter_and(spark, sf):
+    return built(spark, sf, "lineitem", "l_returnflag").read(["l_orderkey", "l_linenumber"], "l_returnflag == 'R' AND l_quantity >= 49 AND l_discount <= 0.02")
+
+
+@query("filter_in", "SELECT p_partkey, p_brand FROM part WHERE p_size IN (1, 2, 49)")
+def filter_in(spark, sf):
+    return built(spark, sf, "part", "p_type").read(["p_partkey", "p_brand"], "p_size IN (1, 2, 49)")
+
+
+@query("filter_between", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice BETWEEN 1000 AND 50000")
+def filter_between(spark, sf):
+    return built(spark, sf, "orders", "o_orderstatus").read(["o_orderkey", "o_totalprice"], "o_totalprice BETWEEN 1000 AND 50000")
+
+
+@query("filter_or", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' OR (o_totalprice > 400000 AND NOT o_orderpriority = '1-URGENT')")
+def filter_or(spark, sf):
+    return built(spark, sf, "orders", "o_orderstatus").read(["o_orderkey"], "o_orderstatus = 'P' OR (o_totalprice > 400000 AND NOT o_orderpriority = '1-URGENT')")
+
+
+@query("filter_null", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS NULL")
+def filter_null(spark, sf):
+    joined = read(spark, sf, "documents").select("doc_id", "source").join(read(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return Table(spark, scratch(spark)).write(joined, partition_by=["quality"], auto_snapshot=False).read(["doc_id", "quality"], "quality IS NULL")
+
+
+@query("head_n", f"SELECT {ORDERS} FROM orders ORDER BY o_orderkey LIMIT 25")
+def head_n(spark, sf):
+    t = Table(spark, scratch(spark)).write(read(spark, sf, "orders").coalesce(1), order=["o_orderkey"], auto_snapshot=False)
+    return t.read(head=25)
+
+
+@query("csv_source", "SELECT c_custkey, c_name, c_nationkey FROM customer")
+def csv_source(spark, sf):
+    path = scratch(spark) + ".csv"
+    read(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey").write.csv(path, header=True)
+    return Table(spark, scratch(spark)).write(path, auto_snapshot=False).read().select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", "c_nationkey")
+
+
+# ---------------------------------------------------------------- history
+
+
+@query("asof_read", f"SELECT {ORDERS} FROM orders WHERE o_orderdate <= TIMESTAMP '1998-01-01'")
+def asof_read(spark, sf):
+    orders, day = read(spark, sf, "orders"), F.lit("1998-01-01").cast("timestamp_ntz")
+    times = iter([dt.datetime(2024, 1, 1 + i // 4, tzinfo=dt.UTC) for i in range(40)])
+    t = Table(spark, scratch(spark), clock=lambda: next(times)).write(orders.where(F.col("o_orderdate") <= day), partition_by=["o_orderstatus"])
+    first = t.list_snapshots()[0]["ts"]
+    t.append(orders.where(F.col("o_orderdate") > day))
+    return t.read(as_of=first)
+
+
+@query("asof_pick", "SELECT e.event_id, max_by(o.o_orderkey, (o.o_orderdate, o.o_orderkey)) AS o_orderkey FROM (SELECT event_id, ts - INTERVAL 28 YEAR AS at FROM events WHERE event_id % 50 = 0) e JOIN (SELECT * FROM orders WHERE o_orderkey % 40 = 0) o ON o.o_orderdate <= e.at GROUP BY e.event_id")
+def asof_pick(spark, sf):
+    """The newest snapshot (here: order) not after each time: both sides in one order per bucket of days, the last one carried forward."""
+    events = read(spark, sf, "events").where("event_id % 50 = 0").select("event_id", (F.col("ts") - F.expr("INTERVAL '28' YEAR")).alias("at"))
+    orders = read(spark, sf, "orders").where("o_orderkey % 40 = 0").select("o_orderkey", F.col("o_orderdate").alias("at"))
+    month = lambda c: F.year(c) * 12 + F.month(c)
+    both = events.select("at", F.lit(1).alias("side"), "event_id", F.lit(None).cast("long").alias("o_orderkey")).union(orders.select("at", F.lit(0).alias("side"), F.lit(None).cast("long").alias("event_id"), "o_orderkey")).withColumn("month", month("at"))
+    inside = Window.partitionBy("month").orderBy("at", "side", "o_orderkey")
+    near = both.withColumn("o_orderkey", F.last("o_orderkey", ignorenulls=True).over(inside)).where("side = 1")
+    # months without an earlier order in them take the last of an earlier month: one row a month
+    last = both.where("side = 0").groupBy("month").agg(F.max_by("o_orderkey", F.struct("at", "o_orderkey")).alias("carried"))
+    months = both.select("month").distinct().join(last, "month", "left")
+    carry = months.select("month", F.last("carried", ignorenulls=True).over(Window.orderBy("month").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    return near.join(carry, "month").select("event_id", F.coalesce("o_orderkey", "before").alias("o_orderkey")).where("o_orderkey IS NOT NULL")
+
+
+# ---------------------------------------------------------------- statistics and plans
+
+
+@query("chunk_minmax", "SELECT event_type, min(ts) AS min_ts, max(ts) AS max_ts, count(*) AS n_rows, min(value) AS min_value, max(value) AS max_value FROM events GROUP BY event_type")
+def chunk_minmax(spark, sf):
+    t = built(spark, sf, "events", "event_type")
+    stats = spark.read.parquet(f"{t.path}/{t.manifest()['stats']}")
+    return stats.groupBy(F.col("min_event_type").alias("event_type")).agg(F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts"), F.sum("rows").alias("n_rows"), F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value"))
+
+
+@query("chunk_distinct", "SELECT o_orderstatus, count(DISTINCT o_custkey) AS n_custkeys, count(DISTINCT o_orderpriority) AS n_priorities FROM orders GROUP BY o_orderstatus")
+def chunk_distinct(spark, sf):
+    return built(spark, sf, "orders", "o_orderstatus").read().groupBy("o_orderstatus").agg(F.countDistinct("o_custkey").alias("n_custkeys"), F.countDistinct("o_orderpriority").alias("n_priorities"))
+
+
+def _flags(t: Table, where: str, column: str) -> DataFrame:
+    from . import predicate as P
+
+    return t._candidates(t.manifest(), P.parse(where)).select(F.col(f"min_{column}").alias(column)).distinct()
+
+
+@query("plan_ts", "SELECT l_returnflag FROM lineitem GROUP BY l_returnflag HAVING max(l_shipdate) >= TIMESTAMP '1995-06-01' AND min(l_shipdate) < TIMESTAMP '1995-02-01'")
+def plan_ts(spark, sf):
+    return _flags(built(spark, sf, "lineitem", "l_returnflag"), "l_shipdate >= '1995-06-01' AND l_shipdate < '1995-02-01'", "l_returnflag")
+
+
+@query("plan_eq", "SELECT l_returnflag FROM lineitem GROUP BY l_returnflag HAVING min(l_returnflag) <= 'A' AND max(l_returnflag) >= 'A'")
+def plan_eq(spark, sf):
+    return _flags(built(spark, sf, "lineitem", "l_returnflag"), "l_returnflag == 'A'", "l_returnflag")
+
+
+@query("plan_and", "SELECT l_returnflag FROM lineitem GROUP BY l_returnflag HAVING min(l_returnflag) = 'R' AND max(l_quantity) >= 10")
+def plan_and(spark, sf):
+    return _flags(built(spark, sf, "lineitem", "l_returnflag"), "l_returnflag = 'R' AND l_quantity >= 10", "l_returnflag")
+
+
+@query("plan_or", "SELECT l_returnflag FROM lineitem GROUP BY l_returnflag HAVING min(l_returnflag) IN ('N', 'A') OR max(l_quantity) > 1000")
+def plan_or(spark, sf):
+    return _flags(built(spark, sf, "lineitem", "l_returnflag"), "l_returnflag IN ('N', 'A') OR l_quantity > 1000", "l_returnflag")
+
+
+@query("plan_bloom", "SELECT DISTINCT event_type FROM events WHERE event_type = 'purchase'")
+def plan_bloom(spark, sf):
+    """File filters alone: the bits of one value against each file's."""
+    from ..operators import stats
+
+    t = built(spark, sf, "events", "event_type")
+    blooms = spark.read.parquet(f"{t.path}/{t.manifest()['bloom']}").where("column = 'event_type'")
+    hit = blooms.where(stats.may_hold(F.lit("purchase"), F.col("m"), F.col("k"), F.col("words"))).select("file")
+    index = spark.read.parquet(f"{t.path}/{t.manifest()['stats']}")
+    return index.join(hit, "file", "left_semi").select(F.col("min_event_type").alias("event_type")).where("event_type = 'purchase'").distinct()
+
+
+@query("plan_summary", "SELECT count(DISTINCT event_type) AS total_chunks, 1::BIGINT AS candidates_count, round(1.0 / count(DISTINCT event_type), 6)::DOUBLE AS pruning_ratio FROM events")
+def plan_summary(spark, sf):
+    p = built(spark, sf, "events", "event_type").plan("event_type = 'click'")
+    return spark.createDataFrame([(p["total_chunks"], p["candidates_count"], round(p["pruning_ratio"], 6))], "total_chunks long, candidates_count long, pruning_ratio double")
+
+
+@query("inspect_summary", "SELECT count(*) AS n_rows, count(DISTINCT event_type) AS n_chunks, 6::BIGINT AS n_columns FROM events")
+def inspect_summary(spark, sf):
+    i = built(spark, sf, "events", "event_type").inspect()
+    return spark.createDataFrame([(i["rows"], i["n_chunks"], len(i["schema"]))], "n_rows long, n_chunks long, n_columns long")
+
+
+# ---------------------------------------------------------------- profiles and constraints
+
+_EXACT = " UNION ALL ".join(
+    f"SELECT '{c}' AS col, count(*) AS n_rows, count(*) - count({c}) AS nulls, CAST(min({c}) AS DOUBLE) AS lo, CAST(max({c}) AS DOUBLE) AS hi, count(DISTINCT {c}) AS distinct_n FROM orders" for c in ("o_orderkey", "o_custkey", "o_totalprice")
+)
+
+
+@query("profile_exact", _EXACT)
+def profile_exact(spark, sf):
+    cols = ("o_orderkey", "o_custkey", "o_totalprice")
+    one = read(spark, sf, "orders").agg(F.count("*").alias("n"), *[f.alias(f"{a}{c}") for c in cols for a, f in (("x", F.count(c)), ("lo", F.min(c).cast("double")), ("hi", F.max(c).cast("double")), ("d", F.countDistinct(c)))])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("col"), F.col("n").alias("n_rows"), (F.col("n") - F.col(f"x{c}")).alias("nulls"), F.col(f"lo{c}").alias("lo"), F.col(f"hi{c}").alias("hi"), F.col(f"d{c}").alias("distinct_n")) for c in cols])))
+
+
+@query("profile_nulls", "SELECT 'quality' AS col, count(*) AS n_rows, count(*) - count(quality) AS nulls, round((count(*) - count(quality)) / count(*), 6) AS null_pct, CAST(min(quality) AS VARCHAR) AS lo, CAST(max(quality) AS VARCHAR) AS hi FROM documents d LEFT JOIN labels l USING (doc_id)")
+def profile_nulls(spark, sf):
+    df = read(spark, sf, "documents").select("doc_id").join(read(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return profile.profile_frame(df, ["quality"]).select(F.col("column").alias("col"), F.col("rows").alias("n_rows"), "nulls", F.round("null_pct", 6).alias("null_pct"), F.col("min").alias("lo"), F.col("max").alias("hi"))
+
+
+_Q = ", ".join(f"list_sort(list(value))[CAST(ceil({q} * (count(*) - 1)) AS INT) + 1] AS {n}" for n, q in profile.QUANTILES.items())
+
+
+@query("profile_quantiles", f"SELECT event_type, {_Q} FROM events GROUP BY event_type")
+def profile_quantiles(spark, sf):
+    return read(spark, sf, "events").groupBy("event_type").agg(*[profile.exact_quantile("value", q).alias(n) for n, q in profile.QUANTILES.items()])
+
+
+@query("profile_percentile_cont", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
+def profile_percentile_cont(spark, sf):
+    return read(spark, sf, "events").groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"))
+
+
+@query("profile_sketches")
+def profile_sketches(spark, sf):
+    """Sketched distinct counts and quantiles of every column."""
+    return profile.profile_frame(read(spark, sf, "lineitem"))
+
+
+@query("sketch_error_bound", "SELECT 'l_orderkey' AS col, true AS within UNION ALL SELECT 'l_partkey', true UNION ALL SELECT 'l_extendedprice', true")
+def sketch_error_bound(spark, sf):
+    """Whether sketched distinct counts are within 5 % of the exact ones."""
+    df, cols = read(spark, sf, "lineitem"), ["l_orderkey", "l_partkey", "l_extendedprice"]
+    exact = df.agg(*[F.countDistinct(c).alias(c) for c in cols]).select(F.inline(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("n")) for c in cols])))
+    return profile.profile_frame(df, cols).join(exact, F.col("column") == F.col("col")).select("col", (F.abs(F.col("distinct_est") - F.col("n")) <= 0.05 * F.col("n")).alias("within"))
+
+
+@query("violations_not_null", "SELECT 'quality' AS col, 'not_null' AS rule, count(*) AS bad FROM documents d LEFT JOIN labels l USING (doc_id) WHERE quality IS NULL")
+def violations_not_null(spark, sf):
+    df = read(spark, sf, "documents").select("doc_id").join(read(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return profile.violations(df, {"quality": {"not_null": True}}).select(F.col("column").alias("col"), "rule", "bad")
+
+
+@query("violations_enum", "SELECT o_orderpriority AS sample, (SELECT count(*) FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')) AS bad FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH') GROUP BY 1")
+def violations_enum(spark, sf):
+    return profile.violations(read(spark, sf, "orders"), {"o_orderpriority": {"enum": ["1-URGENT", "2-HIGH"]}}).select(F.explode("sample").alias("sample"), "bad")
+
+
+@query("violations_range", "SELECT 'c_acctbal' AS col, 'min' AS rule, count(*) FILTER (c_acctbal < 0) AS bad FROM customer UNION ALL SELECT 'c_acctbal', 'max', count(*) FILTER (c_acctbal > 9000) FROM customer UNION ALL SELECT 'c_custkey', 'valid_range', count(*) FILTER (c_custkey NOT BETWEEN 10 AND 100) FROM customer")
+def violations_range(spark, sf):
+    rules = {"c_acctbal": {"min": 0, "max": 9000}, "c_custkey": {"valid_range": [10, 100]}}
+    return profile.violations(read(spark, sf, "customer"), rules).select(F.col("column").alias("col"), "rule", "bad")
+
+
+# ---------------------------------------------------------------- layout
+
+
+@query("compact_layout", "SELECT o_orderstatus, chunk, count(*) AS n, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM (SELECT *, CAST(floor((row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) / ceil(n / ceil(n / 1000.0))) AS BIGINT) AS chunk FROM (SELECT *, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders)) GROUP BY 1, 2")
+def compact_layout(spark, sf):
+    return optimize.layout(read(spark, sf, "orders"), "o_orderstatus", 1000, ["o_orderkey"]).groupBy("o_orderstatus", F.col("__chunk").alias("chunk")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))
+
+
+LINES = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
+
+
+@query("optimize_preserves_rows", f"SELECT {LINES} FROM lineitem")
+def optimize_preserves_rows(spark, sf):
+    t = Table(spark, scratch(spark)).write(read(spark, sf, "lineitem").repartition(6), auto_snapshot=False)
+    optimize.optimize(t, order=["l_shipdate", "l_orderkey"], target_rows=20_000)
+    return t.read()
+
+
+@query("reindex_bloom_read", "SELECT c_custkey, c_name FROM customer WHERE c_name IN ('Customer#000000007', 'Customer#000000011', 'nobody')")
+def reindex_bloom_read(spark, sf):
+    t = Table(spark, scratch(spark)).write(read(spark, sf, "customer"), partition_by=["c_mktsegment"], auto_snapshot=False)
+    optimize.reindex(t, {"c_name": {"minmax": {}, "bloom": {"fp_rate": 0.001}}})
+    return t.read(["c_custkey", "c_name"], "c_name IN ('Customer#000000007', 'Customer#000000011', 'nobody')")
+
+
+# ---------------------------------------------------------------- usage
+
+
+def _as_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as a usage log: user_id as bytes, the length of props as chunks."""
+    return read(spark, sf, "events").select("event_id", "ts", F.col("event_type").alias("where"), F.col("user_id").alias("bytes_read"), F.length("props").cast("long").alias("chunks_scanned"))
+
+
+_RANK = "list_sort(list({c}))[CAST(round_even({p} * (count(*) - 1), 0) AS INT) + 1]"
+_FIGURES = f"count(*) AS reads_total, CAST(sum(user_id) AS BIGINT) AS bytes_read_total, CAST(sum(length(props)) AS BIGINT) AS chunks_scanned_total, {_RANK.format(c='user_id', p=0.5)} AS bytes_p50, {_RANK.format(c='user_id', p=0.95)} AS bytes_p95, {_RANK.format(c='length(props)', p=0.5)} AS chunks_p50, {_RANK.format(c='length(props)', p=0.95)} AS chunks_p95"
+
+
+@query("usage_kpis", f"SELECT {_FIGURES} FROM events")
+def usage_kpis(spark, sf):
+    return usage.figures(_as_log(spark, sf))
+
+
+@query("usage_aggregate", "SELECT event_type AS value, count(*) AS n FROM events GROUP BY 1 ORDER BY count(*) DESC, min(event_id) LIMIT 3")
+def usage_aggregate(spark, sf):
+    return usage.top(_as_log(spark, sf), F.col("where"), "event_id", 3).select("value", F.col("count").alias("n"))
+
+
+@query("kpi_delta", f"WITH a AS (SELECT {_FIGURES} FROM events WHERE ts < TIMESTAMP '2024-01-15'), b AS (SELECT {_FIGURES} FROM events WHERE ts >= TIMESTAMP '2024-01-15') SELECT b.reads_total - a.reads_total AS d_reads, b.bytes_read_total - a.bytes_read_total AS d_bytes, b.bytes_p95 - a.bytes_p95 AS d_p95 FROM a, b")
+def kpi_delta(spark, sf):
+    log, day = _as_log(spark, sf), F.lit("2024-01-15").cast("timestamp_ntz")
+    halves = log.groupBy((F.col("ts") >= day).alias("post"))
+    rows = halves.agg(F.count("*").alias("n"), F.sum("bytes_read").alias("b"), usage.nearest_rank("bytes_read", 95).alias("p"))
+    sign = F.when(F.col("post"), 1).otherwise(-1)
+    return rows.agg(*[F.sum(sign * F.col(c)).cast("long").alias(a) for c, a in (("n", "d_reads"), ("b", "d_bytes"), ("p", "d_p95"))])
+
+
+WHERES = ["a = 1 AND b >= 3", "a IN (1, 2, 3)", "b BETWEEN 1 AND 2", "c == 'x' AND a = 5", "b < 7"]
+
+
+@query("advise_predicates", "SELECT * FROM (VALUES ('a', 5::BIGINT, 0::BIGINT), ('b', 0, 3), ('c', 1, 0)) v(col, eq_n, range_n)")
+def advise_predicates(spark, sf):
+    log = spark.createDataFrame([(w,) for w in WHERES], "where string")
+    return usage.mined(log).select(F.col("column").alias("col"), F.col("eq").cast("long").alias("eq_n"), F.col("range").cast("long").alias("range_n"))
+
+
+# ---------------------------------------------------------------- vectors
+
+_Q0 = "(SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)"
+
+
+def _search(spark, sf, **options):
+    return vector.search(read(spark, sf, "embeddings"), "embedding", k=10, id_col="vec_id", **options).select("vec_id", F.round("__score", 5).alias("score"))
+
+
+@query("vector_cosine", f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {_Q0}::DOUBLE[]), 5) AS score FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], {_Q0}::DOUBLE[]) DESC, vec_id LIMIT 10")
+def vector_cosine(spark, sf):
+    return _search(spark, sf)
+
+
+@query("vector_l2", f"SELECT vec_id, round(0.0 - list_distance(embedding::DOUBLE[], {_Q0}::DOUBLE[]), 5) + 0.0 AS score FROM embeddings ORDER BY list_distance(embedding::DOUBLE[], {_Q0}::DOUBLE[]), vec_id LIMIT 10")
+def vector_l2(spark, sf):
+    return _search(spark, sf, metric="euclidean")
+
+
+@query("vector_filtered", f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {_Q0}::DOUBLE[]), 5) AS score FROM embeddings WHERE label IN (1, 3) ORDER BY list_cosine_similarity(embedding::DOUBLE[], {_Q0}::DOUBLE[]) DESC, vec_id LIMIT 10")
+def vector_filtered(spark, sf):
+    return _search(spark, sf, where={"label": [1, 3]})
+
+
+@query("vector_multi_metric", f"SELECT vec_id, round(0.0 - power(list_distance(embedding::DOUBLE[], {_Q0}::DOUBLE[]), 2), 4) + 0.0 AS score FROM embeddings WHERE label >= 5 ORDER BY list_distance(embedding::DOUBLE[], {_Q0}::DOUBLE[]), vec_id LIMIT 10")
+def vector_multi_metric(spark, sf):
+    return vector.search(read(spark, sf, "embeddings"), "embedding", k=10, id_col="vec_id", metric="l2", where="label >= 5").select("vec_id", F.round("__score", 4).alias("score"))
+
+
+# ---------------------------------------------------------------- encryption
+
+COST = {"n": 2**12, "r": 8, "p": 1}
+
+
+def _sealed(spark, sf) -> Table:
+    key = (spark.sparkContext.applicationId, sf, "sealed")
+    if key not in _built:
+        t = Table(spark, scratch(spark)).write(read(spark, sf, "customer"), partition_by=["c_mktsegment"], auto_snapshot=False)
+        encrypt.encrypt_columns(t, ["c_name", "c_acctbal"], "pass phrase", COST)
+        _built[key] = t
+    return _built[key]
+
+
+@query("encrypt_roundtrip", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def encrypt_roundtrip(spark, sf):
+    return _sealed(spark, sf).read(["c_custkey", "c_name", "c_acctbal"], passphrase="pass phrase")
+
+
+@query("encrypt_projection", "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer")
+def encrypt_projection(spark, sf):
+    return _sealed(spark, sf).read()
+
+
+@query("encrypt_filter", "SELECT c_custkey FROM customer WHERE c_acctbal < 0")
+def encrypt_filter(spark, sf):
+    return _sealed(spark, sf).read(["c_custkey"], "c_acctbal < 0", passphrase="pass phrase")
+
+
+# ---------------------------------------------------------------- integrity
+
+
+def _entries(spark, sf, by="source"):
+    return read(spark, sf, "documents").select(by, F.col("doc_id").cast("string").alias("name"), F.sha2("text", 256).alias("digest"))
+
+
+@query("entry_digests", "SELECT doc_id, sha256(text) AS digest FROM documents")
+def entry_digests(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
+@query("entries_root", "SELECT source, sha256(unhex(string_agg(concat(sha256(CAST(doc_id AS VARCHAR)), sha256(text)), '' ORDER BY CAST(doc_id AS VARCHAR)))) AS root, count(*) AS n FROM documents GROUP BY source")
+def entries_root(spark, sf):
+    each = F.struct(F.col("name"), F.concat(F.sha2("name", 256), "digest").alias("h"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["h"]), "")
+    return _entries(spark, sf).groupBy("source").agg(F.sha2(F.unhex(joined), 256).alias("root"), F.count("*").alias("n"))
+
+
+@query("entry_diff", "SELECT CAST(doc_id AS VARCHAR) AS name, CASE WHEN doc_id % 7 = 0 THEN 'missing' WHEN doc_id % 11 = 0 THEN 'modified' ELSE 'added' END AS status FROM documents WHERE doc_id % 7 = 0 OR doc_id % 11 = 0 OR doc_id % 13 = 0")
+def entry_diff(spark, sf):
+    d = read(spark, sf, "documents").select(F.col("doc_id"), F.col("doc_id").cast("string").alias("name"), F.sha2("text", 256).alias("digest"))
+    added = (F.col("doc_id") % 13 == 0) & (F.col("doc_id") % 7 != 0) & (F.col("doc_id") % 11 != 0)
+    current = d.where("doc_id % 7 <> 0").withColumn("digest", F.when(F.col("doc_id") % 11 == 0, F.lit("x")).otherwise(F.col("digest")))
+    return integrity.entry_diff(d.where(~added), current)
+
+
+def _chain(spark, sf):
+    return read(spark, sf, "conversations").select(F.col("conv_id").alias("file"), F.col("turn").alias("line_no"), F.col("text").alias("line"))
+
+
+_LAG = "coalesce(lag(sha256(text)) OVER (PARTITION BY conv_id ORDER BY turn), repeat('0', 64))"
+
+
+@query("audit_chain_links", f"SELECT conv_id, turn, {_LAG} AS prev, sha256(text) AS own FROM conversations")
+def audit_chain_links(spark, sf):
+    return audit.links(_chain(spark, sf)).select(F.col("file").alias("conv_id"), F.col("line_no").alias("turn"), F.col("before").alias("prev"), F.col("line_hash").alias("own"))
+
+
+@query("audit_heads", "SELECT conv_id, max_by(sha256(text), turn) AS head, count(*) AS n FROM conversations GROUP BY conv_id")
+def audit_heads(spark, sf):
+    return _chain(spark, sf).groupBy(F.col("file").alias("conv_id")).agg(F.max_by(F.sha2("line", 256), "line_no").alias("head"), F.count("*").alias("n"))
+
+
+@query("audit_first_bad_line", f"WITH good AS (SELECT conv_id, turn, text, {_LAG} AS prev FROM conversations), bad AS (SELECT conv_id, turn, prev, coalesce(lag(sha256(CASE WHEN turn = 1 AND conv_id % 3 = 0 THEN text || '!' ELSE text END)) OVER (PARTITION BY conv_id ORDER BY turn), repeat('0', 64)) AS now FROM good) SELECT conv_id, min(turn) AS first_bad FROM bad WHERE prev <> now GROUP BY conv_id")
+def audit_first_bad_line(spark, sf):
+    written = audit.links(_chain(spark, sf)).select("file", "line_no", F.col("before").alias("prev"))
+    edited = _chain(spark, sf).withColumn("line", F.when((F.col("line_no") == 1) & (F.col("file") % 3 == 0), F.concat("line", F.lit("!"))).otherwise(F.col("line")))
+    now = audit.links(edited).join(written, ["file", "line_no"])
+    return now.where("before <> prev").groupBy(F.col("file").alias("conv_id")).agg(F.min("line_no").alias("first_bad"))
+
+
+@query("append_only_status", "SELECT conv_id, count(*) FILTER (turn > 1) AS unattested FROM conversations GROUP BY conv_id HAVING count(*) FILTER (turn = 1) > 0")
+def append_only_status(spark, sf):
+    chain = audit.links(_chain(spark, sf))
+    heads = chain.where("line_no = 1").select("file", F.col("line_hash").alias("head"))
+    at = chain.join(heads, "file").where("line_hash = head").groupBy("file").agg(F.max(F.when(F.col("line_no") <= 1, F.col("line_no"))).alias("anchor"))
+    return chain.join(at, "file").groupBy(F.col("file").alias("conv_id")).agg(F.sum((F.col("line_no") > F.col("anchor")).cast("long")).alias("unattested"))
+
+
+# ---------------------------------------------------------------- ledger
+
+
+def _seals(spark, sf):
+    d = read(spark, sf, "documents")
+    return d.select((F.col("doc_id") + 1).alias("n"), F.sha2("text", 256).alias("entries_root"), F.col("text").alias("payload"), F.col("source").alias("key_id"), F.concat(F.lit("2024-0"), (F.col("doc_id") % 3 + 1).cast("string"), F.lit("-01")).alias("ts"))
+
+
+@query("ledger_lookup", "SELECT doc_id + 1 AS n, sha256(text) AS entries_root FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id IN (3, 17))")
+def ledger_lookup(spark, sf):
+    roots = _seals(spark, sf).where(F.col("n").isin(4, 18)).select("entries_root").distinct()
+    return _seals(spark, sf).join(roots, "entries_root", "left_semi").select("n", "entries_root")
+
+
+@query("ledger_page", "SELECT doc_id + 1 AS n, sha256(text) AS entries_root FROM documents WHERE doc_id + 1 > 20 ORDER BY n LIMIT 50")
+def ledger_page(spark, sf):
+    return ledger.page(_seals(spark, sf).select("n", "entries_root"), 20, 50)
+
+
+@query("ledger_quota", "SELECT source AS key_id, '2024-0' || (doc_id % 3 + 1) AS month, count(*) AS used, CASE WHEN source = 'src0' THEN 500 ELSE 10 END AS allowed FROM documents GROUP BY 1, 2")
+def ledger_quota(spark, sf):
+    seals = _seals(spark, sf)
+    keys = seals.select("key_id").distinct().select("key_id", F.when(F.col("key_id") == "src0", "pro").otherwise("free").alias("tier"))
+    return ledger.quota(seals, keys)
+
+
+@query("ledger_chain", "SELECT doc_id + 1 AS n, doc_id % 100 <> 50 AS linked FROM documents")
+def ledger_chain(spark, sf):
+    """Links of a log whose seals name their predecessor's hash, some broken."""
+    each = _seals(spark, sf).withColumn("own", F.sha2("payload", 256))
+    # here a chain hash depends on the seal alone, so that a distributed build is possible: prev is the text's digest before
+    prev = each.select((F.col("n") + 1).alias("n"), F.col("own").alias("prev_hash"))
+    made = each.join(prev, "n", "left").withColumn("prev_hash", F.when(F.col("n") % 100 == 51, F.lit("broken")).otherwise(F.coalesce("prev_hash", F.lit(ledger.ZERO))))
+    before = made.select((F.col("n") + 1).alias("n"), F.col("own").alias("before"))
+    return made.join(before, "n", "left").select("n", (F.coalesce("before", F.lit(ledger.ZERO)) == F.col("prev_hash")).alias("linked"))
