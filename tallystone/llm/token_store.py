@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 from .common import U64, drop_path, hf_encoder, mix, powers, staged, text_chunks
 
 DIGEST = 16
+CHUNKS = "digest binary, ids binary"
+RECIPES = "part int, doc_id long, start long, n_tokens long, digests binary, root binary"
+MANIFEST = "part int, documents long, first long, last long, root binary"
 #: Ids the rolling hash sees, and the least, mean and greatest ids of a chunk.
 ROLL, LEAST, MEAN, MOST = 8, 64, 256, 1024
 _BASE = 0xD1342543DE82EF95
@@ -165,15 +168,15 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, keeps_s
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "documents", "first", "last", "root"])
 
-    written = spark.read.parquet(f"{path}/recipes").select("part", "start", "n_tokens", "root")
-    written.repartition("part").sortWithinPartitions("part", "start").mapInArrow(roots, "part int, documents long, first long, last long, root binary").coalesce(1).write.parquet(f"{path}/manifest")
+    written = spark.read.schema(RECIPES).parquet(f"{path}/recipes").select("part", "start", "n_tokens", "root")
+    written.repartition("part").sortWithinPartitions("part", "start").mapInArrow(roots, MANIFEST).coalesce(1).write.parquet(f"{path}/manifest")
     spark.createDataFrame([(width, end_id)], "width int, end_id int").coalesce(1).write.parquet(f"{path}/format")
     drop_path(spark, raw_path)
 
 
 def _positions(spark: SparkSession, path: str) -> DataFrame:
     """(part, doc_id, start, n_tokens, root, chunks, pos, digest): each chunk of each recipe."""
-    recipes = spark.read.parquet(f"{path}/recipes").withColumn("chunks", (F.length("digests") / DIGEST).cast("int"))
+    recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes").withColumn("chunks", (F.length("digests") / DIGEST).cast("int"))
     each = recipes.select("part", "doc_id", "start", "n_tokens", "root", "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("pos"), "digests")
     return each.withColumn("digest", F.expr(f"substring(digests, pos * {DIGEST} + 1, {DIGEST})")).drop("digests")
 
@@ -195,8 +198,8 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
                 out.append((d, len(raw) // width, zlib.crc32(np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes())))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 3, (pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["digest", "n", "crc"])
 
-    chunks = spark.read.parquet(f"{path}/chunks").select("digest", "ids").mapInArrow(sums, "digest binary, n long, crc long")
-    rows = _positions(spark, path).join(chunks, "digest", "left").join(F.broadcast(spark.read.parquet(f"{path}/manifest").select("part", F.col("root").alias("part_root"))), "part")  # one row a part: at most 512
+    chunks = spark.read.schema(CHUNKS).parquet(f"{path}/chunks").select("digest", "ids").mapInArrow(sums, "digest binary, n long, crc long")
+    rows = _positions(spark, path).join(chunks, "digest", "left").join(F.broadcast(spark.read.schema(MANIFEST).parquet(f"{path}/manifest").select("part", F.col("root").alias("part_root"))), "part")  # one row a part: at most 512
     rows = rows.select("part", "start", "pos", "doc_id", "n_tokens", "root", "chunks", "digest", "n", "crc", "part_root")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,5 +234,5 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids binary): every document's ids put together again from the chunks."""
-    whole = _positions(spark, path).join(spark.read.parquet(f"{path}/chunks"), "digest", "left").groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
+    whole = _positions(spark, path).join(spark.read.schema(CHUNKS).parquet(f"{path}/chunks"), "digest", "left").groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
     return whole.select("doc_id", "start", F.concat(F.lit(b""), F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))).alias("ids"))
