@@ -152,7 +152,7 @@ def test_signature_and_tampering(spark, table):
     assert "audit log rewritten" in integrity.verify_table(table, allow_unattested_appends=True)["reason"]
     table.store.write_text(name, kept)
     # one byte in one file
-    victim = next(n for n in doc["payload"]["entries"] if n.startswith("data/"))
+    victim = next(n for n in doc["payload"]["entries"] if n.startswith("data/") and n.endswith(".parquet"))
     path = os.path.join(table.path, victim)
     with open(path, "r+b") as f:
         f.seek(20)
