@@ -53,6 +53,27 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+#: Most ranges that a table is cut into; so many numbers reach the driver at most.
+MOST_RANGES, _FAN = 16_384, 128
+
+
+def range_cuts(df: DataFrame, column: str, most: int = MOST_RANGES) -> list:
+    """Quantiles of a numeric column, a range for each shuffle partition; nulls and repeats make fewer."""
+    n = max(1, min(most, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return sorted(set(df.approxQuantile(column, [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
+
+
+def range_part(column: Column, cuts: list, kind: str) -> Column:
+    """Number of the range (cut, next cut] a value is in, found in two steps; 0 for null."""
+    if not cuts:
+        return F.lit(0)
+    every = F.array(*[F.lit(c) for c in cuts]).cast(f"array<{kind}>")
+    if len(cuts) <= _FAN:
+        return F.size(F.filter(every, lambda c: c < column)).cast("int")
+    coarse = F.size(F.filter(F.array(*[F.lit(c) for c in cuts[_FAN - 1 :: _FAN]]).cast(f"array<{kind}>"), lambda c: c < column)) * _FAN
+    return (coarse + F.size(F.filter(F.slice(every, coarse + 1, _FAN), lambda c: c < column))).cast("int")
+
+
 # ---------------------------------------------------------------- hashing of words
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, powers
+from .common import U64, mix, powers, range_cuts, range_part
 
 K, W = 12, 16
 _BASE = 0xB5297A4D3F84D5B5 | 1
@@ -77,20 +77,18 @@ def in_order_with_next(docs: DataFrame) -> DataFrame:
 
     Parts are ranges of doc_id (null first), cut at quantiles. The first row of the next
     part (of the whole table, after the last) follows each part as a guest, so one shuffle
-    of the texts is enough and no task sees more than its range. At most 512 ids reach the
-    driver.
+    of the texts is enough and no task sees more than its range. One id a part reaches the
+    driver, 16384 at most.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = max(1, min(512, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    cuts = sorted(set(int(x) for x in docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
-    own = docs.select(part.cast("int").alias("part"), F.lit(0).alias("guest"), "doc_id", "text")
+    part = range_part(F.col("doc_id"), [int(c) for c in range_cuts(docs, "doc_id")], "bigint")
+    own = docs.select(part.alias("part"), F.lit(0).alias("guest"), "doc_id", "text")
     # min over (is it not null, id) keeps null ids first
     first = sorted((r.part, r.low.id) for r in own.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), F.col("doc_id").alias("id"))).alias("low")).collect())
     if not first:
         return own
-    follows = spark.createDataFrame([(i, p) for (p, _), (_, i) in zip(first, [*first[1:], first[0]], strict=True)], "head long, part int")  # at most 512 rows
+    follows = spark.createDataFrame([(i, p) for (p, _), (_, i) in zip(first, [*first[1:], first[0]], strict=True)], "head long, part int")  # a row a part
     heads = [i for _, i in first if i is not None]
     some = F.col("doc_id").isin(heads) if heads else F.lit(False)
     if any(i is None for _, i in first):

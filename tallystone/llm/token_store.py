@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, drop_path, hf_encoder, mix, powers, staged, text_chunks
+from .common import U64, drop_path, hf_encoder, mix, powers, range_cuts, range_part, staged, text_chunks
 
 DIGEST = 16
 CHUNKS = "digest binary, ids binary"
@@ -138,12 +138,10 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, keeps_s
 
     # token offsets: sums of ranges of doc_id, then running sums within each
     recipes = raw.where("root is not null").select("doc_id", "n_tokens", "digests", "root")
-    n = max(1, min(512, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    bounds = sorted({int(x) for x in recipes.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)}) if n > 1 else []
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in bounds]).cast("array<bigint>"), lambda c: c < F.col("doc_id"))) if bounds else F.lit(0)
-    recipes = recipes.withColumn("part", part.cast("int"))
+    part = range_part(F.col("doc_id"), [int(c) for c in range_cuts(recipes, "doc_id")], "bigint")
+    recipes = recipes.withColumn("part", part)
     base, rows = 0, []
-    for r in recipes.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():  # at most 512 rows
+    for r in recipes.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():  # a row a part: 16384 at most
         rows.append((r.part, base))
         base += r.n
     bases = F.broadcast(spark.createDataFrame(rows, "part int, base long"))
@@ -199,7 +197,7 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 3, (pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["digest", "n", "crc"])
 
     chunks = spark.read.schema(CHUNKS).parquet(f"{path}/chunks").select("digest", "ids").mapInArrow(sums, "digest binary, n long, crc long")
-    rows = _positions(spark, path).join(chunks, "digest", "left").join(F.broadcast(spark.read.schema(MANIFEST).parquet(f"{path}/manifest").select("part", F.col("root").alias("part_root"))), "part")  # one row a part: at most 512
+    rows = _positions(spark, path).join(chunks, "digest", "left").join(F.broadcast(spark.read.schema(MANIFEST).parquet(f"{path}/manifest").select("part", F.col("root").alias("part_root"))), "part")  # one row a part: 16384 at most
     rows = rows.select("part", "start", "pos", "doc_id", "n_tokens", "root", "chunks", "digest", "n", "crc", "part_root")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -187,3 +187,12 @@ def test_empty_store(spark, odd, tmp_path):
     path = str(tmp_path / "store")
     token_store.write_store(odd.limit(0), path, public_tokenizers.path("word_bpe_49k.json"), 2)
     assert token_store.read_back(spark, path).count() == 0
+
+
+def test_range_parts(spark):
+    from tallystone.llm.common import range_part
+
+    cuts = list(range(0, 5000, 7))
+    rows = spark.range(-3, 5003).select("id", range_part(F.col("id"), cuts, "bigint").alias("part"), range_part(F.col("id"), cuts[:50], "bigint").alias("few")).collect()
+    assert all(r.part == np.searchsorted(cuts, r.id) and r.few == np.searchsorted(cuts[:50], r.id) for r in rows)
+    assert spark.range(1).select(range_part(F.lit(None).cast("long"), cuts, "bigint")).first()[0] == 0
