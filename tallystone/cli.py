@@ -50,9 +50,24 @@ def _parser() -> argparse.ArgumentParser:
     command("check-seal", flag("--issuer", action="append", required=True), flag("--pubkey"))
     command("verify-seal", flag("seal_id"), flag("--issuer-key", required=True))
     command("usage")
+    command("demo")
     return p
 
 
+def demo(spark: SparkSession, path: str) -> dict:
+    """Write, sign, verify, change one value's file, and catch it."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3000).select(F.concat(F.lit("prompt "), "id").alias("prompt"), (F.col("id") % 2).cast("int").alias("label"), F.concat(F.lit("a"), "id", F.lit("@example.com")).alias("annotator_email"))
+    t = Table(spark, path).write(rows)
+    pair = ed25519.generate_keypair(spark)
+    integrity.sign_table(t, pair.private_hex, "demo")
+    good = integrity.verify_table(t, pair.public_hex)
+    rows.limit(10).write.mode("append").parquet(f"{t.path}/data/gen-000001")
+    bad = integrity.verify_table(t, pair.public_hex)
+    return {"before": good["reason"], "after": bad["reason"], "added": bad["added"], "valid": good["valid"] and not bad["valid"]}
+
+
 def run(argv: list[str], spark: SparkSession | None = None) -> int:
     a = _parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("tallystone").config("spark.sql.session.timeZone", "UTC").getOrCreate()
@@ -121,6 +136,7 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
             evidence.build(t, a.out, key(a.pubkey))
             return show({"pack": a.out})
         r = {
+            "demo": lambda: demo(spark, a.table),
             "verify": lambda: integrity.verify_table(t, key(a.pubkey), a.allow_unattested_appends),
             "audit-verify": lambda: audit.verify(t),
             "check-seal": lambda: ledger.check_seal(t, a.issuer, public_hex=key(a.pubkey)),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 if TYPE_CHECKING:
     from ..sources.table import Table
 
-FOLDER = "_meta/audit"
+FOLDER = "meta/audit"
 ZERO = "0" * 64
 
 
@@ -25,7 +25,7 @@ def append(table: Table, event: dict[str, Any], chained: bool = True, day: str |
     event.setdefault("user", getpass.getuser())
     day = day if day and re.fullmatch(r"\d{8}", day) else table.clock().strftime("%Y%m%d")
     name = f"{FOLDER}/{day}.jsonl"
-    with table.store.lock("_meta/.audit.lock"):
+    with table.store.lock("meta/.audit.lock"):
         text = table.store.read_text(name) if table.store.exists(name) else ""
         lines = [x for x in text.split("\n") if x]
         if chained:

@@ -106,7 +106,7 @@ def encrypt_columns(table: Table, columns: list[str], passphrase: str, scrypt: d
     indexes = {c: k for c, k in manifest["indexes"].items() if c not in new}
     config["columns"] = [*config["columns"], *new]
     table._commit(df, part, "encrypt", old=manifest, indexes=indexes, order=["ts"] if "ts" in schema.names and "ts" not in new else [], details={"columns": new})
-    table.store.write_json("_meta/crypto.json", config)
+    table.store.write_json("meta/crypto.json", config)
     return config
 
 
@@ -138,7 +138,7 @@ def decrypt_columns(table: Table, columns: list[str], passphrase: str) -> dict |
     left = [c for c in config["columns"] if c not in gone]
     config |= {"columns": left, "parts": {c: config["parts"][c] for c in left}, "kinds": {c: config["kinds"][c] for c in left}}
     if left:
-        table.store.write_json("_meta/crypto.json", config)
+        table.store.write_json("meta/crypto.json", config)
         return config
-    table.store.delete("_meta/crypto.json")
+    table.store.delete("meta/crypto.json")
     return None

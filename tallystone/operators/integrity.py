@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from typing import TYPE_CHECKING, Any
 
@@ -14,8 +15,8 @@ from . import audit as A
 if TYPE_CHECKING:
     from ..sources.table import Table
 
-SIGNATURE = "_meta/signature.json"
-UNSIGNED = ("_meta/signature.json", "_meta/receipt.json", "_meta/audit/", "_meta/usage/", "_meta/profiles/usage.json", "_meta/.")
+SIGNATURE = "meta/signature.json"
+UNSIGNED = ("meta/signature.json", "meta/receipt.json", "meta/audit/", "meta/usage/", "meta/profiles/usage.json", "meta/.")
 #: Verifier limits: bytes of a file and of all files.
 MAX_ENTRY, MAX_TOTAL = 2 * 2**30, 1 << 60
 
@@ -40,8 +41,12 @@ def entry_digests(table: Table, max_entry: int = MAX_ENTRY, max_total: int = MAX
     content = table.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(table.path)
     name = F.substring_index(F.regexp_replace("path", "^file:/+", "file:/"), base.replace("file:///", "file:/"), -1)
     hashed = content.select(name.alias("name"), F.sha2("content", 256).alias("digest"))
-    listed = table.spark.createDataFrame(names, "name string, bytes long")
-    return listed.join(hashed, "name", "left").select("name", "bytes", F.coalesce("digest", F.lit("unreadable")).alias("digest"))
+    # Spark's readers pass over hidden files (markers of finished jobs): these are hashed here
+    hidden = [(n, size, hashlib.sha256(table.store.read_bytes(n)).hexdigest()) for n, size in names if any(x.startswith(("_", ".")) and "=" not in x for x in n.split("/"))]
+    seen = {n for n, _, _ in hidden}
+    listed = table.spark.createDataFrame([x for x in names if x[0] not in seen], "name string, bytes long")
+    out = listed.join(hashed, "name", "left").select("name", "bytes", F.coalesce("digest", F.sha2(F.lit("unreadable"), 256)).alias("digest"))
+    return out.union(table.spark.createDataFrame(hidden, "name string, bytes long, digest string")) if hidden else out
 
 
 def entries_root(entries: DataFrame, name: str = "name", digest: str = "digest") -> DataFrame:

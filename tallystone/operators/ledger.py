@@ -173,7 +173,7 @@ class Ledger:
         return {"payload": body, "signature": ed25519.sign(self.spark, self.issuer.private_hex, K.canonical(body))}
 
 
-RECEIPT = "_meta/receipt.json"
+RECEIPT = "meta/receipt.json"
 
 
 def seal_table(table, ledger: Ledger, api_key: str) -> dict[str, Any]:

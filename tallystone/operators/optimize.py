@@ -50,7 +50,7 @@ def optimize(table: Table, compact: bool = True, target_rows: int = 100_000, ord
     for c in order or []:
         if c not in names:
             raise ValueError(f"unknown order column: {c}")
-    df = table._scan(manifest)
+    df = table._scan(manifest).withColumns({"__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")})  # keeps equal rows in place
     part = manifest["partitions"][0]["by"] if manifest["partitions"] else None
     if order and not part:
         # clustered: ranges of the order in different files, so their statistics don't overlap
@@ -59,7 +59,7 @@ def optimize(table: Table, compact: bool = True, target_rows: int = 100_000, ord
     elif not part:
         df = df.coalesce(max(1, min_chunks)) if before > min_chunks else df
     pre = U.kpis(table)
-    table._commit(df, part, "optimize", old=manifest, order=order or (["ts"] if "ts" in names else []), max_rows=target_rows, details={"order": order, "target_rows": target_rows, "before": before})
+    table._commit(df, part, "optimize", old=manifest, order=order or (["ts"] if "ts" in names else []), max_rows=target_rows, tie=("__file", "__row"), details={"order": order, "target_rows": target_rows, "before": before})
     fresh = table.manifest()
     after = table.spark.read.parquet(f"{table.path}/{fresh['stats']}").count()
     return {"changed": True, "new_parts": after, "reindexed_columns": sorted(fresh["indexes"]), "pre_kpis": pre, "order": order, "target_rows": target_rows}
@@ -76,7 +76,7 @@ def reindex(table: Table, spec: dict[str, dict[str, Any]]) -> list[str]:
         indexes = {c: set(k) for c, k in manifest["indexes"].items()}
         for c in done:
             indexes.setdefault(c, set()).update(spec[c])
-        manifest = {**manifest, "generation": version, "indexes": {c: sorted(k) for c, k in indexes.items()}, "bloom": f"_meta/index/bloom-{version:06d}"}
+        manifest = {**manifest, "generation": version, "indexes": {c: sorted(k) for c, k in indexes.items()}, "bloom": f"meta/index/bloom-{version:06d}"}
         blooms = {c: spec.get(c, {}).get("bloom") or {} for c, k in manifest["indexes"].items() if "bloom" in k}
         if blooms:
             table._build_blooms(manifest, blooms)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import TYPE_CHECKING, Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,8 +90,6 @@ def violations(df: DataFrame, constraints: dict[str, dict[str, Any]]) -> DataFra
         return df.sparkSession.createDataFrame([], "column string, rule string, bad long, sample array<string>")
     one = df.agg(*[F.sum(b.cast("long")).alias(f"b{i}") for i, (_, _, b) in enumerate(checks)])
     counted = one.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("column"), F.lit(r).alias("rule"), F.coalesce(F.col(f"b{i}"), F.lit(0)).alias("bad")) for i, (c, r, _) in enumerate(checks)]))).where("bad > 0")
-    from pyspark.sql import Window
-
     hit = df.select(F.explode(F.filter(F.array(*[F.when(F.coalesce(b, F.lit(False)), F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("value"))) for i, (c, _, b) in enumerate(checks)]), lambda x: x.isNotNull())).alias("x")).select("x.*").where("value is not null").distinct()
     ten = hit.withColumn("rn", F.row_number().over(Window.partitionBy("i").orderBy("value"))).where("rn <= 10").groupBy("i").agg(F.array_sort(F.collect_list("value")).alias("sample"))
     return counted.join(ten, "i", "left").select("column", "rule", "bad", F.coalesce("sample", F.array().cast("array<string>")).alias("sample"))
@@ -106,7 +104,7 @@ def validate(table: Table) -> dict[str, Any]:
     rows = profile_frame(df).collect()  # a row a column
     keys = ("dtype", "nulls", "null_pct", "min", "max", "distinct_est", "p50", "p95", "p99")
     doc = {"version": 1, "rows": rows[0].rows if rows else 0, "columns": {r.column: {k: r[k] for k in keys} for r in rows}}
-    table.store.write_json("_meta/profiles/quality.json", doc)
+    table.store.write_json("meta/profiles/quality.json", doc)
     rules = {f["name"]: f["constraints"] for f in manifest["schema"] if f.get("constraints")}
     bad = violations(df, rules).orderBy("column", "rule").collect()
     if bad:

@@ -19,9 +19,9 @@ IN = r"(?i)\b([A-Za-z_]\w*)\s+IN\s*\(([^)]*)\)"
 
 def records(table: Table) -> DataFrame:
     """The usage log; lines that aren't JSON are dropped."""
-    if not table.store.names("_meta/usage"):
+    if not table.store.names("meta/usage"):
         return table.spark.createDataFrame([], SCHEMA)
-    raw = table.spark.read.schema(SCHEMA + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(f"{table.path}/_meta/usage/*.json")
+    raw = table.spark.read.schema(SCHEMA + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(f"{table.path}/meta/usage/*.json")
     return raw.withColumn("bad", F.col("_bad").isNotNull()).where("not bad").drop("bad", "_bad")
 
 
@@ -61,13 +61,13 @@ def aggregate(table: Table, limit: int = 1000) -> dict[str, Any]:
         "top_columns": [[r[0], r[1]] for r in top(log.select("ts", F.explode("columns").alias("c")), F.col("c"), "ts").collect()],
         "top_where": [[r[0], r[1]] for r in top(log, F.col("where"), "ts").collect()],
     }
-    table.store.write_json("_meta/profiles/usage.json", doc)
+    table.store.write_json("meta/profiles/usage.json", doc)
     return doc
 
 
 def update_kpis(table: Table, baseline: bool = False) -> dict[str, Any]:
     """Store the present figures as the baseline (``pre``), or as ``post`` with the difference to it."""
-    doc = table.store.read_json("_meta/profiles/kpis.json") or {}
+    doc = table.store.read_json("meta/profiles/kpis.json") or {}
     now = kpis(table)
     if baseline:
         doc = {"pre_kpis": now}
@@ -75,7 +75,7 @@ def update_kpis(table: Table, baseline: bool = False) -> dict[str, Any]:
         pre = doc.get("pre_kpis") or {}
         doc |= {"post_kpis": now, "delta_vs_pre": {k: now[k] - pre[k] for k in now if pre.get(k) is not None and now[k] is not None}}
     doc["kpis_updated_at"] = table.now()
-    table.store.write_json("_meta/profiles/kpis.json", doc)
+    table.store.write_json("meta/profiles/kpis.json", doc)
     return doc
 
 
@@ -99,7 +99,7 @@ def advise(table: Table) -> dict[str, Any]:
     counts = mined(log).collect()  # a row a column
     bloom = [r.column for r in sorted(counts, key=lambda r: (-r.eq, r.column)) if r.eq >= 2][:5]
     minmax = [r.column for r in sorted(counts, key=lambda r: (-r.range, r.column)) if r.range >= 2][:5]
-    columns = (table.store.read_json("_meta/profiles/quality.json") or {}).get("columns", {})
+    columns = (table.store.read_json("meta/profiles/quality.json") or {}).get("columns", {})
     distinct = {c: columns[c]["distinct_est"] for c in bloom if c in columns}
     partitions = [c for c in bloom if 5 <= distinct.get(c, 0) <= 2000][:3]
     order = next((c for c in minmax if c in columns), None)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from typing import Any
+from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import predicate as P
 
+if TYPE_CHECKING:
+    from ..sources.table import Table
+
 TINY = 1e-12
 
 
@@ -67,3 +70,28 @@ def search(df: DataFrame, column: str, query: list[float] | None = None, k: int
     right = F.when(F.size(column) == len(query), F.col(column)).otherwise(F.raise_error(F.lit(f"dimension mismatch: {column} against {len(query)}")).cast(df.schema[column].dataType))
     out = rows.withColumn("__score", score(right, query, metric)).orderBy(F.desc("__score"), key).limit(max(1, k))
     return out.select(*(columns or [key]), "__score")
+
+
+def build_index(table: Table, column: str = "embedding", dim: int | None = None, id_col: str | None = None, metric: str = "cosine") -> dict[str, Any]:
+    """Store (id, vector, norm) of the table's current rows, so that searches needn't read the rest; vectors of another length than ``dim`` raise."""
+    manifest = table.manifest()
+    df = table._scan(manifest)
+    key = id_col or ("id" if "id" in df.columns else df.columns[0])
+    rows = df.where(F.col(column).isNotNull())
+    low, high, n = rows.agg(F.min(F.size(column)), F.max(F.size(column)), F.count("*")).first()
+    if n and (low != high or (dim is not None and dim != low)):
+        raise ValueError(f"dimension mismatch: {column} has lengths {low} to {high}, wanted {dim or 'one'}")
+    name = f"meta/vector/{column}-{manifest['generation']:06d}"
+    rows.select(key, column, norm(F.col(column)).alias("norm")).write.mode("overwrite").option("compression", "zstd").parquet(f"{table.path}/{name}")
+    table.store.write_json(f"meta/vector/{column}.json", {"version": 1, "algo": "flat", "column": column, "id": key, "metric": metric, "dim": low, "vectors_path": name, "vectors_n": n, "generation": manifest["generation"]})
+    return {"ok": True, "index_path": name}
+
+
+def search_table(table: Table, query: list[float] | None = None, k: int = 10, column: str = "embedding", metric: str | None = None, where: str | dict[str, Any] | None = None, columns: list[str] | None = None, as_of: str | None = None) -> DataFrame:
+    """Search a table as of a time. The stored index serves searches of the generation it was built on that need no other column."""
+    meta = table.store.read_json(f"meta/vector/{column}.json")
+    current = table.manifest_as_of(as_of)["generation"]
+    key = meta["id"] if meta else None
+    if meta and meta["generation"] == current and not where and not columns:
+        return search(table.spark.read.parquet(f"{table.path}/{meta['vectors_path']}"), column, query, k, metric or meta["metric"], None, key)
+    return search(table.read(as_of=as_of), column, query, k, metric or (meta or {}).get("metric", "cosine"), where, key, columns)

@@ -50,10 +50,11 @@ class Store:
             out.hsync()
         finally:
             out.close()
-        target = self._path(name)
-        if self._fs.exists(target):
-            self._fs.delete(target, False)
-        self._fs.rename(temp, target)
+        kind = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
+        flags = self.spark.sparkContext._gateway.new_array(kind, 1)
+        flags[0] = kind.OVERWRITE
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(temp.toUri() if temp.toUri().getScheme() else self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(temp, self._path(name), flags)
 
     def write_json(self, name: str, value: Any) -> None:
         self.write_text(name, json.dumps(value, ensure_ascii=False, indent=1, default=str))
@@ -85,7 +86,7 @@ class Store:
         self._fs.delete(self._path(name), True)
 
     @contextlib.contextmanager
-    def lock(self, name: str = "_meta/.lock", wait: float = 30.0) -> Iterator[None]:
+    def lock(self, name: str = "meta/.lock", wait: float = 30.0) -> Iterator[None]:
         """One writer at a time: an exclusively created file."""
         path, until = self._path(name), time.time() + wait
         while True:

@@ -1,11 +1,11 @@
 """A versioned table in a folder: immutable Parquet files, a manifest, statistics, snapshots, a journal.
 
     data/gen-000001/part=<value>/part-*.parquet    never rewritten
-    _meta/CURRENT.json                             the manifest's number: the one thing that moves
-    _meta/manifest-000001.json                     schema, constraints, partitioning, indexes, files' statistics
-    _meta/index/stats-000001/                      one row per file: rows, bytes, min, max, nulls
-    _meta/index/bloom-000001/                      one row per file and column
-    _meta/{snapshots,journal,audit,usage,profiles}
+    meta/CURRENT.json                             the manifest's number: the one thing that moves
+    meta/manifest-000001.json                     schema, constraints, partitioning, indexes, files' statistics
+    meta/index/stats-000001/                      one row per file: rows, bytes, min, max, nulls
+    meta/index/bloom-000001/                      one row per file and column
+    meta/{snapshots,journal,audit,usage,profiles}
 
 Files hold all columns, so reading needs no partition discovery; partition values are
 pruned by statistics like any other column, and null ones are kept.
@@ -19,7 +19,7 @@ import json
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,13 +63,13 @@ class Table:
         return self.clock().astimezone(dt.UTC).isoformat().replace("+00:00", "Z")
 
     def version(self) -> int:
-        return (self.store.read_json("_meta/CURRENT.json") or {}).get("version", 0)
+        return (self.store.read_json("meta/CURRENT.json") or {}).get("version", 0)
 
     def manifest(self, version: int | None = None) -> dict[str, Any]:
         v = version or self.version()
         if not v:
             raise FileNotFoundError(f"no table at {self.path}")
-        return self.store.read_json(f"_meta/manifest-{v:06d}.json")
+        return self.store.read_json(f"meta/manifest-{v:06d}.json")
 
     def manifest_hash(self, manifest: dict[str, Any]) -> str:
         return "sha256:" + hashlib.sha256(json.dumps(manifest, ensure_ascii=False).encode()).hexdigest()
@@ -78,21 +78,21 @@ class Table:
         return T.StructType.fromJson(self.manifest(version)["spark_schema"])
 
     def crypto(self) -> dict[str, Any] | None:
-        return self.store.read_json("_meta/crypto.json")
+        return self.store.read_json("meta/crypto.json")
 
     # ------------------------------------------------------------ journal
 
     def journal_append(self, op: str, details: dict[str, Any]) -> None:
-        ids = [int(n.split(".")[0]) for n in self.store.names("_meta/journal")]
+        ids = [int(n.split(".")[0]) for n in self.store.names("meta/journal")]
         n = max(ids, default=0) + 1
-        self.store.write_text(f"_meta/journal/{n:08d}.json", json.dumps({"id": n, "ts": self.now(), "op": op, "details": json.dumps(details, ensure_ascii=False, default=str)}, ensure_ascii=False))
+        self.store.write_text(f"meta/journal/{n:08d}.json", json.dumps({"id": n, "ts": self.now(), "op": op, "details": json.dumps(details, ensure_ascii=False, default=str)}, ensure_ascii=False))
 
     def log(self) -> DataFrame:
         """Journal events (id, ts, op, details as JSON) by id."""
         schema = "id long, ts string, op string, details string"
-        if not self.store.names("_meta/journal"):
+        if not self.store.names("meta/journal"):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).json(f"{self.path}/_meta/journal").orderBy("id")
+        return self.spark.read.schema(schema).json(f"{self.path}/meta/journal").orderBy("id")
 
     # ------------------------------------------------------------ write
 
@@ -123,14 +123,14 @@ class Table:
         df = load_source(self.spark, source).select(*self.schema().names)
         return self._commit(df, m["partitions"][0]["by"] if m["partitions"] else None, "append", old=m, order=["ts"] if "ts" in df.columns else [])
 
-    def _write_files(self, df: DataFrame, part: str | None, generation: int, order: list[str], max_rows: int | None = None) -> str:
+    def _write_files(self, df: DataFrame, part: str | None, generation: int, order: list[str], max_rows: int | None = None, tie: tuple[str, ...] = ()) -> str:
         folder = f"{self.path}/data/gen-{generation:06d}"
         if part:
             # rebalancing keeps a value's rows together and splits values that are too large for one file
             df = df.hint("rebalance", part).withColumn("__part", F.col(part))
         if part or order:
-            df = df.sortWithinPartitions(*(["__part"] if part else []), *[F.asc_nulls_last(c) for c in order])
-        writer = df.write.option("compression", "zstd")
+            df = df.sortWithinPartitions(*(["__part"] if part else []), *[F.asc_nulls_last(c) for c in order], *tie)
+        writer = df.drop(*tie).write.option("compression", "zstd")
         if max_rows:
             writer = writer.option("maxRecordsPerFile", max_rows)
         (writer.partitionBy("__part") if part else writer).parquet(folder)
@@ -143,19 +143,17 @@ class Table:
         stats = S.file_stats(data, S.ordered_columns(schema)).withColumn("file", plain)
         return stats.join(sizes.select(F.regexp_replace("p", "^file:/+", "file:/").alias("file"), "bytes"), "file", "left")
 
-    def _commit(self, df: DataFrame, part: str | None, op: str, *, old: dict | None = None, constraints=None, indexes=None, snapshot: bool = True, order=(), max_rows: int | None = None, details: dict | None = None) -> Table:
-        schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
+    def _commit(self, df: DataFrame, part: str | None, op: str, *, old: dict | None = None, constraints=None, indexes=None, snapshot: bool = True, order=(), max_rows: int | None = None, details: dict | None = None, tie: tuple[str, ...] = ()) -> Table:
+        schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema if f.name not in tie])
         with self.store.lock():
             version = self.version() + 1
-            folder = self._write_files(df, part, version, list(order), max_rows)
+            folder = self._write_files(df, part, version, list(order), max_rows, tie)
             fresh = self._stats_of(folder, schema)
             keep = old is not None and op == "append"
             known = self.spark.read.parquet(f"{self.path}/{old['stats']}").drop("chunk_id") if keep else None
             every = known.unionByName(fresh, allowMissingColumns=True) if keep else fresh
-            from pyspark.sql import Window
-
             # files are few next to rows: their numbering may pass through one task
-            every.withColumn("chunk_id", F.row_number().over(Window.orderBy("file")) - 1).coalesce(1).write.parquet(f"{self.path}/_meta/index/stats-{version:06d}")
+            every.withColumn("chunk_id", F.row_number().over(Window.orderBy("file")) - 1).coalesce(1).write.parquet(f"{self.path}/meta/index/stats-{version:06d}")
             declared = indexes if indexes is not None else (old or {}).get("indexes", {})
             declared = {c: ({k: {} for k in v} if isinstance(v, list) else dict(v)) for c, v in declared.items()}
             if part:
@@ -167,16 +165,15 @@ class Table:
                 "schema": [{"name": f.name, "arrow_type": arrow_type(f.dataType)} | ({"constraints": c} if (c := (constraints if constraints is not None else {x["name"]: x.get("constraints") for x in (old or {}).get("schema", [])}).get(f.name)) else {}) for f in schema],
                 "primary_key": None, "partitions": [{"by": part}] if part else [], "indexes": {c: sorted(v) for c, v in declared.items()},
                 "created_at": (old or {}).get("created_at") or self.now(), "spark_schema": schema.jsonValue(), "generation": version,
-                "stats": f"_meta/index/stats-{version:06d}", "bloom": None,
+                "stats": f"meta/index/stats-{version:06d}", "bloom": None,
             }
             blooms = {c: v["bloom"] for c, v in declared.items() if "bloom" in v and c in schema.names}
             if blooms:
-                manifest["bloom"] = f"_meta/index/bloom-{version:06d}"
+                manifest["bloom"] = f"meta/index/bloom-{version:06d}"
                 self._build_blooms(manifest, blooms)
             self._publish(version, manifest)
-            chunks, rows = every_counts = self.spark.read.parquet(f"{self.path}/{manifest['stats']}").agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
-            del every_counts
-            self.store.write_json("_meta/profiles/rows.json", {"version": 1, "rows": rows})
+            chunks, rows = self.spark.read.parquet(f"{self.path}/{manifest['stats']}").agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+            self.store.write_json("meta/profiles/rows.json", {"version": 1, "rows": rows})
             self.journal_append(op, details or {"rows": rows, "chunks": chunks})
         if snapshot:
             self.snapshot(note=f"auto after {op}")
@@ -188,8 +185,8 @@ class Table:
             S.file_blooms(data, c, float(options.get("fp_rate", 0.01))).withColumn("column", F.lit(c)).withColumn("file", F.regexp_replace("file", "^file:/+", "file:/")).write.mode("append").parquet(f"{self.path}/{manifest['bloom']}")
 
     def _publish(self, version: int, manifest: dict) -> None:
-        self.store.write_json(f"_meta/manifest-{version:06d}.json", manifest)
-        self.store.write_json("_meta/CURRENT.json", {"version": version})
+        self.store.write_json(f"meta/manifest-{version:06d}.json", manifest)
+        self.store.write_json("meta/CURRENT.json", {"version": version})
 
     # ------------------------------------------------------------ read
 
@@ -273,9 +270,9 @@ class Table:
             df = df.orderBy("__file", "__row").limit(head)
         if usage:
             record = {"ts": self.now(), "where": where, "columns": wanted, "bytes_read": sum(r.bytes or 0 for r in found), "chunks_scanned": len(found), "as_of": as_of}
-            with self.store.lock("_meta/.usage.lock"):
-                n = len(self.store.names("_meta/usage")) + 1
-                self.store.write_text(f"_meta/usage/{n:08d}.json", json.dumps(record, ensure_ascii=False))
+            with self.store.lock("meta/.usage.lock"):
+                n = len(self.store.names("meta/usage")) + 1
+                self.store.write_text(f"meta/usage/{n:08d}.json", json.dumps(record, ensure_ascii=False))
         if audit:
             from ..operators import audit as A
 
@@ -318,11 +315,11 @@ class Table:
         """Name, schema, layout, sizes, profile, usage and history of the table."""
         m = self.manifest()
         n, size, rows = self.spark.read.parquet(f"{self.path}/{m['stats']}").agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
-        snaps, uses = self.list_snapshots(), self.store.names("_meta/usage")
+        snaps, uses = self.list_snapshots(), self.store.names("meta/usage")
         return {
             "name": m["name"], "created_at": m["created_at"], "schema": m["schema"], "partitions": m["partitions"], "indexes": m["indexes"], "n_chunks": n, "bytes_total": size, "rows": rows,
-            "quality": self.store.read_json("_meta/profiles/quality.json"), "last_usage": self.store.read_json(f"_meta/usage/{uses[-1]}") if uses else None,
-            "usage_agg": self.store.read_json("_meta/profiles/usage.json"), "snapshots": {"count": len(snaps), "last_ts": snaps[-1]["ts"] if snaps else None}, "journal": {"count": len(self.store.names("_meta/journal"))},
+            "quality": self.store.read_json("meta/profiles/quality.json"), "last_usage": self.store.read_json(f"meta/usage/{uses[-1]}") if uses else None,
+            "usage_agg": self.store.read_json("meta/profiles/usage.json"), "snapshots": {"count": len(snaps), "last_ts": snaps[-1]["ts"] if snaps else None}, "journal": {"count": len(self.store.names("meta/journal"))},
         }
 
     # ------------------------------------------------------------ snapshots
@@ -335,17 +332,17 @@ class Table:
         name = f"{ts:%Y%m%dT%H%M%S%f}Z.json"
         doc = {
             "version": 1, "ts": ts.isoformat().replace("+00:00", "Z"), "manifest_hash": self.manifest_hash(m), "manifest": m["generation"],
-            "chunks": [{"chunk_id": r.chunk_id, "path": r.file} for r in files], "indexes": [x for x in (m["stats"], m["bloom"]) if x], "profiles": {"quality": self.store.exists("_meta/profiles/quality.json")}, "note": note,
+            "chunks": [{"chunk_id": r.chunk_id, "path": r.file} for r in files], "indexes": [x for x in (m["stats"], m["bloom"]) if x], "profiles": {"quality": self.store.exists("meta/profiles/quality.json")}, "note": note,
         }
-        self.store.write_json(f"_meta/snapshots/{name}", doc)
+        self.store.write_json(f"meta/snapshots/{name}", doc)
         self.journal_append("snapshot", {"snapshot": name, "note": note})
         return name
 
     def list_snapshots(self) -> list[dict[str, Any]]:
         """file, ts, chunks, indexes, note of each snapshot, oldest first."""
         out = []
-        for name in self.store.names("_meta/snapshots"):
-            d = self.store.read_json(f"_meta/snapshots/{name}")
+        for name in self.store.names("meta/snapshots"):
+            d = self.store.read_json(f"meta/snapshots/{name}")
             out.append({"file": f"snapshots/{name}", "ts": d["ts"], "chunks": len(d["chunks"]), "indexes": len(d["indexes"]), "note": d["note"]})
         return sorted(out, key=lambda d: d["ts"])
 
@@ -357,7 +354,7 @@ class Table:
             snaps = self.list_snapshots()
             return snaps[-1]["ts"] if snaps else None
         if token.startswith("snapshots/"):
-            d = self.store.read_json(f"_meta/{token}")
+            d = self.store.read_json(f"meta/{token}")
             return d["ts"] if d else None
         return token
 
@@ -372,7 +369,7 @@ class Table:
         fit = [s for s in self.list_snapshots() if dt.datetime.fromisoformat(s["ts"].replace("Z", "+00:00")) <= limit]
         if not fit:
             raise ValueError(f"no snapshot at or before {as_of!r}")
-        return self.store.read_json(f"_meta/{fit[-1]['file']}")
+        return self.store.read_json(f"meta/{fit[-1]['file']}")
 
 
 def _tests(tree: P.Tree | None) -> list[P.Tree]:

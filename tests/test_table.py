@@ -81,7 +81,7 @@ def test_validate_and_violations(spark, tmp_path):
     t = Table(spark, str(tmp_path / "t")).write(df, constraints=rules)
     with pytest.raises(ValueError, match="VALIDATION FAILED"):
         profile.validate(t)
-    doc = t.store.read_json("_meta/profiles/quality.json")
+    doc = t.store.read_json("meta/profiles/quality.json")
     assert doc["rows"] == 3 and doc["columns"]["n"]["nulls"] == 1 and doc["columns"]["n"]["p50"] in (-1.0, 5.0)
 
 
@@ -126,7 +126,7 @@ def test_audit_chain(spark, table):
     audit.append(table, {"op": "plain"}, chained=False, day="20240101")
     audit.append(table, {"op": "y"}, day="20240101")
     assert audit.verify(table) == {"ok": True, "consistent": True, "files": 1, "events": 6, "signed": 5, "bad": {}}
-    name = "_meta/audit/20240101.jsonl"
+    name = "meta/audit/20240101.jsonl"
     table.store.write_text(name, table.store.read_text(name).replace('"n":2', '"n":7'))
     assert audit.verify(table)["bad"] == {"20240101.jsonl": 3}
     table.store.write_text(name, table.store.read_text(name) + "{broken\n")
@@ -145,7 +145,7 @@ def test_signature_and_tampering(spark, table):
     assert integrity.verify_table(table)["reason"].startswith("unattested")
     assert integrity.verify_table(table, allow_unattested_appends=True)["valid"]
     # the whole chain rewritten
-    name = "_meta/audit/20240101.jsonl"
+    name = "meta/audit/20240101.jsonl"
     kept = table.store.read_text(name)
     table.store.delete(name)
     audit.append(table, {"op": "forged"}, day="20240101")
@@ -162,7 +162,7 @@ def test_signature_and_tampering(spark, table):
     r = integrity.verify_table(table, allow_unattested_appends=True)
     assert r["modified"] == [victim] and r["reason"].startswith("tampering detected: 1 modified entry")
     for bad in ("[]", '{"payload":"x"}', '{"nope":1}', "{"):
-        table.store.write_text("_meta/signature.json", bad)
+        table.store.write_text("meta/signature.json", bad)
         assert not integrity.verify_table(table)["valid"]
 
 
@@ -191,7 +191,7 @@ def test_ledger_seals_and_evidence(spark, table, tmp_path):
     with pytest.raises(ValueError, match="hexadecimal"):
         log.seal("xyz", 1, {}, key)
     with pytest.raises(ValueError, match="possession"):
-        log.seal("0" * 64, 1, {"public_key": "11"}, key, table.store.read_json("_meta/signature.json"))
+        log.seal("0" * 64, 1, {"public_key": "11"}, key, table.store.read_json("meta/signature.json"))
     point = log.checkpoint()
     assert point["payload"]["size"] == 3 and ed25519.verify(issuer.public_hex, integrity.canonical(point["payload"]), point["signature"])
     forged = log.seals().withColumn("payload", F.when(F.col("n") == 2, F.regexp_replace("payload", '"entry_count":1', '"entry_count":9')).otherwise(F.col("payload")))
@@ -229,3 +229,33 @@ def test_stream_appends_once(spark, tmp_path, sf):
     for _ in range(2):
         append_stream(spark.readStream.schema(schema).parquet(src), t, str(tmp_path / "c"), ["event_type"]).awaitTermination()
     assert t.read().count() == 1000
+
+
+def test_index_kinds_and_vector_index(spark, tmp_path, sf):
+    from tallystone.functions import registry
+    from tallystone.operators import vector
+
+    t = Table(spark, str(tmp_path / "t")).write(frame(spark))
+    data = t._scan(t.manifest())
+    for name in ("minmax", "bloom"):
+        kind = registry.get(name)
+        index = kind.build(data, "id")
+        for v, n in ((3, 1), (60, 1), (5000, 0)):
+            found = index.where(kind.may_match("=", F.lit(v).cast("long"))).count()
+            assert found == n if name == "minmax" else found >= n
+    with pytest.raises(KeyError):
+        registry.get("none")
+    e = Table(spark, str(tmp_path / "e")).write(spark.read.parquet(f"{sf}/embeddings.parquet"))
+    plain = [tuple(r) for r in vector.search_table(e, k=7, metric="cosine").collect()]
+    assert vector.build_index(e, dim=64)["ok"]
+    assert [tuple(r) for r in vector.search_table(e, k=7).collect()] == plain and plain[0][1] == pytest.approx(1.0)
+    assert vector.search_table(e, k=3, where={"label": 2}, columns=["vec_id", "label"]).where("label <> 2").count() == 0
+    with pytest.raises(ValueError, match="dimension"):
+        vector.build_index(e, dim=3)
+    with pytest.raises(Exception, match="dimension"):
+        vector.search_table(e, [1.0, 2.0]).collect()
+    assert vector.search_table(e, k=0).count() == 1
+
+
+def test_demo(spark, tmp_path):
+    assert cli(["demo", str(tmp_path / "d")], spark) == 0
