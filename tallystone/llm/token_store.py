@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, drop_path, hf_encoder, mix, powers, range_cuts, range_part, staged, text_chunks
+from .common import U64, drop_path, hf_encoder, mix, powers, range_cuts, range_part, shuffles_dropped, staged, text_chunks
 
 DIGEST = 16
 CHUNKS = "digest binary, ids binary"
@@ -134,7 +134,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, keeps_s
 
     ddl = "doc_id long, n_tokens long, digests binary, root binary, digest binary, ids binary"
     raw, raw_path = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ddl), "encoded")
-    raw.where("digest is not null").groupBy("digest").agg(F.first("ids").alias("ids")).write.option("compression", "zstd").parquet(f"{path}/chunks")
+    with shuffles_dropped(spark):
+        raw.where("digest is not null").groupBy("digest").agg(F.first("ids").alias("ids")).write.option("compression", "zstd").parquet(f"{path}/chunks")
 
     # token offsets: sums of ranges of doc_id, then running sums within each
     recipes = raw.where("root is not null").select("doc_id", "n_tokens", "digests", "root")
