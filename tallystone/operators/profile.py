@@ -26,7 +26,7 @@ def _null(c: str, kind: T.DataType) -> Column:
 
 
 def exact_quantile(column: str, q: float) -> Column:
-    """The reference order statistic: sorted[ceil(q * (n - 1))]. For groups that fit in memory; ``profile`` uses sketches."""
+    """The order statistic sorted[ceil(q * (n - 1))]. For groups that fit in memory; ``profile`` uses sketches."""
     values = F.sort_array(F.collect_list(column))
     return F.get(values, F.ceil(F.lit(q) * (F.size(values) - 1)).cast("int"))
 
