@@ -34,8 +34,8 @@ from .common import U64, drop_path, mix, shingle_sets, staged
 SKETCH_BITS = 16
 #: Up to this size sets are also indexed by their one-deletion neighbourhoods.
 SMALL = 48
-#: Rows of a block in the exact comparison within a group.
-BLOCK = 2048
+#: Rows and tokens of a block in the exact comparison within a group.
+BLOCK, TOKENS = 2048, 4_000_000
 
 
 def bands(percent: int, top: int = 1 << 40) -> np.ndarray:
@@ -250,17 +250,24 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
                 for head, t in heads:
                     if similar(len(np.intersect1d(tokens, t, assume_unique=True)), len(tokens), len(t)):
                         hit = head
-                for col, v in zip(out, (g, key, rep, hit, None), strict=True):
+                for col, v in zip(out, (g, key, rep, hit, len(tokens)), strict=True):
                     col.append(v)
-            yield list(out[:4])
+            yield list(out)
 
-    schema = pa.schema([("leader", pa.int64()), ("key", pa.int64()), ("rep", pa.int64()), ("linked", pa.int64())])
-    tried = rows.repartition("leader", "block").sortWithinPartitions("leader", "block", "role").mapInArrow(_arrow(against_leader, schema), "leader long, key long, rep long, linked long")
+    schema = pa.schema([("leader", pa.int64()), ("key", pa.int64()), ("rep", pa.int64()), ("linked", pa.int64()), ("n", pa.int64())])
+    tried = rows.repartition("leader", "block").sortWithinPartitions("leader", "block", "role").mapInArrow(_arrow(against_leader, schema), "leader long, key long, rep long, linked long, n long")
     tried, tried_path = staged(tried, "tried")
 
     # 6. what the leader did not take, against the rest of its group, block by block
-    open_groups = tried.groupBy("leader").agg(F.sum(F.col("linked").isNull().cast("long")).alias("rest"), F.count("*").alias("all")).where("rest > 0 and all > 1")
-    open_groups = open_groups.select("leader", F.ceil(F.col("rest") / BLOCK).cast("int").alias("rb"), F.ceil(F.col("all") / BLOCK).cast("int").alias("ab"))
+    free = F.col("linked").isNull()
+    sizes = tried.groupBy("leader").agg(
+        F.sum(free.cast("long")).alias("rest"), F.count("*").alias("all"), F.sum(F.when(free, F.col("n")).otherwise(0)).alias("rest_n"), F.sum("n").alias("all_n")
+    )
+
+    def blocks(rows: str, tokens: str):
+        return F.greatest(F.ceil(F.col(rows) / BLOCK), F.ceil(F.col(tokens) / TOKENS)).cast("int")
+
+    open_groups = sizes.where("rest > 0 and all > 1").select("leader", blocks("rest", "rest_n").alias("rb"), blocks("all", "all_n").alias("ab"))
     inside = tried.join(open_groups, "leader")
     rest = inside.where("linked is null").select("leader", F.pmod(F.xxhash64("key"), F.col("rb")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ab") - 1)).alias("j"), F.lit(0).alias("role"), "key", F.lit(None).cast("long").alias("linked"))
     others = inside.select("leader", F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("i"), F.pmod(F.xxhash64("key", F.lit(1)), F.col("ab")).cast("int").alias("j"), F.lit(1).alias("role"), "key", "linked")

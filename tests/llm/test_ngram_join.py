@@ -54,6 +54,7 @@ def test_against_brute_force(docs, odd, k, percent):
 
 def test_large_near_groups_in_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    monkeypatch.setattr(ngram_join, "TOKENS", 500)
     rng = random.Random(5)
     rows = []
     for base in range(3):
