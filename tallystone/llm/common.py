@@ -114,7 +114,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept for the next call."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 16, 2 * len(have) if have is not None else 0)
+        size = max(n, 1 << 16)
         out = np.empty(size, U64)
         out[0] = 1
         filled = 1
@@ -137,7 +137,7 @@ def binary_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]] if len(offsets) else raw[:0], offsets - offsets[0]
 
 
-def byte_chunks(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def byte_chunks(offsets: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Runs of rows whose bytes stay under ``limit``; a longer row comes alone."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -287,7 +287,7 @@ class UnitEncoder:
 _encoders: dict[str, UnitEncoder] = {}
 
 
-def hf_encoder(path: str, keeps_space: bool) -> UnitEncoder:
+def hf_encoder(path: str, keeps_space: bool, limit: int = 600_000) -> UnitEncoder:
     """The worker's encoder for a file of the tokenizers library; special tokens in a text are ordinary text.
 
     ``keeps_space``: the file is byte level and its tokens spell out the white space.
@@ -305,7 +305,7 @@ def hf_encoder(path: str, keeps_space: bool) -> UnitEncoder:
             lengths = np.zeros(t.get_vocab_size(), np.int64)
             for token, i in t.get_vocab().items():
                 lengths[i] = len(token)
-        _encoders[path] = UnitEncoder(lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)], lengths, "<u4" if t.get_vocab_size() > 65536 else "<u2")
+        _encoders[path] = UnitEncoder(lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)], lengths, "<u4" if t.get_vocab_size() > 65536 else "<u2", limit)
     return _encoders[path]
 
 

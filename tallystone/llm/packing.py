@@ -22,6 +22,8 @@ from .common import drop_path, hf_encoder, staged, text_chunks
 
 #: Parts into which the pieces of one length are dealt to be ranked.
 SALTS = 64
+#: Units of text each generation of a worker's tokenizer cache holds: some 50 MB.
+UNITS = 250_000
 
 
 def best_two(counts: np.ndarray, gap: int, above: int) -> tuple[int, int] | None:
@@ -116,7 +118,7 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int, end_id: int, with_ids: b
     schema = pa.schema(fields if with_ids else fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = hf_encoder(tokenizer, True)
+        encoder = hf_encoder(tokenizer, True, UNITS)
         for b in batches:
             rows: list[tuple] = []
             keys = iter(b.column(0).to_pylist())
