@@ -91,8 +91,14 @@ class Partition:
         m, _, _, _, sums = self.parts(tokens, band)
         return (self.name(sums, np.arange(m), band) >> U64(64 - SKETCH_BITS)).astype(np.int64)
 
-    def signatures(self, tokens: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, bool | np.ndarray]]:
-        """(signatures, whether they probe) of a set under all its contexts."""
+    def least_equal(self, size: int, band: int) -> int:
+        """Of a set's exact signatures in a band, so many at least are those of any one partner: all but the greatest difference."""
+        m, deletions = segments_of(int(self.hi[band]), self.percent)
+        partner = min(int(self.hi[band]), 100 * size // self.percent)
+        return 0 if deletions else m - (100 - self.percent) * (size + partner) // (100 + self.percent)
+
+    def signatures(self, tokens: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, bool | np.ndarray, int, int]]:
+        """(signatures, whether they probe, band, least equal ones of a partner) of a set under all its contexts."""
         size = len(tokens)
         for band, probes in self.contexts(size):
             m, deletions, value, seg, sums = self.parts(tokens, band)
@@ -105,9 +111,10 @@ class Partition:
                 if deletions:
                     price = np.concatenate((price, price * 2 + sizes + 1))  # the second unit costs the neighbourhood too
                 spend += np.bincount(np.argsort(price, kind="stable")[:need] % m, minlength=m)
-            yield exact, spend > 0
+            least = self.least_equal(size, band)
+            yield exact, spend > 0, band, least
             if deletions:
-                yield self.name(sums[seg] - value, seg, band), spend[seg] > 1
+                yield self.name(sums[seg] - value, seg, band), spend[seg] > 1, band, least
 
 
 def _arrow(fn, schema: pa.Schema):
@@ -174,7 +181,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     def sign(batches):
         table, seen = sketch_b.value, set()
         for b in batches:
-            sig, key, probe = [], [], []
+            sig, key, probe, band, least = [], [], [], [], []
             for tokens in shingle_sets(b.column(1), k):
                 k1 = set_keys(tokens)[0]
                 if not len(tokens) or k1 in seen:
@@ -182,25 +189,30 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add(k1)
-                for s, p in part.signatures(tokens, table):
+                for s, p, context, fewest in part.signatures(tokens, table):
                     sig.append(s)
-                    probe.append(p if isinstance(p, np.ndarray) else np.full(len(s), p))
+                    probe.append(p)
                     key.append(np.full(len(s), k1, np.int64))
-                if sum(map(len, sig[-4:])) and len(sig) >= 4096:
-                    yield [np.concatenate(sig).view(np.int64), np.concatenate(key), np.concatenate(probe)]
-                    sig, key, probe = [], [], []
+                    band.append(np.full(len(s), context, np.int32))
+                    least.append(np.full(len(s), fewest, np.int32))
+                if len(sig) >= 1024:
+                    yield [np.concatenate(sig).view(np.int64), *map(np.concatenate, (key, probe, band, least))]
+                    sig, key, probe, band, least = [], [], [], [], []
             if sig:
-                yield [np.concatenate(sig).view(np.int64), np.concatenate(key), np.concatenate(probe)]
+                yield [np.concatenate(sig).view(np.int64), *map(np.concatenate, (key, probe, band, least))]
 
-    schema = pa.schema([("sig", pa.int64()), ("key", pa.int64()), ("probe", pa.bool_())])
-    entries = base.where("text is not null").mapInArrow(_arrow(sign, schema), "sig long, key long, probe boolean")
+    schema = pa.schema([("sig", pa.int64()), ("key", pa.int64()), ("probe", pa.bool_()), ("band", pa.int32()), ("least", pa.int32())])
+    entries = base.where("text is not null").mapInArrow(_arrow(sign, schema), "sig long, key long, probe boolean, band int, least int")
     w = Window.partitionBy("sig")
     met = (
         entries.withColumns({"lo": F.min("key").over(w), "hi": F.max("key").over(w), "any": F.max("probe").over(w), "size": F.count("*").over(w)})
-        .where("lo < hi and any").select("sig", "key", "size")
+        .where("lo < hi").select("sig", "key", "size", "any", "band", "least")
     )
     met, met_path = staged(met, "buckets")
     met = met.distinct()
+    # a set that shares fewer signatures than any partner would have with it has none in that band
+    enough = met.groupBy("key", "band").agg(F.count("*").alias("shared"), F.max("least").alias("least")).where("shared >= least").select("key", "band")
+    met, enough_path = staged(met.where("any").join(enough, ["key", "band"], "left_semi").select("sig", "key", "size"), "shared")
 
     # 3. the most central member of each bucket leads it; one group per leader
     central = met.groupBy("key").agg(F.sum(F.log2("size")).alias("score"))
@@ -333,7 +345,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id")
     )
     out, _ = staged(out, "components")
-    drop_path(spark, both_path, met_path, groups_path, sets_path, tried_path, edges_path)
+    drop_path(spark, both_path, met_path, enough_path, groups_path, sets_path, tried_path, edges_path)
     return out
 
 

@@ -85,8 +85,12 @@ def test_no_pair_within_the_bound_is_missed(percent):
         seen = []
         for tokens in (a, b):
             entries = list(part.signatures(tokens, sketch))
-            seen.append({int(s): bool(p) for sig, flags in entries for s, p in zip(sig, np.broadcast_to(flags, len(sig)), strict=True)})
-        assert any(seen[0][s] or seen[1][s] for s in seen[0].keys() & seen[1].keys())
+            seen.append({int(s): (bool(p), band, least) for sig, flags, band, least in entries for s, p in zip(sig, flags, strict=True)})
+        common = seen[0].keys() & seen[1].keys()
+        assert any(seen[0][s][0] or seen[1][s][0] for s in common)
+        band = max(int(np.searchsorted(part.hi, len(x))) for x in (a, b))
+        here = [s for s in common if seen[0][s][1] == band]
+        assert len(here) >= max(seen[n][s][2] for n in (0, 1) for s in here)
 
 
 def test_components_of_a_long_chain(spark):
