@@ -32,6 +32,8 @@ from .common import U64, drop_path, mix, shingle_sets, staged
 
 #: Slots of the count sketch that prices signatures: 0.5 MB as longs.
 SKETCH_BITS = 16
+#: Entries of a sketch slot above which its signatures' buckets are dealt over several tasks, if the slot also holds so many times the mean.
+HOT, UNEVEN = 1_000_000, 16
 #: Up to this size sets are also indexed by their one-deletion neighbourhoods.
 SMALL = 48
 #: Rows and tokens of a block in the exact comparison within a group.
@@ -91,6 +93,16 @@ class Partition:
         m, _, _, _, sums = self.parts(tokens, band)
         return (self.name(sums, np.arange(m), band) >> U64(64 - SKETCH_BITS)).astype(np.int64)
 
+    def all_slots(self, tokens: np.ndarray) -> np.ndarray:
+        """Sketch slots of all entries that a set makes, in the order of ``signatures``."""
+        out = []
+        for band, _ in self.contexts(len(tokens)):
+            m, deletions, value, seg, sums = self.parts(tokens, band)
+            out.append(self.name(sums, np.arange(m), band))
+            if deletions:
+                out.append(self.name(sums[seg] - value, seg, band))
+        return (np.concatenate(out) >> U64(64 - SKETCH_BITS)).astype(np.int64)
+
     def least_equal(self, size: int, band: int) -> int:
         """Of a set's exact signatures in a band, so many at least are those of any one partner: all but the greatest difference."""
         m, deletions = segments_of(int(self.hi[band]), self.percent)
@@ -148,9 +160,9 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     part = Partition(percent)
 
-    # 1. every row's set size and digest, and the sketch of signatures (kind 1), in one pass over the texts
+    # 1. every row's set size and digest, the sketch of signatures (kind 1) and that of all entries (kind 2), in one pass over the texts
     def describe(batches):
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch, heat = np.zeros((2, 1 << SKETCH_BITS), np.int64)
         seen: set[int] = set()
         for b in batches:
             n, keys = [], []
@@ -163,23 +175,31 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
                         seen.clear()
                     seen.add(key[0])
                     np.add.at(sketch, part.priced(tokens), 1)
+                    np.add.at(heat, part.all_slots(tokens), 1)
             yield [np.zeros(len(n), np.int32), b.column(0), np.asarray(n, np.int64), [x for x, _ in keys], [y for _, y in keys]]
-        at = np.flatnonzero(sketch)
-        if len(at):
-            yield [np.ones(len(at), np.int32), at, sketch[at], np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)]
+        for kind, counts in ((1, sketch), (2, heat)):
+            if len(at := np.flatnonzero(counts)):
+                yield [np.full(len(at), kind, np.int32), at, counts[at], np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)]
 
     schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())])
     both, both_path = staged(base.mapInArrow(_arrow(describe, schema), "kind int, id long, n long, k1 long, k2 long"), "sets")
     meta = both.where("kind = 0")
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in both.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).toPandas().itertuples():  # at most 2**16 rows
-        sketch[r.id] = r.n
-    sketch_b = spark.sparkContext.broadcast(sketch)
+    sketch, heat = np.zeros((2, 1 << SKETCH_BITS), np.int64)
+    for r in both.where("kind > 0").groupBy("kind", "id").agg(F.sum("n").alias("n")).toPandas().itertuples():  # at most 2 * 2**16 rows
+        (sketch if r.kind == 1 else heat)[r.id] = r.n
+    spread = np.where(heat > max(HOT, UNEVEN * heat.mean()), heat // HOT + 1, 1)
+    sketch_b = spark.sparkContext.broadcast((sketch, spread))
     reps = meta.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"))
 
-    # 2. signatures; equal sets within a task sign once
+    # 2. signatures; equal sets within a task sign once, and entries of a hot slot are salted by their set
     def sign(batches):
-        table, seen = sketch_b.value, set()
+        (table, tasks), seen = sketch_b.value, set()
+
+        def made(sig, *rest):
+            sigs, rest = np.concatenate(sig), [np.concatenate(x) for x in rest]
+            over = tasks[(sigs >> U64(64 - SKETCH_BITS)).astype(np.int64)]
+            return [sigs.view(np.int64), *rest, np.where(over > 1, (mix(rest[0].view(U64)) % over.astype(U64)).astype(np.int32), -1)]
+
         for b in batches:
             sig, key, probe, band, least = [], [], [], [], []
             for tokens in shingle_sets(b.column(1), k):
@@ -196,19 +216,28 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
                     band.append(np.full(len(s), context, np.int32))
                     least.append(np.full(len(s), fewest, np.int32))
                 if len(sig) >= 1024:
-                    yield [np.concatenate(sig).view(np.int64), *map(np.concatenate, (key, probe, band, least))]
+                    yield made(sig, key, probe, band, least)
                     sig, key, probe, band, least = [], [], [], [], []
             if sig:
-                yield [np.concatenate(sig).view(np.int64), *map(np.concatenate, (key, probe, band, least))]
+                yield made(sig, key, probe, band, least)
 
-    schema = pa.schema([("sig", pa.int64()), ("key", pa.int64()), ("probe", pa.bool_()), ("band", pa.int32()), ("least", pa.int32())])
-    entries = base.where("text is not null").mapInArrow(_arrow(sign, schema), "sig long, key long, probe boolean, band int, least int")
-    w = Window.partitionBy("sig")
+    schema = pa.schema([("sig", pa.int64()), ("key", pa.int64()), ("probe", pa.bool_()), ("band", pa.int32()), ("least", pa.int32()), ("salt", pa.int32())])
+    entries = base.where("text is not null").mapInArrow(_arrow(sign, schema), "sig long, key long, probe boolean, band int, least int, salt int")
+    w = Window.partitionBy("sig", "salt")
     met = (
         entries.withColumns({"lo": F.min("key").over(w), "hi": F.max("key").over(w), "any": F.max("probe").over(w), "size": F.count("*").over(w)})
-        .where("lo < hi").select("sig", "key", "size", "any", "band", "least")
+        .where("lo < hi or salt >= 0").select("sig", "key", "size", "any", "band", "least", "salt", "lo", "hi")
     )
     met, met_path = staged(met, "buckets")
+    columns = ("sig", "key", "size", "any", "band", "least")
+    cold = met.where("salt < 0").select(*columns)
+    if (spread > 1).any():  # the parts of a salted bucket are summed up, few rows each, and the bucket rejoined as a join may split it
+        hot = met.where("salt >= 0")
+        summed = hot.groupBy("sig", "salt").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("any").alias("any"), F.max("size").alias("size"))
+        summed = summed.groupBy("sig").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("any").alias("any"), F.sum("size").alias("size")).where("lo < hi").select("sig", "any", "size")
+        met = cold.union(hot.select("sig", "key", "band", "least").join(summed, "sig").select(*columns))
+    else:
+        met = cold
     met = met.distinct()
     # a set that shares fewer signatures than any partner would have with it has none in that band
     enough = met.groupBy("key", "band").agg(F.count("*").alias("shared"), F.max("least").alias("least")).where("shared >= least").select("key", "band")

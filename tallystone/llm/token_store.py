@@ -108,7 +108,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, keeps_s
     """
     spark = docs.sparkSession
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.binary()), ("root", pa.binary()), ("digest", pa.binary()), ("ids", pa.binary())])
-    width = 2
+    width = 4 if end_id > 0xFFFF else hf_encoder(tokenizer, keeps_space).dtype.itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = hf_encoder(tokenizer, keeps_space), set()
@@ -117,7 +117,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, keeps_s
             for texts in text_chunks(b.column(1)):
                 rows: list[tuple] = []
                 for ids in encoder(texts):
-                    raw = np.append(ids, np.asarray([end_id], ids.dtype)).astype(f"<u{width}").tobytes()
+                    raw = np.append(ids.astype(f"<u{width}"), np.asarray([end_id], f"<u{width}")).tobytes()
                     last, digests = 0, []
                     for end in cuts(np.frombuffer(raw, f"<u{width}")):
                         part = raw[last * width : end * width]

@@ -52,6 +52,22 @@ def test_against_brute_force(docs, odd, k, percent):
     assert got(odd.limit(0), k, percent) == []
 
 
+@pytest.mark.parametrize("k", [4, 2])
+def test_hot_buckets_are_salted_and_lose_nothing(spark, docs, odd, monkeypatch, k):
+    monkeypatch.setattr(ngram_join, "HOT", 2)
+    monkeypatch.setattr(ngram_join, "UNEVEN", 1)
+    assert got(docs, k, 85) == brute(texts_of(docs), k, 85)
+    assert got(odd, k, 85) == brute(texts_of(odd), k, 85)
+
+
+def test_the_heat_of_all_entries_is_counted():
+    rng, part = np.random.default_rng(2), Partition(85)
+    for size in (1, 5, 47, 48, 49, 200):
+        tokens = np.unique(mix(rng.integers(0, 2**62, size).astype(U64)))
+        made = np.concatenate([sig for sig, *_ in part.signatures(tokens, np.zeros(1 << ngram_join.SKETCH_BITS, np.int64))])
+        assert (made >> U64(64 - ngram_join.SKETCH_BITS)).astype(np.int64).tolist() == part.all_slots(tokens).tolist()
+
+
 def test_large_near_groups_in_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 7)
     monkeypatch.setattr(ngram_join, "TOKENS", 500)
