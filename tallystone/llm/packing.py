@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import drop_path, hf_encoder, staged, text_chunks
 
-#: Parts into which the pieces of one length are dealt to be ranked.
-SALTS = 64
+#: Pieces of one length that a task ranks: a length is dealt into parts of about so many.
+RANKED = 1_000_000
 #: Units of text each generation of a worker's tokenizer cache holds: some 50 MB.
 UNITS = 250_000
 
@@ -144,20 +144,32 @@ def pack(cut: DataFrame, limit: int) -> DataFrame:
     in any order, each once. Null ids are ranked like others. No rows give no rows.
     """
     spark = cut.sparkSession
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(SALTS)).cast("int")
-    cut = cut.withColumn("salt", salt)
-    table = np.zeros((limit + 1, SALTS), np.int64)
-    for r in cut.groupBy("length", "salt").count().toPandas().itertuples():  # at most limit * SALTS rows
-        table[r.length, r.salt] = r[3]
-    before = spark.sparkContext.broadcast(np.cumsum(table, axis=1) - table)
-    places = spark.sparkContext.broadcast(Places(plan(table.sum(axis=1), limit)))
+    columns = cut.columns
+    counts = np.zeros(limit + 1, np.int64)
+    for r in cut.groupBy("length").count().toPandas().itertuples():  # at most limit rows
+        counts[r.length] = r[2]
+    salts = counts // RANKED + 1
+    hot = [(int(n), int(salts[n])) for n in np.flatnonzero(salts > 1)]
+    if hot:
+        cut = cut.join(F.broadcast(spark.createDataFrame(hot, "length long, salts long")), "length", "left")  # at most limit rows
+        cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.coalesce("salts", F.lit(1)))).drop("salts")
+    else:
+        cut = cut.withColumn("salt", F.lit(0).cast("long"))
+    first = np.cumsum(salts) - salts  # where a length's parts begin in a flat table
+    table = np.zeros(int(salts.sum()), np.int64)
+    if hot:
+        for r in cut.where(F.col("length").isin([n for n, _ in hot])).groupBy("length", "salt").count().toPandas().itertuples():  # a row for RANKED pieces
+            table[first[r.length] + r.salt] = r[3]
+    before = np.cumsum(table) - table
+    before -= np.repeat(before[first], salts)
+    shared = spark.sparkContext.broadcast((first, before, Places(plan(counts, limit))))
     ranked = cut.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start")) - 1)
-    columns = [c for c in cut.columns if c != "salt"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, before, places = shared.value
         for b in batches:
-            length, salts, rank = (np.asarray(b.column(c)) for c in ("length", "salt", "rank"))
-            seq, off = places.value.find(length, before.value[length, salts] + rank)
+            length, salt, rank = (np.asarray(b.column(c)) for c in ("length", "salt", "rank"))
+            seq, off = places.find(length, before[first[length] + salt] + rank)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in columns], pa.array(seq), pa.array(off)], names=[*columns, "sequence_id", "offset"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.select(*columns).schema) + ", sequence_id long, offset long"

@@ -125,10 +125,11 @@ def test_best_two():
     assert packing.best_two(np.bincount([4], minlength=9), 8, 0) is None
 
 
-@pytest.mark.parametrize("name", ["docs", "odd"])
-def test_packing(request, name):
+@pytest.mark.parametrize(("name", "ranked"), [("docs", 1_000_000), ("docs", 2), ("odd", 1)])
+def test_packing(request, monkeypatch, name, ranked):
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(packing, "RANKED", ranked)
     df = request.getfixturevalue(name)
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
