@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import drop_path, hf_encoder, staged, text_chunks
 
-#: Pieces of one length that a task ranks: a length is dealt into parts of about so many.
-RANKED = 1_000_000
+#: Parts into which the pieces of a length are dealt to be ranked: so many, and one more for each so many pieces.
+PARTS, RANKED = 64, 1_000_000
 #: Units of text each generation of a worker's tokenizer cache holds: some 50 MB.
 UNITS = 250_000
 
@@ -148,18 +148,17 @@ def pack(cut: DataFrame, limit: int) -> DataFrame:
     counts = np.zeros(limit + 1, np.int64)
     for r in cut.groupBy("length").count().toPandas().itertuples():  # at most limit rows
         counts[r.length] = r[2]
-    salts = counts // RANKED + 1
-    hot = [(int(n), int(salts[n])) for n in np.flatnonzero(salts > 1)]
-    if hot:
-        cut = cut.join(F.broadcast(spark.createDataFrame(hot, "length long, salts long")), "length", "left")  # at most limit rows
-        cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.coalesce("salts", F.lit(1)))).drop("salts")
-    else:
-        cut = cut.withColumn("salt", F.lit(0).cast("long"))
+    salts = counts // RANKED + PARTS
+    more = [(int(n), int(salts[n])) for n in np.flatnonzero(salts > PARTS)]
+    parts = F.lit(PARTS).cast("long")
+    if more:
+        cut = cut.join(F.broadcast(spark.createDataFrame(more, "length long, salts long")), "length", "left")  # at most limit rows
+        parts = F.coalesce("salts", parts)
+    cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), parts)).select(*columns, "salt")
     first = np.cumsum(salts) - salts  # where a length's parts begin in a flat table
     table = np.zeros(int(salts.sum()), np.int64)
-    if hot:
-        for r in cut.where(F.col("length").isin([n for n, _ in hot])).groupBy("length", "salt").count().toPandas().itertuples():  # a row for RANKED pieces
-            table[first[r.length] + r.salt] = r[3]
+    for r in cut.groupBy("length", "salt").count().toPandas().itertuples():  # at most limit * PARTS rows, and one for each RANKED pieces
+        table[first[r.length] + r.salt] = r[3]
     before = np.cumsum(table) - table
     before -= np.repeat(before[first], salts)
     shared = spark.sparkContext.broadcast((first, before, Places(plan(counts, limit))))

@@ -130,6 +130,7 @@ def test_packing(request, monkeypatch, name, ranked):
     from tokenizers import Tokenizer
 
     monkeypatch.setattr(packing, "RANKED", ranked)
+    monkeypatch.setattr(packing, "PARTS", 3)
     df = request.getfixturevalue(name)
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
