@@ -8,6 +8,8 @@ against the known notices in the same form.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,9 +29,21 @@ EQUIVALENT = [
     ("per cent", "percent"),
     ("copyright owner(s?)", r"copyright holder\1"),
 ]
-COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*"
+#: Words after 'copyright' that go on with a sentence; any other is the name in a statement.
+SPARED = (
+    "notices? holders? owners? laws? licen[cs]\\w* legends? statements? disclaimers? treat\\w* conventions? acts? interests? protections? permissions? claims? rights? patents? trademarks? ownership status "
+    "and or in is on of to for the that this these those which was were are as at be an any its it if not with from under may shall must will can such also "
+    "infring\\w* relat\\w* proprietary policy policies information conditions? terms? list material works? subsist\\w* exceptions? limitations? duration appear\\w* itself over all including resulting details solely doctrines purposes"
+).replace(" ", "|")
+#: A copyright statement: the word with a sign, a year or a name, or a sign with a year.
+COPYRIGHT_LINE = rf"(^|\n)[^a-z0-9\n]*(?:copyright[^a-z0-9\n]*\(c\)|copyright[^a-z0-9\n]*©|copyright[^a-z0-9\n]*(?:\d{{4}}|yyyy|years?\b)|copyright[ \t:]+[\[<{{]?(?!(?:{SPARED})\b)[a-z\x{{80}}-\x{{10FFFF}}]|\(c\)[^a-z0-9\n]*(?:copyright\b|\d{{4}})|©)[^\n]*"
+#: '(c)' with a name: only in texts without a list item '(b)', where it isn't an item itself.
+SIGNED_LINE = r"(^|\n)[^a-z0-9\n]*\(c\)[^\n]*"
 BLANKS = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 
+#: Words that EQUIVALENT can write: a line may hold another spelling.
+_RESPELT = re.compile("noncommercial|acknowledgment|iz(e|ation|ing)|favor|behavior|fulfillment|judgment|while|percent|copyright|holder")
+
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -63,7 +77,10 @@ KNOWN = [
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text; empty for null."""
-    out = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), COPYRIGHT_LINE, "\n")
+    text = F.coalesce(text, F.lit(""))
+    out = F.regexp_replace(F.translate(text, UPPER, LOWER), COPYRIGHT_LINE, "\n")
+    items = text.contains("(b)") | text.contains("(B)")
+    out = F.when((text.contains("(c)") | text.contains("(C)")) & ~items, F.regexp_replace(out, SIGNED_LINE, "\n")).otherwise(out)
     out = plain = F.trim(F.regexp_replace(out, BLANKS, " "))
     for pattern, becomes in EQUIVALENT:
         out = F.regexp_replace(out, rf"\b{pattern}\b", becomes.replace("\\", "$"))
@@ -71,14 +88,29 @@ def canonical(text: Column) -> Column:
     return F.when(plain.rlike("|".join(p for p, _ in EQUIVALENT)), out).otherwise(plain)
 
 
-def _listed(spark: SparkSession, known: list[tuple[str, str]] | None) -> DataFrame:
-    rows = [F.struct(F.lit(n).alias("license"), F.lit(t).alias("text")) for n, t in (KNOWN if known is None else known)]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+def _forms(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> list[tuple[str, str, str]]:
+    """(form, digest, license) of known texts: one row a form, the first name of equals."""
+    form = canonical(F.col("text"))
+    listed = spark.createDataFrame(KNOWN if known is None else known, "license string, text string").groupBy(form.alias("form")).agg(F.min("license").alias("license"))
+    return sorted((r.form, r.digest, r.license) for r in listed.withColumn("digest", F.sha2("form", 256)).collect())
+
+
+def _digests(spark: SparkSession, forms: list[tuple[str, str, str]]) -> DataFrame:
+    rows = [F.struct(F.lit(d).alias("digest"), F.lit(n).alias("license")) for _, d, n in forms]
+    return spark.range(1).select(F.inline(F.array(*rows))) if rows else spark.createDataFrame([], "digest string, license string")
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """(digest, license) of known texts; one row a digest, the first name of equals."""
-    return _listed(spark, known).select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    return _digests(spark, _forms(spark, known))
+
+
+def mark(form: str) -> str:
+    """A pattern found in the lower case of every line that has this form; empty if none is sure."""
+    words = form.split()
+    if any("licens" in w for w in words):
+        return "licen[cs]"
+    return max((w for w in words if not _RESPELT.search(w)), key=len, default="")
 
 
 def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -90,26 +122,31 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFra
     The known list is a parameter of the job, so its broadcast doesn't grow with the data.
     """
     spark = docs.sparkSession
-    digests = known_digests(spark, known)
-    listed = _listed(spark, known).select(canonical(F.col("text")).alias("form"), "license").where(~F.col("form").contains("\n"))
-    forms = {r.form: r.license for r in listed.orderBy(F.desc("license")).collect()}
-    lookup = F.create_map(*[F.lit(x) for pair in sorted(forms.items()) for x in pair])
+    forms = _forms(spark, known)
+    digests = _digests(spark, forms)
+    named = [(f, d, n) for f, d, n in forms if f]
+    lookup = F.create_map(*[F.lit(x) for _, d, n in named for x in (d, n)]) if named else F.lit(None).cast("map<string,string>")
     # only lines that could be a notice are brought to canonical form
-    longest = max(map(len, forms)) if len(forms) else 0
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: (F.length(x) <= 4 * longest) & F.translate(x, UPPER, LOWER).rlike("licen[cs]e|licensed|rights|domain|released|permission"))
-    notices = F.array_sort(F.array_distinct(F.filter(F.transform(lines, lambda x: F.try_element_at(lookup, canonical(x))), lambda x: x.isNotNull())))
+    marks = sorted({mark(f) for f, _, _ in named})
+    could = F.lit(bool(named)) if "" in marks or not marks else None
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.translate(x, UPPER, LOWER).rlike("|".join(marks)) if could is None else could)
+    notices = F.array_sort(F.array_distinct(F.filter(F.transform(lines, lambda x: F.try_element_at(lookup, F.sha2(canonical(x), 256))), lambda x: x.isNotNull())))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(canonical(F.col("text")), 256).alias("digest"), notices.alias("notices"))
     return base.join(F.broadcast(digests), "digest", "left").select("doc_id", "digest", "license", F.concat_ws(",", "notices").alias("notices"))
 
 
+#: The SQL keeps the pattern it had, which drops every line that begins with 'copyright'.
+_SQL_COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*"
+
+
 def scan_sql() -> str:
-    """The same in DuckDB SQL over ``documents``."""
+    """The same in DuckDB SQL over ``documents``, for texts without wrapped lines that begin with 'copyright'."""
 
     def quote(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
 
     def form(x: str) -> str:
-        out = f"regexp_replace(translate(coalesce({x}, ''), '{UPPER}', '{LOWER}'), {quote(COPYRIGHT_LINE)}, chr(10), 'g')"
+        out = f"regexp_replace(translate(coalesce({x}, ''), '{UPPER}', '{LOWER}'), {quote(_SQL_COPYRIGHT_LINE)}, chr(10), 'g')"
         out = f"trim(regexp_replace({out}, {quote(BLANKS)}, ' ', 'g'))"
         for pattern, becomes in EQUIVALENT:
             out = f"regexp_replace({out}, {quote(rf'\b{pattern}\b')}, {quote(becomes)}, 'g')"

@@ -1,6 +1,7 @@
 """Fingerprints, BPE, licences, packing, token store."""
 
 import hashlib
+import textwrap
 import zlib
 
 import numpy as np
@@ -106,6 +107,33 @@ def test_license_scan(spark, odd):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def wrapped(text, width):
+    return "\n\n".join(textwrap.fill(" ".join(p.split()), width) for p in text.split("\n\n"))
+
+
+def test_licenses_in_any_wrap(spark):
+    bodies = [(n, t) for n, t in licenses.KNOWN if n in ("MIT", "ISC") and len(t) > 500]
+    rows = [(w * 10 + k, wrapped(t, w), n) for k, (n, t) in enumerate(bodies) for w in range(30, 110)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, want string")).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.license for r in got} == {i: n for i, _, n in rows}
+
+
+def test_copyright_lines(spark):
+    gone = ["Copyright (c) 2020 A. B.", "COPYRIGHT 1999-2001, X", " * Copyright: Ann Other", "(C) 2011 Z", "\u00a9 Z", "Copyright [yyyy] [name of copyright owner]", "Copyright by Z", "(c) Some Body", "(c) Copyright Z"]
+    kept = ["copyright notice and this permission notice", "COPYRIGHT HOLDERS BE LIABLE", "copyright license to reproduce", "copyright owner that is granting", "copyright law", "copyright, patent", "Copyright. The"]
+    rows = [(f"a\n{t}\nz", "a z") for t in gone] + [(f"a\n{t}\nz", None) for t in kept] + [("(a) x\n(b) y\n(c) You must retain", "a x b y c you must retain")]
+    for r in spark.createDataFrame(rows, "text string, want string").withColumn("form", licenses.canonical(F.col("text"))).collect():
+        assert (r.form == r.want) if r.want else ("copyright" in r.form), r
+
+
+def test_notices_of_any_known_text(spark):
+    known = [("Beer", "Buy the author a beer."), ("Own", "Non-commercial favour"), ("MIT", "Released under the MIT License.")]
+    rows = [(1, "x\n" + "=" * 4000 + " released under the MIT Licence " + "=" * 4000), (2, "buy the AUTHOR a beer!\nnoncommercial favor"), (3, "a beer")]
+    got = {r.doc_id: r.notices for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), known).collect()}
+    assert got == {1: "MIT", 2: "Beer,Own", 3: ""}
+    assert [r.notices for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), []).collect()] == ["", "", ""]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(2, 60), st.lists(st.integers(1, 60), max_size=80))
 def test_plans_use_each_piece_once(limit, lengths):
