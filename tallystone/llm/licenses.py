@@ -8,11 +8,14 @@ against the known notices in the same form.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import license_table
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Spellings that mean the same in licences (fixed values): pattern of whole words, and what it becomes.
 EQUIVALENT = [
@@ -39,10 +42,16 @@ SPARED = (
 COPYRIGHT_LINE = rf"(^|\n)[^a-z0-9\n]*(?:copyright[^a-z0-9\n]*\(c\)|copyright[^a-z0-9\n]*©|copyright[^a-z0-9\n]*(?:\d{{4}}|yyyy|years?\b)|copyright[ \t:]+[\[<{{]?(?!(?:{SPARED})\b)[a-z\x{{80}}-\x{{10FFFF}}]|\(c\)[^a-z0-9\n]*(?:copyright\b|\d{{4}})|©)[^\n]*"
 #: '(c)' with a name: only in texts without a list item '(b)', where it isn't an item itself.
 SIGNED_LINE = r"(^|\n)[^a-z0-9\n]*\(c\)[^\n]*"
+#: Names in BSD licences, which their users put in, in the canonical form.
+NAMED = [
+    ("neither the names? of .{1,300}? nor the names of (?:its|their|the|any) contributors", "neither the name of the copyright holder nor the names of its contributors"),
+    ("this software is provided by .{1,300}? as is and any express", "this software is provided by the copyright holders and contributors as is and any express"),
+    ("in no event shall .{1,300}? be liable for any direct indirect", "in no event shall the copyright holder or contributors be liable for any direct indirect"),
+]
 BLANKS = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 
 #: Words that EQUIVALENT can write: a line may hold another spelling.
-_RESPELT = re.compile("noncommercial|acknowledgment|iz(e|ation|ing)|favor|behavior|fulfillment|judgment|while|percent|copyright|holder")
+_RESPELT = re.compile("noncommercial|acknowledgment|iz(e|ation|ing)|favor|behavior|fulfillment|judgment|while|percent|copyright|holder|contributors|^names?$|^its$")
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -52,8 +61,8 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 _ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
 
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
-#: Known licences and notices (fixed values), each a whole text.
-KNOWN = [
+#: Licences and notices of the SQL (fixed values), each a whole text.
+_SQL_KNOWN = [
     ("MIT", _MIT),
     ("MIT", "MIT License\n\n" + _MIT),
     ("MIT", "Released under the MIT License."),
@@ -73,6 +82,8 @@ KNOWN = [
     ("Public-Domain", "This work is in the public domain."),
     ("All-Rights-Reserved", "All rights reserved."),
 ]
+#: Known licences and notices, each a whole text: those above and the shipped table.
+KNOWN = _SQL_KNOWN + license_table.texts(_MIT, _ISC) + license_table.notices()
 
 
 def canonical(text: Column) -> Column:
@@ -84,8 +95,10 @@ def canonical(text: Column) -> Column:
     out = plain = F.trim(F.regexp_replace(out, BLANKS, " "))
     for pattern, becomes in EQUIVALENT:
         out = F.regexp_replace(out, rf"\b{pattern}\b", becomes.replace("\\", "$"))
+    for pattern, becomes in NAMED:
+        out = F.regexp_replace(out, rf"\b{pattern}\b", becomes)
     # one look at a text tells whether any spelling needs changing
-    return F.when(plain.rlike("|".join(p for p, _ in EQUIVALENT)), out).otherwise(plain)
+    return F.when(plain.rlike("|".join([*(p for p, _ in EQUIVALENT), "neither the name", "this software is provided", "in no event shall"])), out).otherwise(plain)
 
 
 def _forms(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> list[tuple[str, str, str]]:
@@ -95,9 +108,13 @@ def _forms(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> l
     return sorted((r.form, r.digest, r.license) for r in listed.withColumn("digest", F.sha2("form", 256)).collect())
 
 
+def _fixed(value: dict, kind: str) -> Column:
+    """A dictionary as one constant of the plan."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def _digests(spark: SparkSession, forms: list[tuple[str, str, str]]) -> DataFrame:
-    rows = [F.struct(F.lit(d).alias("digest"), F.lit(n).alias("license")) for _, d, n in forms]
-    return spark.range(1).select(F.inline(F.array(*rows))) if rows else spark.createDataFrame([], "digest string, license string")
+    return spark.range(1).select(F.explode(_fixed({d: n for _, d, n in forms}, "map<string,string>")).alias("digest", "license"))
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -125,12 +142,16 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFra
     forms = _forms(spark, known)
     digests = _digests(spark, forms)
     named = [(f, d, n) for f, d, n in forms if f]
-    lookup = F.create_map(*[F.lit(x) for _, d, n in named for x in (d, n)]) if named else F.lit(None).cast("map<string,string>")
+    by_start: dict[str, dict[str, str]] = {}
+    for _, d, n in named:
+        by_start.setdefault(d[:2], {})[d] = n
+    lookup = _fixed(by_start, "map<string,map<string,string>>")  # a map is searched from its beginning, so two short ones
     # only lines that could be a notice are brought to canonical form
     marks = sorted({mark(f) for f, _, _ in named})
     could = F.lit(bool(named)) if "" in marks or not marks else None
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.translate(x, UPPER, LOWER).rlike("|".join(marks)) if could is None else could)
-    notices = F.array_sort(F.array_distinct(F.filter(F.transform(lines, lambda x: F.try_element_at(lookup, F.sha2(canonical(x), 256))), lambda x: x.isNotNull())))
+    found = F.transform(F.transform(lines, lambda x: F.sha2(canonical(x), 256)), lambda d: F.try_element_at(F.try_element_at(lookup, F.substring(d, 1, 2)), d))
+    notices = F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(canonical(F.col("text")), 256).alias("digest"), notices.alias("notices"))
     return base.join(F.broadcast(digests), "digest", "left").select("doc_id", "digest", "license", F.concat_ws(",", "notices").alias("notices"))
 
@@ -140,7 +161,8 @@ _SQL_COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*"
 
 
 def scan_sql() -> str:
-    """The same in DuckDB SQL over ``documents``, for texts without wrapped lines that begin with 'copyright'."""
+    """The same in DuckDB SQL over ``documents``, for texts that need no more than its list: no shipped licence, no
+    wrapped line that begins with 'copyright', no name in a BSD licence."""
 
     def quote(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
@@ -152,7 +174,7 @@ def scan_sql() -> str:
             out = f"regexp_replace({out}, {quote(rf'\b{pattern}\b')}, {quote(becomes)}, 'g')"
         return out
 
-    rows = ", ".join(f"({quote(n)}, {quote(t)})" for n, t in KNOWN)
+    rows = ", ".join(f"({quote(n)}, {quote(t)})" for n, t in _SQL_KNOWN)
     return f"""
 WITH known AS (SELECT {form('t')} AS form, min(n) AS license FROM (VALUES {rows}) v(n, t) GROUP BY 1),
 base AS (SELECT row_number() OVER () AS k, doc_id, text, sha256({form('text')}) AS digest FROM documents),

@@ -118,6 +118,20 @@ def test_licenses_in_any_wrap(spark):
     assert len(got) == len(rows) and {r.doc_id: r.license for r in got} == {i: n for i, _, n in rows}
 
 
+def test_whole_licenses(spark):
+    folder = licenses.license_table.FOLDER
+    rows = [(n, "Copyright (c) 2020 A. B.\n\n" + t) for n, t in licenses.license_table.texts(licenses._MIT, licenses._ISC)]
+    rows += [(p.stem.split("@")[0], "\r\n".join(("  " + x).upper() for x in p.read_text().split("\n"))) for p in folder.glob("*.txt")]
+    bsd = (folder / "BSD-3-Clause.txt").read_text()
+    own = bsd.replace("the copyright holder nor", "Acme, Inc. nor").replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "ACME, INC.").replace("THE COPYRIGHT\nHOLDER OR CONTRIBUTORS", "ACME, INC.")
+    assert own.count("Acme") == 1 and own.count("ACME") == 2
+    rows += [("MIT", f"The MIT License (MIT)\n\nCopyright (c) 2014 Z\n\n{licenses._MIT}"), ("BSD-3-Clause", f"Copyright (c) 2009, Acme\nAll rights reserved.\n\n{own}"), (None, bsd.replace("without\nmodification", "with\nmodification"))]
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-SA-4.0"} <= {n for n, _ in rows}
+    got = licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()
+    wrong = [(rows[r.doc_id][0], r.license) for r in got if r.license != rows[r.doc_id][0]]
+    assert len(got) == len(rows) and not wrong, wrong
+
+
 def test_copyright_lines(spark):
     gone = ["Copyright (c) 2020 A. B.", "COPYRIGHT 1999-2001, X", " * Copyright: Ann Other", "(C) 2011 Z", "\u00a9 Z", "Copyright [yyyy] [name of copyright owner]", "Copyright by Z", "(c) Some Body", "(c) Copyright Z"]
     kept = ["copyright notice and this permission notice", "COPYRIGHT HOLDERS BE LIABLE", "copyright license to reproduce", "copyright owner that is granting", "copyright law", "copyright, patent", "Copyright. The"]
