@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import TYPE_CHECKING, Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import predicate as P
@@ -27,11 +27,11 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
-def score(column: Column, q: list[float], metric: str) -> Column:
+def score(column: Column, q: list[float] | Column, metric: str) -> Column:
     """cosine; euclidean (minus the distance); l2 (minus its square)."""
-    v = _array(q)
+    v = q if isinstance(q, Column) else _array(q)
     if metric == "cosine":
-        length = sum(float(x) ** 2 for x in q) ** 0.5
+        length = norm(q) if isinstance(q, Column) else sum(float(x) ** 2 for x in q) ** 0.5
         return dot(column, v) / (norm(column) * (length + TINY) + TINY)
     square = F.aggregate(F.zip_with(column, v, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x)
     if metric == "euclidean":
@@ -72,6 +72,20 @@ def search(df: DataFrame, column: str, query: list[float] | None = None, k: int
     return out.select(*(columns or [key]), "__score")
 
 
+def search_many(df: DataFrame, queries: DataFrame, column: str, key: str, k: int = 5, metric: str = "cosine", where: str | dict[str, Any] | None = None) -> DataFrame:
+    """(query_id, key, __score): for each row of ``queries`` the k rows of highest score, ties by id.
+
+    Every query meets every row; each task keeps its k best a query before they are brought together.
+    Null vectors take no part, and vectors of another length than a query's raise.
+    """
+    asks = queries.where(F.col(column).isNotNull()).select(F.col(key).alias("query_id"), F.col(column).alias("__query"))
+    pairs = filtered(df, where).where(F.col(column).isNotNull()).select(key, column).crossJoin(asks)
+    right = F.when(F.size(column) == F.size("__query"), F.col(column)).otherwise(F.raise_error(F.lit(f"dimension mismatch: {column}")).cast(df.schema[column].dataType))
+    scored = pairs.select("query_id", key, score(right, F.col("__query"), metric).alias("__score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("__score"), key)
+    return scored.withColumn("__place", F.row_number().over(best)).where(F.col("__place") <= max(1, k)).drop("__place")
+
+
 def build_index(table: Table, column: str = "embedding", dim: int | None = None, id_col: str | None = None, metric: str = "cosine") -> dict[str, Any]:
     """Store (id, vector, norm) of the table's current rows, so that searches needn't read the rest; vectors of another length than ``dim`` raise."""
     manifest = table.manifest()

@@ -140,18 +140,27 @@ def asof_read(spark, sf):
 
 @query("asof_pick", "SELECT e.event_id, max_by(o.o_orderkey, (o.o_orderdate, o.o_orderkey)) AS o_orderkey FROM (SELECT event_id, ts - INTERVAL 28 YEAR AS at FROM events WHERE event_id % 50 = 0) e JOIN (SELECT * FROM orders WHERE o_orderkey % 40 = 0) o ON o.o_orderdate <= e.at GROUP BY e.event_id")
 def asof_pick(spark, sf):
-    """The newest snapshot (here: order) not after each time: both sides in one order per bucket of days, the last one carried forward."""
-    events = read(spark, sf, "events").where("event_id % 50 = 0").select("event_id", (F.col("ts") - F.expr("INTERVAL '28' YEAR")).alias("at"))
-    orders = read(spark, sf, "orders").where("o_orderkey % 40 = 0").select("o_orderkey", F.col("o_orderdate").alias("at"))
-    month = lambda c: F.year(c) * 12 + F.month(c)
-    both = events.select("at", F.lit(1).alias("side"), "event_id", F.lit(None).cast("long").alias("o_orderkey")).union(orders.select("at", F.lit(0).alias("side"), F.lit(None).cast("long").alias("event_id"), "o_orderkey")).withColumn("month", month("at"))
-    inside = Window.partitionBy("month").orderBy("at", "side", "o_orderkey")
+    """The newest snapshot (here: order) not after each time, on a sample of both tables; ``asof_whole`` takes the whole ones."""
+    return _asof(read(spark, sf, "events").where("event_id % 50 = 0"), read(spark, sf, "orders").where("o_orderkey % 40 = 0"))
+
+
+@query("asof_whole", "SELECT e.event_id, o.o_orderkey FROM (SELECT event_id, ts - INTERVAL 28 YEAR AS at FROM events) e ASOF JOIN (SELECT o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY o_orderdate) o ON e.at >= o.o_orderdate")
+def asof_whole(spark, sf):
+    return _asof(read(spark, sf, "events"), read(spark, sf, "orders"))
+
+
+def _asof(events: DataFrame, orders: DataFrame) -> DataFrame:
+    """Both sides in one order per hour, the last one carried forward."""
+    events = events.select("event_id", (F.col("ts") - F.expr("INTERVAL '28' YEAR")).alias("at"))
+    orders = orders.select("o_orderkey", F.col("o_orderdate").alias("at"))
+    both = events.select("at", F.lit(1).alias("side"), "event_id", F.lit(None).cast("long").alias("o_orderkey")).union(orders.select("at", F.lit(0).alias("side"), F.lit(None).cast("long").alias("event_id"), "o_orderkey")).withColumn("hour", F.date_trunc("hour", "at"))
+    inside = Window.partitionBy("hour").orderBy("at", "side", "o_orderkey")
     near = both.withColumn("o_orderkey", F.last("o_orderkey", ignorenulls=True).over(inside)).where("side = 1")
-    # months without an earlier order in them take the last of an earlier month: one row a month
-    last = both.where("side = 0").groupBy("month").agg(F.max_by("o_orderkey", F.struct("at", "o_orderkey")).alias("carried"))
-    months = both.select("month").distinct().join(last, "month", "left")
-    carry = months.select("month", F.last("carried", ignorenulls=True).over(Window.orderBy("month").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
-    return near.join(carry, "month").select("event_id", F.coalesce("o_orderkey", "before").alias("o_orderkey")).where("o_orderkey IS NOT NULL")
+    # hours without an earlier order in them take the last of an earlier hour: one row an hour
+    last = both.where("side = 0").groupBy("hour").agg(F.max_by("o_orderkey", F.struct("at", "o_orderkey")).alias("carried"))
+    hours = both.select("hour").distinct().join(last, "hour", "left")
+    carry = hours.select("hour", F.last("carried", ignorenulls=True).over(Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    return near.join(carry, "hour").select("event_id", F.coalesce("o_orderkey", "before").alias("o_orderkey")).where("o_orderkey IS NOT NULL")
 
 
 # ---------------------------------------------------------------- statistics and plans
@@ -348,6 +357,15 @@ def advise_predicates(spark, sf):
     return usage.mined(log).select(F.col("column").alias("col"), F.col("eq").cast("long").alias("eq_n"), F.col("range").cast("long").alias("range_n"))
 
 
+@query("advise_predicates_whole", "SELECT 'o_orderstatus' AS col, count(*) FILTER (WHERE o_orderkey % 2 = 0) AS eq_n, 0::BIGINT AS range_n FROM orders UNION ALL SELECT 'o_totalprice', 0, count(*) FILTER (WHERE o_orderkey % 2 = 0) FROM orders UNION ALL SELECT 'o_custkey', 2 * count(*) FILTER (WHERE o_orderkey % 2 <> 0), 0 FROM orders UNION ALL SELECT 'o_orderdate', 0, count(*) FILTER (WHERE o_orderkey % 2 <> 0) FROM orders")
+def advise_predicates_whole(spark, sf):
+    """Two predicates of each kind for every row of orders."""
+    even = F.concat(F.lit("o_orderstatus = '"), "o_orderstatus", F.lit("' AND o_totalprice >= "), F.col("o_totalprice").cast("string"))
+    odd = F.concat(F.lit("o_custkey IN (1, "), F.col("o_custkey").cast("string"), F.lit(") AND o_orderdate BETWEEN '1995-01-01' AND '1996-01-01'"))
+    log = read(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 2 == 0, even).otherwise(odd).alias("where"))
+    return usage.mined(log).select(F.col("column").alias("col"), F.col("eq").cast("long").alias("eq_n"), F.col("range").cast("long").alias("range_n"))
+
+
 # ---------------------------------------------------------------- vectors
 
 _Q0 = "(SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)"
@@ -377,6 +395,39 @@ def vector_multi_metric(spark, sf):
     return vector.search(read(spark, sf, "embeddings"), "embedding", k=10, id_col="vec_id", metric="l2", where="label >= 5").select("vec_id", F.round("__score", 4).alias("score"))
 
 
+def _many_sql(score: str, places: int, where: str = "true", far: bool = False) -> str:
+    shown = f"round(0.0 - s, {places}) + 0.0" if far else f"round(s, {places})"
+    return f"SELECT query_id, vec_id, {shown} AS score FROM (SELECT q.vec_id AS query_id, e.vec_id, {score} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {score} {'' if far else 'DESC'}, e.vec_id) AS place FROM embeddings e, (SELECT vec_id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0) q WHERE {where}) WHERE place <= 10"
+
+
+_COSINE, _DISTANCE = "list_cosine_similarity(e.embedding::DOUBLE[], q.v::DOUBLE[])", "list_distance(e.embedding::DOUBLE[], q.v::DOUBLE[])"
+
+
+def _search_many(spark, sf, places=5, **options):
+    vectors = read(spark, sf, "embeddings")
+    return vector.search_many(vectors, vectors.where("vec_id % 20 = 0"), "embedding", "vec_id", k=10, **options).select("query_id", "vec_id", F.round("__score", places).alias("score"))
+
+
+@query("vector_cosine_many", _many_sql(_COSINE, 5))
+def vector_cosine_many(spark, sf):
+    return _search_many(spark, sf)
+
+
+@query("vector_l2_many", _many_sql(_DISTANCE, 5, far=True))
+def vector_l2_many(spark, sf):
+    return _search_many(spark, sf, metric="euclidean")
+
+
+@query("vector_filtered_many", _many_sql(_COSINE, 5, "e.label IN (1, 3)"))
+def vector_filtered_many(spark, sf):
+    return _search_many(spark, sf, where={"label": [1, 3]})
+
+
+@query("vector_multi_metric_many", _many_sql(f"power({_DISTANCE}, 2)", 4, "e.label >= 5", far=True))
+def vector_multi_metric_many(spark, sf):
+    return _search_many(spark, sf, places=4, metric="l2", where="label >= 5")
+
+
 # ---------------------------------------------------------------- encryption
 
 COST = {"n": 2**12, "r": 8, "p": 1}
