@@ -1,8 +1,8 @@
 """Main text of web pages: site templates found by their recurrence, and page furniture by its markup.
 
 Every block element's subtree is hashed (tag, attributes that name it, its texts and
-children). Spark counts each hash's distinct pages per host; subtrees that stand on at
-least half of a host's pages are its template and are deleted, together with menus,
+children). Spark counts each hash's distinct pages per host; subtrees that stand on many
+of a host's pages (or on half of a small host's) are its template and are deleted, together with menus,
 headers, footers, sidebars, notices, adverts, forms, comments and code, by tag, role
 and naming attributes. What is left of the article is the text.
 """
@@ -13,6 +13,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -20,9 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import drop_path, staged
 
-#: A template subtree stands on so many distinct pages of its host, and on this share of them.
-LEAST_PAGES, SHARE = 8, 0.5
-#: Up to so many (host, hash) pairs the templates are broadcast (16 bytes each); beyond, joined by host.
+#: A template subtree stands on so many distinct pages of its host, whatever the host's size; or, on a
+#: host with few pages, on so many at least and on this share of them.
+MANY_PAGES, LEAST_PAGES, SHARE = 8, 3, 0.5
+#: Up to so many (host, hash) pairs the templates are broadcast (8 bytes each); beyond, joined by page.
 BROADCAST_PAIRS = 1_000_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|[^<]+|<", re.S)
@@ -123,58 +125,66 @@ def squeeze(text: str) -> str:
     return " ".join(text.split())
 
 
-def hashes(node: Node, out: set[int]) -> int:
-    """The subtree's hash; those of block elements are added to ``out``."""
-    h = xxhash.xxh3_64(f"{node.tag}\n{squeeze(node.attributes)}".encode())
-    for part in node.parts:
-        if isinstance(part, str):
-            if text := squeeze(part):
-                h.update(b"\1" + text.encode("utf-8", "replace"))
+def hashes(root: Node) -> list[tuple[Node, int]]:
+    """Each node below and the root with its subtree's hash, children first."""
+    out: list[tuple[Node, int]] = []
+    start = lambda node: (node, iter(node.parts), xxhash.xxh3_64(f"{node.tag}\n{squeeze(node.attributes)}".encode()))
+    stack = [start(root)]
+    while stack:
+        node, parts, h = stack[-1]
+        for part in parts:
+            if isinstance(part, str):
+                if text := squeeze(part):
+                    h.update(b"\1" + text.encode("utf-8", "replace"))
+            else:
+                stack.append(start(part))
+                break
         else:
-            h.update(b"\2" + hashes(part, out).to_bytes(8, "little"))
-    value = h.intdigest()
-    if node.tag not in _INLINE and node.tag not in _VOID and node.tag not in _RAW and node.tag not in _KEEP and node.tag not in ("#", "head"):
-        out.add(value - (1 << 63))
-    return value
+            stack.pop()
+            value = h.intdigest()
+            if stack:
+                stack[-1][2].update(b"\2" + value.to_bytes(8, "little"))
+            out.append((node, value - (1 << 63)))
+    return out
+
+
+def _block(node: Node) -> bool:
+    tag = node.tag
+    return tag not in _INLINE and tag not in _VOID and tag not in _RAW and tag not in _KEEP and tag not in ("#", "head")
 
 
 def page_hashes(page: str) -> tuple[int, list[int]]:
     """The whole page's hash and those of its block subtrees."""
-    out: set[int] = set()
-    return hashes(parse(page), out) - (1 << 63), sorted(out)
+    found = hashes(parse(page))
+    return found[-1][1], sorted({value for node, value in found if _block(node)})
 
 
 def page_text(page: str, templates: frozenset[int]) -> str:
     """The article's blocks, each with single spaces, joined by empty lines."""
     root = parse(page)
-    dead: set[int] = set()
-    if templates:
+    dead = [node for node, value in hashes(root) if value in templates] if templates else []
+    return tree_text(root, dead)
 
-        def mark(node: Node) -> int:
-            h = xxhash.xxh3_64(f"{node.tag}\n{squeeze(node.attributes)}".encode())
-            for part in node.parts:
-                if isinstance(part, str):
-                    if text := squeeze(part):
-                        h.update(b"\1" + text.encode("utf-8", "replace"))
-                else:
-                    h.update(b"\2" + mark(part).to_bytes(8, "little"))
-            value = h.intdigest()
-            if value - (1 << 63) in templates and node.tag not in _KEEP and node.tag != "#":
-                dead.add(id(node))
-            return value
 
-        mark(root)
+def tree_text(root: Node, marked: list[Node]) -> str:
+    """The text of a parsed page without the marked nodes."""
+    dead = {id(node) for node in marked if node.tag not in _KEEP and node.tag != "#"}
 
     def gone(node: Node) -> bool:
         return id(node) in dead or furniture(node)
 
-    def find(node: Node, tag: str, out: list[Node]) -> None:
-        for part in node.parts:
-            if not isinstance(part, str) and not gone(part):
-                if part.tag == tag:
-                    out.append(part)
-                else:
-                    find(part, tag, out)
+    def find(root: Node, tag: str, out: list[Node]) -> None:
+        stack = [iter(root.parts)]
+        while stack:
+            for part in stack[-1]:
+                if not isinstance(part, str) and not gone(part):
+                    if part.tag == tag:
+                        out.append(part)
+                    else:
+                        stack.append(iter(part.parts))
+                        break
+            else:
+                stack.pop()
 
     tops: list[Node] = []
     for tag in ("article", "main"):
@@ -189,21 +199,27 @@ def page_text(page: str, templates: frozenset[int]) -> str:
             blocks.append(text)
         held.clear()
 
-    def walk(node: Node) -> None:
-        for part in node.parts:
-            if isinstance(part, str):
-                held.append(part)
-            elif part.tag == "br":
-                held.append(" ")
-            elif gone(part):
-                if part.tag not in _INLINE:
-                    flush()
-            elif part.tag in _INLINE:
-                walk(part)
+    def walk(top: Node) -> None:
+        stack = [(top, iter(top.parts))]
+        while stack:
+            node, parts = stack[-1]
+            for part in parts:
+                if isinstance(part, str):
+                    held.append(part)
+                elif part.tag == "br":
+                    held.append(" ")
+                elif gone(part):
+                    if part.tag not in _INLINE:
+                        flush()
+                else:
+                    if part.tag not in _INLINE:
+                        flush()
+                    stack.append((part, iter(part.parts)))
+                    break
             else:
-                flush()
-                walk(part)
-                flush()
+                stack.pop()
+                if stack and node.tag not in _INLINE:
+                    flush()
 
     for top in tops or [root]:
         walk(top)
@@ -219,33 +235,58 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\w+://([^/?#]*)", 1))
-    base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
+    html = F.coalesce("html", F.lit(""))
+    base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), host.alias("host"), F.xxhash64(host).alias("site"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [page_hashes(x) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.list_(pa.int64()))], names=["host", "page", "parts"])
-
-    seen, seen_path = staged(base.select("host", "html").mapInArrow(describe, "host string, page long, parts array<long>"), "subtrees")
-    distinct = seen.groupBy("host", "page").agg(F.first("parts").alias("parts"))
-    often = distinct.select("host", F.explode("parts").alias("part")).groupBy("host", "part").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
-    hosts = seen.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
-    # a host has at most (mean subtrees of a page) / SHARE templates, since each stands on that share of its pages
-    templates, templates_path = staged(often.join(hosts, "host").where(F.col("n") >= SHARE * F.col("pages")).groupBy("host").agg(F.sort_array(F.collect_list("part")).alias("templates")), "templates")
-    drop_path(spark, seen_path)
-    total = templates.agg(F.coalesce(F.sum(F.size("templates") + 1), F.lit(0))).first()[0]
-    side = F.broadcast(templates) if total <= BROADCAST_PAIRS else templates
-
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none, kept = frozenset(), {}
+            found = [page_hashes(x) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.list_(pa.int64()))], names=["site", "sum", "page", "parts"])
+
+    sums = base.select("site", F.md5("html").alias("sum"), "html")
+    seen, seen_path = staged(sums.mapInArrow(describe, "site long, sum string, page long, parts array<long>"), "subtrees")
+    distinct = seen.groupBy("site", "page").agg(F.first("parts").alias("parts"))
+    often = distinct.select("site", F.explode("parts").alias("part")).groupBy("site", "part").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    # hosts so small that a share of their pages is less than many
+    small = seen.select("site", "page").distinct().groupBy("site").agg(F.count("*").alias("pages")).where(SHARE * F.col("pages") < MANY_PAGES)
+    is_template = (F.col("n") >= MANY_PAGES) | F.coalesce(F.col("n") >= SHARE * F.col("pages"), F.lit(False))
+    templates, templates_path = staged(often.join(small, "site", "left").where(is_template).select("site", "part"), "templates")
+    names = ["page_id", "url", "text", "n_chars"]
+    schema = "page_id long, url string, text string, n_chars long"
+
+    def rows(b: pa.RecordBatch, out: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=names)
+
+    if templates.count() <= BROADCAST_PAIRS:
+        drop_path(spark, seen_path)
+        # a pair as one number: the part's hash, turned by the host's
+        keys = templates.select(F.col("site").bitwiseXOR(F.col("part")).alias("key")).toArrow().column(0).combine_chunks()
+        held = spark.sparkContext.broadcast(np.unique(np.asarray(keys, dtype=np.int64)))
+        drop_path(spark, templates_path)
+
+        def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = held.value
+            for b in batches:
+                out = []
+                for page, site in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                    root, marked = parse(page), []
+                    if len(known):
+                        found = hashes(root)
+                        mine = np.fromiter((v for _, v in found), np.int64, len(found)) ^ np.int64(site)
+                        at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+                        marked = [found[i][0] for i in np.flatnonzero(known[at] == mine).tolist()]
+                    out.append(tree_text(root, marked))
+                yield rows(b, out)
+
+        return base.select("page_id", "url", "html", "site").mapInArrow(texts, schema)
+
+    # each page's own templates: bounded by the page, however many its host has
+    hits = seen.dropDuplicates(["site", "sum"]).select("site", "sum", F.explode("parts").alias("part")).join(templates, ["site", "part"])
+    own, _ = staged(hits.groupBy("site", "sum").agg(F.collect_list("part").alias("templates")), "page-templates")
+    drop_path(spark, seen_path, templates_path)
+
+    def texts_of_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for page, h, known in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                if known and h not in kept:
-                    if len(kept) > 1000:
-                        kept.clear()
-                    kept[h] = frozenset(known)
-                out.append(page_text(page, kept[h] if known else none))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    return base.join(side, "host", "left").select("page_id", "url", "html", "host", "templates").mapInArrow(texts, "page_id long, url string, text string, n_chars long")
+            yield rows(b, [page_text(page, frozenset(own or ())) for page, own in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)])
+
+    return base.withColumn("sum", F.md5("html")).join(own, ["site", "sum"], "left").select("page_id", "url", "html", "templates").mapInArrow(texts_of_own, schema)

@@ -90,6 +90,25 @@ def test_templates_are_found_per_host(spark):
     assert templates.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("pairs", [1_000_000, 0])
+def test_templates_of_small_and_large_hosts(spark, monkeypatch, pairs):
+    monkeypatch.setattr(templates, "BROADCAST_PAIRS", pairs)
+    page = "<article><div>{}</div><p>text {} of {}</p></article>"
+    rows = [(i, f"http://small.example/{i}", page.format("Read more here", i, "small")) for i in range(3)]
+    rows += [(1000 + i, f"http://large.example/{i}", page.format("Section banner" if i % 5 == 0 else f"own {i}", i, "large")) for i in range(2000)]
+    rows += [(10 + i, f"http://pair.example/{i}", page.format("Twice", i, "pair")) for i in range(2)]
+    got = {r.page_id: r.text for r in templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows) and [got[i] for i in range(3)] == [f"text {i} of small" for i in range(3)]
+    assert all(got[1000 + i] == (f"text {i} of large" if i % 5 == 0 else f"own {i}\n\ntext {i} of large") for i in range(2000))
+    assert got[10].startswith("Twice")
+
+
+def test_deep_pages(spark):
+    deep = "<div>" * 20000 + "end"
+    assert templates.page_text(deep, frozenset([1])) == "end" and len(templates.page_hashes(deep)[1]) == 20000
+    assert templates.extract(spark.createDataFrame([(1, "http://d.example", deep)], "page_id long, url string, html string")).first().text == "end"
+
+
 def test_pages(spark, sf):
     import html
     import re
