@@ -185,6 +185,8 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
             if step:
                 has = size == step
                 short[has] = mix(full[first[:-1][has]] + U64(step))
+            if step >= m:
+                continue  # no k-word shingle in this chunk; short texts still get theirs
             full[: m - step] = mix(full[: m - step] * U64(0xC2B2AE3D27D4EB4F) + h[step:])
         for d in range(j - i):
             if size[d] >= k:

@@ -3,10 +3,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallystone.llm import ngram_join
-from tallystone.llm.common import U64, mix
+from tallystone.llm.common import U64, mix, shingle_sets
 from tallystone.llm.ngram_join import Partition, components, ngram_components
 
 from .conftest import texts_of
@@ -113,3 +114,22 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100, 160)] + [(3, 900), (900, 7)], "a long, b long")
     labels = {r.node: r.label for r in components(edges).collect()}
     assert labels == {**{i: 100 for i in range(100, 161)}, 3: 3, 900: 3, 7: 3}
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 4, 5, 9])
+def test_chunks_of_few_words(k):
+    """A chunk of any number of words gives each text the set it has among longer ones."""
+    long = " ".join(f"w{i}" for i in range(60_000))
+    texts = [" ".join("abcdefgh"[:n]) for n in range(9)]
+    want = list(shingle_sets(pa.array([*texts, "some longer text of more than nine words in all"]), k))
+    for t, w in zip(texts, want, strict=False):
+        assert [a.tolist() for a in shingle_sets(pa.array([t]), k)] == [w.tolist()]
+        assert list(shingle_sets(pa.array([long, t, long]), k))[1].tolist() == w.tolist()
+        assert [a.tolist() for a in shingle_sets(pa.array([t, "", t]), k)] == [w.tolist(), [], w.tolist()]
+
+
+@pytest.mark.parametrize("words", ["one", "one two", "one two three"])
+def test_a_short_document_alone(spark, words):
+    df = spark.createDataFrame([(1, words)], "doc_id long, text string").coalesce(1)
+    for k in (4, 5):
+        assert [tuple(r)[:2] for r in ngram_components(df, k=k, percent=85).select("doc_id", "n_shingles").collect()] == [(1, 1)]
