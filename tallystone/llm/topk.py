@@ -67,6 +67,31 @@ def rotation(vectors: DataFrame, dim: int) -> np.ndarray:
     return np.linalg.eigh(out.reshape(dim, dim))[1][:, ::-1].copy()
 
 
+#: Below it, every partial sum of float64 products is an exact integer.
+EXACT = float(1 << 52)
+
+
+def _products(a: np.ndarray, b: np.ndarray, a_norm: np.ndarray, b_norm: np.ndarray) -> np.ndarray:
+    """Inner products of all rows of two integer matrices, exact as int64; norms are under 2**31."""
+    out = (a @ b.T).astype(np.int64)
+    hard = np.flatnonzero(a_norm * b_norm.max(initial=0.0) >= EXACT)
+    if len(hard):
+        out[hard] = a[hard].astype(np.int64) @ b.astype(np.int64).T
+    return out
+
+
+def _pair_products(a: np.ndarray, b: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """The same of each row of one with its row of the other; ``norms`` are the products of their norms."""
+    out = np.einsum("ij,ij->i", a, b).astype(np.int64)
+    hard = np.flatnonzero(norms >= EXACT)
+    if len(hard):
+        out[hard] = np.einsum("ij,ij->i", a[hard].astype(np.int64), b[hard].astype(np.int64))
+    return out
+
+
+_NONE = np.iinfo(np.int64).min
+
+
 def _best(q: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of each query's k best pairs: by score descending, then id."""
     order = np.lexsort((ids, -score, q))
@@ -83,8 +108,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
     ``vectors`` are (vec_id, v array<long>, norm) as of ``integer_vectors``; ``queries`` says which
     rows ask. Ties go to the smaller vec_id; with fewer than k rows all are returned. Repeated rows
     each count as candidates; of several query rows with one id the smallest vector asks. Shorter
-    vectors count as zero beyond their end. Empty tables give no rows. Components stay under 2**31
-    and sums under 2**53, where float64 products are exact.
+    vectors count as zero beyond their end. Empty tables give no rows. Norms stay under 2**31, so
+    scores fit int64; they are computed in float64 where that is exact, else in int64.
     """
     spark = vectors.sparkSession
     data, path = staged(vectors.select("vec_id", "v", "norm"), "vectors")
@@ -108,15 +133,15 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
     seed_ids, seed_v = seeds["vec_id"].to_numpy(), np.zeros((len(seeds), dim))
     for i, v in enumerate(seeds["v"]):
         seed_v[i, : len(v)] = v
-    held = spark.sparkContext.broadcast((seed_ids, seed_v))
+    held = spark.sparkContext.broadcast((seed_ids, seed_v, np.sqrt((seed_v**2).sum(axis=1))))
 
     def first_bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, m = held.value
+        ids, m, lengths = held.value
         for b in batches:
-            mine = np.asarray(b.column(0))
-            least, at = np.full(len(mine), -np.inf), np.full(len(mine), np.iinfo(np.int64).max)
+            mine, norm = np.asarray(b.column(0)), np.asarray(b.column(2))
+            least, at = np.full(len(mine), _NONE), np.full(len(mine), np.iinfo(np.int64).max)
             for i in range(0, len(mine), STEP):
-                s = _matrix(b.column(1).slice(i, STEP), dim) @ m.T
+                s = _products(_matrix(b.column(1).slice(i, STEP), dim), m, norm[i : i + STEP], lengths)
                 own = mine[i : i + STEP, None] == ids[None, :]
                 q, c = np.nonzero(~own)
                 take = _best(q, s[q, c], ids[c], k)
@@ -126,8 +151,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
                 least[i + full], at[i + full] = s[q, c][take][last[full]], ids[c][take][last[full]]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(least), pa.array(at)], names=["vec_id", "v", "norm", "least", "least_id"])
 
-    asks = data.where(queries).groupBy("vec_id").agg(F.min("v").alias("v"), F.first("norm").alias("norm"))
-    asks, asks_path = staged(asks.select("vec_id", "v", "norm").mapInArrow(first_bounds, "vec_id long, v array<long>, norm double, least double, least_id long"), "queries")
+    asks = data.where(queries).groupBy("vec_id").agg(F.min(F.struct("v", "norm")).alias("ask"))
+    asks, asks_path = staged(asks.select("vec_id", "ask.v", "ask.norm").mapInArrow(first_bounds, "vec_id long, v array<long>, norm double, least long, least_id long"), "queries")
     n_asks = asks.count()
     groups = max(1, math.ceil(n_asks / QUERIES))
     reach = F.col("norm") * F.col("longest") * (1 + 1e-9) + 1e-6
@@ -138,7 +163,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
         .select("g", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), zero.alias("order"), "vec_id", "v", "norm", "least", "least_id")
     )
     cands = data.join(F.broadcast(blocks), "band").select(
-        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "band", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), (-F.col("norm")).alias("order"), "vec_id", "v", "norm", zero.alias("least"), F.lit(0).cast("long").alias("least_id")
+        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "band", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), (-F.col("norm")).alias("order"), "vec_id", "v", "norm", F.lit(0).cast("long").alias("least"), F.lit(0).cast("long").alias("least_id")
     )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +172,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
         def found(state):
             if state is None or not len(state["q"]):
                 return None
-            return [state["ids"][state["q"]], state["c"], state["s"].astype(np.int64)]
+            return [state["ids"][state["q"]], state["c"], state["s"]]
 
         for b in batches:
             keys = np.stack([np.asarray(b.column(i)).astype(np.int64) for i in range(4)])
@@ -164,7 +189,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
                     if state is not None:  # the queries went on into another batch
                         new = {x: np.concatenate((state[x], y)) for x, y in new.items()}
                     turned = new["m"] @ rot
-                    state = new | {"turned": turned, "tail": np.sqrt((turned[:, lead:] ** 2).sum(axis=1)), "q": np.zeros(0, np.int64), "c": np.zeros(0, np.int64), "s": np.zeros(0)}
+                    state = new | {"turned": turned, "tail": np.sqrt((turned[:, lead:] ** 2).sum(axis=1)), "q": np.zeros(0, np.int64), "c": np.zeros(0, np.int64), "s": np.zeros(0, np.int64)}
                 elif state is not None:
                     for i in range(0, z - a, STEP):
                         if not _step(state, ids[i : i + STEP], m[i : i + STEP], norm[i : i + STEP], rot):
@@ -188,7 +213,10 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
         slack = 1e-6 + 1e-9 * np.outer(s["norm"][live], norm)
         q, c = np.nonzero((bound + slack >= s["least"][live, None]) & (s["ids"][live, None] != ids[None, :]))
         q = live[q]
-        score = (s["m"][live] @ m.T)[np.searchsorted(live, q), c] if len(q) * 4 > len(live) * len(ids) else np.einsum("ij,ij->i", s["m"][q], m[c])
+        if len(q) * 4 > len(live) * len(ids):
+            score = _products(s["m"][live], m, s["norm"][live], norm)[np.searchsorted(live, q), c]
+        else:
+            score = _pair_products(s["m"][q], m[c], s["norm"][q] * norm[c])
         good = (score > s["least"][q]) | ((score == s["least"][q]) & (ids[c] <= s["least_id"][q]))
         q, c, score = np.concatenate((s["q"], q[good])), np.concatenate((s["c"], ids[c[good]])), np.concatenate((s["s"], score[good]))
         take = _best(q, score, c, k)

@@ -165,3 +165,26 @@ def test_pipeline(spark, sf, docs, odd, labels):
     assert good.join(kept, "doc_id", "left_anti").count() <= 0.02 * good.count()
     once = C.near_duplicates(spark, docs, sf)
     assert C.near_duplicates(spark, once, sf).count() == once.count() < docs.count()
+
+
+def test_top_k_of_long_vectors_is_exact(spark):
+    """Scores beyond 2**53 that differ by less than float64 tells, next to short vectors."""
+    rng = np.random.default_rng(1)
+    far = [(i, [2**30 + int(x) for x in rng.integers(-40, 40, 2)]) for i in range(60)]
+    near = [(100 + i, [int(x) for x in rng.integers(-99, 99, 2)]) for i in range(60)]
+    rows = [(i, v, float(np.sqrt(sum(x * x for x in v)))) for i, v in far + near]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, v array<long>, norm double"), F.lit(True), k=5).collect()
+    want = []
+    for i, v, _ in rows:
+        best = sorted(((sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w, _ in rows if j != i), key=lambda x: (-x[0], x[1]))[:5]
+        want += [(i, n + 1, j, s) for n, (s, j) in enumerate(best)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_a_query_id_with_two_vectors(spark):
+    """The norm belongs to the vector that asks, whichever row comes first."""
+    rows = [(1, [1, 0]), (1, [0, 1000]), *((10 + i, [0, 50 + i]) for i in range(30)), *((50 + i, [60 + i, 0]) for i in range(30))]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame([(i, v, float(np.hypot(*v))) for i, v in order], "vec_id long, v array<long>, norm double").coalesce(1)
+        got = topk.top_k(df, F.col("vec_id") == 1, k=3).orderBy("rank").collect()
+        assert [(r.vec_id, r.score) for r in got] == [(39, 79000), (38, 78000), (37, 77000)]
