@@ -30,9 +30,9 @@ from pyspark.sql import Window
 
 from .common import U64, drop_path, mix, shingle_sets, staged
 
-#: Slots of the count sketch that prices signatures: 0.5 MB as longs.
-SKETCH_BITS = 16
-#: Entries of a sketch slot above which its signatures' buckets are dealt over several tasks, if the slot also holds so many times the mean.
+#: Slots of the count sketch of all entries, which prices signatures: 8 MB as longs. Tasks write it in pages of so many slots.
+SKETCH_BITS, PAGE = 20, 4096
+#: Entries of a sketch slot, beyond the median slot's and so many of its standard deviations, above which the slot's buckets are dealt over several tasks.
 HOT, UNEVEN = 1_000_000, 16
 #: Up to this size sets are also indexed by their one-deletion neighbourhoods.
 SMALL = 48
@@ -87,12 +87,6 @@ class Partition:
     def name(sums: np.ndarray, seg: np.ndarray, band: int) -> np.ndarray:
         return mix(sums ^ mix(seg.astype(U64) * U64(0x2545F4914F6CDD1D) + U64(band + 7)))
 
-    def priced(self, tokens: np.ndarray) -> np.ndarray:
-        """Sketch slots of a set's exact signatures in its own band."""
-        band = int(np.searchsorted(self.hi, len(tokens)))
-        m, _, _, _, sums = self.parts(tokens, band)
-        return (self.name(sums, np.arange(m), band) >> U64(64 - SKETCH_BITS)).astype(np.int64)
-
     def all_slots(self, tokens: np.ndarray) -> np.ndarray:
         """Sketch slots of all entries that a set makes, in the order of ``signatures``."""
         out = []
@@ -147,6 +141,23 @@ def set_keys(tokens: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)[0]), int(b.view(np.int64)[0])
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """A page of counts in the fewest bytes a count that hold its greatest."""
+    top = int(counts.max())
+    return counts.astype(f"<u{next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)}").tobytes()
+
+
+def added(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """The sums of the pages of one number, each once."""
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for page, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if page not in sums:
+                sums[page] = np.zeros(PAGE, np.int64)
+            sums[page] += np.frombuffer(raw, f"<u{len(raw) // PAGE}").astype(np.int64)
+    yield [list(sums), [c.tobytes() for c in sums.values()]]
+
+
 def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``id_col``, n_shingles, component_id.
 
@@ -160,9 +171,9 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     part = Partition(percent)
 
-    # 1. every row's set size and digest, the sketch of signatures (kind 1) and that of all entries (kind 2), in one pass over the texts
+    # 1. every row's set size and digest, and the sketch of all entries, in one pass over the texts
     def describe(batches):
-        sketch, heat = np.zeros((2, 1 << SKETCH_BITS), np.int64)
+        heat = np.zeros(1 << SKETCH_BITS, np.int64)
         seen: set[int] = set()
         for b in batches:
             n, keys = [], []
@@ -174,21 +185,24 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
                     if len(seen) > 200_000:
                         seen.clear()
                     seen.add(key[0])
-                    np.add.at(sketch, part.priced(tokens), 1)
                     np.add.at(heat, part.all_slots(tokens), 1)
-            yield [np.zeros(len(n), np.int32), b.column(0), np.asarray(n, np.int64), [x for x, _ in keys], [y for _, y in keys]]
-        for kind, counts in ((1, sketch), (2, heat)):
-            if len(at := np.flatnonzero(counts)):
-                yield [np.full(len(at), kind, np.int32), at, counts[at], np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)]
-
-    schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())])
-    both, both_path = staged(base.mapInArrow(_arrow(describe, schema), "kind int, id long, n long, k1 long, k2 long"), "sets")
-    meta = both.where("kind = 0")
-    sketch, heat = np.zeros((2, 1 << SKETCH_BITS), np.int64)
-    for r in both.where("kind > 0").groupBy("kind", "id").agg(F.sum("n").alias("n")).toPandas().itertuples():  # at most 2 * 2**16 rows
-        (sketch if r.kind == 1 else heat)[r.id] = r.n
-    spread = np.where(heat > max(HOT, UNEVEN * heat.mean()), heat // HOT + 1, 1)
-    sketch_b = spark.sparkContext.broadcast((sketch, spread))
+            yield [[None] * len(n), b.column(0), np.asarray(n, np.int64), [x for x, _ in keys], [y for _, y in keys], [None] * len(n)]
+        pages = heat.reshape(-1, PAGE)
+        used = np.flatnonzero(pages.any(axis=1)).tolist()
+        nothing = [None] * len(used)
+        yield [used, nothing, nothing, nothing, nothing, [packed(pages[p]) for p in used]]
+
+    schema = pa.schema([("page", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("counts", pa.binary())])
+    both, both_path = staged(base.mapInArrow(_arrow(describe, schema), "page int, id long, n long, k1 long, k2 long, counts binary"), "sets")
+    meta = both.where("page is null").select("id", "n", "k1", "k2")
+    pages = both.where("page is not null").select("page", "counts").repartition("page").mapInArrow(_arrow(added, pa.schema([("page", pa.int32()), ("counts", pa.binary())])), "page int, counts binary")
+    heat = np.zeros(1 << SKETCH_BITS, np.int64)
+    for r in pages.collect():  # one row a page, 8 MB at most
+        heat[r.page * PAGE : (r.page + 1) * PAGE] = np.frombuffer(r.counts, np.int64)
+    usual = float(np.median(heat))
+    beyond = heat - usual - UNEVEN * np.sqrt(usual)
+    spread = np.where(beyond > HOT, beyond // HOT + 1, 1).astype(np.int32)
+    sketch_b = spark.sparkContext.broadcast((heat, spread))
     reps = meta.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"))
 
     # 2. signatures; equal sets within a task sign once, and entries of a hot slot are salted by their set
