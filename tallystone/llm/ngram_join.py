@@ -240,7 +240,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     w = Window.partitionBy("sig", "salt")
     met = (
         entries.withColumns({"lo": F.min("key").over(w), "hi": F.max("key").over(w), "any": F.max("probe").over(w), "size": F.count("*").over(w)})
-        .where("lo < hi or salt >= 0").select("sig", "key", "size", "any", "band", "least", "salt", "lo", "hi")
+        .where("lo < hi or salt >= 0").select("sig", "key", "size", "any", "band", "least", "salt", "lo", "hi").distinct()
     )
     met, met_path = staged(met, "buckets")
     columns = ("sig", "key", "size", "any", "band", "least")
@@ -252,16 +252,14 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         met = cold.union(hot.select("sig", "key", "band", "least").join(summed, "sig").select(*columns))
     else:
         met = cold
-    met = met.distinct()
-    # a set that shares fewer signatures than any partner would have with it has none in that band
-    enough = met.groupBy("key", "band").agg(F.count("*").alias("shared"), F.max("least").alias("least")).where("shared >= least").select("key", "band")
-    met, enough_path = staged(met.where("any").join(enough, ["key", "band"], "left_semi").select("sig", "key", "size"), "shared")
+    # a set that shares fewer signatures than any partner would have with it has none in that band; one deal of the sets serves both windows
+    of_band = Window.partitionBy("key", "band")
+    shared = met.repartition("key").withColumns({"shared": F.count("*").over(of_band), "fewest": F.max("least").over(of_band)}).where("any and shared >= fewest")
+    scored, scored_path = staged(shared.select("sig", "key", F.sum(F.log2("size")).over(Window.partitionBy("key")).alias("score")), "shared")
 
-    # 3. the most central member of each bucket leads it; one group per leader
-    central = met.groupBy("key").agg(F.sum(F.log2("size")).alias("score"))
-    scored = met.join(central, "key")
-    leaders = scored.groupBy("sig").agg(F.max(F.struct("score", "key")).alias("top")).select("sig", F.col("top.key").alias("leader"))
-    groups, groups_path = staged(met.join(leaders, "sig").select("leader", "key").where("leader <> key").distinct(), "groups")
+    # 3. the most central member of each bucket leads it; one group per leader. Leaders are staged, so that the join may split a large bucket.
+    leaders, leaders_path = staged(scored.groupBy("sig").agg(F.max(F.struct("score", "key")).alias("top")).select("sig", F.col("top.key").alias("leader")), "leaders")
+    groups, groups_path = staged(scored.select("sig", "key").join(leaders, "sig").select("leader", "key").where("leader <> key").distinct(), "groups")
 
     # 4. the sets of the candidates only, by their representative rows
     wanted = groups.select("key").union(groups.select("leader")).distinct()
@@ -388,7 +386,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id")
     )
     out, _ = staged(out, "components")
-    drop_path(spark, both_path, met_path, enough_path, groups_path, sets_path, tried_path, edges_path)
+    drop_path(spark, both_path, met_path, scored_path, leaders_path, groups_path, sets_path, tried_path, edges_path)
     return out
 
 
