@@ -67,6 +67,29 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+#: Words of 64 bits in a membership bitmap, which is broadcast: 262,144 rows at most.
+BITMAP_WORDS = 1 << 18
+
+
+def _place(column: Column) -> tuple[Column, Column]:
+    h = F.xxhash64(column.cast("long"))
+    return F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(BITMAP_WORDS - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def maybe_among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """``df`` with a column ``maybe``: true where ``column`` is one of ``ids`` (its one column), and by chance elsewhere.
+
+    It spares a join the rows that have no partner in a small set of ids. The bitmap has a fixed
+    size; the more ids, the more rows are marked by chance, up to all of them.
+    """
+    word, bit = _place(ids[ids.columns[0]])
+    bitmap = ids.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    word, bit = _place(F.col(column))
+    return df.withColumns({"_at": word, "_bit": bit}).join(F.broadcast(bitmap), F.col("_at") == F.col("_word"), "left").withColumn(
+        "maybe", F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))
+    ).drop("_at", "_bit", "_word", "_bits")
+
+
 #: Most ranges that a table is cut into; so many numbers reach the driver at most.
 MOST_RANGES, _FAN = 16_384, 128
 

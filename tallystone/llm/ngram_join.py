@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import U64, drop_path, mix, shingle_sets, staged
+from .common import U64, drop_path, maybe_among, mix, shingle_sets, staged
 
 #: Slots of the count sketch of all entries, which prices signatures: 8 MB as longs. Tasks write it in pages of so many slots.
 SKETCH_BITS, PAGE = 20, 4096
@@ -263,7 +263,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     # 4. the sets of the candidates only, by their representative rows
     wanted = groups.select("key").union(groups.select("leader")).distinct()
-    needed = reps.join(wanted, reps.k1 == wanted.key, "left_semi").select("rep", "k1", "k2")
+    needed, needed_path = staged(reps.join(wanted, reps.k1 == wanted.key, "left_semi").select("rep", "k1", "k2"), "needed")
 
     def tokens_of(batches):
         for b in batches:
@@ -275,7 +275,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     schema = pa.schema([("rep", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("tokens", pa.binary())])
     sets, sets_path = staged(
-        base.join(needed, base.id == needed.rep).select("rep", "text", "k1", "k2").mapInArrow(_arrow(tokens_of, schema), "rep long, k1 long, k2 long, tokens binary"), "candidates"
+        maybe_among(base, "id", needed.select("rep")).where("maybe").join(needed, F.col("id") == needed.rep).select("rep", "text", "k1", "k2").mapInArrow(_arrow(tokens_of, schema), "rep long, k1 long, k2 long, tokens binary"), "candidates"
     )
 
     # 5. members against their leader; a group is dealt over as many tasks as it has blocks
@@ -379,14 +379,14 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     edges = tried.where("linked is not null").select(F.col("rep").alias("a"), F.col("linked").alias("b")).union(more).where("a <> b").distinct()
     edges, edges_path = staged(edges, "links")
 
-    # 7. components, then back to all rows
+    # 7. components, then back to all rows; classes are staged, so that the join may split a class of many copies
     labels = components(edges)
-    classes = reps.join(labels, reps.rep == labels.node, "left").select("k1", "k2", F.coalesce("label", "rep").alias("component_id"))
+    classes, classes_path = staged(reps.join(labels, reps.rep == labels.node, "left").select("k1", "k2", F.coalesce("label", "rep").alias("component_id")), "classes")
     out = meta.join(classes, ["k1", "k2"], "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id")
     )
     out, _ = staged(out, "components")
-    drop_path(spark, both_path, met_path, scored_path, leaders_path, groups_path, sets_path, tried_path, edges_path)
+    drop_path(spark, both_path, met_path, scored_path, leaders_path, groups_path, needed_path, sets_path, tried_path, edges_path, classes_path)
     return out
 
 
