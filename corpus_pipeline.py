@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystone.llm import langid, packing, quality
-from tallystone.llm.common import read_table, staged
+from tallystone.llm.common import maybe_among, read_table, staged
 from tallystone.llm.ngram_join import ngram_components
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -33,13 +33,23 @@ def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each group of texts linked by 0.8 of their 5-word shingles: the one with the smallest doc_id (of equal rows, one)."""
+    """Keep one row of each group of texts linked by 0.8 of their 5-word shingles: the one with the smallest doc_id.
+
+    Null and wordless texts are groups of their own. Of rows that share a doc_id, all with different
+    texts stay if the id stays, and one of equal texts; of rows with a null id, one of equal texts.
+    An empty table stays empty.
+    """
     docs = docs.select(*COLUMNS)
     groups = ngram_components(docs, k=5, percent=80)
-    heads = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(heads.where("doc_id is not null"), "doc_id", "left_semi")
-    # several rows with one id: those of one text are copies
-    return kept.unionByName(docs.where("doc_id is null")).dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    ids = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    # only ids that go or that several rows share are looked up; all other rows stay where they are
+    marks, _ = staged(ids.where("rows > 1 or not stays"), "marks")
+    looked = maybe_among(docs.where("doc_id is not null"), "doc_id", marks.select("doc_id"))
+    asked = looked.where("maybe").join(marks, "doc_id", "left").where("stays is null or stays")
+    digest = F.sha2("text", 256)
+    once = asked.withColumn("digest", F.when(F.col("rows") > 1, digest)).dropDuplicates(["doc_id", "digest"])
+    nulls = docs.where("doc_id is null").withColumn("digest", digest).dropDuplicates(["digest"])
+    return looked.where("not maybe").select(*COLUMNS).unionByName(once.select(*COLUMNS)).unionByName(nulls.select(*COLUMNS))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
