@@ -279,7 +279,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     )
 
     # 5. members against their leader; a group is dealt over as many tasks as it has blocks
-    counts = groups.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    counts, counts_path = staged(groups.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "counts")
     dealt = groups.join(counts, "leader").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     rows = dealt.select("leader", "block", F.lit(1).alias("role"), "key").union(counts.select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("leader").alias("key")))
     kept = sets.select(F.col("k1").alias("key"), "rep", "tokens")
@@ -320,7 +320,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     def blocks(rows: str, tokens: str):
         return F.greatest(F.ceil(F.col(rows) / BLOCK), F.ceil(F.col(tokens) / TOKENS)).cast("int")
 
-    open_groups = sizes.where("rest > 0 and all > 1").select("leader", blocks("rest", "rest_n").alias("rb"), blocks("all", "all_n").alias("ab"))
+    open_groups, open_path = staged(sizes.where("rest > 0 and all > 1").select("leader", blocks("rest", "rest_n").alias("rb"), blocks("all", "all_n").alias("ab")), "open")
     inside = tried.join(open_groups, "leader")
     rest = inside.where("linked is null").select("leader", F.pmod(F.xxhash64("key"), F.col("rb")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ab") - 1)).alias("j"), F.lit(0).alias("role"), "key", F.lit(None).cast("long").alias("linked"))
     others = inside.select("leader", F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("i"), F.pmod(F.xxhash64("key", F.lit(1)), F.col("ab")).cast("int").alias("j"), F.lit(1).alias("role"), "key", "linked")
@@ -386,7 +386,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id")
     )
     out, _ = staged(out, "components")
-    drop_path(spark, both_path, met_path, scored_path, leaders_path, groups_path, needed_path, sets_path, tried_path, edges_path, classes_path)
+    drop_path(spark, both_path, met_path, scored_path, leaders_path, groups_path, needed_path, counts_path, open_path, sets_path, tried_path, edges_path, classes_path)
     return out
 
 
