@@ -158,14 +158,17 @@ def added(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
     yield [list(sums), [c.tobytes() for c in sums.values()]]
 
 
-def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``id_col``, n_shingles, component_id.
+def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
+    """One row per row of ``docs``: ``id_col``, n_shingles, component_id, and with ``count_links`` n_links.
 
     Texts link when 100 * |A & B| >= percent * |A | B| for their sets of k-word shingles
     (A-Z lower-cased, words between ASCII white space; shorter texts are one shingle).
     component_id is the smallest id reachable by links, the row's own included. Null or
-    wordless texts have 0 shingles and only themselves; a null id never names a component
-    of several rows. Equal rows are kept as they are; empty tables give no rows.
+    wordless texts have 0 shingles and only themselves; a row with a null id links to rows of
+    the same set only. Equal rows are kept as they are and link to each other; empty tables
+    give no rows. Texts of any length are taken whole. n_links is the number of other rows that
+    a row links to, copies included: all sets of a component are compared, block by block, so
+    its cost grows with the square of a component's distinct sets; no pair leaves a task.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -203,7 +206,8 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     beyond = heat - usual - UNEVEN * np.sqrt(usual)
     spread = np.where(beyond > HOT, beyond // HOT + 1, 1).astype(np.int32)
     sketch_b = spark.sparkContext.broadcast((heat, spread))
-    reps = meta.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"))
+    sets_once = meta.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    reps = sets_once.where("rep is not null")
 
     # 2. signatures; equal sets within a task sign once, and entries of a hot slot are salted by their set
     def sign(batches):
@@ -381,15 +385,101 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     # 7. components, then back to all rows; classes are staged, so that the join may split a class of many copies
     labels = components(edges)
-    classes, classes_path = staged(reps.join(labels, reps.rep == labels.node, "left").select("k1", "k2", F.coalesce("label", "rep").alias("component_id")), "classes")
+    known = sets_once.join(labels, F.col("rep") == labels.node, "left").withColumn("component_id", F.coalesce("label", "rep"))
+    found = F.col("copies") - 1
+    if count_links:
+        nodes = sets.join(labels, sets.rep == labels.node).join(reps.select("k1", "k2", "copies"), ["k1", "k2"]).select("label", "rep", "copies", "tokens")
+        counted, counted_path = staged(links(nodes, percent), "counted")
+        known = known.join(counted.select(F.col("rep").alias("of"), "links"), F.col("rep") == F.col("of"), "left")
+        found = found + F.coalesce("links", F.lit(0))
+    classes, classes_path = staged(known.select("k1", "k2", "component_id", found.alias("n_links")), "classes")
     out = meta.join(classes, ["k1", "k2"], "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id")
-    )
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"),
+        *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []),
+    )
     out, _ = staged(out, "components")
+    if count_links:
+        drop_path(spark, counted_path)
     drop_path(spark, both_path, met_path, scored_path, leaders_path, groups_path, needed_path, counts_path, open_path, sets_path, tried_path, edges_path, classes_path)
     return out
 
 
+def shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``a`` with all of ``b``: products of rows for tokens that many hold, counts of meetings for the others."""
+    out = np.zeros(len(a) * len(b), np.int64)
+    of_a, of_b = np.repeat(np.arange(len(a)), [len(t) for t in a]), np.repeat(np.arange(len(b)), [len(t) for t in b])
+    ta, tb = np.concatenate(a), np.concatenate(b)
+    order = np.argsort(tb, kind="stable")
+    tb, of_b = tb[order], of_b[order]
+    lo, span = np.searchsorted(tb, ta, "left"), np.searchsorted(tb, ta, "right")
+    span -= lo
+    names, at, times = np.unique(ta, return_inverse=True, return_counts=True)
+    common = times[at] * span * 200 > len(out)
+    column = np.cumsum(np.bincount(at[common], minlength=len(names)) > 0) - 1
+    dense = np.argsort(np.where(common, column[at], -1), kind="stable")[int((~common).sum()) :]
+    n_dense = int(column[-1]) + 1 if len(column) else 0
+    for c in range(0, n_dense, 1024):
+        cut = np.searchsorted(column[at[dense]], [c, c + 1024])
+        mine = dense[cut[0] : cut[1]]
+        x, y = np.zeros((len(a), 1024), np.float32), np.zeros((len(b), 1024), np.float32)
+        x[of_a[mine], column[at[mine]] - c] = 1
+        once = mine[np.unique(at[mine], return_index=True)[1]]
+        rows = np.repeat(lo[once] - np.concatenate(([0], np.cumsum(span[once])[:-1])), span[once]) + np.arange(int(span[once].sum()))
+        y[of_b[rows], np.repeat(column[at[once]] - c, span[once])] = 1
+        out += (x @ y.T).astype(np.int64).ravel()
+    sparse = np.flatnonzero(~common & (span > 0))
+    ends = np.cumsum(span[sparse])
+    for begin in range(0, int(ends[-1]) if len(ends) else 0, 1 << 22):
+        i, j = np.searchsorted(ends, [begin, begin + (1 << 22)], "right")
+        mine = sparse[i:j]
+        if not len(mine):
+            continue
+        rows = np.repeat(lo[mine] - np.concatenate(([0], np.cumsum(span[mine])[:-1])), span[mine]) + np.arange(int(span[mine].sum()))
+        out += np.bincount(np.repeat(of_a[mine], span[mine]) * len(b) + of_b[rows], minlength=len(out))
+    return out.reshape(len(a), len(b))
+
+
+def links(nodes: DataFrame, percent: int) -> DataFrame:
+    """(rep, links): for each set of the components (label, rep, copies, tokens), the rows of other sets that it links to.
+
+    A component is dealt into blocks of bounded rows and tokens, and a task takes two blocks at a time.
+    """
+    many = nodes.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("tokens")) / (8 * TOKENS))).cast("int").alias("blocks"))
+    many, _ = staged(many, "blocks")
+    dealt = nodes.join(many, "label").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("role"), "rep", "copies", "tokens")
+
+    def counted(i, j, held):
+        sides = [[(rep, copies, np.frombuffer(raw, U64)) for rep, copies, raw in rows] for rows in (held if i != j else held[:1])]
+        if not all(sides):
+            return
+        a, b = sides[0], sides[-1]
+        both, la, lb = shared([t for *_, t in a], [t for *_, t in b]), np.asarray([len(t) for *_, t in a]), np.asarray([len(t) for *_, t in b])
+        linked = 100 * both >= percent * (la[:, None] + lb[None, :] - both)
+        if i == j:
+            np.fill_diagonal(linked, False)
+        yield from zip([r for r, *_ in a], (linked @ np.asarray([c for _, c, _ in b])).tolist(), strict=True)
+        if i != j:
+            yield from zip([r for r, *_ in b], (linked.T @ np.asarray([c for _, c, _ in a])).tolist(), strict=True)
+
+    def run(batches):
+        group, held = None, ([], [])
+        for b in batches:
+            out = []
+            for label, i, j, role, *row in zip(*[b.column(c).to_pylist() for c in range(7)], strict=True):
+                if (label, i, j) != group:
+                    if group:
+                        out += counted(*group[1:], held)
+                    group, held = (label, i, j), ([], [])
+                held[role].append(row)
+            yield [[x for x, _ in out], [y for _, y in out]]
+        out = list(counted(*group[1:], held)) if group else []
+        yield [[x for x, _ in out], [y for _, y in out]]
+
+    schema = pa.schema([("rep", pa.int64()), ("links", pa.int64())])
+    return dealt.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j").mapInArrow(_arrow(run, schema), "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of the edges (a, b): the smallest node it is connected with.
 
@@ -405,13 +495,13 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
         lower = labels.join(near, labels.node == near.a).select("node", "label", F.least("label", "near").alias("low"))
         # the old label's node also moves down, which hooks whole trees
-        hooks = lower.groupBy(F.col("label").alias("root")).agg(F.min("low").alias("hook"))
+        hooks, hooks_path = staged(lower.groupBy(F.col("label").alias("root")).agg(F.min("low").alias("hook")), "hooks")  # so that the join may split a large tree
         moved = lower.join(hooks, lower.node == hooks.root, "left").select("node", "label", F.least("low", "hook").alias("low"))
         moved, moved_path = staged(moved, "hooked")
         up = moved.select(F.col("node").alias("parent"), F.col("low").alias("up"))
         fresh = moved.join(up, moved.low == up.parent, "left").select("node", F.least("low", "up").alias("label"), (F.least("low", "up") < F.col("label")).alias("changed"))
         fresh, fresh_path = staged(fresh, "labels")
-        drop_path(spark, path, moved_path)
+        drop_path(spark, path, hooks_path, moved_path)
         labels, path = fresh.select("node", "label"), fresh_path
         if fresh.where("changed").limit(1).count() == 0:
             drop_path(spark, both_path)

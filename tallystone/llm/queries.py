@@ -26,7 +26,7 @@ def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 @register
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(read_table(spark, sf_dir, "documents"), k=4, percent=85)
+    return ngram_components(read_table(spark, sf_dir, "documents"), k=4, percent=85, count_links=True)
 
 
 @register

@@ -42,6 +42,35 @@ def brute(rows, k, percent):
     return sorted((str(i), len(s), str(lowest.get(find(n)) if s else i)) for n, (i, s) in enumerate(flat))
 
 
+def brute_links(rows, k, percent):
+    """Number of other rows that each row links to; all pairs, by their sets."""
+    sets = []
+    for i, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        sets.append((i, frozenset(tuple(words[a : a + k]) for a in range(len(words) - k + 1)) if len(words) >= k else frozenset([tuple(words)] if words else [])))
+    linked = lambda a, b: a and b and 100 * len(a & b) >= percent * len(a | b)
+    return sorted((str(i), sum(bool(linked(s, t)) for m, (_, t) in enumerate(sets) if m != n)) for n, (i, s) in enumerate(sets))
+
+
+def got_links(df, k, percent):
+    return sorted((str(r.doc_id), r.n_links) for r in ngram_components(df, k, percent, count_links=True).collect())
+
+
+@pytest.mark.parametrize("block", [ngram_join.BLOCK, 5])
+def test_numbers_of_links(docs, odd, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    assert got_links(docs, 4, 85) == brute_links(texts_of(docs), 4, 85)
+    assert got_links(odd, 4, 85) == brute_links(texts_of(odd), 4, 85)
+    assert got_links(odd.limit(0), 4, 85) == []
+
+
+def test_intersections_of_blocks():
+    rng = np.random.default_rng(3)
+    for n, m, pool in ((1, 1, 5), (40, 30, 60), (300, 200, 5000), (64, 64, 3000)):
+        a, b = ([np.unique(rng.integers(0, pool, rng.integers(1, pool)).astype(U64)) for _ in range(c)] for c in (n, m))
+        assert ngram_join.shared(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+
+
 def got(df, k, percent):
     return sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_components(df, k, percent).collect())
 
