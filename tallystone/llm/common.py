@@ -94,9 +94,9 @@ def maybe_among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
 MOST_RANGES, _FAN = 16_384, 128
 
 
-def range_cuts(df: DataFrame, column: str, most: int = MOST_RANGES) -> list:
-    """Quantiles of a numeric column, a range for each shuffle partition; nulls and repeats make fewer."""
-    n = max(1, min(most, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+def range_cuts(df: DataFrame, column: str, most: int = MOST_RANGES, every: bool = False) -> list:
+    """Quantiles of a numeric column, a range for each shuffle partition (with ``every``, ``most`` ranges); nulls and repeats make fewer."""
+    n = max(1, min(most, MOST_RANGES if every else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     return sorted(set(df.approxQuantile(column, [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
 
 

@@ -1,5 +1,8 @@
 """Quality classifier, language ID, template removal, top-k search, and the pipeline."""
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -188,3 +191,28 @@ def test_a_query_id_with_two_vectors(spark):
         df = spark.createDataFrame([(i, v, float(np.hypot(*v))) for i, v in order], "vec_id long, v array<long>, norm double").coalesce(1)
         got = topk.top_k(df, F.col("vec_id") == 1, k=3).orderBy("rank").collect()
         assert [(r.vec_id, r.score) for r in got] == [(39, 79000), (38, 78000), (37, 77000)]
+
+
+@pytest.mark.parametrize("big", [1e5, 1e15, 3e38])
+def test_top_k_of_vectors_of_any_length(spark, big):
+    """Outliers take part as queries and candidates, and are ranked by exact scores, also where these are beyond a long."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(0, big if i % 7 == 0 else 1, 6).astype(np.float32)]) for i in range(120)]
+    rows += [(50, rows[9][1]), (50, rows[9][1]), (7, [float("inf")] * 6), (8, [float("nan")] * 6), (14, None), (None, [1.0] * 6), (15, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    got = sorted(map(tuple, topk.top_k(topk.integer_vectors(df), F.col("vec_id") % 10 == 0).collect()))
+    whole = [(i, [math.floor(Fraction(x) * 256) for x in v]) for i, v in rows if i is not None and v is not None and all(map(math.isfinite, v))]
+    want, least = [], {}
+    for i, v in whole:
+        if i % 10 == 0:
+            least[i] = min(least.get(i, v), v)
+    for i, v in least.items():
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), j) for j, w in whole if j != i)[:5]
+        want += [(i, r + 1, j, max(-(2**63), min(2**63 - 1, -s))) for r, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_top_k_of_empty_vectors(spark):
+    df = spark.createDataFrame([(i, []) for i in range(4)], "vec_id long, embedding array<float>")
+    got = topk.top_k(topk.integer_vectors(df), F.col("vec_id") == 0, k=2).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 1, 0), (0, 2, 2, 0)]
