@@ -27,7 +27,11 @@ MANY_PAGES, LEAST_PAGES, SHARE = 8, 3, 0.5
 #: Up to so many (host, hash) pairs the templates are broadcast (8 bytes each); beyond, joined by page.
 BROADCAST_PAIRS = 1_000_000
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|[^<]+|<", re.S)
+_TEXT = re.compile(r"[^<]+")
+_ASIDE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: Attributes up to the end of a tag; quoted values may hold a '>'.
+_INSIDE = re.compile(r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>")
 _ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes", "svg", "math"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -40,6 +44,9 @@ _NAMED = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|adsense|adslot|banners?|promos?|promotion|sponsor\w*|cookies?|consent|gdpr|notices?|notifications?|alerts?|popups?|modal|overlay|newsletter|subscri\w*|signup|login|paywall|side-?bar|menus?|nav|navbar|navigation|breadcrumbs?|masthead|header|footer|comments?|commentlist|disqus|repl(?:y|ies)|respond|shar(?:e|ing)|social|related|recommend\w*|widgets?|skip-?link|toolbar|pagination|pager|search)(?:$|[\s_-])",
     re.I,
 )
+_LAYOUT = re.compile(r"(?:^|[_-])(?:has|have|no|not|with|without|is)[_-]", re.I)
+#: A heading so named is a heading of the text.
+_HEADED = re.compile(r"(?:^|[_-])(?:header|masthead)(?=$|[_-])", re.I)
 _KEEP = {"html", "body", "main", "article"}
 
 
@@ -51,51 +58,71 @@ class Node:
 
 
 def parse(page: str) -> Node:
-    """A tree of a page: implied ends as browsers do it for paragraphs, items and cells; unclosed and stray tags are tolerated."""
+    """A tree of a page: implied ends as browsers do it for paragraphs, items and cells; unclosed and stray tags are tolerated.
+
+    Work grows with the page's length alone: open elements are found by tag, not by a walk up
+    the tree, and after the first tag whose quotes don't end, tags end at the next '>'.
+    """
     root = Node("#")
-    stack, at, n = [root], 0, len(page)
-    token = _TOKEN.match
+    stack, blocks, places = [root], [0], {}  # open elements; which of them are no inline ones; places of each tag
+    at, n, last, quotes = 0, len(page), page.rfind(">"), True
+
+    def close(i: int) -> None:
+        for node in stack[i:]:
+            places[node.tag].pop()
+        del stack[i:]
+        while blocks[-1] >= i:
+            blocks.pop()
+
+    def nearest(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     while at < n:
-        m = token(page, at)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            text = m[0]
-            if text[0] != "<" or text == "<":
-                stack[-1].parts.append(entities.unescape(text) if "&" in text else text)
-            elif text.startswith("<![CDATA["):
-                stack[-1].parts.append(text[9:].removesuffix("]]>"))
+        if page[at] != "<" or at > last:
+            m = _TEXT.match(page, at) if at <= last else None
+            text = m[0] if m else page[at:]
+            stack[-1].parts.append(entities.unescape(text) if "&" in text else text)
+            at += len(text)
+            continue
+        if page.startswith(("<!", "<?"), at) and (m := _ASIDE.match(page, at)):
+            if m[1] is not None:
+                stack[-1].parts.append(m[1])
+            at = m.end()
             continue
-        tag = tag.lower()
+        m = _TAG.match(page, at)
+        if not m:
+            stack[-1].parts.append("<")
+            at += 1
+            continue
+        inside = m.end()
+        end = _INSIDE.match(page, inside) if quotes else None
+        if end:
+            at = end.end()
+        else:
+            quotes = False
+            at = page.index(">", inside) + 1
+        tag, named = m[2].lower(), page[inside : at - 1]
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag in _INLINE and stack[i].tag not in _INLINE:
-                    break
+            i = nearest([tag])
+            if i and (tag not in _INLINE or i > blocks[-1]):
+                close(i)
             continue
-        if tag in _CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag not in _INLINE:
-                    break
+        if tag in _CLOSES_P and stack[blocks[-1]].tag == "p":
+            close(blocks[-1])
         if tag in _SIBLINGS:
             ends, scope = _SIBLINGS[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ends:
-                    del stack[i:]
-                    break
-                if stack[i].tag in scope:
-                    break
-        node = Node(tag, m[3])
+            i = nearest(ends)
+            if i > nearest(scope - ends):
+                close(i)
+        node = Node(tag, named)
         stack[-1].parts.append(node)
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else n
-        elif tag not in _VOID and not (m[3].endswith("/") and tag not in _INLINE and tag not in _CLOSES_P):
+        elif tag not in _VOID and not (named.endswith("/") and tag not in _INLINE and tag not in _CLOSES_P):
+            places.setdefault(tag, []).append(len(stack))
+            if tag not in _INLINE:
+                blocks.append(len(stack))
             stack.append(node)
     return root
 
@@ -104,8 +131,13 @@ def attributes(text: str) -> dict[str, str]:
     return {k.lower(): entities.unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(text)}
 
 
-def furniture(node: Node) -> bool:
-    """Whether a subtree is no part of an article, by its tag and naming attributes."""
+def named_so(names: str, heading: bool = False) -> bool:
+    """Whether one of the class names and ids calls its element a piece of furniture; 'has-sidebar' and the like speak of a layout."""
+    return any(_NAMED.search(_HEADED.sub("", x) if heading else x) for x in names.split() if not _LAYOUT.search(x))
+
+
+def furniture(node: Node, wrapper: bool = False) -> bool:
+    """Whether a subtree is no part of an article, by its tag and naming attributes; a wrapper of the article is not judged by names."""
     if node.tag in _FURNITURE:
         return True
     if node.tag in _KEEP and node.tag != "article" or not node.attributes.strip(" /"):
@@ -116,9 +148,11 @@ def furniture(node: Node) -> bool:
     if a.get("role", "").lower() in _ROLES:
         return True
     names = f"{a.get('class', '')} {a.get('id', '')}"
+    if wrapper:
+        return False
     if node.tag == "article":
         return bool(re.search(r"comment|repl(?:y|ies)|\bads?\b|sponsor|promo", names, re.I))
-    return bool(_NAMED.search(names))
+    return named_so(names, heading=re.fullmatch("h[1-6]", node.tag) is not None)
 
 
 def squeeze(text: str) -> str:
@@ -170,8 +204,25 @@ def tree_text(root: Node, marked: list[Node]) -> str:
     """The text of a parsed page without the marked nodes."""
     dead = {id(node) for node in marked if node.tag not in _KEEP and node.tag != "#"}
 
+    wrappers: set[int] = set()
+
     def gone(node: Node) -> bool:
-        return id(node) in dead or furniture(node)
+        return id(node) in dead or furniture(node, id(node) in wrappers)
+
+    def holders() -> set[int]:
+        """Elements above an article or main."""
+        out: set[int] = set()
+        stack = [(root, iter(root.parts))]
+        while stack:
+            for part in stack[-1][1]:
+                if not isinstance(part, str):
+                    stack.append((part, iter(part.parts)))
+                    break
+            else:
+                node, _ = stack.pop()
+                if stack and (node.tag in ("article", "main") or id(node) in out):
+                    out.add(id(stack[-1][0]))
+        return out
 
     def find(root: Node, tag: str, out: list[Node]) -> None:
         stack = [iter(root.parts)]
@@ -187,10 +238,14 @@ def tree_text(root: Node, marked: list[Node]) -> str:
                 stack.pop()
 
     tops: list[Node] = []
-    for tag in ("article", "main"):
-        find(root, tag, tops)
-        if tops:
-            break
+    find(root, "article", tops)
+    if not tops:
+        find(root, "main", tops)
+    if not tops:  # the names of the elements around it may have hidden it
+        wrappers |= holders()
+        find(root, "article", tops)
+        if not tops:
+            find(root, "main", tops)
     blocks: list[str] = []
     held: list[str] = []
 
@@ -230,8 +285,10 @@ def tree_text(root: Node, marked: list[Node]) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html).
 
-    Null html gives an empty text; a null or odd url counts as one host of its own. Repeated
-    pages count once toward a host's templates, so copies of an article aren't a template.
+    Null and empty html give an empty text; a null or odd url counts as one host of its own. Repeated
+    pages count once toward a host's templates, so copies of an article aren't a template. Pages of
+    any length and depth are read whole. Repeated and null page_ids are rows like others, other columns
+    of ``pages`` are not looked at, and an empty table gives no rows.
     """
     spark = pages.sparkSession
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\w+://([^/?#]*)", 1))
