@@ -6,7 +6,7 @@ import contextlib
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +62,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def no_clash(columns: Iterable[str], *own: str) -> None:
+    """Refuse input columns that are named like those an operator adds."""
+    if taken := sorted({c.lower() for c in columns} & set(own)):
+        raise ValueError(f"columns named like the result's own: {', '.join(taken)}")
+
+
 def held_out() -> Column:
     """Rows that no model learns from: crc32(doc_id as text) mod 3 = 1; false for a null doc_id."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -14,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_parts, byte_chunks, held_out
+from .common import binary_parts, byte_chunks, held_out, no_clash
 
 #: Width of each direction, bytes of a window, windows scored at once.
 HIDDEN, WINDOW, LANES = 8, 64, 2048
-#: Most rows of each language that the model learns from, and code points of each, at a hashed place.
-PER_LANG, EXCERPT, LANGS = 250, 1500, 200
+#: About so many rows of each language the model learns from, and training windows of each, spread over its whole text.
+PER_LANG, PER_ROW = 250, 48
 STEPS, BATCH = 220, 96
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -94,16 +94,17 @@ def train_network(texts: list[bytes], labels: np.ndarray, n_labels: int, steps:
     model = {"f": direction(), "r": direction(), "o": {"v": rng.normal(0, 0.3, (n_labels, 2 * h)).astype(np.float32), "c": np.zeros((n_labels, 1), np.float32)}}
     moments = {(a, k): (np.zeros_like(v), np.zeros_like(v)) for a, part in model.items() for k, v in part.items()}
     t = WINDOW // 2
-    long = [i for i, x in enumerate(texts) if len(x) >= t]
-    if not long or n_labels < 2:
+    some = [i for i, x in enumerate(texts) if x]
+    if not some or n_labels < 2:
         return model
-    by = [[i for i in long if labels[i] == y] for y in range(n_labels)]
+    texts = [x.ljust(-(-len(x) // t) * t) for x in texts]  # as in scoring, a window is filled up with spaces
+    by = [[i for i in some if labels[i] == y] for y in range(n_labels)]
     by = [b for b in by if b]
     for step in range(1, steps + 1):
         rows = [b[rng.integers(len(b))] for b in by for _ in range(-(-BATCH // len(by)))][: max(BATCH, len(by))]
         x = np.empty((t, len(rows)), np.uint8)
         for j, i in enumerate(rows):
-            at = rng.integers(len(texts[i]) - t + 1)
+            at = t * rng.integers(len(texts[i]) // t)
             x[:, j] = np.frombuffer(texts[i], np.uint8, t, at)
         y = labels[rows]
         (fwd, kf), (bwd, kb) = _forward(x, model["f"], True), _forward(x[::-1], model["r"], True)
@@ -163,22 +164,40 @@ def probabilities(column: pa.Array, model: dict) -> Iterator[np.ndarray | None]:
                 yield None
 
 
+def training_windows(text: str, seed: int) -> bytes:
+    """Training windows of a text, one after another: all, or ``PER_ROW`` of them drawn from the whole text."""
+    raw, t = text.encode("utf-8", "replace"), WINDOW // 2
+    n = -(-len(raw) // t)
+    if n <= PER_ROW:
+        return raw
+    at = np.sort(np.random.default_rng(seed).choice(n, PER_ROW, replace=False)).tolist()
+    return b"".join(raw[i * t : (i + 1) * t].ljust(t) for i in at)
+
+
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[list[str], dict]:
-    """Languages and model, from about ``per_lang`` rows of each language (the ``LANGS`` most frequent), never the held-out ones."""
+    """Languages and model, from about ``per_lang`` different rows of each language, never the held-out ones.
+
+    Rows are drawn by a hash of id and text, so repeated rows count once and any order of tasks gives
+    one model. The driver holds ``PER_ROW`` windows of each drawn row, and a number for each language.
+    """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where(~held_out())
-    counts = sorted(((r.lang, r[1]) for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()))
+    known = known.withColumn("mark", F.xxhash64("doc_id", "text"))
+    counts = sorted((r.lang, r.rows) for r in known.groupBy("lang").agg(F.approx_count_distinct("mark").alias("rows")).collect())
     langs = [x for x, _ in counts]
     if not langs:
         return [], train_network([], np.zeros(0, np.int64), 1)
-    share = F.lit(0.0)
-    for x, n in counts:
-        share = F.when(F.col("lang") == x, F.lit(min(1.0, 1.2 * per_lang / n))).otherwise(share)
-    mark = F.xxhash64("doc_id", "text")
-    at = F.pmod(F.xxhash64(mark), F.greatest(F.lit(1), F.length("text") - EXCERPT)) + 1
-    chosen = known.where(F.pmod(mark, F.lit(1 << 24)) < share * (1 << 24)).select("lang", mark.alias("mark"), F.expr(f"substring(text, cast(pmod(xxhash64(xxhash64(doc_id, text)), greatest(1, length(text) - {EXCERPT})) + 1 as int), {EXCERPT})").alias("text"))
-    rows = sorted((r.lang, r.mark, r.text) for r in chosen.limit(3 * per_lang * len(langs)).collect())
+    shares = docs.sparkSession.createDataFrame([(x, min(1.0, 1.2 * per_lang / n)) for x, n in counts], "lang string, share double")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            drawn = [training_windows(t, m & 0xFFFFFFFF) for m, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(drawn, pa.binary())], names=["lang", "mark", "windows"])
+
+    chosen = known.join(F.broadcast(shares), "lang").where(F.pmod("mark", F.lit(1 << 24)) < F.col("share") * (1 << 24)).select("lang", "mark", "text")  # a row a language
+    rows = chosen.mapInArrow(draw, "lang string, mark long, windows binary").groupBy("lang", "mark").agg(F.min("windows").alias("windows")).collect()
     number = {x: i for i, x in enumerate(langs)}
-    return langs, train_network([t.encode() for _, _, t in rows], np.asarray([number[x] for x, _, _ in rows], np.int64), len(langs))
+    rows = sorted((r.lang, r.mark, bytes(r.windows)) for r in rows)
+    return langs, train_network([t for _, _, t in rows], np.asarray([number[x] for x, _, _ in rows], np.int64), len(langs))
 
 
 def language(docs: DataFrame, per_lang: int = PER_LANG, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -186,8 +205,10 @@ def language(docs: DataFrame, per_lang: int = PER_LANG, keep: tuple[str, ...] =
 
     ``und`` with score 0 where the text is null or has no letter, or where no language
     could be learned; else the language of the highest mean probability, which is the
-    score. Null or repeated ids are treated like others.
+    score. Null or repeated ids are treated like others; texts of any length are read whole;
+    ``keep`` may not name a column lang_pred or score.
     """
+    no_clash(keep, "lang_pred", "score")
     langs, model = train(docs, per_lang)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
