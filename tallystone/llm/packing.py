@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_path, hf_encoder, staged, text_chunks
+from .common import drop_path, hf_encoder, no_clash, staged, text_chunks
 
 #: Parts into which the pieces of a length are dealt to be ranked: so many, and one more for each so many pieces.
 PARTS, RANKED = 64, 1_000_000
@@ -141,8 +141,10 @@ def pack(cut: DataFrame, limit: int) -> DataFrame:
     """``cut`` (with doc_id, piece, length <= limit) and each row's sequence_id and offset.
 
     ``cut`` is read twice, so it should be a written table. Rows that are equal are ranked
-    in any order, each once. Null ids are ranked like others. No rows give no rows.
+    in any order, each once. Null ids are ranked like others. No rows give no rows. No
+    column may be named sequence_id, offset, salt, salts or rank.
     """
+    no_clash(cut.columns, "sequence_id", "offset", "salt", "salts", "rank")
     spark = cut.sparkSession
     columns = cut.columns
     counts = np.zeros(limit + 1, np.int64)

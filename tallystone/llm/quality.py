@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _P, _PINV, U64, binary_parts, byte_chunks, held_out, mix, powers, words_of
+from .common import _P, _PINV, U64, binary_parts, byte_chunks, held_out, mix, no_clash, powers, words_of
 
 BITS = 18
 #: Most labelled rows of each class that the model is fitted on.
@@ -109,18 +109,22 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, rounds: i
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[np.ndarray, float, float]:
-    """The model, from at most about ``per_class`` labelled rows of each quality, chosen by a hash of their id; held-out rows take no part."""
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(~held_out())
+    """The model, from at most about ``per_class`` labelled ids of each quality, chosen by a hash of the id; held-out rows take no part.
+
+    Of an id's several texts the least one counts, of repeated labels each value once.
+    """
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(~held_out()).distinct()
     share = F.lit(0.0)
     for r in known.groupBy("quality").count().collect():  # two rows
         share = F.when(F.col("quality") == r.quality, F.lit(min(1.0, per_class / r[1]))).otherwise(share)
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).limit(3 * per_class)
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(features(b.column(1))), pa.list_(pa.int64()))], names=["quality", "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("quality", "text").mapInArrow(run, "quality int, ids array<long>").toPandas()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = texts.select("quality", "text").mapInArrow(run, "quality int, ids array<long>").toPandas()
     rows = rows.sort_values("ids", key=lambda c: c.map(lambda x: (len(x), int(np.sum(x)))), kind="stable")  # any order of tasks gives one model
     return fit([np.asarray(x, np.int64) for x in rows["ids"]], rows["quality"].to_numpy())
 
@@ -128,9 +132,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
 def quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, score (0 to 1, higher: better) and predicted of every row, from its whole text alone.
 
-    Null and empty texts get the model's bias; null or repeated ids are scored like others.
-    Without labels of both kinds every row gets the same score.
+    Null and empty texts get the model's bias; null or repeated ids are scored like others;
+    texts of any length are read whole. Without labels of both kinds every row gets the same
+    score. ``keep`` may not name a column score or predicted.
     """
+    no_clash(keep, "score", "predicted")
     w, b, scale = train(docs, labels, per_class)
     model = docs.sparkSession.sparkContext.broadcast((w.astype(np.float64), b, scale))
 

@@ -1,13 +1,15 @@
 """Quality classifier, language ID, template removal, top-k search, and the pipeline."""
 
 import math
+import zlib
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tallystone.llm import langid, quality, templates, topk
+from tallystone.llm import langid, packing, quality, templates, topk
 from tallystone.llm.common import held_out
 
 BIG = "/root/testdata/sf0.01"
@@ -216,3 +218,72 @@ def test_top_k_of_empty_vectors(spark):
     df = spark.createDataFrame([(i, []) for i in range(4)], "vec_id long, embedding array<float>")
     got = topk.top_k(topk.integer_vectors(df), F.col("vec_id") == 0, k=2).collect()
     assert sorted(map(tuple, got)) == [(0, 1, 1, 0), (0, 2, 2, 0)]
+
+
+def test_language_probabilities_by_position():
+    """Whole texts through both directions, one position after another."""
+    rng = np.random.default_rng(2)
+    model = langid.train_network([b"the cat sat on the mat and then", "où est la bibliothèque s'il vous plaît".encode(), b"kurz"], np.asarray([0, 1, 0]), 2, steps=5)
+    texts = ["a", "Straße und mehr " * 20, "", "12 34", "x" * 64, "y" * 65, "".join(chr(rng.integers(32, 900)) for _ in range(500)), None]
+
+    def states(window, p):
+        h, out = np.zeros(p["u"].shape[1]), []
+        n = len(h)
+        for c in window:
+            x, rec = p["w"][:, c].astype(float), p["u"] @ h
+            r, z = np.clip(x[:n] + rec[:n], 0, 1), np.clip(x[n : 2 * n] + rec[n : 2 * n], 0, 1)
+            h = z * h + (1 - z) * np.tanh(x[2 * n :] + r * (rec[2 * n :] + p["b"][:, 0]))
+            out.append(h)
+        return out
+
+    for text, got in zip(texts, langid.probabilities(pa.array(texts), model), strict=True):
+        raw, total, letters = (text or "").encode(), np.zeros(2), 0
+        for a in range(0, len(raw), 64):
+            window = raw[a : a + 64].ljust(64)
+            both = zip(states(window, model["f"]), states(window[::-1], model["r"])[::-1], strict=True)
+            for c, (f, b) in zip(raw[a : a + 64], both, strict=False):
+                if c >= 128 or chr(c).isalpha():
+                    e = np.exp(model["o"]["v"] @ np.concatenate((f, b)) + model["o"]["c"][:, 0])
+                    total, letters = total + e / e.sum(), letters + 1
+        if any(map(str.isalpha, text or "")):
+            assert got == pytest.approx(total / letters, abs=1e-4)
+        else:
+            assert got is None
+
+
+def test_language_of_short_texts_and_many_languages(spark):
+    """A language of short texts is learned, and none is left out for being one of many."""
+    rows = [(i, ["ja nee", "oui non"][i % 2], ["nl", "fr"][i % 2]) for i in range(90)] + [(1000 + i, f"word{i} " * 9, f"l{i:03}") for i in range(0, 900, 2)]
+    langs, model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(langs) == 2 + sum(1 for i in range(0, 900, 2) if zlib.crc32(str(1000 + i).encode()) % 3 != 1)
+    two = spark.createDataFrame(rows[:90], "doc_id long, text string, lang string")
+    got = langid.language(two, keep=("doc_id", "lang")).collect()
+    assert all(r.lang_pred == r.lang for r in got)
+    # repeated rows change nothing
+    a, b = langid.train(two), langid.train(two.union(two).repartition(5))
+    assert a[0] == b[0] and all(np.array_equal(a[1][x][y], b[1][x][y]) for x in a[1] for y in a[1][x])
+    long = "ab" * 100_000
+    assert len(langid.training_windows(long, 1)) == 32 * langid.PER_ROW and langid.training_windows("kurz", 1) == b"kurz"
+
+
+def test_quality_features_and_scores_by_hand(spark, odd):
+    """Distinct features of single texts are those of the same texts among others, and a score is the sum of its features' weights."""
+    texts = ["", None, "one", "Two words", "A b c d e f g a b c d", "x" * 300_000, "rep rep rep rep rep rep", "mixed 12 CASE, é!"]
+    together = [sorted(x.tolist()) for x in quality.features(pa.array(texts))]
+    assert together == [sorted(next(quality.features(pa.array([t], pa.string()))).tolist()) for t in texts]
+    assert [len(x) for x in together[:4]] == [0, 0, 2, 6] and all(len(set(x)) == len(x) for x in together)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(i, "good words here " * 3 if i % 2 else "bad BAD !!!") for i in range(40)] + [(3, "zzz")] * 50, "doc_id long, text string")
+    w, b, scale = quality.train(docs, labels)
+    got = {r.text: (r.score, r.predicted) for r in quality.quality(docs, labels, keep=("text",)).collect()}
+    for text, (score, predicted) in got.items():
+        ids = next(quality.features(pa.array([text])))
+        want = 1 / (1 + math.exp(-scale * (sum(w[i] for i in ids) / math.sqrt(max(1, len(ids))) + b)))
+        assert score == pytest.approx(want) and predicted == int(score >= 0.5)
+
+
+def test_names_that_clash_are_refused(spark, docs, labels):
+    other = docs.withColumn("score", F.lit(1))
+    for call in (lambda: quality.quality(other, labels, keep=("doc_id", "score")), lambda: langid.language(other, keep=("score",)), lambda: packing.pack(docs.withColumn("rank", F.lit(1)), 8)):
+        with pytest.raises(ValueError, match="named like"):
+            call()
