@@ -117,6 +117,15 @@ def range_part(column: Column, cuts: list, kind: str) -> Column:
     return (coarse + F.size(F.filter(F.slice(every, coarse + 1, _FAN), lambda c: c < column))).cast("int")
 
 
+def even_slots(spark: SparkSession, n: int) -> list[int]:
+    """For each of n shuffle partitions a long that ``repartition(n, column)`` sends there, so that parts dealt by it never meet in one."""
+    found = spark.range(n * 24, numPartitions=1).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("to")).agg(F.min("id").alias("slot")).collect()
+    slots = list(range(n))  # for a partition that none of so many numbers goes to
+    for r in found:
+        slots[r.to] = r.slot
+    return slots
+
+
 # ---------------------------------------------------------------- hashing of words
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, powers, range_cuts, range_part
+from .common import U64, even_slots, mix, powers, range_cuts, range_part
 
 K, W = 12, 16
 _BASE = 0xB5297A4D3F84D5B5 | 1
@@ -94,7 +94,9 @@ def in_order_with_next(docs: DataFrame) -> DataFrame:
     if any(i is None for _, i in first):
         some = some | F.col("doc_id").isNull()
     lent = docs.where(some).join(F.broadcast(follows), F.col("doc_id").eqNullSafe(F.col("head"))).select("part", F.lit(1).alias("guest"), "doc_id", "text")
-    return own.union(lent).repartition(len(first), "part").sortWithinPartitions("part", "guest", "doc_id", "text")
+    slots = spark.createDataFrame(list(zip([p for p, _ in first], even_slots(spark, len(first)), strict=True)), "part int, slot long")
+    dealt = own.union(lent).join(F.broadcast(slots), "part").repartition(len(first), "slot")
+    return dealt.select("part", "guest", "doc_id", "text").sortWithinPartitions("part", "guest", "doc_id", "text")
 
 
 def edit_report(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
@@ -103,11 +105,11 @@ def edit_report(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     The edit replaces the last floor(n/2) code points by the first as many (or all) of the
     next text by doc_id; after the last comes the first. Null texts are empty, null ids come
     first, rows of one id are ordered by text, a single row follows itself, no rows give none.
-    Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next, and fingerprint positions.
+    Texts of any length are taken whole. Columns: doc_id, n_chars, edited_sha256, fingerprint,
+    edited_fingerprint, near_edited, near_next, and the positions of the fingerprint's hashes.
     """
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("n_marks", pa.int64())]
+        [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("positions", pa.list_(pa.int64()))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,14 +119,14 @@ def edit_report(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
             for part, guest, i, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if guest and (held is None or held[0] != part):
                     continue  # a further row with the guest's id
-                marks = winnow(text, k, w)[0]
+                marks, places = winnow(text, k, w)
                 if held is not None:
-                    _, j, old, old_marks = held
+                    _, j, old, old_marks, old_places = held
                     half = len(old) // 2
                     edited = old[: len(old) - half] + text[:half]
                     edited_marks = winnow(edited, k, w)[0]
-                    out.append((j, len(old), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), shown(old_marks), shown(edited_marks), likeness(old_marks, edited_marks), likeness(old_marks, marks), len(old_marks)))
-                held = None if guest else (part, i, text, marks)
+                    out.append((j, len(old), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), shown(old_marks), shown(edited_marks), likeness(old_marks, edited_marks), likeness(old_marks, marks), old_places))
+                held = None if guest else (part, i, text, marks, places)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(schema), schema.types, strict=True)], schema=schema)
 
-    return in_order_with_next(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_marks long")
+    return in_order_with_next(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions array<long>")

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallystone.llm import bpe, licenses, packing, token_store
-from tallystone.llm.common import hf_encoder
+from tallystone.llm.common import even_slots, hf_encoder
 from tallystone.llm.fingerprints import edit_report, fingerprints, likeness, shown, winnow
 
 from .conftest import texts_of
@@ -56,6 +56,18 @@ def test_edit_report(request, name):
     assert fingerprints(df).where(F.size("hashes") != F.size("positions")).count() == 0
 
 
+def test_edit_report_keeps_positions(docs):
+    for r in edit_report(docs).join(docs.select("doc_id", "text"), "doc_id").collect():
+        hashes, places = winnow(r.text or "")
+        assert r.positions == places.tolist() and r.fingerprint == shown(hashes)
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 211])
+def test_slots_fill_every_partition_once(spark, n):
+    rows = spark.createDataFrame([(s,) for s in even_slots(spark, n)], "slot long").repartition(n, "slot").groupBy(F.spark_partition_id()).count().collect()
+    assert len(rows) == n and all(r[1] == 1 for r in rows)
+
+
 PATH, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
