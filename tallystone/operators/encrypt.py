@@ -1,7 +1,8 @@
 """Column encryption: AES-256-GCM per value, in Spark's own functions.
 
-A key of its own for each column and generation of files is derived from the passphrase's
-key; the associated data binds a value to its table and column. Keys reach the plan as a
+A key of its own for each column and call is derived from the passphrase's key; the
+associated data binds a value to its table, column, generation of files and partition
+value. Each manifest says how its own files are encrypted, so older snapshots stay readable. Keys reach the plan as a
 scalar subquery over a one-row frame, so no plan text shows them. Spark draws the nonces.
 """
 
@@ -9,7 +10,9 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import json
 import os
+import re
 import uuid
 from typing import TYPE_CHECKING
 
@@ -54,8 +57,17 @@ def _column_key(table: Table, config: dict, key: bytes, column: str) -> Column:
     return table.spark.createDataFrame([(bytearray(sub),)], "k binary").scalar()
 
 
-def _aad(config: dict, column: str) -> Column:
-    return F.lit(f"tally:{config['container_id']}|col:{column}")
+def _aad(config: dict, column: str, generation: Column, part: str | None) -> Column:
+    own = F.lit(f"tally:{config['container_id']}|col:{column}")
+    if config["aad_v"] < 3:
+        return own
+    value = F.coalesce(F.col(part).cast("string"), F.lit("\0")) if part else F.lit("")
+    return F.concat(own, F.lit("|gen:"), generation.cast("string"), F.lit("|part:"), value)
+
+
+def _generation() -> Column:
+    """Number of the generation that a scanned row's file belongs to."""
+    return F.regexp_extract(F.col("_metadata.file_path"), r"/data/gen-0*(\d+)/", 1)
 
 
 def _to_text(column: Column, kind: T.DataType) -> Column:
@@ -68,10 +80,24 @@ def _from_text(column: Column, kind: T.DataType) -> Column:
     return column.cast(kind)
 
 
+def closed(df: DataFrame, table: Table, config: dict, columns: list[str], passphrase: str, generation: int, part: str | None) -> DataFrame:
+    """``df`` with ``columns`` as ciphertext for files of one generation."""
+    key = _key(table, config, passphrase)
+
+    def close_value(c: str) -> Column:
+        plain = _to_text(F.col(c), df.schema[c].dataType).cast("binary")
+        return F.call_function("aes_encrypt", plain, _column_key(table, config, key, c), F.lit("GCM"), F.lit("DEFAULT"), F.lit("").cast("binary"), _aad(config, c, F.lit(generation), part))
+
+    return df.withColumns({c: close_value(c) for c in columns})
+
+
 def encrypt_columns(table: Table, columns: list[str], passphrase: str, scrypt: dict | None = None) -> dict:
-    """Rewrite the table with ``columns`` as ciphertext; their statistics and filters are dropped with the old files.
+    """Rewrite the table, and every generation that a snapshot names, with ``columns`` as ciphertext; the plaintext files,
+    their statistics and filters are deleted.
 
     Repeated calls add columns under the same passphrase; columns that are encrypted already are left.
+    Snapshots keep their times and rows and need the passphrase from then on. Readers that are still
+    at work on the old files fail.
     """
     manifest, schema = table.manifest(), table.schema()
     config = table.crypto()
@@ -79,12 +105,13 @@ def encrypt_columns(table: Table, columns: list[str], passphrase: str, scrypt: d
         if c not in schema.names:
             raise ValueError(f"no column to encrypt: {c}")
     if config:
-        key = _key(table, config, passphrase)
+        _key(table, config, passphrase)
+        config = json.loads(json.dumps(config))
     else:
         cost = scrypt or SCRYPT
         salt = os.urandom(16)
         key = derive_key(passphrase, salt, cost["n"], cost["r"], cost["p"])
-        config = {"version": 2, "algo": "AES-256-GCM", "kdf": "scrypt", "scrypt": {**cost, "salt": salt.hex()}, "nonce_size": 12, "aad_v": 2, "columns": [], "parts": {}, "kinds": {}, "container_id": uuid.uuid4().hex}
+        config = {"version": 2, "algo": "AES-256-GCM", "kdf": "scrypt", "scrypt": {**cost, "salt": salt.hex()}, "nonce_size": 12, "aad_v": 3, "columns": [], "parts": {}, "kinds": {}, "container_id": uuid.uuid4().hex}
         config["check"] = _check(key, config["container_id"])
     new = [c for c in dict.fromkeys(columns) if c not in config["columns"]]
     if not new:
@@ -94,33 +121,72 @@ def encrypt_columns(table: Table, columns: list[str], passphrase: str, scrypt: d
     part = manifest["partitions"][0]["by"] if manifest["partitions"] else None
     if part in new:
         raise ValueError(f"the partition column can't be encrypted: {part}")
-    generation = table.version() + 1
-    config["parts"] |= {c: generation for c in new}
+    config["parts"] |= {c: table.next_version() for c in new}
     config["kinds"] |= {c: schema[c].dataType.jsonValue() for c in new}
-    df = table._scan(manifest)
-    def close_value(c: str) -> Column:
-        plain = _to_text(F.col(c), schema[c].dataType).cast("binary")
-        return F.call_function("aes_encrypt", plain, _column_key(table, config, key, c), F.lit("GCM"), F.lit("DEFAULT"), F.lit("").cast("binary"), _aad(config, c))
-
-    df = df.withColumns({c: close_value(c) for c in new})
-    indexes = {c: k for c, k in manifest["indexes"].items() if c not in new}
     config["columns"] = [*config["columns"], *new]
-    table._commit(df, part, "encrypt", old=manifest, indexes=indexes, order=["ts"] if "ts" in schema.names and "ts" not in new else [], details={"columns": new})
-    table.store.write_json("meta/crypto.json", config)
+    with table.store.lock():
+        if table.version() != manifest["generation"]:
+            raise RuntimeError("the table changed meanwhile")
+        table.store.write_json("meta/crypto.json", config)
+        named = {}
+        for s in table.list_snapshots():
+            doc = table.store.read_json(f"meta/{s['file']}")
+            named.setdefault(doc["manifest"], []).append((s["file"], doc))
+        moved = {}
+        for number in sorted({*named, manifest["generation"]}, key=lambda n: (n == manifest["generation"], n)):  # the current one last
+            old = table.manifest(number)
+            kept = T.StructType.fromJson(old["spark_schema"])
+            own = [c for c in new if c in kept.names]
+            by = old["partitions"][0]["by"] if old["partitions"] else None
+            if by in own:
+                raise ValueError(f"a snapshot is partitioned by {by}, which can't be encrypted")
+            of_old = dict(old.get("crypto") or {})
+            locked = [*of_old.get("columns", []), *own]
+            mine = {**config, "part": by, "columns": locked, "parts": {c: of_old.get("parts", config["parts"])[c] if c in of_old.get("columns", []) else config["parts"][c] for c in locked}, "kinds": {c: kept[c].dataType.jsonValue() if c in own else of_old["kinds"][c] for c in locked}}
+            df = table._scan(old)
+            if of_old.get("columns"):  # values move to another generation
+                df = decrypted(df, table, of_old["columns"], passphrase, of_old)
+            df = closed(df, table, mine, locked, passphrase, table.next_version(), by)
+            order = ["ts"] if "ts" in kept.names and "ts" not in locked else []
+            indexes = {c: k for c, k in old["indexes"].items() if c not in locked}
+            moved[number] = table._put(df, by, "encrypt", old=old, indexes=indexes, order=order, crypto=mine, details={"columns": own}, publish=number == manifest["generation"])
+        for number, docs in named.items():
+            fresh = table.manifest(moved[number])
+            files = table.stats(fresh).select("chunk_id", "file").orderBy("chunk_id").collect()
+            for name, doc in docs:
+                table.store.write_json(f"meta/{name}", {**doc, "manifest": fresh["generation"], "manifest_hash": table.manifest_hash(fresh), "chunks": [{"chunk_id": r.chunk_id, "path": r.file} for r in files], "indexes": [x for x in (fresh["stats"], fresh["bloom"]) if x]})
+        table.vacuum()
+    table.snapshot(note="auto after encrypt")
     return config
 
 
-def decrypted(df: DataFrame, table: Table, columns: list[str], passphrase: str) -> DataFrame:
-    """``df`` with ``columns`` in the clear. A value that doesn't authenticate fails the job as CorruptCiphertext's text."""
-    config = table.crypto()
+def decrypted(df: DataFrame, table: Table, columns: list[str], passphrase: str, config: dict | None = None) -> DataFrame:
+    """Scanned rows ``df`` with ``columns`` in the clear. A value that doesn't authenticate fails the job as CorruptCiphertext's text."""
+    config = config or table.crypto()
     key = _key(table, config, passphrase)
+    part = config.get("part")
+    df = df.withColumn("__gen", _generation()) if config["aad_v"] > 2 else df
 
     def open_value(c: str) -> Column:
         kind = T._parse_datatype_json_value(config["kinds"][c])
-        plain = F.call_function("try_aes_decrypt", F.col(c), _column_key(table, config, key, c), F.lit("GCM"), F.lit("DEFAULT"), _aad(config, c))
+        plain = F.call_function("try_aes_decrypt", F.col(c), _column_key(table, config, key, c), F.lit("GCM"), F.lit("DEFAULT"), _aad(config, c, F.col("__gen"), part))
         return F.when(F.col(c).isNull(), F.lit(None).cast(kind)).when(plain.isNull(), F.raise_error(F.lit(f"CorruptCiphertext: {c}")).cast(kind)).otherwise(_from_text(plain.cast("string"), kind))
 
-    return df.withColumns({c: open_value(c) for c in columns})
+    return df.withColumns({c: open_value(c) for c in columns}).drop("__gen")
+
+
+def check_values(table: Table, passphrase: str) -> None:
+    """Open every encrypted value of the current files; CorruptCiphertext names the columns with values that don't authenticate."""
+    config = table.crypto()
+    if not config:
+        return
+    df = decrypted(table._scan(table.manifest()), table, config["columns"], passphrase)
+    try:
+        df.select(*config["columns"]).write.format("noop").mode("overwrite").save()
+    except Exception as e:
+        if found := re.search(r"CorruptCiphertext: \S+", str(e)):
+            raise CorruptCiphertext(found[0]) from None
+        raise
 
 
 def decrypt_columns(table: Table, columns: list[str], passphrase: str) -> dict | None:
@@ -132,13 +198,19 @@ def decrypt_columns(table: Table, columns: list[str], passphrase: str) -> dict |
     for c in gone:
         if c not in config["columns"]:
             raise ValueError(f"not encrypted: {c}")
-    df = decrypted(table._scan(manifest), table, gone, passphrase)
-    part = manifest["partitions"][0]["by"] if manifest["partitions"] else None
-    table._commit(df, part, "decrypt", old=manifest, order=["ts"] if "ts" in df.columns else [], details={"columns": gone})
     left = [c for c in config["columns"] if c not in gone]
-    config |= {"columns": left, "parts": {c: config["parts"][c] for c in left}, "kinds": {c: config["kinds"][c] for c in left}}
-    if left:
-        table.store.write_json("meta/crypto.json", config)
-        return config
-    table.store.delete("meta/crypto.json")
-    return None
+    df = decrypted(table._scan(manifest), table, config["columns"], passphrase)
+    part = manifest["partitions"][0]["by"] if manifest["partitions"] else None
+    config = config | {"columns": left, "parts": {c: config["parts"][c] for c in left}, "kinds": {c: config["kinds"][c] for c in left}}
+    with table.store.lock():
+        if table.version() != manifest["generation"]:
+            raise RuntimeError("the table changed meanwhile")
+        if left:
+            df = closed(df, table, config, left, passphrase, table.next_version(), part)
+        table._put(df, part, "decrypt", old=manifest, order=["ts"] if "ts" in df.columns and "ts" not in left else [], crypto=config if left else None, details={"columns": gone})
+        if left:
+            table.store.write_json("meta/crypto.json", config)
+        else:
+            table.store.delete("meta/crypto.json")
+    table.snapshot(note="auto after decrypt")
+    return config if left else None

@@ -33,8 +33,9 @@ def layout(df: DataFrame, part: str | None, target_rows: int, order: list[str],
 def optimize(table: Table, compact: bool = True, target_rows: int = 100_000, order: list[str] | None = None, min_chunks: int = 1) -> dict[str, Any]:
     """Rewrite the current files, fewer and sorted. Row order within files is ``order``, then the old position.
 
-    Spark's rebalancing and ``maxRecordsPerFile`` cut the files, so a partition value of any
-    size is spread over tasks. Encrypted tables are refused; nothing to do is an error.
+    With an order, files are ranges of (partition value, order), so their statistics don't overlap;
+    without, ranges of the old position, or of an unordered partitioned table what Spark's rebalancing
+    makes. There are as many tasks as files, whatever the size of a partition value. Encrypted tables are refused; nothing to do is an error.
     """
     if not compact and not order:
         raise ValueError("Nothing to do: neither compact nor order")
@@ -43,7 +44,7 @@ def optimize(table: Table, compact: bool = True, target_rows: int = 100_000, ord
     if table.crypto():
         raise ValueError("an encrypted table can't be optimized")
     manifest = table.manifest()
-    before = table.spark.read.parquet(f"{table.path}/{manifest['stats']}").count()
+    before, rows = table.stats(manifest).agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
     if not before:
         return {"changed": False, "reason": "no_chunks"}
     names = [f["name"] for f in manifest["schema"]]
@@ -52,16 +53,11 @@ def optimize(table: Table, compact: bool = True, target_rows: int = 100_000, ord
             raise ValueError(f"unknown order column: {c}")
     df = table._scan(manifest).withColumns({"__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")})  # keeps equal rows in place
     part = manifest["partitions"][0]["by"] if manifest["partitions"] else None
-    if order and not part:
-        # clustered: ranges of the order in different files, so their statistics don't overlap
-        n = max(min_chunks, -(-table.spark.read.parquet(f"{table.path}/{manifest['stats']}").agg(F.sum("rows")).first()[0] // target_rows))
-        df = df.repartitionByRange(n, *order)
-    elif not part:
-        df = df.coalesce(max(1, min_chunks)) if before > min_chunks else df
+    ranges = max(min_chunks, -(-rows // target_rows)) if order or not part else None
     pre = U.kpis(table)
-    table._commit(df, part, "optimize", old=manifest, order=order or (["ts"] if "ts" in names else []), max_rows=target_rows, tie=("__file", "__row"), details={"order": order, "target_rows": target_rows, "before": before})
+    table._commit(df, part, "optimize", old=manifest, order=order or (["ts"] if "ts" in names else []), max_rows=target_rows, tie=("__file", "__row"), ranges=ranges, details={"order": order, "target_rows": target_rows, "before": before})
     fresh = table.manifest()
-    after = table.spark.read.parquet(f"{table.path}/{fresh['stats']}").count()
+    after = fresh["chunks"]
     return {"changed": True, "new_parts": after, "reindexed_columns": sorted(fresh["indexes"]), "pre_kpis": pre, "order": order, "target_rows": target_rows}
 
 
@@ -72,14 +68,14 @@ def reindex(table: Table, spec: dict[str, dict[str, Any]]) -> list[str]:
         names = [f["name"] for f in manifest["schema"]]
         locked = (table.crypto() or {}).get("columns", [])
         done = [c for c in spec if c in names and c not in locked]
-        version = table.version() + 1
+        version = table.next_version()
         indexes = {c: set(k) for c, k in manifest["indexes"].items()}
         for c in done:
             indexes.setdefault(c, set()).update(spec[c])
-        manifest = {**manifest, "generation": version, "indexes": {c: sorted(k) for c, k in indexes.items()}, "bloom": f"meta/index/bloom-{version:06d}"}
+        manifest = {**manifest, "generation": version, "indexes": {c: sorted(k) for c, k in indexes.items()}, "bloom": f"meta/index/bloom-{version:06d}", "more_blooms": []}
         blooms = {c: spec.get(c, {}).get("bloom") or {} for c, k in manifest["indexes"].items() if "bloom" in k}
         if blooms:
-            table._build_blooms(manifest, blooms)
+            table._build_blooms(table._scan(manifest), blooms, manifest["bloom"])
         else:
             manifest["bloom"] = None
         table._publish(version, manifest)

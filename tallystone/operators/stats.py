@@ -42,8 +42,10 @@ def file_blooms(data: DataFrame, column: str, rate: float = 0.01) -> DataFrame:
     shapes = counts.select("file", F.greatest(F.lit(64), bits).cast("long").alias("m"), "n").withColumn("k", F.least(F.lit(16), F.greatest(F.lit(1), F.round(F.col("m") / F.col("n") * math.log(2)))).cast("int"))
     hit = values.join(shapes, "file").select("file", "m", "k", F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: _position(F.col("v"), i.cast("long"), F.col("m")))).alias("at"))
     words = hit.groupBy("file", "m", "k", F.floor(F.col("at") / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))).alias("bits"))
-    filled = words.groupBy("file", "m", "k").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("at"))
-    return filled.select("file", "m", "k", F.transform(F.sequence(F.lit(0), (F.col("m") / 64).cast("int") - 1), lambda i: F.coalesce(F.try_element_at("at", i), F.lit(0).cast("long"))).alias("words"))
+    # all words of a filter, with those that no value sets
+    empty = shapes.select("file", "m", "k", F.explode(F.sequence(F.lit(0), (F.col("m") / 64).cast("int") - 1)).alias("w"), F.lit(0).cast("long").alias("bits"))
+    filled = words.union(empty).groupBy("file", "m", "k", "w").agg(F.bit_or("bits").alias("bits")).groupBy("file", "m", "k").agg(F.array_sort(F.collect_list(F.struct("w", "bits"))).alias("at"))
+    return filled.select("file", "m", "k", F.col("at.bits").alias("words"))
 
 
 def may_hold(value: Column, m: Column, k: Column, words: Column) -> Column:

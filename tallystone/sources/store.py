@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import json
+import threading
 import time
 import uuid
 from collections.abc import Iterator
@@ -86,19 +87,47 @@ class Store:
         self._fs.delete(self._path(name), True)
 
     @contextlib.contextmanager
-    def lock(self, name: str = "meta/.lock", wait: float = 30.0) -> Iterator[None]:
-        """One writer at a time: an exclusively created file."""
+    def lock(self, name: str = "meta/.lock", wait: float = 30.0, lease: float = 600.0) -> Iterator[None]:
+        """One writer at a time: an exclusively created file that its holder touches.
+
+        A file that nobody touched for ``lease`` seconds was left by a writer that died, and is taken away.
+        """
         path, until = self._path(name), time.time() + wait
         while True:
             try:
                 self._fs.create(path, False).close()
                 break
             except Exception:
-                if not self._fs.exists(path) or time.time() < until:
+                if not self._fs.exists(path) or self._broken(path, lease) or time.time() < until:
                     time.sleep(0.05)
                     continue
                 raise TimeoutError(f"{self.root}: another writer holds {name}") from None
+        done = threading.Event()
+
+        def touch() -> None:
+            while not done.wait(lease / 5):
+                with contextlib.suppress(Exception):
+                    self._fs.setTimes(path, int(time.time() * 1000), -1)
+
+        threading.Thread(target=touch, daemon=True).start()
         try:
             yield
         finally:
+            done.set()
             self._fs.delete(path, False)
+
+    def _broken(self, path, lease: float) -> bool:
+        """Take away a lock that its holder no longer touches. Only one of several waiting writers can move it aside."""
+        try:
+            if time.time() * 1000 - self._fs.getFileStatus(path).getModificationTime() < lease * 1000:
+                return False
+            aside = self._path(f"meta/.{uuid.uuid4().hex}.tmp")
+            if not self._fs.rename(path, aside):
+                return False
+            if time.time() * 1000 - self._fs.getFileStatus(aside).getModificationTime() < lease * 1000:
+                self._fs.rename(aside, path)  # a fresh one that another writer made in between
+                return False
+            self._fs.delete(aside, False)
+            return True
+        except Exception:
+            return False

@@ -3,8 +3,8 @@
     data/gen-000001/part=<value>/part-*.parquet    never rewritten
     meta/CURRENT.json                             the manifest's number: the one thing that moves
     meta/manifest-000001.json                     schema, constraints, partitioning, indexes, files' statistics
-    meta/index/stats-000001/                      one row per file: rows, bytes, min, max, nulls
-    meta/index/bloom-000001/                      one row per file and column
+    meta/index/stats-000001/                      one row per file of a commit: rows, bytes, min, max, nulls
+    meta/index/bloom-000001/                      one row per file and column of a commit
     meta/{snapshots,journal,audit,usage,profiles}
 
 Files hold all columns, so reading needs no partition discovery; partition values are
@@ -50,6 +50,42 @@ def load_source(spark: SparkSession, source: DataFrame | str) -> DataFrame:
     raise ValueError(f"Unsupported source: {source}")
 
 
+def _part(manifest: dict[str, Any]) -> str | None:
+    return manifest["partitions"][0]["by"] if manifest["partitions"] else None
+
+
+#: Types in the order in which each holds all values of those before it.
+_WIDER = [[T.ByteType, T.ShortType, T.IntegerType, T.LongType], [T.ByteType, T.ShortType, T.IntegerType, T.DoubleType], [T.ByteType, T.ShortType, T.FloatType, T.DoubleType], [T.DateType, T.TimestampNTZType], [T.DateType, T.TimestampType]]
+
+
+def _holds(wide: T.DataType, narrow: T.DataType) -> bool:
+    """Whether every value of one type is one of the other."""
+    if wide == narrow or isinstance(narrow, T.NullType):
+        return True
+    if isinstance(wide, T.DecimalType) and isinstance(narrow, T.DecimalType):
+        return wide.scale >= narrow.scale and wide.precision - wide.scale >= narrow.precision - narrow.scale
+    if isinstance(wide, T.ArrayType) and isinstance(narrow, T.ArrayType):
+        return _holds(wide.elementType, narrow.elementType)
+    if isinstance(wide, T.StructType) and isinstance(narrow, T.StructType):
+        return wide.names == narrow.names and all(_holds(a.dataType, b.dataType) for a, b in zip(wide, narrow, strict=True))
+    return any(type(wide) in chain and type(narrow) in chain[: chain.index(type(wide))] for chain in _WIDER)
+
+
+def fitted(df: DataFrame, kinds: dict[str, T.DataType]) -> DataFrame:
+    """``df`` with the columns ``kinds`` in their types; ValueError where one is missing or might lose values. Other columns are not taken."""
+    missing = [c for c in kinds if c not in df.columns]
+    if missing:
+        raise ValueError(f"columns missing: {', '.join(missing)}")
+    wrong = [f"{c} is {df.schema[c].dataType.simpleString()}, not {k.simpleString()}" for c, k in kinds.items() if not _holds(k, df.schema[c].dataType)]
+    if wrong:
+        raise ValueError(f"columns of other types: {'; '.join(wrong)}")
+    return df.select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()])
+
+
+#: Commits after which their statistics are written together.
+MANY_COMMITS = 64
+
+
 class Table:
     """Reads and writes of one table. ``clock`` gives the time of commits."""
 
@@ -65,6 +101,10 @@ class Table:
     def version(self) -> int:
         return (self.store.read_json("meta/CURRENT.json") or {}).get("version", 0)
 
+    def next_version(self) -> int:
+        """The number of the next commit; under the lock."""
+        return 1 + max([self.version(), *(int(n[9:15]) for n in self.store.names("meta") if n.startswith("manifest-"))])
+
     def manifest(self, version: int | None = None) -> dict[str, Any]:
         v = version or self.version()
         if not v:
@@ -77,15 +117,27 @@ class Table:
     def schema(self, version: int | None = None) -> T.StructType:
         return T.StructType.fromJson(self.manifest(version)["spark_schema"])
 
-    def crypto(self) -> dict[str, Any] | None:
-        return self.store.read_json("meta/crypto.json")
+    def crypto(self, manifest: dict[str, Any] | None = None) -> dict[str, Any] | None:
+        """How columns are encrypted, in the current manifest or another; each manifest has its own, so it fits its files."""
+        manifest = manifest or (self.manifest() if self.version() else {})
+        return manifest["crypto"] if "crypto" in manifest else self.store.read_json("meta/crypto.json")
+
+    def stats(self, manifest: dict[str, Any]) -> DataFrame:
+        """One row per file with its statistics."""
+        return self.spark.read.parquet(*[f"{self.path}/{p}" for p in [manifest["stats"], *manifest.get("more_stats", [])]])
+
+    def blooms(self, manifest: dict[str, Any]) -> DataFrame | None:
+        """One row per file and column with its Bloom filter, if there is any."""
+        paths = [p for p in [manifest.get("bloom"), *manifest.get("more_blooms", [])] if p]
+        return self.spark.read.parquet(*[f"{self.path}/{p}" for p in paths]) if paths else None
 
     # ------------------------------------------------------------ journal
 
     def journal_append(self, op: str, details: dict[str, Any]) -> None:
-        ids = [int(n.split(".")[0]) for n in self.store.names("meta/journal")]
-        n = max(ids, default=0) + 1
-        self.store.write_text(f"meta/journal/{n:08d}.json", json.dumps({"id": n, "ts": self.now(), "op": op, "details": json.dumps(details, ensure_ascii=False, default=str)}, ensure_ascii=False))
+        with self.store.lock("meta/.journal.lock"):
+            ids = [int(n.split(".")[0]) for n in self.store.names("meta/journal")]
+            n = max(ids, default=0) + 1
+            self.store.write_text(f"meta/journal/{n:08d}.json", json.dumps({"id": n, "ts": self.now(), "op": op, "details": json.dumps(details, ensure_ascii=False, default=str)}, ensure_ascii=False))
 
     def log(self) -> DataFrame:
         """Journal events (id, ts, op, details as JSON) by id."""
@@ -117,85 +169,149 @@ class Table:
             df = df.withColumn("ts", F.try_to_timestamp("ts"))
         return self._commit(df, part, "write", constraints=constraints, indexes=indexes, snapshot=auto_snapshot, order=order or (["ts"] if "ts" in df.columns else []))
 
-    def append(self, source: DataFrame | str) -> Table:
-        """Add rows in new files; earlier files and snapshots stay as they are."""
-        m = self.manifest()
-        df = load_source(self.spark, source).select(*self.schema().names)
-        return self._commit(df, m["partitions"][0]["by"] if m["partitions"] else None, "append", old=m, order=["ts"] if "ts" in df.columns else [])
+    def append(self, source: DataFrame | str, passphrase: str | None = None, stream: tuple[str, int] | None = None) -> Table:
+        """Add rows in new files; earlier files and snapshots stay as they are, and only the new files are indexed.
+
+        Columns are taken by name and widened to the table's types; a missing column, or one that a type
+        may lose values of, is refused. An encrypted table needs its passphrase, and the new values are
+        encrypted too. ``stream`` (name, batch) is recorded in the same commit; a batch that is there already is skipped.
+        """
+        from ..operators import encrypt
+
+        df = load_source(self.spark, source)
+        with self.store.lock():
+            m, schema = self.manifest(), self.schema()
+            if stream and m.get("streams", {}).get(stream[0], -1) >= stream[1]:
+                return self
+            config = self.crypto(m)
+            kinds = {f.name: (T._parse_datatype_json_value(config["kinds"][f.name]) if config and f.name in config["columns"] else f.dataType) for f in schema}
+            df = fitted(df, kinds)
+            if config:
+                if passphrase is None:
+                    raise ValueError("appending to an encrypted table needs its passphrase")
+                df = encrypt.closed(df, self, config, config["columns"], passphrase, self.next_version(), _part(m))
+            self._put(df, _part(m), "append", old=m, order=["ts"] if "ts" in df.columns and "ts" not in (config or {}).get("columns", []) else [], crypto=config, stream=stream)
+        self.snapshot(note="auto after append")
+        return self
 
-    def _write_files(self, df: DataFrame, part: str | None, generation: int, order: list[str], max_rows: int | None = None, tie: tuple[str, ...] = ()) -> str:
+    def _write_files(self, df: DataFrame, part: str | None, generation: int, order: list[str], max_rows: int | None = None, tie: tuple[str, ...] = (), ranges: int | None = None) -> str:
         folder = f"{self.path}/data/gen-{generation:06d}"
+        by = [F.asc_nulls_last(c) for c in order]
         if part:
             # rebalancing keeps a value's rows together and splits values that are too large for one file
-            df = df.hint("rebalance", part).withColumn("__part", F.col(part))
+            df = (df if ranges else df.hint("rebalance", part)).withColumn("__part", F.col(part))
+        lead = ["__part"] if part else []
+        if ranges:  # files hold ranges of the order, so that their statistics don't overlap
+            df = df.repartitionByRange(ranges, *lead, *by, *tie)
         if part or order:
-            df = df.sortWithinPartitions(*(["__part"] if part else []), *[F.asc_nulls_last(c) for c in order], *tie)
+            df = df.sortWithinPartitions(*lead, *by, *tie)
         writer = df.drop(*tie).write.option("compression", "zstd")
         if max_rows:
             writer = writer.option("maxRecordsPerFile", max_rows)
         (writer.partitionBy("__part") if part else writer).parquet(folder)
         return folder
 
+    def _folder(self, folder: str, schema: T.StructType) -> DataFrame:
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder)
+
     def _stats_of(self, folder: str, schema: T.StructType) -> DataFrame:
-        data = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder)
         sizes = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder).select(F.col("path").alias("p"), F.col("length").alias("bytes"))
         plain = F.regexp_replace("file", "^file:/+", "file:/")
-        stats = S.file_stats(data, S.ordered_columns(schema)).withColumn("file", plain)
+        stats = S.file_stats(self._folder(folder, schema), S.ordered_columns(schema)).withColumn("file", plain)
         return stats.join(sizes.select(F.regexp_replace("p", "^file:/+", "file:/").alias("file"), "bytes"), "file", "left")
 
-    def _commit(self, df: DataFrame, part: str | None, op: str, *, old: dict | None = None, constraints=None, indexes=None, snapshot: bool = True, order=(), max_rows: int | None = None, details: dict | None = None, tie: tuple[str, ...] = ()) -> Table:
-        schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema if f.name not in tie])
+    def _commit(self, df: DataFrame, part: str | None, op: str, *, snapshot: bool = True, **how) -> Table:
         with self.store.lock():
-            version = self.version() + 1
-            folder = self._write_files(df, part, version, list(order), max_rows, tie)
-            fresh = self._stats_of(folder, schema)
-            keep = old is not None and op == "append"
-            known = self.spark.read.parquet(f"{self.path}/{old['stats']}").drop("chunk_id") if keep else None
-            every = known.unionByName(fresh, allowMissingColumns=True) if keep else fresh
-            # files are few next to rows: their numbering may pass through one task
-            every.withColumn("chunk_id", F.row_number().over(Window.orderBy("file")) - 1).coalesce(1).write.parquet(f"{self.path}/meta/index/stats-{version:06d}")
-            declared = indexes if indexes is not None else (old or {}).get("indexes", {})
-            declared = {c: ({k: {} for k in v} if isinstance(v, list) else dict(v)) for c, v in declared.items()}
-            if part:
-                declared.setdefault(part, {}).setdefault("bloom", {})
-            if "ts" in schema.names:
-                declared.setdefault("ts", {}).setdefault("minmax", {})
-            manifest = {
-                "version": 1, "name": self.path.rsplit("/", 1)[-1],
-                "schema": [{"name": f.name, "arrow_type": arrow_type(f.dataType)} | ({"constraints": c} if (c := (constraints if constraints is not None else {x["name"]: x.get("constraints") for x in (old or {}).get("schema", [])}).get(f.name)) else {}) for f in schema],
-                "primary_key": None, "partitions": [{"by": part}] if part else [], "indexes": {c: sorted(v) for c, v in declared.items()},
-                "created_at": (old or {}).get("created_at") or self.now(), "spark_schema": schema.jsonValue(), "generation": version,
-                "stats": f"meta/index/stats-{version:06d}", "bloom": None,
-            }
-            blooms = {c: v["bloom"] for c, v in declared.items() if "bloom" in v and c in schema.names}
-            if blooms:
-                manifest["bloom"] = f"meta/index/bloom-{version:06d}"
-                self._build_blooms(manifest, blooms)
-            self._publish(version, manifest)
-            chunks, rows = self.spark.read.parquet(f"{self.path}/{manifest['stats']}").agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
-            self.store.write_json("meta/profiles/rows.json", {"version": 1, "rows": rows})
-            self.journal_append(op, details or {"rows": rows, "chunks": chunks})
+            self._put(df, part, op, **how)
         if snapshot:
             self.snapshot(note=f"auto after {op}")
         return self
 
-    def _build_blooms(self, manifest: dict, blooms: dict[str, dict]) -> None:
-        data = self._scan(manifest)
+    def _put(
+        self, df: DataFrame, part: str | None, op: str, *, old: dict | None = None, constraints=None, indexes=None, order=(), max_rows: int | None = None, details: dict | None = None, tie: tuple[str, ...] = (),
+        ranges: int | None = None, crypto: dict | None = None, stream: tuple[str, int] | None = None, publish: bool = True,
+    ) -> int:
+        """Write, index and publish one version; call it under the lock. An append reads and writes nothing of earlier files.
+
+        Without ``publish`` its manifest is written, but the table stays at its version.
+        """
+        schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema if f.name not in tie])
+        version = self.next_version()
+        folder = self._write_files(df, part, version, list(order), max_rows, tie, ranges)
+        keep = old if op == "append" else None
+        chunks, rows = (keep["chunks"], keep["rows"]) if keep else (0, 0)
+        path = f"meta/index/stats-{version:06d}"
+        self._number(self._stats_of(folder, schema), chunks, path)
+        declared = indexes if indexes is not None else (old or {}).get("indexes", {})
+        declared = {c: ({k: {} for k in v} if isinstance(v, list) else dict(v)) for c, v in declared.items()}
+        if part:
+            declared.setdefault(part, {}).setdefault("bloom", {})
+        if "ts" in schema.names:
+            declared.setdefault("ts", {}).setdefault("minmax", {})
+        blooms = {c: v["bloom"] for c, v in declared.items() if "bloom" in v and c in schema.names and c not in (crypto or {}).get("columns", [])}
+        filters = f"meta/index/bloom-{version:06d}" if blooms else None
+        if blooms:
+            self._build_blooms(self._folder(folder, schema), blooms, filters)
+        n, more = self.spark.read.parquet(f"{self.path}/{path}").agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+        rules = constraints if constraints is not None else {x["name"]: x.get("constraints") for x in (old or {}).get("schema", [])}
+        manifest = {
+            "version": 1, "name": self.path.rsplit("/", 1)[-1],
+            "schema": [{"name": f.name, "arrow_type": arrow_type(f.dataType)} | ({"constraints": c} if (c := rules.get(f.name)) else {}) for f in schema],
+            "primary_key": None, "partitions": [{"by": part}] if part else [], "indexes": {c: sorted(v) for c, v in declared.items()},
+            "created_at": (old or {}).get("created_at") or self.now(), "spark_schema": schema.jsonValue(), "generation": version, "chunks": chunks + n, "rows": rows + more,
+            "stats": keep["stats"] if keep else path, "more_stats": [*keep.get("more_stats", []), path] if keep else [],
+            "bloom": keep["bloom"] if keep and keep["bloom"] else filters, "more_blooms": [*keep.get("more_blooms", []), *([filters] if filters and keep["bloom"] else [])] if keep else [],
+            "crypto": crypto, "streams": {**(old or {}).get("streams", {}), **({stream[0]: stream[1]} if stream else {})},
+        }
+        if len(manifest["more_stats"]) >= MANY_COMMITS:  # so that readers open few folders, at a cost that each commit shares
+            manifest = self._merged(manifest, version)
+        self.store.write_json(f"meta/manifest-{version:06d}.json", manifest)
+        if publish:
+            self.store.write_json("meta/CURRENT.json", {"version": version})
+            self.store.write_json("meta/profiles/rows.json", {"version": 1, "rows": manifest["rows"]})
+            self.journal_append(op, details or {"rows": manifest["rows"], "chunks": manifest["chunks"]})
+        return version
+
+    def _number(self, stats: DataFrame, first: int, path: str) -> None:
+        # files are few next to rows: their numbering may pass through one task
+        stats.withColumn("chunk_id", F.row_number().over(Window.orderBy("file")) - 1 + first).coalesce(1).write.parquet(f"{self.path}/{path}")
+
+    def _merged(self, manifest: dict, version: int) -> dict:
+        """The same manifest with the statistics and filters of all commits in one folder each."""
+        out = {**manifest, "stats": f"meta/index/stats-{version:06d}-all", "more_stats": [], "more_blooms": []}
+        self.stats(manifest).coalesce(1).write.parquet(f"{self.path}/{out['stats']}")
+        if manifest["bloom"]:
+            out["bloom"] = f"meta/index/bloom-{version:06d}-all"
+            self.blooms(manifest).write.parquet(f"{self.path}/{out['bloom']}")
+        return out
+
+    def _build_blooms(self, data: DataFrame, blooms: dict[str, dict], path: str) -> None:
         for c, options in blooms.items():
-            S.file_blooms(data, c, float(options.get("fp_rate", 0.01))).withColumn("column", F.lit(c)).withColumn("file", F.regexp_replace("file", "^file:/+", "file:/")).write.mode("append").parquet(f"{self.path}/{manifest['bloom']}")
+            S.file_blooms(data, c, float(options.get("fp_rate", 0.01))).withColumn("column", F.lit(c)).withColumn("file", F.regexp_replace("file", "^file:/+", "file:/")).write.mode("append").parquet(f"{self.path}/{path}")
 
     def _publish(self, version: int, manifest: dict) -> None:
         self.store.write_json(f"meta/manifest-{version:06d}.json", manifest)
         self.store.write_json("meta/CURRENT.json", {"version": version})
 
+    def vacuum(self) -> list[str]:
+        """Delete generations, statistics and filters that neither the current manifest nor a snapshot names; call it under the lock."""
+        kept = [self.manifest(n) for n in {self.version(), *(self.store.read_json(f"meta/{s['file']}")["manifest"] for s in self.list_snapshots())}]
+        data = {r.g for m in kept for r in self.stats(m).select(F.regexp_extract("file", r"/data/(gen-\d+)/", 1).alias("g")).distinct().collect()}
+        index = {p.rsplit("/", 1)[-1] for m in kept for p in [m["stats"], *m.get("more_stats", []), m["bloom"], *m.get("more_blooms", [])] if p}
+        gone = [f"data/{n}" for n in self.store.names("data") if n not in data] + [f"meta/index/{n}" for n in self.store.names("meta/index") if n not in index]
+        numbers = {m["generation"] for m in kept}
+        gone += [f"meta/{n}" for n in self.store.names("meta") if n.startswith("manifest-") and int(n[9:15]) not in numbers]
+        for name in gone:
+            self.store.delete(name)
+        return gone
+
     # ------------------------------------------------------------ read
 
     def _index(self, manifest: dict) -> DataFrame:
         """One row per file with its statistics and, as ``bloom_c``, its Bloom filters."""
-        stats = self.spark.read.parquet(f"{self.path}/{manifest['stats']}")
-        if not manifest.get("bloom"):
+        stats, b = self.stats(manifest), self.blooms(manifest)
+        if b is None:
             return stats
-        b = self.spark.read.parquet(f"{self.path}/{manifest['bloom']}")
         by = b.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("m", "k", "words")))).alias("blooms"))
         return stats.join(by, "file", "left")
 
@@ -216,7 +332,7 @@ class Table:
     def _scan(self, manifest: dict, files: list[str] | None = None) -> DataFrame:
         schema = T.StructType.fromJson(manifest["spark_schema"])
         if files is None:
-            files = [r.file for r in self.spark.read.parquet(f"{self.path}/{manifest['stats']}").select("file").orderBy("file").collect()]
+            files = [r.file for r in self.stats(manifest).select("file").orderBy("file").collect()]
         if not files:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*files)
@@ -248,7 +364,8 @@ class Table:
         manifest = self.manifest_as_of(as_of)
         schema = T.StructType.fromJson(manifest["spark_schema"])
         tree = P.parse(where)
-        locked = [c for c in (self.crypto() or {}).get("columns", []) if c in schema.names]
+        config = self.crypto(manifest) or {}
+        locked = [c for c in config.get("columns", []) if c in schema.names]
         wanted = list(columns) if columns is not None else [c for c in schema.names if passphrase is not None or c not in locked]
         for c in wanted:
             if c not in schema.names:
@@ -257,12 +374,15 @@ class Table:
         need = [c for c in locked if c in wanted or c in tested]
         if need and passphrase is None:
             raise ValueError(f"encrypted columns need a passphrase: {', '.join(need)}")
-        found = self._candidates(manifest, None if need and set(need) & set(tested) else tree).select("file", "bytes").orderBy("file").collect()
+        found = self._candidates(manifest, None if need and set(need) & set(tested) else tree).select("file", "bytes", "rows").orderBy("file").collect()
+        if head is not None and tree is None:  # only the first files that hold so many rows
+            have = 0
+            found = [r for r in found if have < head and (have := have + r.rows) is not None]
         df = self._scan(manifest, [r.file for r in found])
         if head is not None:
             df = df.withColumns({"__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")}) if found else df.withColumns({"__file": F.lit(""), "__row": F.lit(0)})
         if need:
-            df = encrypt.decrypted(df, self, need, passphrase)
+            df = encrypt.decrypted(df, self, need, passphrase, config)
             schema = T.StructType([df.schema[c] if c in df.columns else schema[c] for c in schema.names])
         if tree is not None:
             df = df.where(P.condition(tree, schema))
@@ -294,8 +414,8 @@ class Table:
             low, high = index.agg(F.min("min_ts"), F.max("max_ts")).first()
             minmax = {"global_min": low, "global_max": high}
         bloom = {"n_chunks_indexed": 0}
-        if manifest.get("bloom"):
-            b = self.spark.read.parquet(f"{self.path}/{manifest['bloom']}").agg(F.countDistinct("file").alias("n"), F.collect_set("m").alias("m"), F.collect_set("k").alias("k")).first()
+        if (filters := self.blooms(manifest)) is not None:
+            b = filters.agg(F.countDistinct("file").alias("n"), F.collect_set("m").alias("m"), F.collect_set("k").alias("k")).first()
             bloom = {"n_chunks_indexed": b.n, "m_bits": sorted(b.m), "k_hashes": sorted(b.k)}
         ids = [r.chunk_id for r in final]
         return {
@@ -314,7 +434,7 @@ class Table:
     def inspect(self) -> dict[str, Any]:
         """Name, schema, layout, sizes, profile, usage and history of the table."""
         m = self.manifest()
-        n, size, rows = self.spark.read.parquet(f"{self.path}/{m['stats']}").agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+        n, size, rows = self.stats(m).agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
         snaps, uses = self.list_snapshots(), self.store.names("meta/usage")
         return {
             "name": m["name"], "created_at": m["created_at"], "schema": m["schema"], "partitions": m["partitions"], "indexes": m["indexes"], "n_chunks": n, "bytes_total": size, "rows": rows,
@@ -328,11 +448,11 @@ class Table:
         """Record the current files under the present time; returns the document's name."""
         m = self.manifest()
         ts = self.clock().astimezone(dt.UTC)
-        files = self.spark.read.parquet(f"{self.path}/{m['stats']}").select("chunk_id", "file").orderBy("chunk_id").collect()
+        files = self.stats(m).select("chunk_id", "file").orderBy("chunk_id").collect()
         name = f"{ts:%Y%m%dT%H%M%S%f}Z.json"
         doc = {
             "version": 1, "ts": ts.isoformat().replace("+00:00", "Z"), "manifest_hash": self.manifest_hash(m), "manifest": m["generation"],
-            "chunks": [{"chunk_id": r.chunk_id, "path": r.file} for r in files], "indexes": [x for x in (m["stats"], m["bloom"]) if x], "profiles": {"quality": self.store.exists("meta/profiles/quality.json")}, "note": note,
+            "chunks": [{"chunk_id": r.chunk_id, "path": r.file} for r in files], "indexes": [x for x in (m["stats"], *m.get("more_stats", []), m["bloom"], *m.get("more_blooms", [])) if x], "profiles": {"quality": self.store.exists("meta/profiles/quality.json")}, "note": note,
         }
         self.store.write_json(f"meta/snapshots/{name}", doc)
         self.journal_append("snapshot", {"snapshot": name, "note": note})

@@ -8,19 +8,12 @@ from pyspark.sql.streaming import StreamingQuery
 from ..sources.table import Table
 
 
-def append_stream(stream: DataFrame, table: Table, checkpoint: str, partition_by: list[str] | None = None, **trigger) -> StreamingQuery:
-    """Append a stream's micro-batches. A batch that was committed before a failure is recognised by its journal entry and skipped."""
+def append_stream(stream: DataFrame, table: Table, checkpoint: str, partition_by: list[str] | None = None, passphrase: str | None = None, **trigger) -> StreamingQuery:
+    """Append a stream's micro-batches, each once: its number is in the manifest that publishes its rows, so neither is there without the other."""
 
     def put(batch: DataFrame, number: int) -> None:
-        mark = f"stream {checkpoint} batch {number}"
-        if table.version() and any(mark in r.details for r in table.log().where("op = 'stream'").collect()):
-            return
-        if batch.isEmpty():
-            return
-        if table.version():
-            table.append(batch)
-        else:
-            table.write(batch, partition_by=partition_by)
-        table.journal_append("stream", {"mark": mark})
+        if not table.version():
+            table.write(batch.limit(0), partition_by=partition_by, auto_snapshot=False)
+        table.append(batch, passphrase=passphrase, stream=(checkpoint, number))
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

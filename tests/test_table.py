@@ -259,3 +259,110 @@ def test_index_kinds_and_vector_index(spark, tmp_path, sf):
 
 def test_demo(spark, tmp_path):
     assert cli(["demo", str(tmp_path / "d")], spark) == 0
+
+
+def test_append_widens_or_refuses(spark, tmp_path):
+    t = Table(spark, str(tmp_path / "t")).write(spark.createDataFrame([(1, 1.0, "a")], "a long, b double, c string"))
+    t.append(spark.createDataFrame([(2, 2, "b", 9)], "a int, b int, c string, other int"))
+    assert [f.dataType.simpleString() for f in t.schema()] == ["bigint", "double", "string"] and rows(t.read()) == [(1, 1.0, "a"), (2, 2.0, "b")]
+    for df, said in ((spark.createDataFrame([(1.5, 1.0, "a")], "a double, b double, c string"), "a is double, not bigint"), (spark.createDataFrame([("1", 1.0, "a")], "a string, b double, c string"), "a is string"), (spark.createDataFrame([(1, 2.0)], "a long, b double"), "missing: c")):
+        with pytest.raises(ValueError, match=said):
+            t.append(df)
+    assert t.read().count() == 2 and t.read(where="a >= 2").count() == 1
+    assert t.read(head=1).count() == 1 and t.read(head=5).count() == 2
+
+
+def test_appends_leave_earlier_statistics_alone(spark, tmp_path, monkeypatch):
+    from tallystone.sources import table as module
+
+    monkeypatch.setattr(module, "MANY_COMMITS", 3)
+    t = Table(spark, str(tmp_path / "t")).write(frame(spark, 10), indexes={"dni": {"bloom": {}}})
+    first = t.store.files("meta/index")
+    for i in range(5):
+        t.append(frame(spark, 10 + i))
+    assert set(first) <= set(t.store.files("meta/index"))
+    m = t.manifest()
+    assert t.stats(m).select("chunk_id").distinct().count() == t.stats(m).count() == m["chunks"] and t.read().count() == m["rows"] == 10 + sum(range(10, 15))
+    assert len(m["more_stats"]) < 3 and t.read(where="dni = 'D00003'").count() == 6 and t.read(where="dni = 'D00013'").count() == 1
+    assert t.plan("dni = 'D00013'")["candidates_count"] < m["chunks"]
+
+
+def listed(df):
+    return sorted(str(tuple(r)) for r in df.collect())
+
+
+def test_encryption_covers_history_and_appends(spark, tmp_path):
+    times = iter(dt.datetime(2024, 1, d, tzinfo=dt.UTC) for d in range(1, 29) for _ in range(6))
+    t = Table(spark, str(tmp_path / "t"), clock=lambda: next(times)).write(frame(spark, 20))
+    t.append(frame(spark, 5))
+    before = [s["ts"] for s in t.list_snapshots()]
+    plain = [listed(t.read(as_of=ts)) for ts in before]
+    encrypt.encrypt_columns(t, ["dni"], "pw", COST)
+    assert [listed(t.read(as_of=ts, passphrase="pw")) for ts in before] == plain and listed(t.read(passphrase="pw")) == plain[-1]
+    assert "dni" not in t.read(as_of=before[0]).columns
+    raw = b"".join(t.store.read_bytes(n) for n, _ in t.store.files("data"))
+    assert b"D00003" not in raw and not [n for n, _ in t.store.files("data") if "gen-000001/" in n or "gen-000002/" in n]
+    with pytest.raises(ValueError, match="passphrase"):
+        t.append(frame(spark, 3))
+    with pytest.raises(encrypt.WrongPassphrase):
+        t.append(frame(spark, 3), passphrase="no")
+    t.append(frame(spark, 3), passphrase="pw")
+    assert listed(t.read(passphrase="pw")) == sorted(plain[-1] + listed(frame(spark, 3))) and t.read(["id"], "dni = 'D00001'", passphrase="pw").count() == 3
+    encrypt.encrypt_columns(t, ["salario"], "pw")
+    assert t.read(passphrase="pw").where("salario = 1003.0 and dni = 'D00003'").count() == 2
+    encrypt.check_values(t, "pw")
+    # a value moved to another partition or generation does not authenticate
+    scan = t._scan(t.manifest())
+    with pytest.raises(Exception, match="CorruptCiphertext"):
+        encrypt.decrypted(scan.withColumn("country", F.lit("UY")), t, ["dni"], "pw").collect()
+    encrypt.decrypt_columns(t, ["dni"], "pw")
+    assert t.crypto()["columns"] == ["salario"] and t.read(where="dni = 'D00003'").count() == 2 and listed(t.read(as_of=before[0], passphrase="pw")) == plain[0]
+
+
+def test_encryption_that_fails_leaves_the_table(spark, tmp_path, monkeypatch):
+    t = Table(spark, str(tmp_path / "t")).write(frame(spark, 20))
+    t.append(frame(spark, 5))
+    want, write = listed(t.read()), Table._write_files
+    calls = iter(range(9))
+    monkeypatch.setattr(Table, "_write_files", lambda *a, **k: write(*a, **k) if next(calls) < 1 else 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        encrypt.encrypt_columns(t, ["dni"], "pw", COST)
+    monkeypatch.undo()
+    assert listed(t.read()) == want and t.crypto() is None
+    encrypt.encrypt_columns(t, ["dni"], "pw", COST)
+    assert listed(t.read(passphrase="pw")) == want
+
+
+def test_a_stream_batch_that_failed_after_its_commit_is_skipped(spark, tmp_path):
+    t = Table(spark, str(tmp_path / "t")).write(frame(spark, 4))
+    t.append(frame(spark, 3), stream=("s", 0))
+    t.append(frame(spark, 3), stream=("s", 0))
+    t.append(frame(spark, 3), stream=("other", 0))
+    assert t.read().count() == 10 and t.manifest()["streams"] == {"s": 0, "other": 0}
+
+
+def test_large_filters_and_compaction_use_many_tasks(spark, tmp_path):
+    from tallystone.operators import stats
+
+    df = spark.range(0, 400_000, 1, 8).select("id", F.hash("id").alias("h"))
+    t = Table(spark, str(tmp_path / "t")).write(df)
+    blooms = stats.file_blooms(t._scan(t.manifest()), "h")
+    low = blooms.where(stats.may_hold(F.lit(5).cast("int"), F.col("m"), F.col("k"), F.col("words"))).count()
+    assert blooms.count() == 8 and low <= 2 and blooms.where(F.size("words") * 64 != F.col("m")).count() == 0
+    optimize.optimize(t, target_rows=100_000)
+    m = t.manifest()
+    assert m["chunks"] >= 4 and t.stats(m).agg(F.max("rows")).first()[0] <= 150_000
+    p = Table(spark, str(tmp_path / "p")).write(df.withColumn("country", F.when(F.col("id") % 10 == 0, "b").otherwise("a")))
+    optimize.optimize(p, target_rows=50_000, order=["h"])
+    spans = sorted((r.min_country, r.min_h, r.max_h) for r in p.stats(p.manifest()).collect())
+    assert len(spans) >= 8 and all(a[2] <= b[1] for a, b in zip(spans, spans[1:]) if a[0] == b[0])
+
+
+def test_a_lock_left_behind_is_taken_over(spark, table):
+    table.store.write_text("meta/.lock", "")
+    with pytest.raises(TimeoutError), table.store.lock(wait=0.2):
+        pass
+    os.utime(os.path.join(table.path, "meta/.lock"), (1, 1))
+    with table.store.lock(wait=0.2):
+        assert table.store.exists("meta/.lock")
+    assert not table.store.exists("meta/.lock")
