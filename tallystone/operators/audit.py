@@ -18,6 +18,13 @@ FOLDER = "meta/audit"
 ZERO = "0" * 64
 
 
+def chained_line(event: dict[str, Any], before: str) -> tuple[str, dict[str, Any]]:
+    """The line of an event that carries the hash of the line before and its own, which comes last."""
+    event = {k: v for k, v in event.items() if k != "sha256"} | {"prev_sha256": before}
+    event["sha256"] = hashlib.sha256(json.dumps(event, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+    return json.dumps(event, ensure_ascii=False, separators=(",", ":")), event
+
+
 def append(table: Table, event: dict[str, Any], chained: bool = True, day: str | None = None) -> dict[str, Any]:
     """Add an event to the day's file. A chained one carries the hash of the line before and its own, which comes last."""
     event = {**event}
@@ -29,10 +36,7 @@ def append(table: Table, event: dict[str, Any], chained: bool = True, day: str |
         text = table.store.read_text(name) if table.store.exists(name) else ""
         lines = [x for x in text.split("\n") if x]
         if chained:
-            event.pop("sha256", None)
-            event["prev_sha256"] = hashlib.sha256(lines[-1].encode()).hexdigest() if lines else ZERO
-            body = json.dumps(event, ensure_ascii=False, separators=(",", ":"))
-            event["sha256"] = hashlib.sha256(body.encode()).hexdigest()
+            _, event = chained_line(event, hashlib.sha256(lines[-1].encode()).hexdigest() if lines else ZERO)
         table.store.write_text(name, text + json.dumps(event, ensure_ascii=False, separators=(",", ":")) + "\n")
     return event
 
@@ -82,7 +86,7 @@ def first_bad(chain: DataFrame) -> DataFrame:
 
 def verify(table: Table) -> dict[str, Any]:
     """Whether every file's chain holds, with the first bad line of each that doesn't."""
-    rows = first_bad(lines(table)).orderBy("file").collect()  # a row a day
+    rows = sorted(first_bad(lines(table)).collect(), key=lambda r: r.file) if table.store.names(FOLDER) else []  # a row a day
     bad = {r.file: r.first_bad_line for r in rows if r.first_bad_line is not None}
     return {"ok": not bad, "consistent": not bad, "files": len(rows), "events": sum(r.lines for r in rows), "signed": sum(r.signed or 0 for r in rows), "bad": bad}
 
@@ -92,13 +96,16 @@ def heads(table: Table) -> dict[str, str]:
     return {r.file: "!inconsistent" if r.first_bad_line is not None else r.head for r in first_bad(lines(table)).collect()}
 
 
+def progress(chain: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(file, lines, head, anchor): of each file of the log or of ``anchors`` (file, head), its lines, the head it once had, and that line's number now."""
+    linked = links(chain)
+    at = linked.join(anchors, "file").where(F.col("line_hash") == F.col("head")).groupBy("file").agg(F.max("line_no").alias("anchor"))
+    return linked.groupBy("file").agg(F.count("*").alias("lines")).join(anchors, "file", "full_outer").join(at, "file", "left")
+
+
 def since(table: Table, signed: dict[str, str]) -> dict[str, Any]:
     """What happened to the log since its heads were signed: rewritten, missing, or appended to."""
-    chain = links(lines(table))
-    spark = table.spark
-    anchors = spark.createDataFrame(list(signed.items()), "file string, head string")
-    at = chain.join(anchors, "file").where(F.col("line_hash") == F.col("head")).groupBy("file").agg(F.max("line_no").alias("anchor"))
-    state = chain.groupBy("file").agg(F.count("*").alias("lines")).join(anchors, "file", "full_outer").join(at, "file", "left").collect()  # a row a day
+    state = progress(lines(table), table.spark.createDataFrame(list(signed.items()), "file string, head string")).collect()  # a row a day
     out: dict[str, Any] = {"append_only": True, "unattested_appends": 0, "detail": {}}
     for r in state:
         if r.lines is None:

@@ -44,6 +44,11 @@ def quota(seals: DataFrame, keys: DataFrame) -> DataFrame:
     return used.join(keys.select("key_id", "tier"), "key_id", "left").select("key_id", "month", "used", F.coalesce(F.try_element_at(tier, F.col("tier")), F.lit(0)).alias("allowed"))
 
 
+def by_roots(seals: DataFrame, roots: DataFrame) -> DataFrame:
+    """Seals whose root is among ``roots`` (entries_root)."""
+    return seals.join(roots.select("entries_root").distinct(), "entries_root", "left_semi").select(*seals.columns)
+
+
 class Ledger:
     """One log in a folder; appends are made one at a time under a lock. ``issuer`` signs every seal."""
 
@@ -133,7 +138,7 @@ class Ledger:
         return row.asDict() if row else None
 
     def find_by_root(self, entries_root: str) -> DataFrame:
-        return self.seals().where(F.col("entries_root") == entries_root).orderBy("n")
+        return by_roots(self.seals(), self.spark.createDataFrame([(entries_root,)], "entries_root string")).orderBy("n")
 
     def log_list(self, after: int = 0, limit: int = 50) -> DataFrame:
         return page(self.seals(), after, limit)

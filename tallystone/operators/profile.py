@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,16 +26,51 @@ def _null(c: str, kind: T.DataType) -> Column:
     return missing | F.isnan(c) if isinstance(kind, (T.FloatType, T.DoubleType)) else missing
 
 
-def exact_quantile(column: str, q: float) -> Column:
-    """The order statistic sorted[ceil(q * (n - 1))]. For groups that fit in memory; ``profile`` uses sketches."""
-    values = F.sort_array(F.collect_list(column))
-    return F.get(values, F.ceil(F.lit(q) * (F.size(values) - 1)).cast("int"))
+#: Ranges of values into which the search for an order statistic is cut.
+RANGES = 128
 
 
-def profile_frame(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def order_statistics(df: DataFrame, by: list[str], column: str, picks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """``by``, n and, for each name of ``picks``, the value at that place (from 0) of the sorted non-null values; a pick is a function of n.
+
+    Values are counted, the counts summed over ranges of values, and only the range that holds a place
+    is ordered. So no group's values come together in one row or task, and a frequent value is one row.
+    Groups without values are left out.
+    """
+    have = df.where(F.col(column).isNotNull()).select(F.struct(*by).alias("by") if by else F.lit(0).alias("by"), F.col(column).alias("value"))
+    cuts = sorted(set(have.select(F.col("value").cast("double")).approxQuantile("value", [i / RANGES for i in range(1, RANGES)], 0.2 / RANGES)))
+    place = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c < F.col("value").cast("double"))) if cuts else F.lit(0)
+    counts = have.groupBy("by", place.alias("range"), "value").agg(F.count("*").alias("n"))
+    ranges = counts.groupBy("by", "range").agg(F.sum("n").alias("held"))  # at most RANGES rows a group
+    of_group = Window.partitionBy("by")
+    ranges = ranges.withColumns({"total": F.sum("held").over(of_group), "before": F.sum("held").over(of_group.orderBy("range")) - F.col("held")})
+    asked = ranges.select("*", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), pick(F.col("total")).cast("long").alias("at")) for name, pick in picks.items()])).alias("pick"))
+    asked = asked.select("by", "range", "total", F.col("pick.name").alias("name"), (F.col("pick.at") - F.col("before")).alias("within"), "held").where("within >= 0 AND within < held")
+    up_to = F.sum("n").over(Window.partitionBy("by", "range", "name").orderBy("value"))
+    found = counts.join(asked, ["by", "range"]).withColumn("up_to", up_to).where("within < up_to AND within >= up_to - n")
+    out = found.groupBy("by").agg(F.max("total").alias("n"), *[F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in picks])
+    return out.select(*[F.col("by")[c].alias(c) for c in by], "n", *picks)
+
+
+def quantiles(df: DataFrame, by: list[str], column: str, wanted: dict[str, float], interpolate: bool = False) -> DataFrame:
+    """``by`` and exact quantiles: sorted[ceil(q * (n - 1))], or interpolated between neighbours."""
+    if not interpolate:
+        return order_statistics(df, by, column, {k: lambda n, q=q: F.ceil(F.lit(q) * (n - 1)) for k, q in wanted.items()}).drop("n")
+    ends = {f"{k}{end}": (lambda n, q=q, f=f: f(F.lit(q) * (n - 1))) for k, q in wanted.items() for end, f in (("_low", F.floor), ("_high", F.ceil))}
+    got = order_statistics(df, by, column, ends)
+
+    def between(k: str, q: float) -> Column:
+        at = F.lit(q) * (F.col("n") - 1)
+        return F.col(f"{k}_low") + (F.col(f"{k}_high") - F.col(f"{k}_low")) * (at - F.floor(at))
+
+    return got.select(*by, *[between(k, q).alias(k) for k, q in wanted.items()])
+
+
+def profile_frame(df: DataFrame, columns: list[str] | None = None, exact: bool = False) -> DataFrame:
     """One row a column: dtype, rows, nulls, null_pct, min, max, distinct_est, p50, p95, p99 (numbers only).
 
-    One pass: HyperLogLog and KLL sketches merge partial results on the map side.
+    One pass: HyperLogLog and KLL sketches merge partial results on the map side. With ``exact``
+    distinct values are counted instead, which shuffles each column's values.
     """
     names = columns or df.columns
     made, rows = [F.count("*").alias("rows")], []
@@ -44,7 +80,7 @@ def profile_frame(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         ordered = not isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))
         made += [F.sum(_null(c, kind).cast("long")).alias(f"n{i}"), (F.min(plain) if ordered else F.lit(None)).cast("string").alias(f"lo{i}"), (F.max(plain) if ordered else F.lit(None)).cast("string").alias(f"hi{i}")]
         text = F.to_json(F.struct(plain.alias("v"))) if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)) else plain.cast("string")
-        made.append(F.hll_sketch_estimate(F.hll_sketch_agg(text, 14)).alias(f"d{i}"))
+        made.append((F.countDistinct(text) if exact else F.hll_sketch_estimate(F.hll_sketch_agg(text, 14))).alias(f"d{i}"))
         if kind_of(kind) == "number":
             made.append(F.call_function("kll_sketch_agg_double", plain.cast("double")).alias(f"k{i}"))
     one = df.agg(*made)

@@ -7,6 +7,8 @@ from typing import TYPE_CHECKING, Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .profile import order_statistics
+
 if TYPE_CHECKING:
     from ..sources.table import Table
 
@@ -25,18 +27,25 @@ def records(table: Table) -> DataFrame:
     return raw.withColumn("bad", F.col("_bad").isNotNull()).where("not bad").drop("bad", "_bad")
 
 
-def nearest_rank(column: str, p: float) -> Column:
-    """sorted[round_half_even(p / 100 * (n - 1))], null for no rows."""
-    values = F.sort_array(F.collect_list(column))
-    return F.get(values, F.bround(F.lit(p / 100) * (F.size(values) - 1)).cast("int"))
+def nearest_rank(p: float):
+    """Place round_half_even(p / 100 * (n - 1)) of n sorted values."""
+    return lambda n: F.bround(F.lit(p / 100) * (n - 1))
 
 
 def figures(log: DataFrame, bytes_col: str = "bytes_read", chunks_col: str = "chunks_scanned") -> DataFrame:
     """One row: reads_total, bytes_read_total, chunks_scanned_total and nearest-rank p50/p95 of both."""
-    return log.agg(
-        F.count("*").alias("reads_total"), F.coalesce(F.sum(bytes_col), F.lit(0)).cast("long").alias("bytes_read_total"), F.coalesce(F.sum(chunks_col), F.lit(0)).cast("long").alias("chunks_scanned_total"),
-        nearest_rank(bytes_col, 50).alias("bytes_p50"), nearest_rank(bytes_col, 95).alias("bytes_p95"), nearest_rank(chunks_col, 50).alias("chunks_p50"), nearest_rank(chunks_col, 95).alias("chunks_p95"),
+    sums = log.agg(
+        F.lit(0).alias("one"), F.count("*").alias("reads_total"), F.coalesce(F.sum(bytes_col), F.lit(0)).cast("long").alias("bytes_read_total"), F.coalesce(F.sum(chunks_col), F.lit(0)).cast("long").alias("chunks_scanned_total")
     )
+    for c, name in ((bytes_col, "bytes"), (chunks_col, "chunks")):
+        ranks = order_statistics(log, [], c, {f"{name}_p{p}": nearest_rank(p) for p in (50, 95)})
+        sums = sums.join(ranks.drop("n").withColumn("one", F.lit(0)), "one", "left")  # a row beside a row
+    return sums.drop("one")
+
+
+def difference(pre: dict[str, Any], now: dict[str, Any]) -> dict[str, Any]:
+    """How figures moved, where both are known."""
+    return {k: now[k] - pre[k] for k in now if pre.get(k) is not None and now[k] is not None}
 
 
 def kpis(table: Table) -> dict[str, Any]:
@@ -73,7 +82,7 @@ def update_kpis(table: Table, baseline: bool = False) -> dict[str, Any]:
         doc = {"pre_kpis": now}
     else:
         pre = doc.get("pre_kpis") or {}
-        doc |= {"post_kpis": now, "delta_vs_pre": {k: now[k] - pre[k] for k in now if pre.get(k) is not None and now[k] is not None}}
+        doc |= {"post_kpis": now, "delta_vs_pre": difference(pre, now)}
     doc["kpis_updated_at"] = table.now()
     table.store.write_json("meta/profiles/kpis.json", doc)
     return doc

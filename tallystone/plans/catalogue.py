@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import audit, encrypt, integrity, ledger, optimize, profile, usage, vector
+from ..functions import ed25519
+from ..operators import asof, audit, encrypt, integrity, ledger, optimize, profile, usage, vector
 from ..sources.table import Table
 from . import QUERIES, SQL, query
 
@@ -23,6 +26,8 @@ def scratch(spark: SparkSession) -> str:
     """A folder that driver and executors share, for tables that queries write."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="tallystone-")
@@ -114,7 +119,8 @@ def filter_null(spark, sf):
 
 @query("head_n", f"SELECT {ORDERS} FROM orders ORDER BY o_orderkey LIMIT 25")
 def head_n(spark, sf):
-    t = Table(spark, scratch(spark)).write(read(spark, sf, "orders").coalesce(1), order=["o_orderkey"], auto_snapshot=False)
+    t = Table(spark, scratch(spark)).write(read(spark, sf, "orders"), auto_snapshot=False)
+    optimize.optimize(t, order=["o_orderkey"])  # files by ranges of the key
     return t.read(head=25)
 
 
@@ -138,29 +144,54 @@ def asof_read(spark, sf):
     return t.read(as_of=first)
 
 
-@query("asof_pick", "SELECT e.event_id, max_by(o.o_orderkey, (o.o_orderdate, o.o_orderkey)) AS o_orderkey FROM (SELECT event_id, ts - INTERVAL 28 YEAR AS at FROM events WHERE event_id % 50 = 0) e JOIN (SELECT * FROM orders WHERE o_orderkey % 40 = 0) o ON o.o_orderdate <= e.at GROUP BY e.event_id")
+@query("asof_pick", "SELECT e.event_id, max_by(o.o_orderkey, (o.o_orderdate, o.o_orderkey)) AS o_orderkey FROM (SELECT event_id, ts - INTERVAL 28 YEAR AS at FROM events) e JOIN orders o ON o.o_orderdate <= e.at GROUP BY e.event_id")
 def asof_pick(spark, sf):
-    """The newest snapshot (here: order) not after each time, on a sample of both tables; ``asof_whole`` takes the whole ones."""
-    return _asof(read(spark, sf, "events").where("event_id % 50 = 0"), read(spark, sf, "orders").where("o_orderkey % 40 = 0"))
+    """The newest order not after each event's time; ``asof_whole`` has the same with an as-of join as its SQL."""
+    events = read(spark, sf, "events").select("event_id", (F.col("ts") - F.expr("INTERVAL '28' YEAR")).alias("at"))
+    return asof.asof_pick(events, "at", read(spark, sf, "orders"), "o_orderdate", "o_orderkey").select("event_id", "o_orderkey")
 
 
 @query("asof_whole", "SELECT e.event_id, o.o_orderkey FROM (SELECT event_id, ts - INTERVAL 28 YEAR AS at FROM events) e ASOF JOIN (SELECT o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY o_orderdate) o ON e.at >= o.o_orderdate")
 def asof_whole(spark, sf):
-    return _asof(read(spark, sf, "events"), read(spark, sf, "orders"))
+    return asof_pick(spark, sf)
 
 
-def _asof(events: DataFrame, orders: DataFrame) -> DataFrame:
-    """Both sides in one order per hour, the last one carried forward."""
-    events = events.select("event_id", (F.col("ts") - F.expr("INTERVAL '28' YEAR")).alias("at"))
-    orders = orders.select("o_orderkey", F.col("o_orderdate").alias("at"))
-    both = events.select("at", F.lit(1).alias("side"), "event_id", F.lit(None).cast("long").alias("o_orderkey")).union(orders.select("at", F.lit(0).alias("side"), F.lit(None).cast("long").alias("event_id"), "o_orderkey")).withColumn("hour", F.date_trunc("hour", "at"))
-    inside = Window.partitionBy("hour").orderBy("at", "side", "o_orderkey")
-    near = both.withColumn("o_orderkey", F.last("o_orderkey", ignorenulls=True).over(inside)).where("side = 1")
-    # hours without an earlier order in them take the last of an earlier hour: one row an hour
-    last = both.where("side = 0").groupBy("hour").agg(F.max_by("o_orderkey", F.struct("at", "o_orderkey")).alias("carried"))
-    hours = both.select("hour").distinct().join(last, "hour", "left")
-    carry = hours.select("hour", F.last("carried", ignorenulls=True).over(Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
-    return near.join(carry, "hour").select("event_id", F.coalesce("o_orderkey", "before").alias("o_orderkey")).where("o_orderkey IS NOT NULL")
+@query("asof_encrypted", f"SELECT {ORDERS} FROM orders WHERE o_orderdate <= TIMESTAMP '1998-01-01'")
+def asof_encrypted(spark, sf):
+    """A snapshot from before the encryption, read after it."""
+    orders, day = read(spark, sf, "orders"), F.lit("1998-01-01").cast("timestamp_ntz")
+    times = iter([dt.datetime(2024, 1, 1 + i // 4, tzinfo=dt.UTC) for i in range(80)])
+    t = Table(spark, scratch(spark), clock=lambda: next(times)).write(orders.where(F.col("o_orderdate") <= day), partition_by=["o_orderstatus"])
+    first = t.list_snapshots()[0]["ts"]
+    t.append(orders.where(F.col("o_orderdate") > day))
+    encrypt.encrypt_columns(t, ["o_totalprice", "o_orderpriority"], "pass phrase", COST)
+    return t.read(as_of=first, passphrase="pass phrase")
+
+
+@query("append_encrypted", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal < 5000")
+def append_encrypted(spark, sf):
+    """Rows appended to an encrypted table, found again by an encrypted column."""
+    customer = read(spark, sf, "customer")
+    t = Table(spark, scratch(spark)).write(customer.where("c_custkey % 2 = 0"), partition_by=["c_mktsegment"], auto_snapshot=False)
+    encrypt.encrypt_columns(t, ["c_name", "c_acctbal"], "pass phrase", COST)
+    t.append(customer.where("c_custkey % 2 = 1"), passphrase="pass phrase")
+    return t.read(["c_custkey", "c_name", "c_acctbal"], "c_acctbal < 5000", passphrase="pass phrase")
+
+
+@query("append_types", "SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS o_custkey, o_orderstatus FROM orders")
+def append_types(spark, sf):
+    """Appended columns take the table's types; one that could lose values is refused and leaves the table as it was."""
+    orders = read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    t = Table(spark, scratch(spark)).write(orders.where("o_orderkey % 3 = 0").withColumn("o_custkey", F.col("o_custkey").cast("double")), auto_snapshot=False)
+    t.append(orders.where("o_orderkey % 3 = 1").withColumn("o_custkey", F.col("o_custkey").cast("int")))
+    t.append(orders.where("o_orderkey % 3 = 2").withColumn("o_custkey", F.col("o_custkey").cast("float")))
+    for wrong in (orders, orders.withColumn("o_custkey", F.col("o_custkey").cast("string"))):
+        try:
+            t.append(wrong)
+        except ValueError:
+            continue
+        raise AssertionError("a lossy append was taken")
+    return t.read()
 
 
 # ---------------------------------------------------------------- statistics and plans
@@ -213,7 +244,7 @@ def plan_bloom(spark, sf):
     blooms = spark.read.parquet(f"{t.path}/{t.manifest()['bloom']}").where("column = 'event_type'")
     hit = blooms.where(stats.may_hold(F.lit("purchase"), F.col("m"), F.col("k"), F.col("words"))).select("file")
     index = spark.read.parquet(f"{t.path}/{t.manifest()['stats']}")
-    return index.join(hit, "file", "left_semi").select(F.col("min_event_type").alias("event_type")).where("event_type = 'purchase'").distinct()
+    return index.join(hit, "file", "left_semi").select(F.col("min_event_type").alias("event_type")).distinct()
 
 
 @query("plan_summary", "SELECT count(DISTINCT event_type) AS total_chunks, 1::BIGINT AS candidates_count, round(1.0 / count(DISTINCT event_type), 6)::DOUBLE AS pruning_ratio FROM events")
@@ -237,9 +268,8 @@ _EXACT = " UNION ALL ".join(
 
 @query("profile_exact", _EXACT)
 def profile_exact(spark, sf):
-    cols = ("o_orderkey", "o_custkey", "o_totalprice")
-    one = read(spark, sf, "orders").agg(F.count("*").alias("n"), *[f.alias(f"{a}{c}") for c in cols for a, f in (("x", F.count(c)), ("lo", F.min(c).cast("double")), ("hi", F.max(c).cast("double")), ("d", F.countDistinct(c)))])
-    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("col"), F.col("n").alias("n_rows"), (F.col("n") - F.col(f"x{c}")).alias("nulls"), F.col(f"lo{c}").alias("lo"), F.col(f"hi{c}").alias("hi"), F.col(f"d{c}").alias("distinct_n")) for c in cols])))
+    made = profile.profile_frame(read(spark, sf, "orders"), ["o_orderkey", "o_custkey", "o_totalprice"], exact=True)
+    return made.select(F.col("column").alias("col"), F.col("rows").alias("n_rows"), "nulls", F.col("min").cast("double").alias("lo"), F.col("max").cast("double").alias("hi"), F.col("distinct_est").alias("distinct_n"))
 
 
 @query("profile_nulls", "SELECT 'quality' AS col, count(*) AS n_rows, count(*) - count(quality) AS nulls, round((count(*) - count(quality)) / count(*), 6) AS null_pct, CAST(min(quality) AS VARCHAR) AS lo, CAST(max(quality) AS VARCHAR) AS hi FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -253,12 +283,12 @@ _Q = ", ".join(f"list_sort(list(value))[CAST(ceil({q} * (count(*) - 1)) AS INT)
 
 @query("profile_quantiles", f"SELECT event_type, {_Q} FROM events GROUP BY event_type")
 def profile_quantiles(spark, sf):
-    return read(spark, sf, "events").groupBy("event_type").agg(*[profile.exact_quantile("value", q).alias(n) for n, q in profile.QUANTILES.items()])
+    return profile.quantiles(read(spark, sf, "events"), ["event_type"], "value", profile.QUANTILES)
 
 
 @query("profile_percentile_cont", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
 def profile_percentile_cont(spark, sf):
-    return read(spark, sf, "events").groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"))
+    return profile.quantiles(read(spark, sf, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95}, interpolate=True).select("event_type", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 @query("profile_sketches")
@@ -275,6 +305,16 @@ def sketch_error_bound(spark, sf):
     return profile.profile_frame(df, cols).join(exact, F.col("column") == F.col("col")).select("col", (F.abs(F.col("distinct_est") - F.col("n")) <= 0.05 * F.col("n")).alias("within"))
 
 
+@query("sketch_quantile_bound", " UNION ALL ".join(f"SELECT '{c}' AS col, '{p}' AS quantile, true AS within" for c in ("l_quantity", "l_extendedprice", "l_partkey") for p in profile.QUANTILES))
+def sketch_quantile_bound(spark, sf):
+    """Whether the rank of each sketched quantile is within 2 % of the one asked for; a value's rank is all of those its copies have."""
+    df = read(spark, sf, "lineitem")
+    made = profile.profile_frame(df, ["l_quantity", "l_extendedprice", "l_partkey"]).select(F.col("column").alias("col"), F.explode(F.array(*[F.struct(F.lit(p).alias("quantile"), F.lit(q).alias("q"), F.col(p).alias("value")) for p, q in profile.QUANTILES.items()])).alias("x")).select("col", "x.*")
+    asked = made.collect()  # nine rows
+    ranks = df.agg(*[f.alias(f"{k}{i}") for i, r in enumerate(asked) for k, f in (("lo", F.avg((F.col(r.col) < r.value).cast("double"))), ("hi", F.avg((F.col(r.col) <= r.value).cast("double"))))]).first()
+    return spark.createDataFrame([(r.col, r.quantile, ranks[f"lo{i}"] - 0.02 <= r.q <= ranks[f"hi{i}"] + 0.02) for i, r in enumerate(asked)], "col string, quantile string, within boolean")
+
+
 @query("violations_not_null", "SELECT 'quality' AS col, 'not_null' AS rule, count(*) AS bad FROM documents d LEFT JOIN labels l USING (doc_id) WHERE quality IS NULL")
 def violations_not_null(spark, sf):
     df = read(spark, sf, "documents").select("doc_id").join(read(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
@@ -300,6 +340,18 @@ def compact_layout(spark, sf):
     return optimize.layout(read(spark, sf, "orders"), "o_orderstatus", 1000, ["o_orderkey"]).groupBy("o_orderstatus", F.col("__chunk").alias("chunk")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))
 
 
+@query("optimize_layout", "SELECT o_orderstatus, count(*) AS n, min(o_orderkey) AS lo, max(o_orderkey) AS hi, true AS small, true AS apart FROM orders GROUP BY 1")
+def optimize_layout(spark, sf):
+    """Files after a compaction of many small ones: rows, spans, and whether files are under the target and apart in the order."""
+    t = Table(spark, scratch(spark)).write(read(spark, sf, "orders").repartition(16), partition_by=["o_orderstatus"], auto_snapshot=False)
+    optimize.optimize(t, order=["o_orderkey"], target_rows=1000)
+    files = t.stats(t.manifest()).select(F.col("min_o_orderstatus").alias("o_orderstatus"), "rows", F.col("min_o_orderkey").alias("lo"), F.col("max_o_orderkey").alias("hi"))
+    before = F.lag("hi").over(Window.partitionBy("o_orderstatus").orderBy("lo"))
+    return files.withColumn("apart", F.coalesce(before < F.col("lo"), F.lit(True))).groupBy("o_orderstatus").agg(
+        F.sum("rows").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bool_and(F.col("rows") <= 1000).alias("small"), F.bool_and("apart").alias("apart")
+    )
+
+
 LINES = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
 
 
@@ -342,10 +394,9 @@ def usage_aggregate(spark, sf):
 @query("kpi_delta", f"WITH a AS (SELECT {_FIGURES} FROM events WHERE ts < TIMESTAMP '2024-01-15'), b AS (SELECT {_FIGURES} FROM events WHERE ts >= TIMESTAMP '2024-01-15') SELECT b.reads_total - a.reads_total AS d_reads, b.bytes_read_total - a.bytes_read_total AS d_bytes, b.bytes_p95 - a.bytes_p95 AS d_p95 FROM a, b")
 def kpi_delta(spark, sf):
     log, day = _as_log(spark, sf), F.lit("2024-01-15").cast("timestamp_ntz")
-    halves = log.groupBy((F.col("ts") >= day).alias("post"))
-    rows = halves.agg(F.count("*").alias("n"), F.sum("bytes_read").alias("b"), usage.nearest_rank("bytes_read", 95).alias("p"))
-    sign = F.when(F.col("post"), 1).otherwise(-1)
-    return rows.agg(*[F.sum(sign * F.col(c)).cast("long").alias(a) for c, a in (("n", "d_reads"), ("b", "d_bytes"), ("p", "d_p95"))])
+    pre, post = (usage.figures(log.where(f)).first().asDict() for f in (F.col("ts") < day, F.col("ts") >= day))
+    d = usage.difference(pre, post)
+    return spark.createDataFrame([(d["reads_total"], d["bytes_read_total"], d["bytes_p95"])], "d_reads long, d_bytes long, d_p95 long")
 
 
 WHERES = ["a = 1 AND b >= 3", "a IN (1, 2, 3)", "b BETWEEN 1 AND 2", "c == 'x' AND a = 5", "b < 7"]
@@ -471,9 +522,42 @@ def entry_digests(spark, sf):
 
 @query("entries_root", "SELECT source, sha256(unhex(string_agg(concat(sha256(CAST(doc_id AS VARCHAR)), sha256(text)), '' ORDER BY CAST(doc_id AS VARCHAR)))) AS root, count(*) AS n FROM documents GROUP BY source")
 def entries_root(spark, sf):
-    each = F.struct(F.col("name"), F.concat(F.sha2("name", 256), "digest").alias("h"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["h"]), "")
-    return _entries(spark, sf).groupBy("source").agg(F.sha2(F.unhex(joined), 256).alias("root"), F.count("*").alias("n"))
+    return integrity.entries_root(_entries(spark, sf), "source").withColumnRenamed("count", "n")
+
+
+@query("file_digests", "SELECT source, true AS same, 1::BIGINT AS files FROM documents GROUP BY source")
+def file_digests(spark, sf):
+    """Digests of a table's files as the operator takes them, against those of the files' bytes."""
+    t = Table(spark, scratch(spark)).write(read(spark, sf, "documents").repartition(1), partition_by=["source"], auto_snapshot=False)
+    own = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{t.path}/data").select(F.substring_index("path", "/", -2).alias("name"), F.sha2("content", 256).alias("own"))
+    got = integrity.entry_digests(t).where("name LIKE 'data/%.parquet'").select(F.substring_index("name", "/", -2).alias("name"), "digest")
+    each = own.join(got, "name", "full_outer").withColumn("source", F.url_decode(F.regexp_extract("name", "__part=([^/]*)/", 1)))
+    return each.groupBy("source").agg(F.bool_and(F.coalesce(F.col("own") == F.col("digest"), F.lit(False))).alias("same"), F.count("*").alias("files"))
+
+
+@query("sign_verify", "SELECT * FROM (VALUES ('signed', true, 0, 0, 0), ('wrong key', false, 0, 0, 0), ('file changed', false, 1, 0, 0), ('file gone', false, 0, 1, 0), ('file added', false, 0, 0, 1)) v(state, valid, modified, missing, added)")
+def sign_verify(spark, sf):
+    """A signed table of orders as it is, under another key, and after each kind of tampering."""
+    t = Table(spark, scratch(spark)).write(read(spark, sf, "orders"), partition_by=["o_orderstatus"], auto_snapshot=False)
+    key, other = ed25519.generate_keypair(spark), ed25519.generate_keypair(spark)
+    doc = integrity.sign_table(t, key.private_hex, "catalogue")
+    victim = next(n for n in doc["payload"]["entries"] if n.startswith("meta/manifest"))
+    text, rows = t.store.read_text(victim), []
+
+    def state(name, public=key.public_hex):
+        r = integrity.verify_table(t, public)
+        rows.append((name, r["valid"], len(r["modified"]), len(r["missing"]), len(r["added"])))
+
+    state("signed")
+    state("wrong key", other.public_hex)
+    t.store.write_text(victim, text + " ")
+    state("file changed")
+    t.store.delete(victim)
+    state("file gone")
+    t.store.write_text(victim, text)
+    t.store.write_text("meta/extra.json", "{}")
+    state("file added")
+    return spark.createDataFrame(rows, "state string, valid boolean, modified int, missing int, added int")
 
 
 @query("entry_diff", "SELECT CAST(doc_id AS VARCHAR) AS name, CASE WHEN doc_id % 7 = 0 THEN 'missing' WHEN doc_id % 11 = 0 THEN 'modified' ELSE 'added' END AS status FROM documents WHERE doc_id % 7 = 0 OR doc_id % 11 = 0 OR doc_id % 13 = 0")
@@ -498,7 +582,29 @@ def audit_chain_links(spark, sf):
 
 @query("audit_heads", "SELECT conv_id, max_by(sha256(text), turn) AS head, count(*) AS n FROM conversations GROUP BY conv_id")
 def audit_heads(spark, sf):
-    return _chain(spark, sf).groupBy(F.col("file").alias("conv_id")).agg(F.max_by(F.sha2("line", 256), "line_no").alias("head"), F.count("*").alias("n"))
+    return audit.first_bad(_chain(spark, sf)).select(F.col("file").alias("conv_id"), "head", F.col("lines").alias("n"))
+
+
+@query("audit_chain_check", "SELECT conv_id, count(*) AS n, count(*) AS signed, CASE WHEN conv_id % 3 = 0 THEN min(turn) END AS first_bad FROM conversations GROUP BY conv_id")
+def audit_chain_check(spark, sf):
+    """Chained events of each conversation, checked by their own hashes and links; in every third the first was changed afterwards."""
+
+    def chained(batches):
+        for b in batches:
+            out = []
+            for conv, texts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                prev = audit.ZERO
+                for x in texts:
+                    line = audit.chained_line({"turn": x["turn"], "text": x["text"]}, prev)[0]
+                    prev = hashlib.sha256(line.encode()).hexdigest()
+                    out.append((conv, x["turn"], line))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string()))], names=["file", "line_no", "line"])
+
+    talks = read(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("texts"))  # one conversation is one log
+    lines = talks.mapInArrow(chained, "file long, line_no long, line string")
+    first = F.min("line_no").over(Window.partitionBy("file"))
+    changed = lines.withColumn("first", first).withColumn("line", F.when((F.col("file") % 3 == 0) & (F.col("line_no") == F.col("first")), F.regexp_replace("line", '"turn":', '"turn":9')).otherwise(F.col("line")))
+    return audit.first_bad(changed.select("file", "line_no", "line")).select(F.col("file").alias("conv_id"), F.col("lines").alias("n"), F.col("signed").cast("long").alias("signed"), F.col("first_bad_line").alias("first_bad"))
 
 
 @query("audit_first_bad_line", f"WITH good AS (SELECT conv_id, turn, text, {_LAG} AS prev FROM conversations), bad AS (SELECT conv_id, turn, prev, coalesce(lag(sha256(CASE WHEN turn = 1 AND conv_id % 3 = 0 THEN text || '!' ELSE text END)) OVER (PARTITION BY conv_id ORDER BY turn), repeat('0', 64)) AS now FROM good) SELECT conv_id, min(turn) AS first_bad FROM bad WHERE prev <> now GROUP BY conv_id")
@@ -511,10 +617,10 @@ def audit_first_bad_line(spark, sf):
 
 @query("append_only_status", "SELECT conv_id, count(*) FILTER (turn > 1) AS unattested FROM conversations GROUP BY conv_id HAVING count(*) FILTER (turn = 1) > 0")
 def append_only_status(spark, sf):
-    chain = audit.links(_chain(spark, sf))
-    heads = chain.where("line_no = 1").select("file", F.col("line_hash").alias("head"))
-    at = chain.join(heads, "file").where("line_hash = head").groupBy("file").agg(F.max(F.when(F.col("line_no") <= 1, F.col("line_no"))).alias("anchor"))
-    return chain.join(at, "file").groupBy(F.col("file").alias("conv_id")).agg(F.sum((F.col("line_no") > F.col("anchor")).cast("long")).alias("unattested"))
+    # lines are numbered from 1 and told apart by their number
+    chain = _chain(spark, sf).select("file", (F.col("line_no") + 1).alias("line_no"), F.concat_ws(" ", "line_no", "line").alias("line"))
+    heads = chain.where("line_no = 2").select("file", F.sha2("line", 256).alias("head"))
+    return audit.progress(chain, heads).where("head IS NOT NULL").select(F.col("file").alias("conv_id"), (F.col("lines") - F.col("anchor")).alias("unattested"))
 
 
 # ---------------------------------------------------------------- ledger
@@ -528,7 +634,7 @@ def _seals(spark, sf):
 @query("ledger_lookup", "SELECT doc_id + 1 AS n, sha256(text) AS entries_root FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id IN (3, 17))")
 def ledger_lookup(spark, sf):
     roots = _seals(spark, sf).where(F.col("n").isin(4, 18)).select("entries_root").distinct()
-    return _seals(spark, sf).join(roots, "entries_root", "left_semi").select("n", "entries_root")
+    return ledger.by_roots(_seals(spark, sf).select("n", "entries_root"), roots)
 
 
 @query("ledger_page", "SELECT doc_id + 1 AS n, sha256(text) AS entries_root FROM documents WHERE doc_id + 1 > 20 ORDER BY n LIMIT 50")
@@ -552,3 +658,45 @@ def ledger_chain(spark, sf):
     made = each.join(prev, "n", "left").withColumn("prev_hash", F.when(F.col("n") % 100 == 51, F.lit("broken")).otherwise(F.coalesce("prev_hash", F.lit(ledger.ZERO))))
     before = made.select((F.col("n") + 1).alias("n"), F.col("own").alias("before"))
     return made.join(before, "n", "left").select("n", (F.coalesce("before", F.lit(ledger.ZERO)) == F.col("prev_hash")).alias("linked"))
+
+
+@query("ledger_links", "SELECT doc_id + 1 AS n, doc_id % 100 <> 50 AS linked FROM documents")
+def ledger_links(spark, sf):
+    """``ledger.links`` over a real chain of hashes, in which every hundredth seal was replaced after the fact."""
+
+    def chained(batches):
+        prev = ledger.ZERO
+        for b in batches:
+            out = []
+            for n, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = hashlib.sha256((prev + hashlib.sha256(payload.encode()).hexdigest()).encode()).hexdigest()
+                out.append((n, payload, prev, own))
+                prev = own
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.string()))], names=["n", "payload", "prev_hash", "chain_hash"])
+
+    # a chain has one order, so making it is one stream; checking it is not
+    made = _seals(spark, sf).select("n", "payload").repartition(1).sortWithinPartitions("n").mapInArrow(chained, "n long, payload string, prev_hash string, chain_hash string")
+    forged = made.withColumn("payload", F.when(F.col("n") % 100 == 51, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
+    return ledger.links(forged).select("n", "linked")
+
+
+@query("ledger_audit", "SELECT * FROM (VALUES ('kept', true, 3, NULL::BIGINT, NULL::BIGINT), ('payload changed', false, 3, 2, 2)) v(state, ok, size, first_bad, first_bad_signature)")
+def ledger_audit(spark, sf):
+    """Three sealed tables in a log that is audited before and after one seal's payload is changed."""
+    issuer, signer = ed25519.generate_keypair(spark), ed25519.generate_keypair(spark)
+    log = ledger.Ledger(spark, scratch(spark), issuer)
+    key, rows = log.create_key("free", "catalogue"), []
+    for name in ("region", "nation", "supplier"):
+        t = Table(spark, scratch(spark)).write(read(spark, sf, name), auto_snapshot=False)
+        integrity.sign_table(t, signer.private_hex, "catalogue")
+        ledger.seal_table(t, log, key)
+        assert ledger.check_seal(t, [issuer.public_hex], log, signer.public_hex)["valid"]
+
+    def state(name, audited):
+        rows.append((name, audited["ok"], audited["size"], audited["first_bad_n"], audited["first_bad_signature_n"]))
+
+    state("kept", log.audit())
+    forged = ledger.Ledger(spark, scratch(spark), issuer)
+    log.seals().withColumn("payload", F.when(F.col("n") == 2, F.regexp_replace("payload", '"tier":"free"', '"tier":"pro"')).otherwise(F.col("payload"))).write.parquet(f"{forged.path}/seals")
+    state("payload changed", forged.audit())
+    return spark.createDataFrame(rows, "state string, ok boolean, size int, first_bad long, first_bad_signature long")

@@ -366,3 +366,45 @@ def test_a_lock_left_behind_is_taken_over(spark, table):
     with table.store.lock(wait=0.2):
         assert table.store.exists("meta/.lock")
     assert not table.store.exists("meta/.lock")
+
+
+def test_order_statistics_by_brute_force(spark):
+    import math
+    import random
+
+    rng = random.Random(4)
+    data = [(g, None if rng.random() < 0.1 else float(rng.choice([7, rng.randrange(1000), rng.random()]))) for g in ("a", "b", None) for _ in range({"a": 700, "b": 3}.get(g, 50))] + [("hot", 5.0)] * 2000 + [("none", None)]
+    df = spark.createDataFrame(data, "g string, v double").repartition(5)
+    got = {r.g: r for r in profile.quantiles(df, ["g"], "v", {"p0": 0.0, "p50": 0.5, "p99": 0.99, "p100": 1.0}).collect()}
+    mid = {r.g: r.m for r in profile.quantiles(df, ["g"], "v", {"m": 0.3}, interpolate=True).collect()}
+    groups = {g: sorted(v for h, v in data if h == g and v is not None) for g in ("a", "b", None, "hot")}
+    assert set(got) == set(groups)
+    for g, values in groups.items():
+        assert [got[g].p0, got[g].p50, got[g].p99, got[g].p100] == [values[math.ceil(q * (len(values) - 1))] for q in (0, 0.5, 0.99, 1)]
+        at = 0.3 * (len(values) - 1)
+        low = values[math.floor(at)]
+        assert mid[g] == pytest.approx(low + (values[math.ceil(at)] - low) * (at - math.floor(at)))
+    assert profile.order_statistics(df.limit(0), [], "v", {"x": lambda n: n - 1}).count() == 0
+    assert profile.order_statistics(df, [], "v", {"x": lambda n: n - 1}).first().x == max(v for _, v in data if v is not None)
+
+
+def test_roots_by_stream_and_by_hand(spark):
+    entries = {f"f{i}": f"{i:064x}" for i in range(300)}
+    df = spark.createDataFrame([(n, d, "g" if i % 3 else "h") for i, (n, d) in enumerate(entries.items())], "name string, digest string, g string").repartition(7)
+    assert [tuple(r) for r in integrity.entries_root(df).collect()] == [(integrity.root_of(entries), 300)]
+    by = {r.g: r.root for r in integrity.entries_root(df, "g").collect()}
+    assert by == {g: integrity.root_of({n: d for i, (n, d) in enumerate(entries.items()) if ("g" if i % 3 else "h") == g}) for g in "gh"}
+    assert integrity.entries_root(df.limit(0), "g").count() == 0
+
+
+def test_asof_pick_by_brute_force(spark):
+    import random
+
+    from tallystone.operators import asof
+
+    rng, start = random.Random(1), dt.datetime(2024, 1, 1)
+    asks = [(i, start + dt.timedelta(minutes=rng.randrange(3000))) for i in range(60)] + [(99, None)]
+    rows_ = [(i, start + dt.timedelta(minutes=200 + rng.randrange(40) * 60)) for i in range(40)] + [(50, None)]
+    got = sorted((r.i, r.o) for r in asof.asof_pick(spark.createDataFrame(asks, "i long, at timestamp_ntz"), "at", spark.createDataFrame(rows_, "o long, t timestamp_ntz"), "t", "o").collect())
+    want = sorted((i, max((t, o) for o, t in rows_ if t and t <= at)[1]) for i, at in asks if at and any(t and t <= at for _, t in rows_))
+    assert got == want
