@@ -22,13 +22,21 @@ LEAST_LANGUAGE = 0.4
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the rows that the quality model does not predict to be bad."""
+    """Keep the rows that the quality model does not predict to be bad.
+
+    A null or empty text has no features and stays or goes by the model's bias. Repeated rows are
+    scored alike and all stay; a null id is a row like others. An empty table stays empty.
+    """
     docs = docs.select(*COLUMNS)
     return quality.quality(docs, read_table(spark, sf_dir, "labels"), keep=COLUMNS).where("predicted = 1").select(*COLUMNS)
 
 
 def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the rows whose language the network can tell."""
+    """Keep the rows whose language the network can tell.
+
+    Null and empty texts, and those without a letter, go. Repeated rows and null ids are treated like
+    others; a table without a known ``lang`` keeps nothing. An empty table stays empty.
+    """
     return langid.language(docs.select(*COLUMNS), keep=COLUMNS).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select(*COLUMNS)
 
 
@@ -53,7 +61,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every kept text in sequences of at most 2048 ids."""
+    """Every kept text in sequences of at most 2048 ids.
+
+    A null or empty text is one piece with the end id; longer texts are cut. Each repeated row is packed,
+    null ids included. An empty table gives no rows.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=2048, end_id=0)
 
 

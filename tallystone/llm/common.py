@@ -20,9 +20,11 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, one of our own in local mode, else an error."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="tallystone-")
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")

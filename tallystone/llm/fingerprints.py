@@ -60,7 +60,7 @@ def shown(hashes: np.ndarray) -> str:
 
 
 def fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
-    """(doc_id, hashes array<long>, positions array<long>) of every text; a null text is empty. Ids may repeat or be null."""
+    """(doc_id, hashes array<long>, positions array<long>) of every whole text, however long; a null text is empty. Ids may repeat or be null; an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

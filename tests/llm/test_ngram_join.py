@@ -162,3 +162,16 @@ def test_a_short_document_alone(spark, words):
     df = spark.createDataFrame([(1, words)], "doc_id long, text string").coalesce(1)
     for k in (4, 5):
         assert [tuple(r)[:2] for r in ngram_components(df, k=k, percent=85).select("doc_id", "n_shingles").collect()] == [(1, 1)]
+
+
+def test_pipeline_stage_keeps_one_of_each_group(spark, docs, odd, sf):
+    """The near-duplicate stage against groups by brute force: the smallest id of each stays, and of its rows one of each text."""
+    import corpus_pipeline as C
+
+    twice = docs.union(docs.limit(30))
+    for df in (twice, odd, odd.limit(0)):
+        rows = [tuple(r) for r in df.select(*C.COLUMNS).collect()]
+        heads = {i for i, _, component in brute([(r[0], r[1]) for r in rows if r[0] is not None], 5, 80) if i == component}
+        want = {(r[0], r[1]) for r in rows if r[0] is None or str(r[0]) in heads}
+        kept = [tuple(r) for r in C.near_duplicates(spark, df, sf).collect()]
+        assert sorted(map(str, ((r[0], r[1]) for r in kept))) == sorted(map(str, want)) and set(kept) <= set(rows)
