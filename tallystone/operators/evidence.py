@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import shutil
 from typing import TYPE_CHECKING, Any
 
 from . import audit as A
@@ -14,6 +15,8 @@ if TYPE_CHECKING:
     from ..sources.table import Table
 
 DISCLAIMER = "This pack attests integrity and traceability of the data set. It is no statement of legal conformity."
+#: Bytes of a table that a pack may hold.
+MOST_COPIED = 1 << 30
 #: Which documents speak to which articles (fixed values).
 MAPPING = [
     ("Art. 10 data governance", "EVIDENCE.json: dataset, declarations", "schema, constraints, profile, origin as declared"),
@@ -31,11 +34,18 @@ def audit_range(table: Table) -> dict[str, Any]:
     return row.asDict()
 
 
-def build(table: Table, out: str, public_hex: str | None = None, declarations: dict[str, Any] | None = None) -> dict[str, Any]:
-    """Write the pack to a local folder; RuntimeError for unsigned, tampered or unreadable tables."""
+def build(table: Table, out: str, public_hex: str | None = None, declarations: dict[str, Any] | None = None, with_table: bool = False, archive: bool = False, most: int = MOST_COPIED) -> dict[str, Any]:
+    """Write the pack to a local folder; RuntimeError for unsigned, tampered or unreadable tables.
+
+    ``with_table`` copies the table's files into it, up to ``most`` bytes (the copy passes through the
+    driver; larger tables are referred to by their digests), and ``archive`` zips the folder beside it.
+    """
     report = K.verify_table(table, public_hex)
     if not report["valid"]:
         raise RuntimeError(f"no evidence for this table: {report['reason']}")
+    listed = table.store.files() if with_table else []
+    if sum(size for _, size in listed) > most:
+        raise ValueError(f"the table is larger than the {most} bytes that a pack may hold")
     info, doc = table.inspect(), table.store.read_json(K.SIGNATURE)
     os.makedirs(os.path.join(out, "audit_chain"), exist_ok=True)
     span = audit_range(table)
@@ -54,10 +64,19 @@ def build(table: Table, out: str, public_hex: str | None = None, declarations: d
     for name in table.store.names(A.FOLDER):
         files[f"audit_chain/{name}"] = table.store.read_text(f"{A.FOLDER}/{name}")
     sums = []
+
+    def put(name: str, raw: bytes) -> None:
+        os.makedirs(os.path.dirname(os.path.join(out, name)), exist_ok=True)
+        with open(os.path.join(out, name), "wb") as f:
+            f.write(raw)
+        sums.append(f"{hashlib.sha256(raw).hexdigest()}  {name}")
+
     for name, text in sorted(files.items()):
-        with open(os.path.join(out, name), "w") as f:
-            f.write(text)
-        sums.append(f"{hashlib.sha256(text.encode()).hexdigest()}  {name}")
+        put(name, text.encode())
+    for name, _ in listed:
+        put(f"table/{name}", table.store.read_bytes(name))
     with open(os.path.join(out, "checksums.txt"), "w") as f:
         f.write("\n".join(sums) + "\n")
+    if archive:
+        shutil.make_archive(out.rstrip("/"), "zip", out)
     return evidence

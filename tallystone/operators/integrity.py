@@ -93,6 +93,14 @@ def entry_diff(signed: DataFrame, current: DataFrame) -> DataFrame:
     return s.join(c, "name", "full_outer").select("name", status.alias("status")).where("status is not null")
 
 
+def _each_once(pairs: list[tuple[str, Any]]) -> dict[str, Any]:
+    """An object of a document in which no name is given twice."""
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        raise ValueError("a name is given twice")
+    return out
+
+
 def sign_table(table: Table, private_hex: str, signer: str | None = None) -> dict[str, Any]:
     """Sign the files' digests and the audit heads; the signature is a document of its own, so no file is rewritten."""
     chain = A.verify(table)
@@ -113,7 +121,7 @@ def verify_table(table: Table, public_hex: str | None = None, allow_unattested_a
     report: dict[str, Any] = {"valid": False, "reason": "", "signer": None, "signed_at": None, "trusted_key": False, "modified": [], "missing": [], "added": [], "audit": {"consistent": None, "append_only": None, "unattested_appends": 0, "detail": {}}}
     try:
         try:
-            doc = table.store.read_json(SIGNATURE)
+            doc = json.loads(table.store.read_text(SIGNATURE), object_pairs_hook=_each_once) if table.store.exists(SIGNATURE) else None
         except ValueError:
             doc = {}
         if doc is None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import os
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -44,6 +45,17 @@ def quota(seals: DataFrame, keys: DataFrame) -> DataFrame:
     return used.join(keys.select("key_id", "tier"), "key_id", "left").select("key_id", "month", "used", F.coalesce(F.try_element_at(tier, F.col("tier")), F.lit(0)).alias("allowed"))
 
 
+def issuer_key(spark: SparkSession, path: str, passphrase: str) -> ed25519.KeyPair:
+    """The issuer's pair from an encrypted key file, which is made where there is none; plain files are refused."""
+    if not passphrase:
+        raise ValueError("an issuer's key needs a passphrase")
+    if not os.path.exists(path):
+        ed25519.save_private(ed25519.generate_keypair(spark), path, spark, passphrase)
+    elif not ed25519.is_encrypted(path):
+        raise ValueError(f"{path} is not encrypted")
+    return ed25519.load_private(path, spark, passphrase)
+
+
 def by_roots(seals: DataFrame, roots: DataFrame) -> DataFrame:
     """Seals whose root is among ``roots`` (entries_root)."""
     return seals.join(roots.select("entries_root").distinct(), "entries_root", "left_semi").select(*seals.columns)

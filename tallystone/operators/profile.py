@@ -66,12 +66,15 @@ def quantiles(df: DataFrame, by: list[str], column: str, wanted: dict[str, float
     return got.select(*by, *[between(k, q).alias(k) for k, q in wanted.items()])
 
 
-def profile_frame(df: DataFrame, columns: list[str] | None = None, exact: bool = False) -> DataFrame:
+def profile_frame(df: DataFrame, columns: list[str] | None = None, exact: bool = False, kinds: dict[str, str] | None = None) -> DataFrame:
     """One row a column: dtype, rows, nulls, null_pct, min, max, distinct_est, p50, p95, p99 (numbers only).
 
     One pass: HyperLogLog and KLL sketches merge partial results on the map side. With ``exact``
-    distinct values are counted instead, which shuffles each column's values.
+    distinct values are counted instead, which shuffles each column's values. ``kinds`` has text columns
+    read as ``number`` or ``datetime``; text that isn't one counts as null.
     """
+    for c, kind in (kinds or {}).items():
+        df = df.withColumn(c, F.col(c).try_cast({"number": "double", "datetime": "timestamp"}[kind]))
     names = columns or df.columns
     made, rows = [F.count("*").alias("rows")], []
     for i, c in enumerate(names):

@@ -408,3 +408,40 @@ def test_asof_pick_by_brute_force(spark):
     got = sorted((r.i, r.o) for r in asof.asof_pick(spark.createDataFrame(asks, "i long, at timestamp_ntz"), "at", spark.createDataFrame(rows_, "o long, t timestamp_ntz"), "t", "o").collect())
     want = sorted((i, max((t, o) for o, t in rows_ if t and t <= at)[1]) for i, at in asks if at and any(t and t <= at for _, t in rows_))
     assert got == want
+
+
+def test_encrypted_key_files(spark, tmp_path):
+    path, plain = str(tmp_path / "issuer.pem"), str(tmp_path / "plain.pem")
+    pair = ledger.issuer_key(spark, path, "pass phrase")
+    assert ledger.issuer_key(spark, path, "pass phrase") == pair and os.stat(path).st_mode & 0o777 == 0o600
+    assert pair == ed25519.keypair_of(pair.private_hex) and pair.private_hex not in open(path).read()
+    for wrong in ("other", ""):
+        with pytest.raises(ValueError, match="passphrase"):
+            ledger.issuer_key(spark, path, wrong)
+    with pytest.raises(ValueError, match="passphrase"):
+        ed25519.load_private(path)
+    ed25519.save_private(pair, plain)
+    with pytest.raises(ValueError, match="not encrypted"):
+        ledger.issuer_key(spark, plain, "pass phrase")
+    assert ed25519.load_private(plain) == pair
+
+
+def test_pack_with_the_table(spark, table, tmp_path):
+    pair = ed25519.generate_keypair(spark)
+    integrity.sign_table(table, pair.private_hex, "team")
+    evidence.build(table, str(tmp_path / "pack"), pair.public_hex, with_table=True, archive=True)
+    sums = dict(reversed(x.split("  ")) for x in (tmp_path / "pack/checksums.txt").read_text().splitlines())
+    assert {f"table/{n}" for n, _ in table.store.files()} <= set(sums) and (tmp_path / "pack.zip").exists()
+    copy = Table(spark, str(tmp_path / "pack/table"))
+    assert integrity.verify_table(copy, pair.public_hex)["valid"]
+    with pytest.raises(ValueError, match="larger"):
+        evidence.build(table, str(tmp_path / "pack2"), pair.public_hex, with_table=True, most=10)
+    text = table.store.read_text("meta/signature.json")
+    table.store.write_text("meta/signature.json", text.replace('"payload"', '"payload": {}, "payload"', 1))
+    assert "malformed" in integrity.verify_table(table)["reason"]
+
+
+def test_profile_of_text_as_numbers(spark):
+    df = spark.createDataFrame([("1",), ("2.5",), ("x",), (None,)], "a string")
+    r = profile.profile_frame(df, kinds={"a": "number"}).first()
+    assert (r.dtype, r.nulls, r.min, r.max, r.distinct_est) == ("number", 2, "1.0", "2.5", 2)
