@@ -71,33 +71,44 @@ def merkle(digests: list[bytes]) -> bytes:
     return level[0]
 
 
-class CrcJoin:
-    """crc32 of a row of byte strings from the parts' own crc32 and lengths."""
+def _shift_tables() -> list[np.ndarray]:
+    """For each power of two of zero bytes that follow, what becomes of each byte of a crc32: 4 x 256 numbers."""
+    bit = np.uint64(1) << np.arange(32, dtype=np.uint64)
+    matrix = np.asarray([((c >> 1) ^ 0xEDB88320 if c & 1 else c >> 1) for c in (1 << np.arange(32)).tolist()], np.uint64)  # one zero bit; columns as numbers
+
+    def times(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.bitwise_xor.reduce(np.where(y[:, None] & bit, x[None, :], np.uint64(0)), axis=1)
+
+    for _ in range(3):
+        matrix = times(matrix, matrix)
+    bits, out = (np.arange(256)[:, None] >> np.arange(8)) & 1, []
+    for _ in range(48):
+        out.append(np.stack([np.bitwise_xor.reduce(np.where(bits, matrix[8 * i : 8 * i + 8][None, :], np.uint64(0)), axis=1) for i in range(4)]).astype(np.int64))
+        matrix = times(matrix, matrix)
+    return out
+
 
-    def __init__(self):
-        self.tables: dict[int, np.ndarray] = {}
+_shifts: list[np.ndarray] = []
 
-    def _table(self, zeros: int) -> np.ndarray:
-        """crc32 register after ``zeros`` further zero bytes, for each byte of the register."""
-        if zeros not in self.tables:
-            step = np.asarray([((c >> 1) ^ 0xEDB88320 if c & 1 else c >> 1) for c in (1 << np.arange(32)).tolist()], np.uint64)  # one bit
 
-            def times(a, b):  # matrix product over GF(2); columns as numbers
-                return np.bitwise_xor.reduce(np.where((b[:, None] >> np.arange(32, dtype=np.uint64)) & np.uint64(1), a[None, :], np.uint64(0)), axis=1)
+def crc_shifted(crcs: np.ndarray, zeros: np.ndarray) -> np.ndarray:
+    """Each crc32 as if so many zero bytes came after it; the crc32 of joined strings is the XOR of theirs, each shifted by what follows it."""
+    if not _shifts:
+        _shifts.extend(_shift_tables())
+    out, left, power = crcs.astype(np.int64), zeros.astype(np.int64), 0
+    while left.any():
+        at = np.flatnonzero(left & 1)
+        c, t = out[at], _shifts[power]
+        out[at] = t[0][c & 255] ^ t[1][c >> 8 & 255] ^ t[2][c >> 16 & 255] ^ t[3][c >> 24]
+        left, power = left >> 1, power + 1
+    return out
+
 
-            power, left, total = step, zeros * 8, np.uint64(1) << np.arange(32, dtype=np.uint64)
-            while left:
-                if left & 1:
-                    total = times(power, total)
-                power = times(power, power)
-                left >>= 1
-            bits = (np.arange(256)[:, None] >> np.arange(8)) & 1
-            self.tables[zeros] = np.stack([np.bitwise_xor.reduce(np.where(bits, total[8 * i : 8 * i + 8][None, :], np.uint64(0)), axis=1) for i in range(4)]).astype(np.int64)
-        return self.tables[zeros]
+class CrcJoin:
+    """crc32 of two byte strings in a row, from theirs and the second one's length."""
 
     def __call__(self, crc: int, other: int, length: int) -> int:
-        t = self._table(length)
-        return int(t[0, crc & 255] ^ t[1, crc >> 8 & 255] ^ t[2, crc >> 16 & 255] ^ t[3, crc >> 24]) ^ other
+        return int(crc_shifted(np.asarray([crc]), np.asarray([length]))[0]) ^ other
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, keeps_space: bool = False) -> None:
@@ -111,13 +122,13 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, keeps_s
     width = 4 if end_id > 0xFFFF else hf_encoder(tokenizer, keeps_space).dtype.itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = hf_encoder(tokenizer, keeps_space), set()
+        encoder, seen, tail = hf_encoder(tokenizer, keeps_space), set(), np.asarray([end_id], f"<u{width}").tobytes()
         for b in batches:
             keys = iter(b.column(0).to_pylist())
             for texts in text_chunks(b.column(1)):
                 rows: list[tuple] = []
                 for ids in encoder(texts):
-                    raw = np.append(ids.astype(f"<u{width}"), np.asarray([end_id], f"<u{width}")).tobytes()
+                    raw = ids.astype(f"<u{width}", copy=False).tobytes() + tail
                     last, digests = 0, []
                     for end in cuts(np.frombuffer(raw, f"<u{width}")):
                         part = raw[last * width : end * width]
@@ -202,30 +213,51 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.select("part", "start", "pos", "doc_id", "n_tokens", "root", "chunks", "digest", "n", "crc", "part_root")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        join, part, roots, digests, crc, n, want = CrcJoin(), None, [], [], 0, 0, None
+        join, part, roots, want = CrcJoin(), None, [], None
+        held = ([], 0, 0)  # digests, crc32 and ids of a document that goes on into the next batch
 
         def close():
             if roots and merkle(roots) != want:
                 raise ValueError(f"part {part} does not match its Merkle root")
 
         for b in batches:
+            if not b.num_rows:
+                continue
+            parts, start, pos, doc, total, root, count, digest, size, crc, part_root = b.columns
+            pos, count = np.asarray(pos), np.asarray(count)
+            due = np.append(len(held[0]), np.where(pos[:-1] == count[:-1] - 1, 0, pos[:-1] + 1))
+            if size.null_count or (pos != due).any():
+                at = int(np.flatnonzero(np.asarray(size.is_null()) | (pos != due))[0])
+                raise ValueError(f"a chunk of document {doc[at].as_py()} is missing")
+            size = np.asarray(size)
+            begin = np.unique(np.append(0, np.flatnonzero(pos == 0)))
+            end = np.append(begin[1:], len(pos))
+            sums = np.cumsum(size)
+            after = np.repeat(sums[end - 1], end - begin) - sums
+            crcs = np.bitwise_xor.reduceat(crc_shifted(np.asarray(crc), 4 * after), begin)
+            ids = np.diff(np.append(0, sums[end - 1]))
+            digests = digest.to_pylist()
+            first = pa.array(begin)
+            columns = [x.take(first).to_pylist() for x in (parts, start, doc, total, root, part_root)]
             out = []
-            for p, start, pos, doc, total, root, count, digest, size, c, part_root in zip(*[x.to_pylist() for x in b.columns], strict=True):
+            for a, z, c, n, p, s, d, t, r, pr in zip(begin.tolist(), end.tolist(), crcs.tolist(), ids.tolist(), *columns, strict=True):
                 if p != part:
                     close()
-                    part, roots, want = p, [], part_root
-                if pos == 0:
-                    digests, crc, n = [], 0, 0
-                if size is None or pos != len(digests):
-                    raise ValueError(f"a chunk of document {doc} is missing")
-                digests.append(digest)
-                crc, n = join(crc, c, 4 * size), n + size
-                if pos == count - 1:
-                    if n != total or merkle(digests) != root:
-                        raise ValueError(f"document {doc} does not match its root")
-                    roots.append(root)
-                    out.append((doc, start, n, crc))
+                    part, roots, want = p, [], pr
+                own = digests[a:z]
+                if held[0]:
+                    own, c, n = held[0] + own, join(held[1], c, 4 * n), held[2] + n
+                if pos[z - 1] != count[z - 1] - 1:
+                    held = (own, c, n)
+                    continue
+                held = ([], 0, 0)
+                if n != t or merkle(own) != r:
+                    raise ValueError(f"document {d} does not match its root")
+                roots.append(r)
+                out.append((d, s, n, c))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 4)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        if held[0]:
+            raise ValueError("chunks of the last document are missing")
         close()
 
     return rows.repartition("part").sortWithinPartitions("part", "start", "pos").mapInArrow(joined, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -239,6 +239,18 @@ def test_token_store(request, name, spark, tmp_path):
         token_store.read_back(spark, path).collect()
 
 
+def test_store_over_small_batches(spark, odd, tmp_path):
+    """Documents whose chunks are spread over several batches."""
+    path = str(tmp_path / "store")
+    token_store.write_store(odd, path, public_tokenizers.path("word_bpe_49k.json"), 2)
+    whole = sorted(map(str, token_store.read_back(spark, path).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert sorted(map(str, token_store.read_back(spark, path).collect())) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_empty_store(spark, odd, tmp_path):
     path = str(tmp_path / "store")
     token_store.write_store(odd.limit(0), path, public_tokenizers.path("word_bpe_49k.json"), 2)
