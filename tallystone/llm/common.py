@@ -245,6 +245,8 @@ _UNIT = re.compile(rf"\s?[{_LETTERS}]+(?=[{_MARKS}\s]|$)|\s*\S+|\s+")
 _BARE_UNIT = re.compile(rf"[{_LETTERS}]+(?=[{_MARKS}\s]|$)|\S+")
 #: Control characters that Python alone counts as white space, and the separator below.
 _ODD = re.compile("[\x01\x1c-\x1f]")
+#: Texts whose capitals have one small letter each, and that no normal form changes.
+_LATIN = re.compile("[\\x00-\u012f\u0131-\u024f]*")
 _PLAIN_UNIT = re.compile(r"\s?\S")
 LONG_UNIT = 96
 
@@ -298,7 +300,7 @@ class UnitEncoder:
         """Ids of each text; call it with some MB of texts at a time."""
         cuts: list[list[str] | None] = []
         for t in texts:
-            if self.token_bytes is None and t.isascii():
+            if self.token_bytes is None and (t.isascii() or _LATIN.fullmatch(t)):
                 t = t.lower()  # as the library's normaliser does
             cuts.append(None if _ODD.search(t) else self.units.findall(t))
         new, extra = self.new, {}

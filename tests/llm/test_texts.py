@@ -239,6 +239,19 @@ def test_token_store(request, name, spark, tmp_path):
         token_store.read_back(spark, path).collect()
 
 
+def test_small_letters_as_the_library_makes_them():
+    """Every character of the Latin blocks, alone and among others, lower-cased here and by the library."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    encoder = hf_encoder(path, keeps_space=False)
+    texts = [f"a{chr(c)}B {chr(c)} Z{chr(c)}{chr(c)}. {chr(c)}X" for c in range(0x260)] + ["ΟΔΟΣ İSTANBUL ẞ", "A\u0301É É́", "ÀÉÎÕÜ straßE Ǆǅǆ Ⱥ"]
+    for text, ids in zip(texts, encoder(texts), strict=True):
+        assert ids.tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
 def test_store_over_small_batches(spark, odd, tmp_path):
     """Documents whose chunks are spread over several batches."""
     path = str(tmp_path / "store")
