@@ -239,8 +239,8 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 # ---------------------------------------------------------------- tokenizer cache
 
-#: Latin letters that every split pattern here counts as letters, and ASCII punctuation.
-_LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-/:-@\[-`{-~"
+#: Latin letters that every split pattern here counts as letters (but \u0130, whose small form ends in a mark that is none), and ASCII punctuation.
+_LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f", r"!-/:-@\[-`{-~"
 _UNIT = re.compile(rf"\s?[{_LETTERS}]+(?=[{_MARKS}\s]|$)|\s*\S+|\s+")
 _BARE_UNIT = re.compile(rf"[{_LETTERS}]+(?=[{_MARKS}\s]|$)|\S+")
 #: Control characters that Python alone counts as white space, and the separator below.
