@@ -35,17 +35,23 @@ _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream, by content alone."""
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places of a stream that may end a chunk: where the hash of the ``ROLL`` ids before says so."""
     n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+    if n < ROLL:
+        return np.zeros(0, np.int64)
     sums = np.zeros(n + 1, U64)
     np.cumsum(mix(ids.astype(U64) + U64(1)) * powers(_BASE, n), out=sums[1:])
     rolling = mix((sums[ROLL:] - sums[:-ROLL]) * powers(_INVERSE, n)[: n + 1 - ROLL])
-    marks = np.flatnonzero((rolling & U64(MEAN - 1)) == 0) + ROLL
+    return np.flatnonzero((rolling & U64(MEAN - 1)) == 0) + ROLL
+
+
+def chunk_ends(n: int, at: list[int]) -> list[int]:
+    """Ends of the chunks of a stream of n ids with such marks."""
+    if n <= LEAST:
+        return [n] if n else []
     out, last = [], 0
-    for m in marks.tolist():
+    for m in at:
         while m - last > MOST:
             last += MOST
             out.append(last)
@@ -60,6 +66,11 @@ def cuts(ids: np.ndarray) -> list[int]:
     return out
 
 
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of an id stream, by content alone."""
+    return chunk_ends(len(ids), marks(ids).tolist())
+
+
 def merkle(digests: list[bytes]) -> bytes:
     """Root of a binary hash tree; an odd last node moves up as it is, no leaves give the digest of nothing."""
     if not digests:
@@ -122,15 +133,22 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, keeps_s
     width = 4 if end_id > 0xFFFF else hf_encoder(tokenizer, keeps_space).dtype.itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen, tail = hf_encoder(tokenizer, keeps_space), set(), np.asarray([end_id], f"<u{width}").tobytes()
+        encoder, seen, tail = hf_encoder(tokenizer, keeps_space), set(), np.asarray([end_id], f"<u{width}")
         for b in batches:
             keys = iter(b.column(0).to_pylist())
             for texts in text_chunks(b.column(1)):
                 rows: list[tuple] = []
-                for ids in encoder(texts):
-                    raw = ids.astype(f"<u{width}", copy=False).tobytes() + tail
+                # the documents' ids in a row, marked in one go; a mark whose hash reaches into another document is none
+                each = [x for ids in encoder(texts) for x in (ids, tail)]
+                stream = np.concatenate(each).astype(f"<u{width}", copy=False)
+                where, whole = marks(stream), stream.tobytes()
+                ends = np.cumsum([len(x) for x in each])[1::2]
+                begins = np.append(0, ends[:-1])
+                low, high = np.searchsorted(where, begins + ROLL, "left"), np.searchsorted(where, ends, "right")
+                for begin, stop, i, j in zip(begins.tolist(), ends.tolist(), low.tolist(), high.tolist(), strict=True):
+                    raw, n = whole[begin * width : stop * width], stop - begin
                     last, digests = 0, []
-                    for end in cuts(np.frombuffer(raw, f"<u{width}")):
+                    for end in chunk_ends(n, (where[i:j] - begin).tolist() if n > LEAST else []):
                         part = raw[last * width : end * width]
                         last = end
                         d = hashlib.sha256(part).digest()[:DIGEST]
@@ -140,13 +158,14 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, keeps_s
                                 seen.clear()
                             seen.add(d)
                             rows.append((None, None, None, None, d, part))
-                    rows.append((next(keys), len(ids) + 1, b"".join(digests), merkle(digests), None, None))
+                    rows.append((next(keys), n, b"".join(digests), merkle(digests), None, None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     ddl = "doc_id long, n_tokens long, digests binary, root binary, digest binary, ids binary"
     raw, raw_path = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ddl), "encoded")
     with shuffles_dropped(spark):
-        raw.where("digest is not null").groupBy("digest").agg(F.first("ids").alias("ids")).write.option("compression", "zstd").parquet(f"{path}/chunks")
+        # tasks have dropped most repeats themselves, so chunks are dealt without being sorted first
+        raw.where("digest is not null").select("digest", "ids").repartition("digest").groupBy("digest").agg(F.first("ids").alias("ids")).write.option("compression", "zstd").parquet(f"{path}/chunks")
 
     # token offsets: sums of ranges of doc_id, then running sums within each
     recipes = raw.where("root is not null").select("doc_id", "n_tokens", "digests", "root")
