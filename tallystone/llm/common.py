@@ -243,6 +243,12 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 _LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f", r"!-/:-@\[-`{-~"
 _UNIT = re.compile(rf"\s?[{_LETTERS}]+(?=[{_MARKS}\s]|$)|\s*\S+|\s+")
 _BARE_UNIT = re.compile(rf"[{_LETTERS}]+(?=[{_MARKS}\s]|$)|\S+")
+#: Characters that keep a text from being cut by its bytes: white space beyond ASCII, control characters, and non-letters among the Latin letters.
+_BY_CHARACTER = re.compile("[\x01\x1c-\x1f\x85\xa0\xd7\xf7\u0130\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Bytes of ASCII letters and of U+00C0 to U+023F, with all that continue a character; ASCII punctuation.
+_LETTER_BYTE, _MARK_BYTE = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER_BYTE[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xC9)]] = True
+_MARK_BYTE[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 #: Control characters that Python alone counts as white space, and the separator below.
 _ODD = re.compile("[\x01\x1c-\x1f]")
 #: Texts whose capitals have one small letter each, and that no normal form changes.
@@ -251,6 +257,47 @@ _PLAIN_UNIT = re.compile(r"\s?\S")
 LONG_UNIT = 96
 
 
+def bare_units(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Units of concatenated UTF-8 texts, white space left out, and where each text begins among them.
+
+    A unit is a run without white space, or two: the letters it begins with, where ASCII
+    punctuation follows them, and the rest. The texts hold none of ``_BY_CHARACTER``.
+    """
+    n = len(raw)
+    solid = ~_SPACE[raw]
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    first, last = solid & edge[:-1], solid & edge[1:]
+    first[1:] |= solid[1:] & ~solid[:-1]
+    last[:-1] |= solid[:-1] & ~solid[1:]
+    first[:1], last[-1:] = solid[:1], solid[-1:]
+    begin = np.flatnonzero(first)
+    other = np.flatnonzero(solid & ~_LETTER_BYTE[raw])
+    run = np.searchsorted(begin, other, "right") - 1
+    leads = np.ones(len(other), bool)  # the first byte of its run that is no letter's
+    leads[1:] = run[1:] != run[:-1]
+    cut = other[leads & _MARK_BYTE[raw[other]] & (other > begin[run])]
+    first[cut] = last[cut - 1] = True
+    begin = np.flatnonzero(first)
+    ends = np.append(0, np.cumsum(np.flatnonzero(last) + 1 - begin))
+    units = pa.Array.from_buffers(pa.large_string(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(raw[solid])])
+    return units, np.searchsorted(begin, offsets)
+
+
+def pieces(text: str, size: int = 1 << 20) -> Iterator[str]:
+    """A text in pieces of about ``size`` characters, cut at blanks alone."""
+    at = 0
+    while len(text) - at > size:
+        end = text.rfind(" ", at + 1, at + size)
+        if end < 0:
+            end = text.find(" ", at + size)
+            if end < 0:
+                break
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 class UnitEncoder:
     """Encodes whole texts through a cache of units, each unit once by the tokenizer's own library.
 
@@ -296,12 +343,59 @@ class UnitEncoder:
             for u, a, b in zip(group, (begin * width).tolist(), (end * width).tolist(), strict=True):
                 yield u, raw[a:b]
 
+    def _known(self, units: list[str]) -> list[bytes]:
+        """Ids of distinct units; new ones go to the library and, unless they are long, into the cache."""
+        new, old = self.new, self.old
+        out = [new.get(u) for u in units]
+        ask = []
+        for i, ids in enumerate(out):
+            if ids is None:
+                u = units[i]
+                if (ids := old.get(u)) is None:
+                    ask.append(u)
+                else:
+                    new[u] = out[i] = ids
+        if ask:
+            found = dict(self._encode_units(ask))
+            out = [found[u] if ids is None else ids for u, ids in zip(units, out, strict=True)]
+            new.update((u, ids) for u, ids in found.items() if len(u) <= LONG_UNIT)
+        if len(new) > self.limit:
+            self.old, self.new = new, {}
+        return out
+
+    def _by_bytes(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts without characters of ``_BY_CHARACTER``, by arrays: each distinct unit of some MB is looked up once."""
+        parts = [list(pieces(t)) for t in texts]
+        raw, offsets = binary_parts(pa.array([p for ps in parts for p in ps], pa.large_string()))
+        out: list[np.ndarray] = []
+        for i, j in byte_chunks(offsets, 1 << 22):
+            part = offsets[i : j + 1]
+            units, at = bare_units(raw[part[0] : part[-1]], part - part[0])
+            coded = units.dictionary_encode()
+            ids = self._known(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+            where = np.asarray(coded.indices)
+            flat = np.frombuffer(b"".join(ids), self.dtype)
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+            starts, n = np.cumsum(sizes) - sizes, sizes[where]
+            ends = np.append(0, np.cumsum(n))
+            stream = flat[np.repeat(starts[where] - ends[:-1], n) + np.arange(ends[-1])]
+            bounds = ends[at].tolist()
+            out.extend(stream[a:z] for a, z in zip(bounds, bounds[1:], strict=False))
+        each = iter(out)
+        return [next(each) if len(ps) == 1 else np.concatenate([next(each) for _ in ps]) for ps in parts]
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; call it with some MB of texts at a time."""
+        if self.token_bytes is not None:
+            return self._by_characters(texts)
+        texts = [t.lower() if t.isascii() or _LATIN.fullmatch(t) else t for t in texts]  # as the library's normaliser does
+        slow = [_BY_CHARACTER.search(t) is not None for t in texts]
+        groups = [iter(f([t for t, s in zip(texts, slow, strict=True) if s == k])) for k, f in enumerate((self._by_bytes, self._by_characters))]
+        return [next(groups[s]) for s in slow]
+
+    def _by_characters(self, texts: list[str]) -> list[np.ndarray]:
         cuts: list[list[str] | None] = []
         for t in texts:
-            if self.token_bytes is None and (t.isascii() or _LATIN.fullmatch(t)):
-                t = t.lower()  # as the library's normaliser does
             cuts.append(None if _ODD.search(t) else self.units.findall(t))
         new, extra = self.new, {}
         if missing := set().union(*[c for c in cuts if c is not None]).difference(new):

@@ -136,7 +136,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, keeps_s
         encoder, seen, tail = hf_encoder(tokenizer, keeps_space), set(), np.asarray([end_id], f"<u{width}")
         for b in batches:
             keys = iter(b.column(0).to_pylist())
-            for texts in text_chunks(b.column(1)):
+            for texts in text_chunks(b.column(1), 1 << 22):
                 rows: list[tuple] = []
                 # the documents' ids in a row, marked in one go; a mark whose hash reaches into another document is none
                 each = [x for ids in encoder(texts) for x in (ids, tail)]

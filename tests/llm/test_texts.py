@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallystone.llm import bpe, licenses, packing, token_store
-from tallystone.llm.common import even_slots, hf_encoder
+from tallystone.llm.common import bare_units, binary_parts, even_slots, hf_encoder, pieces
 from tallystone.llm.fingerprints import edit_report, fingerprints, likeness, shown, winnow
 
 from .conftest import texts_of
@@ -252,6 +252,29 @@ def test_small_letters_as_the_library_makes_them():
         assert ids.tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
+def test_bare_units():
+    """Units cut by bytes: letters before ASCII punctuation, and runs without white space."""
+    import pyarrow as pa
+
+    texts = ["don't stop", "", "  ", "été,x é-é", "a.b.c !a 1,2", "中,x a中,y", "x"]
+    units, at = bare_units(*binary_parts(pa.array(texts, pa.large_string())))
+    got = [units[a:z].to_pylist() for a, z in zip(at, at[1:], strict=False)]
+    assert got == [["don", "'t", "stop"], [], [], ["été", ",x", "é", "-é"], ["a", ".b.c", "!a", "1,2"], ["中,x", "a中,y"], ["x"]]
+    units, at = bare_units(*binary_parts(pa.array([], pa.large_string())))
+    assert len(units) == 0 and at.tolist() == [0]
+
+
+def test_long_texts_in_pieces():
+    from tokenizers import Tokenizer
+
+    assert list(pieces("ab cd ef", 4)) == ["ab", " cd", " ef"] and list(pieces("abcdefgh ij", 4)) == ["abcdefgh", " ij"] and list(pieces("abcdefgh", 4)) == ["abcdefgh"] and list(pieces("", 4)) == [""]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["it's, été. ab1 " * 150_000, "x" * 1_100_000 + " y", " " * 1_200_000, "a", "", "q\xa0r"]
+    for text, ids in zip(texts, hf_encoder(path, keeps_space=False)(texts), strict=True):
+        assert ids.tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_store_over_small_batches(spark, odd, tmp_path):
     """Documents whose chunks are spread over several batches."""
     path = str(tmp_path / "store")
