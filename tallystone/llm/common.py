@@ -186,13 +186,13 @@ def byte_chunks(offsets: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int
         i = min(j, n)
 
 
-def words_of(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends, 64-bit hashes and document numbers of the words ``[^\\x20\\x09-\\x0D]+`` of concatenated texts."""
+def words_of(raw: np.ndarray, offsets: np.ndarray, lower: bool = True, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends, 64-bit hashes and document numbers of the words of concatenated texts: runs of bytes that aren't ``gaps``, by default ``[^\\x20\\x09-\\x0D]+``."""
     n = len(raw)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(0, U64), z
-    solid = ~_SPACE[raw]
+    solid = ~gaps[raw]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.empty(n, bool)

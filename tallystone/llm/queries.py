@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, packing, templates, token_store, topk
+from . import bpe, hard_negatives, langid, licenses, packing, phrases, templates, token_store, topk, toxicity
 from . import quality as quality_model
 from .common import drop_path, held_out, read_table, shared_dir, staged
 from .fingerprints import edit_report
@@ -81,3 +81,27 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=2048, end_id=0)
+
+
+@register
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
+SQL["op11_phrases"] = phrases.collocations_sql()
+
+
+@register
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = hard_negatives.labelled_vectors(read_table(spark, sf_dir, "embeddings"), label)
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
+SQL["op12_hard_negatives"] = hard_negatives.hard_negatives_sql()
+
+
+@register
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return toxicity.toxicity(docs, labels).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")

@@ -26,8 +26,8 @@ BLOCK, QUERIES, SEEDS = 16384, 1024, 1024
 STEP, LEAD = 2048, 16
 
 
-def integer_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
-    """(vec_id, v, norm): floor(scale * x) of each component, as doubles, which hold these integers exactly.
+def integer_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(vec_id, v, norm) and the columns ``keep``: floor(scale * x) of each component, as doubles, which hold these integers exactly.
 
     Rows go that have no id, or whose vector is null or holds a part that is null, or not finite
     (also after scaling, from 2**1016 on). Components may be as large as doubles are.
@@ -37,9 +37,9 @@ def integer_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     # Spark's floor gives a long; from 2**52 on a double has no fraction to cut off
     v = F.transform("scaled", lambda a: F.when(F.abs(a) < float(1 << 52), F.floor(a).cast("double")).otherwise(a))
     out = table.where(F.col(id_col).isNotNull() & x.isNotNull() & F.coalesce(fine, F.lit(False)))
-    out = out.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda a: a.cast("double") * scale).alias("scaled")).select("vec_id", v.alias("v"))
+    out = out.select(F.col(id_col).cast("long").alias("vec_id"), *keep, F.transform(x, lambda a: a.cast("double") * scale).alias("scaled")).select("vec_id", *keep, v.alias("v"))
     top = F.greatest(F.coalesce(F.array_max(F.transform("v", F.abs)), F.lit(0.0)), F.lit(1.0))
-    return out.withColumn("top", top).select("vec_id", "v", (F.col("top") * F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, a: s + (a / F.col("top")) * (a / F.col("top"))))).alias("norm"))
+    return out.withColumn("top", top).select("vec_id", *keep, "v", (F.col("top") * F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, a: s + (a / F.col("top")) * (a / F.col("top"))))).alias("norm"))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
