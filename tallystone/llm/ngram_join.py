@@ -24,9 +24,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .common import U64, drop_path, maybe_among, mix, shingle_sets, staged
 
@@ -158,20 +157,29 @@ def added(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
     yield [list(sums), [c.tobytes() for c in sums.values()]]
 
 
-def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
-    """One row per row of ``docs``: ``id_col``, n_shingles, component_id, and with ``count_links`` n_links.
+def row_key(id_col: str, text_col: str) -> Column:
+    """A 64-bit hash of a row's id and text; equal rows have one key."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+
+
+def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False, keep_one: bool = False) -> DataFrame:
+    """One row per row of ``docs``: ``id_col``, n_shingles, component_id, with ``count_links`` n_links, and with ``keep_one`` row_key and stays.
 
     Texts link when 100 * |A & B| >= percent * |A | B| for their sets of k-word shingles
     (A-Z lower-cased, words between ASCII white space; shorter texts are one shingle).
-    component_id is the smallest id reachable by links, the row's own included. Null or
-    wordless texts have 0 shingles and only themselves; a row with a null id links to rows of
-    the same set only. Equal rows are kept as they are and link to each other; empty tables
-    give no rows. Texts of any length are taken whole. n_links is the number of other rows that
-    a row links to, copies included: all sets of a component are compared, block by block, so
-    its cost grows with the square of a component's distinct sets; no pair leaves a task.
+    component_id is the smallest id reachable by links, the row's own included. What links are
+    sets, each standing for all rows that have it, so rows of one id with different texts are in
+    different components unless their texts link, and repeated rows cost no more than one. Rows
+    with a null id link like others, but give no component its id: one of such rows alone has
+    none. Null or wordless texts have 0 shingles and only themselves. Equal rows are kept as they
+    are and link to each other; empty tables give no rows. Texts of any length are taken whole;
+    other columns are not looked at. n_links is the number of other rows that a row links to,
+    copies included: all sets of a component are compared, block by block, so its cost grows with
+    the square of a component's distinct sets; no pair leaves a task. stays is true of one row_key
+    in a component, that of a row with the component's id, and of every wordless row.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row"))
     part = Partition(percent)
 
     # 1. every row's set size and digest, and the sketch of all entries, in one pass over the texts
@@ -189,15 +197,15 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
                         seen.clear()
                     seen.add(key[0])
                     np.add.at(heat, part.all_slots(tokens), 1)
-            yield [[None] * len(n), b.column(0), np.asarray(n, np.int64), [x for x, _ in keys], [y for _, y in keys], [None] * len(n)]
+            yield [[None] * len(n), b.column(0), b.column(2), np.asarray(n, np.int64), [x for x, _ in keys], [y for _, y in keys], [None] * len(n)]
         pages = heat.reshape(-1, PAGE)
         used = np.flatnonzero(pages.any(axis=1)).tolist()
         nothing = [None] * len(used)
-        yield [used, nothing, nothing, nothing, nothing, [packed(pages[p]) for p in used]]
+        yield [used, nothing, nothing, nothing, nothing, nothing, [packed(pages[p]) for p in used]]
 
-    schema = pa.schema([("page", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("counts", pa.binary())])
-    both, both_path = staged(base.mapInArrow(_arrow(describe, schema), "page int, id long, n long, k1 long, k2 long, counts binary"), "sets")
-    meta = both.where("page is null").select("id", "n", "k1", "k2")
+    schema = pa.schema([("page", pa.int32()), ("id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("counts", pa.binary())])
+    both, both_path = staged(base.mapInArrow(_arrow(describe, schema), "page int, id long, row long, n long, k1 long, k2 long, counts binary"), "sets")
+    meta = both.where("page is null").select("id", "row", "n", "k1", "k2")
     pages = both.where("page is not null").select("page", "counts").repartition("page").mapInArrow(_arrow(added, pa.schema([("page", pa.int32()), ("counts", pa.binary())])), "page int, counts binary")
     heat = np.zeros(1 << SKETCH_BITS, np.int64)
     for r in pages.collect():  # one row a page, 8 MB at most
@@ -206,8 +214,8 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     beyond = heat - usual - UNEVEN * np.sqrt(usual)
     spread = np.where(beyond > HOT, beyond // HOT + 1, 1).astype(np.int32)
     sketch_b = spark.sparkContext.broadcast((heat, spread))
-    sets_once = meta.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    reps = sets_once.where("rep is not null")
+    # each set once: its smallest id, its rows, and the row that stands for it, one with that id
+    sets_once = meta.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("low"), F.count("*").alias("copies"), F.coalesce(F.min_by("row", "id"), F.min("row")).alias("stands"))
 
     # 2. signatures; equal sets within a task sign once, and entries of a hot slot are salted by their set
     def sign(batches):
@@ -265,29 +273,27 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     leaders, leaders_path = staged(scored.groupBy("sig").agg(F.max(F.struct("score", "key")).alias("top")).select("sig", F.col("top.key").alias("leader")), "leaders")
     groups, groups_path = staged(scored.select("sig", "key").join(leaders, "sig").select("leader", "key").where("leader <> key").distinct(), "groups")
 
-    # 4. the sets of the candidates only, by their representative rows
+    # 4. the sets of the candidates only, each from the row that stands for it; of repeated rows one is read
     wanted = groups.select("key").union(groups.select("leader")).distinct()
-    needed, needed_path = staged(reps.join(wanted, reps.k1 == wanted.key, "left_semi").select("rep", "k1", "k2"), "needed")
+    needed, needed_path = staged(sets_once.join(wanted, sets_once.k1 == wanted.key, "left_semi").select("stands", "k1", "k2"), "needed")
 
     def tokens_of(batches):
         for b in batches:
-            ids, k1s, k2s, sets = [], [], [], []
-            for i, a, c, tokens in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), shingle_sets(b.column(1), k), strict=True):
-                if set_keys(tokens) == (a, c):  # else another row with the same id
-                    ids.append(i), k1s.append(a), k2s.append(c), sets.append(tokens.tobytes())
-            yield [ids, k1s, k2s, sets]
+            keys, sets = [], []
+            for a, c, tokens in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), shingle_sets(b.column(0), k), strict=True):
+                if set_keys(tokens) == (a, c):
+                    keys.append(a), sets.append(tokens.tobytes())
+            yield [keys, sets]
 
-    schema = pa.schema([("rep", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("tokens", pa.binary())])
-    sets, sets_path = staged(
-        maybe_among(base, "id", needed.select("rep")).where("maybe").join(needed, F.col("id") == needed.rep).select("rep", "text", "k1", "k2").mapInArrow(_arrow(tokens_of, schema), "rep long, k1 long, k2 long, tokens binary"), "candidates"
-    )
+    schema = pa.schema([("key", pa.int64()), ("tokens", pa.binary())])
+    texts = maybe_among(base.select("row", "text"), "row", needed.select("stands")).where("maybe").select("row", "text").dropDuplicates(["row"])
+    kept, sets_path = staged(texts.join(needed, F.col("row") == needed.stands).select("text", "k1", "k2").mapInArrow(_arrow(tokens_of, schema), "key long, tokens binary"), "candidates")
 
     # 5. members against their leader; a group is dealt over as many tasks as it has blocks
     counts, counts_path = staged(groups.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "counts")
     dealt = groups.join(counts, "leader").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     rows = dealt.select("leader", "block", F.lit(1).alias("role"), "key").union(counts.select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("leader").alias("key")))
-    kept = sets.select(F.col("k1").alias("key"), "rep", "tokens")
-    rows = rows.join(kept, "key").select("leader", "block", "role", "key", "rep", "tokens")
+    rows = rows.join(kept, "key").select("leader", "block", "role", "key", "tokens")
 
     def similar(inter, a, b):
         return 100 * inter >= percent * (a + b - inter)
@@ -295,24 +301,21 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     def against_leader(batches):
         group, heads = None, []
         for b in batches:
-            out = ([], [], [], [], [])
-            for g, blk, role, key, rep, raw in zip(*[b.column(i).to_pylist() for i in range(6)], strict=True):
+            out = ([], [], [], [])
+            for g, blk, role, key, raw in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
                 tokens = np.frombuffer(raw, U64)
                 if (g, blk) != group:
                     group, heads = (g, blk), []
                 if role == 0:
-                    heads.append((rep, tokens))
+                    heads.append(tokens)
                     continue
-                hit = None
-                for head, t in heads:
-                    if similar(len(np.intersect1d(tokens, t, assume_unique=True)), len(tokens), len(t)):
-                        hit = head
-                for col, v in zip(out, (g, key, rep, hit, len(tokens)), strict=True):
+                hit = any(similar(len(np.intersect1d(tokens, t, assume_unique=True)), len(tokens), len(t)) for t in heads)
+                for col, v in zip(out, (g, key, g if hit else None, len(tokens)), strict=True):
                     col.append(v)
             yield list(out)
 
-    schema = pa.schema([("leader", pa.int64()), ("key", pa.int64()), ("rep", pa.int64()), ("linked", pa.int64()), ("n", pa.int64())])
-    tried = rows.repartition("leader", "block").sortWithinPartitions("leader", "block", "role").mapInArrow(_arrow(against_leader, schema), "leader long, key long, rep long, linked long, n long")
+    schema = pa.schema([("leader", pa.int64()), ("key", pa.int64()), ("linked", pa.int64()), ("n", pa.int64())])
+    tried = rows.repartition("leader", "block").sortWithinPartitions("leader", "block", "role").mapInArrow(_arrow(against_leader, schema), "leader long, key long, linked long, n long")
     tried, tried_path = staged(tried, "tried")
 
     # 6. what the leader did not take, against the rest of its group, block by block
@@ -328,12 +331,12 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     inside = tried.join(open_groups, "leader")
     rest = inside.where("linked is null").select("leader", F.pmod(F.xxhash64("key"), F.col("rb")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ab") - 1)).alias("j"), F.lit(0).alias("role"), "key", F.lit(None).cast("long").alias("linked"))
     others = inside.select("leader", F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("i"), F.pmod(F.xxhash64("key", F.lit(1)), F.col("ab")).cast("int").alias("j"), F.lit(1).alias("role"), "key", "linked")
-    pairs = rest.union(others).join(kept, "key").select("leader", "i", "j", "role", "rep", "linked", "tokens")
+    pairs = rest.union(others).join(kept, "key").select("leader", "i", "j", "role", "key", "linked", "tokens")
 
     def links_of(rest_rows, other_rows):
         """A spanning set of the links between two blocks; what the leader took is one class already."""
-        reps_, sets_ = [r for r, _, _ in other_rows], [t for _, _, t in other_rows]
-        n = len(reps_)
+        keys_, sets_ = [r for r, _, _ in other_rows], [t for _, _, t in other_rows]
+        n = len(keys_)
         lengths = np.asarray([len(t) for t in sets_], np.int64)
         flat = np.concatenate(sets_)
         order = np.argsort(flat, kind="stable")
@@ -358,21 +361,21 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             at = np.repeat(a - np.concatenate(([0], np.cumsum(span)[:-1])), span) + np.arange(total)
             inter = np.bincount(owner[at], minlength=n)
             for o in np.flatnonzero(100 * inter >= percent * (len(t) + lengths - inter)).tolist():
-                x, y = find(r), find(reps_[o])
+                x, y = find(r), find(keys_[o])
                 if x != y:
                     parent[x] = y
-                    yield r, reps_[o]
+                    yield r, keys_[o]
 
     def against_rest(batches):
         group, held = None, ([], [])
         for b in batches:
             out = []
-            for g, i, j, role, rep, linked, raw in zip(*[b.column(c).to_pylist() for c in range(7)], strict=True):
+            for g, i, j, role, key, linked, raw in zip(*[b.column(c).to_pylist() for c in range(7)], strict=True):
                 if (g, i, j) != group:
                     if held[0] and held[1]:
                         out += links_of(*held)
                     group, held = (g, i, j), ([], [])
-                held[role].append((rep, linked, np.frombuffer(raw, U64)))
+                held[role].append((key, linked, np.frombuffer(raw, U64)))
             yield [[x for x, _ in out], [y for _, y in out]]
         if held[0] and held[1]:
             out = list(links_of(*held))
@@ -380,27 +383,32 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     more = pairs.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j").mapInArrow(_arrow(against_rest, schema), "a long, b long")
-    edges = tried.where("linked is not null").select(F.col("rep").alias("a"), F.col("linked").alias("b")).union(more).where("a <> b").distinct()
+    edges = tried.where("linked is not null").select(F.col("key").alias("a"), F.col("linked").alias("b")).union(more).where("a <> b").distinct()
     edges, edges_path = staged(edges, "links")
 
-    # 7. components, then back to all rows; classes are staged, so that the join may split a class of many copies
+    # 7. components, then back to all rows; what is joined to large groups is staged, so that the join may split them
     labels = components(edges)
-    known = sets_once.join(labels, F.col("rep") == labels.node, "left").withColumn("component_id", F.coalesce("label", "rep"))
+    parts = sets_once.join(labels, F.col("k1") == labels.node)
+    lowest = parts.groupBy("label").agg(F.min("low").alias("lowest"), F.coalesce(F.min_by("k1", "low"), F.min("k1")).alias("head"))
+    lowest, lowest_path = staged(lowest.select(F.col("label").alias("of"), "lowest", "head"), "lowest")
+    known = sets_once.join(labels, F.col("k1") == labels.node, "left").join(lowest, F.col("label") == lowest.of, "left")
     found = F.col("copies") - 1
     if count_links:
-        nodes = sets.join(labels, sets.rep == labels.node).join(reps.select("k1", "k2", "copies"), ["k1", "k2"]).select("label", "rep", "copies", "tokens")
+        nodes = parts.select("label", "k1", "copies").join(kept, F.col("k1") == kept.key).select("label", F.col("key").alias("rep"), "copies", "tokens")
         counted, counted_path = staged(links(nodes, percent), "counted")
-        known = known.join(counted.select(F.col("rep").alias("of"), "links"), F.col("rep") == F.col("of"), "left")
+        known = known.join(counted.select(F.col("rep").alias("linked"), "links"), F.col("k1") == F.col("linked"), "left")
         found = found + F.coalesce("links", F.lit(0))
-    classes, classes_path = staged(known.select("k1", "k2", "component_id", found.alias("n_links")), "classes")
+    first = F.when(F.col("label").isNull() | (F.col("head") == F.col("k1")), F.col("stands"))
+    classes, classes_path = staged(known.select("k1", "k2", F.coalesce("lowest", "low").alias("component_id"), found.alias("n_links"), first.alias("stands")), "classes")
     out = meta.join(classes, ["k1", "k2"], "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"),
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
         *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []),
+        *([F.col("row").alias("row_key"), ((F.col("n") == 0) | F.coalesce(F.col("row") == F.col("stands"), F.lit(False))).alias("stays")] if keep_one else []),
     )
     out, _ = staged(out, "components")
     if count_links:
         drop_path(spark, counted_path)
-    drop_path(spark, both_path, met_path, scored_path, leaders_path, groups_path, needed_path, counts_path, open_path, sets_path, tried_path, edges_path, classes_path)
+    drop_path(spark, both_path, met_path, scored_path, leaders_path, groups_path, needed_path, counts_path, open_path, sets_path, tried_path, edges_path, lowest_path, classes_path)
     return out
 
 
