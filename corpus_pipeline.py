@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallystone.llm import langid, packing, quality
 from tallystone.llm.common import maybe_among, read_table, staged
-from tallystone.llm.ngram_join import ngram_components
+from tallystone.llm.ngram_join import ngram_components, row_key
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document goes if its language's probability is below this, or it has no letter.
@@ -41,23 +41,20 @@ def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each group of texts linked by 0.8 of their 5-word shingles: the one with the smallest doc_id.
+    """Keep one row of each group of texts linked by 0.8 of their 5-word shingles: one with the smallest doc_id.
 
-    Null and wordless texts are groups of their own. Of rows that share a doc_id, all with different
-    texts stay if the id stays, and one of equal texts; of rows with a null id, one of equal texts.
-    An empty table stays empty.
+    Rows with a null id are in groups like others and stay where no row of their group has an id. Null
+    and wordless texts are groups of their own, but of equal rows one stays. Rows that share a
+    doc_id are judged each by its own text. An empty table stays empty.
     """
     docs = docs.select(*COLUMNS)
-    groups = ngram_components(docs, k=5, percent=80)
-    ids = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
-    # only ids that go or that several rows share are looked up; all other rows stay where they are
-    marks, _ = staged(ids.where("rows > 1 or not stays"), "marks")
-    looked = maybe_among(docs.where("doc_id is not null"), "doc_id", marks.select("doc_id"))
-    asked = looked.where("maybe").join(marks, "doc_id", "left").where("stays is null or stays")
-    digest = F.sha2("text", 256)
-    once = asked.withColumn("digest", F.when(F.col("rows") > 1, digest)).dropDuplicates(["doc_id", "digest"])
-    nulls = docs.where("doc_id is null").withColumn("digest", digest).dropDuplicates(["digest"])
-    return looked.where("not maybe").select(*COLUMNS).unionByName(once.select(*COLUMNS)).unionByName(nulls.select(*COLUMNS))
+    groups = ngram_components(docs, k=5, percent=80, keep_one=True)
+    rows = groups.groupBy("row_key").agg(F.count("*").alias("rows"), F.max("stays").alias("stays"))
+    # only rows that go or that are there several times are looked up; all others stay where they are
+    marks, _ = staged(rows.where("rows > 1 or not stays"), "marks")
+    looked = maybe_among(docs.withColumn("row_key", row_key("doc_id", "text")), "row_key", marks.select("row_key"))
+    asked = looked.where("maybe").join(marks, "row_key", "left").where("stays is null or stays").dropDuplicates(["row_key"])
+    return looked.where("not maybe").select(*COLUMNS).unionByName(asked.select(*COLUMNS))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
