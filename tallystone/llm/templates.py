@@ -1,10 +1,12 @@
 """Main text of web pages: site templates found by their recurrence, and page furniture by its markup.
 
-Every block element's subtree is hashed (tag, attributes that name it, its texts and
-children). Spark counts each hash's distinct pages per host; subtrees that stand on many
-of a host's pages (or on half of a small host's) are its template and are deleted, together with menus,
-headers, footers, sidebars, notices, adverts, forms, comments and code, by tag, role
-and naming attributes. What is left of the article is the text.
+The article is looked for first: ``article`` or ``main`` elements, or the innermost element
+that holds most of the page's text. Subtrees around it, and in it those that group blocks
+(but not its paragraphs, headings, items or quotes, nor one that holds most of its text),
+are hashed (tag, attributes that name it, its texts and children). Spark counts each hash's
+distinct pages per host; subtrees that stand on many pages of a host are its template and
+are deleted, together with menus, headers, footers, sidebars, notices, adverts, forms,
+comments and code, by tag, role and names. What is left of the article is the text.
 """
 
 from __future__ import annotations
@@ -21,9 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import drop_path, staged
 
-#: A template subtree stands on so many distinct pages of its host, whatever the host's size; or, on a
-#: host with few pages, on so many at least and on this share of them.
-MANY_PAGES, LEAST_PAGES, SHARE = 8, 3, 0.5
+#: A template subtree stands on so many distinct pages of its host, whatever the host's size.
+MANY_PAGES = 4
 #: Up to so many (host, hash) pairs the templates are broadcast (8 bytes each); beyond, joined by page.
 BROADCAST_PAIRS = 1_000_000
 
@@ -40,13 +41,17 @@ _CLOSES_P = {"address", "article", "aside", "blockquote", "details", "dialog", "
 _SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "thead": ({"tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tbody": ({"thead", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"})}
 _FURNITURE = {"head", "nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog", "object", "canvas", "audio", "video", "search", "datalist", "optgroup", "fieldset"} | _RAW
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "form", "menu", "menubar", "toolbar", "status"}
+#: Words of class names and ids that call an element a piece of furniture, and words that may stand beside them.
 _NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|adsense|adslot|banners?|promos?|promotion|sponsor\w*|cookies?|consent|gdpr|notices?|notifications?|alerts?|popups?|modal|overlay|newsletter|subscri\w*|signup|login|paywall|side-?bar|menus?|nav|navbar|navigation|breadcrumbs?|masthead|header|footer|comments?|commentlist|disqus|repl(?:y|ies)|respond|shar(?:e|ing)|social|related|recommend\w*|widgets?|skip-?link|toolbar|pagination|pager|search)(?:$|[\s_-])",
+    r"ads?|adverts?|advertis\w*|adsense|adslot|banners?|promos?|promotions?|sponsor\w*|cookies?|consent|gdpr|notices?|notifications?|alerts?|popups?|modal|overlay|newsletter|subscri\w*|signup|login|paywall|sidebar|menus?|nav|navbar|navigation|breadcrumbs?|masthead|header|footer|comments?|commentlist|disqus|reply|replies|respond|share|sharing|social|related|recommend\w*|widgets?|skiplink|toolbar|pagination|pager|search",
     re.I,
 )
+_BESIDE = set("a area articles bar big block bottom box btn button buttons buttonset buy cell center col column columns container content desktop end first fixed float floating global group holder home icon icons inline inner input item items js label large last left line link links list local main me media message middle min mini mobile module more msg my new note number o on one outer page pane panel placeholder post posts primary right row secondary section sign site small sticky story tabs tag tags target text the title to tool tools top two unit up us view wide wrap wrapper form feed heading section".split())
+#: Tags that hold an article's prose, and those that a heading may stand in by a name.
+_PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "blockquote", "pre", "figcaption", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "summary", "address"}
+#: Of a section's ids, which are often what a table of contents points to, only these call it furniture.
+_SECTION_ID = re.compile(r"comments?|commentlist|disqus|replies|respond|related|newsletter|sidebar|ads?", re.I)
 _LAYOUT = re.compile(r"(?:^|[_-])(?:has|have|no|not|with|without|is)[_-]", re.I)
-#: A heading so named is a heading of the text.
-_HEADED = re.compile(r"(?:^|[_-])(?:header|masthead)(?=$|[_-])", re.I)
 _KEEP = {"html", "body", "main", "article"}
 
 
@@ -131,9 +136,20 @@ def attributes(text: str) -> dict[str, str]:
     return {k.lower(): entities.unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(text)}
 
 
-def named_so(names: str, heading: bool = False) -> bool:
-    """Whether one of the class names and ids calls its element a piece of furniture; 'has-sidebar' and the like speak of a layout."""
-    return any(_NAMED.search(_HEADED.sub("", x) if heading else x) for x in names.split() if not _LAYOUT.search(x))
+def named_so(name: str, heading: bool = False) -> bool:
+    """Whether a class name or an id calls its element a piece of furniture.
+
+    All of its words must speak of furniture or go with it: 'share-buttons' does, 'notice-period' doesn't.
+    'has-sidebar' and the like speak of a layout, 'post-header' of the article's own heading.
+    """
+    if _LAYOUT.search(name):
+        return False
+    words = [w for w in re.split(r"[^a-z]+", re.sub(r"side[-_]bar", "sidebar", re.sub(r"skip[-_]link", "skiplink", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()))) if w]
+    if not words or heading and {"header", "masthead"} & set(words) and not any(_NAMED.fullmatch(w) for w in words if w not in ("header", "masthead")):
+        return False
+    if "header" in words and {"post", "article", "entry", "story"} & set(words):
+        words.remove("header")
+    return any(map(_NAMED.fullmatch, words)) and all(_NAMED.fullmatch(w) or w in _BESIDE for w in words)
 
 
 def furniture(node: Node, wrapper: bool = False) -> bool:
@@ -147,12 +163,16 @@ def furniture(node: Node, wrapper: bool = False) -> bool:
         return True
     if a.get("role", "").lower() in _ROLES:
         return True
-    names = f"{a.get('class', '')} {a.get('id', '')}"
     if wrapper:
         return False
+    names, own = a.get("class", "").split(), a.get("id", "")
     if node.tag == "article":
-        return bool(re.search(r"comment|repl(?:y|ies)|\bads?\b|sponsor|promo", names, re.I))
-    return named_so(names, heading=re.fullmatch("h[1-6]", node.tag) is not None)
+        return bool(re.search(r"comment|repl(?:y|ies)|\bads?\b|sponsor|promo", f"{' '.join(names)} {own}", re.I))
+    heading = re.fullmatch("h[1-6]", node.tag) is not None
+    if any(named_so(x, heading) for x in names):
+        return True
+    # ids of headings and sections are what links point to
+    return bool(own) and not heading and (_SECTION_ID.fullmatch(own) is not None if node.tag == "section" else named_so(own))
 
 
 def squeeze(text: str) -> str:
@@ -187,32 +207,27 @@ def _block(node: Node) -> bool:
     return tag not in _INLINE and tag not in _VOID and tag not in _RAW and tag not in _KEEP and tag not in ("#", "head")
 
 
-def page_hashes(page: str) -> tuple[int, list[int]]:
-    """The whole page's hash and those of its block subtrees."""
-    found = hashes(parse(page))
-    return found[-1][1], sorted({value for node, value in found if _block(node)})
-
-
-def page_text(page: str, templates: frozenset[int]) -> str:
-    """The article's blocks, each with single spaces, joined by empty lines."""
-    root = parse(page)
-    dead = [node for node, value in hashes(root) if value in templates] if templates else []
-    return tree_text(root, dead)
-
-
-def tree_text(root: Node, marked: list[Node]) -> str:
-    """The text of a parsed page without the marked nodes."""
-    dead = {id(node) for node in marked if node.tag not in _KEEP and node.tag != "#"}
+class Article:
+    """A parsed page's article: its top elements, and which subtrees may be a template of the site."""
 
-    wrappers: set[int] = set()
+    def __init__(self, root: Node):
+        self.root, self.wrappers, self.gone_at = root, set(), {}
+        self.tops = self.found()
+        if not self.tops:  # the names of the elements around it may have hidden it
+            self.wrappers, self.gone_at = self.holders(), {}
+            self.tops = self.found()
+        self.sizes = self.measured()
+        self.region = self.tops or [self.innermost()]
 
-    def gone(node: Node) -> bool:
-        return id(node) in dead or furniture(node, id(node) in wrappers)
+    def gone(self, node: Node) -> bool:
+        if id(node) not in self.gone_at:
+            self.gone_at[id(node)] = furniture(node, id(node) in self.wrappers)
+        return self.gone_at[id(node)]
 
-    def holders() -> set[int]:
+    def holders(self) -> set[int]:
         """Elements above an article or main."""
         out: set[int] = set()
-        stack = [(root, iter(root.parts))]
+        stack = [(self.root, iter(self.root.parts))]
         while stack:
             for part in stack[-1][1]:
                 if not isinstance(part, str):
@@ -224,11 +239,12 @@ def tree_text(root: Node, marked: list[Node]) -> str:
                     out.add(id(stack[-1][0]))
         return out
 
-    def find(root: Node, tag: str, out: list[Node]) -> None:
-        stack = [iter(root.parts)]
+    def below(self, top: Node, tag: str) -> list[Node]:
+        """The outermost live elements of a tag, in page order."""
+        out, stack = [], [iter(top.parts)]
         while stack:
             for part in stack[-1]:
-                if not isinstance(part, str) and not gone(part):
+                if not isinstance(part, str) and not self.gone(part):
                     if part.tag == tag:
                         out.append(part)
                     else:
@@ -236,57 +252,124 @@ def tree_text(root: Node, marked: list[Node]) -> str:
                         break
             else:
                 stack.pop()
+        return out
 
-    tops: list[Node] = []
-    find(root, "article", tops)
-    if not tops:
-        find(root, "main", tops)
-    if not tops:  # the names of the elements around it may have hidden it
-        wrappers |= holders()
-        find(root, "article", tops)
-        if not tops:
-            find(root, "main", tops)
-    blocks: list[str] = []
-    held: list[str] = []
-
-    def flush() -> None:
-        if text := squeeze("".join(held)):
-            blocks.append(text)
-        held.clear()
-
-    def walk(top: Node) -> None:
-        stack = [(top, iter(top.parts))]
+    def found(self) -> list[Node]:
+        """Articles; mains where there are none, or where articles hold the smaller part of them."""
+        articles, mains = self.below(self.root, "article"), self.below(self.root, "main")
+        if articles and mains:
+            inside = [x for m in mains for x in self.below(m, "article")]
+            sizes = self.measured()
+            if len(inside) == len(articles) and 2 * sum(sizes[id(x)] for x in inside) < sum(sizes[id(m)] for m in mains):
+                return mains
+        return articles or mains
+
+    def measured(self) -> dict[int, int]:
+        """Characters of each live element's text."""
+        sizes, stack = {}, [(self.root, iter(self.root.parts))]
+        sizes[id(self.root)] = 0
         while stack:
             node, parts = stack[-1]
             for part in parts:
                 if isinstance(part, str):
-                    held.append(part)
-                elif part.tag == "br":
-                    held.append(" ")
-                elif gone(part):
-                    if part.tag not in _INLINE:
-                        flush()
-                else:
-                    if part.tag not in _INLINE:
-                        flush()
+                    sizes[id(node)] += len(squeeze(part))
+                elif not self.gone(part):
+                    sizes[id(part)] = 0
                     stack.append((part, iter(part.parts)))
                     break
             else:
                 stack.pop()
-                if stack and node.tag not in _INLINE:
-                    flush()
+                if stack:
+                    sizes[id(stack[-1][0])] += sizes[id(node)]
+        return sizes
+
+    def innermost(self) -> Node:
+        """The innermost element that groups blocks and holds most of the text of each one around it."""
+        node = self.root
+        while True:
+            large = [p for p in node.parts if not isinstance(p, str) and 2 * self.sizes.get(id(p), 0) > self.sizes[id(node)] and p.tag not in _PROSE and p.tag not in _INLINE and p.tag not in ("ul", "ol", "dl", "table")]
+            if not large:
+                return node
+            node = large[0]
+
+    def candidates(self) -> list[Node]:
+        """Live subtrees that may be a template: blocks around the article, and in it those that group blocks and hold no more than half of it."""
+        out, own = [], {id(x) for x in self.region}
+        most = sum(self.sizes[id(x)] for x in self.region)
+        stack = [(x, True) for x in self.tops] if self.tops else [(self.root, self.root is self.region[0])]
+        while stack:
+            node, inside = stack.pop()
+            for part in node.parts:
+                if isinstance(part, str) or self.gone(part):
+                    continue
+                within = inside or id(part) in own
+                if _block(part) and id(part) not in own and 2 * self.sizes[id(part)] <= most and not (inside and part.tag in _PROSE):
+                    out.append(part)
+                stack.append((part, within))
+        return out
+
+    def text(self, templates: set[int]) -> str:
+        """The article's blocks without the elements of these ids, each with single spaces, joined by empty lines."""
+        blocks: list[str] = []
+        held: list[str] = []
+
+        def flush() -> None:
+            if text := squeeze("".join(held)):
+                blocks.append(text)
+            held.clear()
+
+        for top in self.tops or [self.root]:
+            stack = [(top, iter(top.parts))]
+            while stack:
+                node, parts = stack[-1]
+                for part in parts:
+                    if isinstance(part, str):
+                        held.append(part)
+                    elif part.tag == "br":
+                        held.append(" ")
+                    elif id(part) in templates or self.gone(part):
+                        if part.tag not in _INLINE:
+                            flush()
+                    else:
+                        if part.tag not in _INLINE:
+                            flush()
+                        stack.append((part, iter(part.parts)))
+                        break
+                else:
+                    stack.pop()
+                    if stack and node.tag not in _INLINE:
+                        flush()
+            flush()
+        return "\n\n".join(blocks)
+
 
-    for top in tops or [root]:
-        walk(top)
-        flush()
-    return "\n\n".join(blocks)
+def page_parts(page: str) -> tuple[Article, int, list[tuple[Node, int]]]:
+    """A page's article, the whole page's hash, and the subtrees that may be a template with theirs."""
+    root = parse(page)
+    found = hashes(root)
+    article = Article(root)
+    of = {id(node): value for node, value in found}
+    return article, found[-1][1], [(node, of[id(node)]) for node in article.candidates()]
+
+
+def page_hashes(page: str) -> tuple[int, list[int]]:
+    """The whole page's hash and those of the subtrees that may be a template."""
+    _, whole, parts = page_parts(page)
+    return whole, sorted({value for _, value in parts})
+
+
+def page_text(page: str, templates: frozenset[int]) -> str:
+    """The article's text without subtrees of these hashes."""
+    article, _, parts = page_parts(page)
+    return article.text({id(node) for node, value in parts if value in templates})
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html).
 
     Null and empty html give an empty text; a null or odd url counts as one host of its own. Repeated
-    pages count once toward a host's templates, so copies of an article aren't a template. Pages of
+    pages count once toward a host's templates, so copies of an article aren't a template, and paragraphs
+    that articles share aren't either. Pages of
     any length and depth are read whole. Repeated and null page_ids are rows like others, other columns
     of ``pages`` are not looked at, and an empty table gives no rows.
     """
@@ -303,11 +386,8 @@ def extract(pages: DataFrame) -> DataFrame:
     sums = base.select("site", F.md5("html").alias("sum"), "html")
     seen, seen_path = staged(sums.mapInArrow(describe, "site long, sum string, page long, parts array<long>"), "subtrees")
     distinct = seen.groupBy("site", "page").agg(F.first("parts").alias("parts"))
-    often = distinct.select("site", F.explode("parts").alias("part")).groupBy("site", "part").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
-    # hosts so small that a share of their pages is less than many
-    small = seen.select("site", "page").distinct().groupBy("site").agg(F.count("*").alias("pages")).where(SHARE * F.col("pages") < MANY_PAGES)
-    is_template = (F.col("n") >= MANY_PAGES) | F.coalesce(F.col("n") >= SHARE * F.col("pages"), F.lit(False))
-    templates, templates_path = staged(often.join(small, "site", "left").where(is_template).select("site", "part"), "templates")
+    often = distinct.select("site", F.explode("parts").alias("part")).groupBy("site", "part").agg(F.count("*").alias("n"))
+    templates, templates_path = staged(often.where(F.col("n") >= MANY_PAGES).select("site", "part"), "templates")
     names = ["page_id", "url", "text", "n_chars"]
     schema = "page_id long, url string, text string, n_chars long"
 
@@ -326,13 +406,13 @@ def extract(pages: DataFrame) -> DataFrame:
             for b in batches:
                 out = []
                 for page, site in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                    root, marked = parse(page), []
-                    if len(known):
-                        found = hashes(root)
-                        mine = np.fromiter((v for _, v in found), np.int64, len(found)) ^ np.int64(site)
+                    article, _, parts = page_parts(page)
+                    marked: set[int] = set()
+                    if len(known) and parts:
+                        mine = np.fromiter((v for _, v in parts), np.int64, len(parts)) ^ np.int64(site)
                         at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
-                        marked = [found[i][0] for i in np.flatnonzero(known[at] == mine).tolist()]
-                    out.append(tree_text(root, marked))
+                        marked = {id(parts[i][0]) for i in np.flatnonzero(known[at] == mine).tolist()}
+                    out.append(article.text(marked))
                 yield rows(b, out)
 
         return base.select("page_id", "url", "html", "site").mapInArrow(texts, schema)
