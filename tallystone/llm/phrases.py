@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _LOWER, U64, binary_parts, drop_path, mix, staged, words_of
+from .common import _LOWER, U64, binary_parts, drop_path, even_slots, mix, staged, words_of
 
 #: Bytes that end a piece, ``[.,;:!?\x0A-\x0D]``, and those between words.
 _BREAK = np.zeros(256, bool)
@@ -31,7 +31,7 @@ HELD = 1 << 21
 #: Bits of the bitmap of frequent two-word phrases (8 MB): however many there are, the bitmap only lets more pass.
 PAIR_BITS = 26
 #: Bytes of text that are split at once, ids of a coded row, and ids that a task sorts at once.
-SPLIT, ROW, RUN = 1 << 20, 1 << 16, 1 << 22
+SPLIT, ROW, RUN = 1 << 20, 1 << 16, 1 << 20
 #: Keys that are drawn to cut their ranges.
 DRAWN = 200_000
 #: Parts in which words that tasks don't hold are numbered.
@@ -291,6 +291,7 @@ def counted(coded: DataFrame, keys_of, width: int, least: int) -> DataFrame:
     at = np.unique(np.arange(1, parts) * len(keys[0]) // parts) if len(keys[0]) else np.zeros(0, np.int64)
     cuts = [tuple(int(k[i]) for k in keys) for i in at]
     cuts = sorted(set(cuts))
+    slots = np.asarray(even_slots(spark, parts), np.int64)[: len(cuts) + 1]  # no two ranges in one task
 
     def below(columns: list[np.ndarray], cut: tuple[int, ...]) -> int:
         """How many of the sorted rows come before a cut."""
@@ -308,7 +309,7 @@ def counted(coded: DataFrame, keys_of, width: int, least: int) -> DataFrame:
             order = radix_order([c.view(U64) if i == 0 else c.astype(np.uint32) for i, c in enumerate(columns)])
             columns, n = run_lengths([c[order] for c in columns])
             edges = [0, *[below(columns, cut) for cut in cuts], len(n)]
-            ranges = np.repeat(np.arange(len(edges) - 1, dtype=np.int32), np.diff(edges))
+            ranges = np.repeat(slots, np.diff(edges))
             for i in range(0, len(n), 1 << 17):
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 17)]) for x in (ranges, *columns, n)], names=["range", *names, "n"])
 
@@ -342,7 +343,7 @@ def counted(coded: DataFrame, keys_of, width: int, least: int) -> DataFrame:
         if last is not None:
             yield kept(*last)
 
-    dealt = coded.mapInArrow(runs, f"range int, {ddl}, n long").repartition(parts, "range").sortWithinPartitions(*names)
+    dealt = coded.mapInArrow(runs, f"range long, {ddl}, n long").repartition(parts, "range").sortWithinPartitions(*names)
     return dealt.select(*names, "n").mapInArrow(summed, f"{ddl}, n long")
 
 
