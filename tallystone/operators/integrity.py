@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ed25519
+from ..sources import files
 from . import audit as A
 
 if TYPE_CHECKING:
@@ -19,8 +20,8 @@ if TYPE_CHECKING:
 
 SIGNATURE = "meta/signature.json"
 UNSIGNED = ("meta/signature.json", "meta/receipt.json", "meta/audit/", "meta/usage/", "meta/profiles/usage.json", "meta/.")
-#: Verifier limits: bytes of a file and of all files.
-MAX_ENTRY, MAX_TOTAL = 2 * 2**30, 1 << 60
+#: Verifier limits: bytes of a file and of all files. Files are hashed as streams, so their size costs no memory.
+MAX_ENTRY, MAX_TOTAL = 1 << 50, 1 << 60
 
 
 def canonical(doc: Any) -> bytes:
@@ -29,13 +30,33 @@ def canonical(doc: Any) -> bytes:
 
 
 def entry_digests(table: Table, max_entry: int = MAX_ENTRY, max_total: int = MAX_TOTAL) -> DataFrame:
-    """(name, bytes, digest) of every signed file, hashed where Spark reads it. Sizes are checked before any content is read."""
+    """(name, bytes, digest) of every signed file. Sizes are checked before any content is read.
+
+    Files are dealt to tasks by bytes, and each is hashed as a stream from where it lies. On a store
+    that Python workers can't open, Spark's reader takes a file as one value, of 2 GiB at most.
+    """
     names = [(n, size) for n, size in table.store.files() if not n.startswith(UNSIGNED)]
     bad = [n for n, _ in names if "\\" in n or n.startswith("/") or ".." in n.split("/")]
     if bad:
         raise ValueError(f"unsafe structure: {bad[0]}")
     if any(size > max_entry for _, size in names) or sum(size for _, size in names) > max_total:
         raise ValueError("refused: size limits exceeded")
+    base = table.store.uri().rstrip("/")
+    if not files.can_open(base):
+        return _digests_by_spark(table, names)
+
+    def digest(name: str) -> list[tuple]:
+        try:
+            with files.open_binary(f"{base}/{name}") as stream:
+                found = files.sha256_of(stream)
+                return [(name, stream.tell(), found)]
+        except OSError:  # listed with another digest, and so modified
+            return [(name, None, hashlib.sha256(b"unreadable").hexdigest())]
+
+    return files.tasks_over(table.spark, names, digest, "name string, bytes long, digest string", [pa.string(), pa.int64(), pa.string()])
+
+
+def _digests_by_spark(table: Table, names: list[tuple[str, int]]) -> DataFrame:
     if not names:
         return table.spark.createDataFrame([], "name string, bytes long, digest string")
     base = table.store.uri().rstrip("/") + "/"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ed25519
 from ..operators import asof, audit, encrypt, integrity, ledger, optimize, profile, usage, vector
+from ..sources import container
 from ..sources.table import Table
 from . import QUERIES, SQL, query
 
@@ -131,6 +132,23 @@ def csv_source(spark, sf):
     return Table(spark, scratch(spark)).write(path, auto_snapshot=False).read().select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", "c_nationkey")
 
 
+def _zipped(spark, sf, name: str, part: str) -> str:
+    """One of the inputs as zip containers, one a task; the pattern that finds them."""
+    folder = scratch(spark)
+    container.write_containers(read(spark, sf, name), folder, part, rows_per_chunk=20_000)
+    return f"{folder}/*.zip"
+
+
+@query("zip_read", f"SELECT {ORDERS} FROM orders")
+def zip_read(spark, sf):
+    return container.read_container(spark, _zipped(spark, sf, "orders", "o_orderstatus"))
+
+
+@query("zip_filtered", "SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem WHERE l_returnflag = 'R' AND (l_shipdate >= TIMESTAMP '1996-01-01' OR l_quantity = 50)")
+def zip_filtered(spark, sf):
+    return container.read_container(spark, _zipped(spark, sf, "lineitem", "l_returnflag"), ["l_orderkey", "l_linenumber", "l_shipdate"], "l_returnflag = 'R' AND (l_shipdate >= '1996-01-01' OR l_quantity = 50)")
+
+
 # ---------------------------------------------------------------- history
 
 

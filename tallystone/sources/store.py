@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import json
+import os
 import threading
 import time
 import uuid
@@ -12,6 +13,8 @@ from typing import Any
 
 from pyspark.sql import SparkSession
 
+from .files import local_path
+
 
 class Store:
     """JSON and text documents under ``root``; writes replace a document by one rename."""
@@ -74,6 +77,10 @@ class Store:
         """(name, bytes) of all files below a folder, relative to the root, sorted."""
         if not self.exists(folder):
             return []
+        if (top := local_path(self.uri())) is not None:
+            at = f"{top}/{folder}".rstrip("/")
+            found = ((f"{d}/{n}", n) for d, _, names in os.walk(at) for n in names if not n.endswith((".tmp", ".crc")))
+            return sorted((path.removeprefix(top + "/"), os.path.getsize(path)) for path, _ in found)
         base, out = self.uri() + "/", []
         it = self._fs.listFiles(self._path(folder), True)
         while it.hasNext():
