@@ -30,8 +30,11 @@ def layout(df: DataFrame, part: str | None, target_rows: int, order: list[str],
     return sized.withColumn("__chunk", F.floor((F.row_number().over(w) - 1) / step)).drop("__n", "__key")
 
 
-def optimize(table: Table, compact: bool = True, target_rows: int = 100_000, order: list[str] | None = None, min_chunks: int = 1) -> dict[str, Any]:
-    """Rewrite the current files, fewer and sorted. Row order within files is ``order``, then the old position.
+def optimize(table: Table, compact: bool = True, target_rows: int = 100_000, order: list[str] | None = None, min_chunks: int = 1, whole: bool = False) -> dict[str, Any]:
+    """Rewrite small files, or with an order or ``whole`` all files, fewer and sorted. Row order within files is ``order``, then the old position.
+
+    A file is small with fewer rows than half the target; those that share their partition value with another
+    small one are put together, and all other files are carried over by reference, under their names.
 
     With an order, files are ranges of (partition value, order), so their statistics don't overlap;
     without, ranges of the old position, or of an unordered partitioned table what Spark's rebalancing
@@ -43,19 +46,31 @@ def optimize(table: Table, compact: bool = True, target_rows: int = 100_000, ord
         raise ValueError("target_rows must be positive")
     if table.crypto():
         raise ValueError("an encrypted table can't be optimized")
-    manifest = table.manifest()
-    before, rows = table.stats(manifest).agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
-    if not before:
-        return {"changed": False, "reason": "no_chunks"}
-    names = [f["name"] for f in manifest["schema"]]
-    for c in order or []:
-        if c not in names:
-            raise ValueError(f"unknown order column: {c}")
-    df = table._scan(manifest).withColumns({"__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")})  # keeps equal rows in place
-    part = manifest["partitions"][0]["by"] if manifest["partitions"] else None
-    ranges = max(min_chunks, -(-rows // target_rows)) if order or not part else None
-    pre = U.kpis(table)
-    table._commit(df, part, "optimize", old=manifest, order=order or (["ts"] if "ts" in names else []), max_rows=target_rows, tie=("__file", "__row"), ranges=ranges, details={"order": order, "target_rows": target_rows, "before": before})
+    with table.store.lock():  # rows that are appended meanwhile aren't lost
+        manifest = table.manifest()
+        before, rows = table.stats(manifest).agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+        if not before:
+            return {"changed": False, "reason": "no_chunks"}
+        names = [f["name"] for f in manifest["schema"]]
+        for c in order or []:
+            if c not in names:
+                raise ValueError(f"unknown order column: {c}")
+        part = manifest["partitions"][0]["by"] if manifest["partitions"] else None
+        carried, chosen = None, None
+        if not order and not whole and min_chunks == 1:
+            small = (F.col("rows") * 2 < target_rows).alias("small")
+            beside = F.count("*").over(Window.partitionBy(*([f"min_{part}"] if part else [F.lit(0)]), small))  # files are few next to rows
+            judged = table.stats(manifest).withColumn("again", small & (beside > 1))
+            picked = judged.where("again").select("file", "rows").orderBy("file").collect()
+            if not picked:
+                return {"changed": False, "reason": "no_small_chunks"}
+            chosen, rows = [r.file for r in picked], sum(r.rows for r in picked)
+            carried = judged.where("not again").drop("again")
+        df = table._scan(manifest, chosen).withColumns({"__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")})  # keeps equal rows in place
+        ranges = max(min_chunks, -(-rows // target_rows)) if order or not part else None
+        pre = U.kpis(table)
+        table._put(df, part, "optimize", old=manifest, order=order or (["ts"] if "ts" in names else []), max_rows=target_rows, tie=("__file", "__row"), ranges=ranges, carried=carried, details={"order": order, "target_rows": target_rows, "before": before})
+    table.snapshot(note="auto after optimize")
     fresh = table.manifest()
     after = fresh["chunks"]
     return {"changed": True, "new_parts": after, "reindexed_columns": sorted(fresh["indexes"]), "pre_kpis": pre, "order": order, "target_rows": target_rows}

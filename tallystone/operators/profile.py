@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 from typing import TYPE_CHECKING, Any
 
@@ -66,41 +68,95 @@ def quantiles(df: DataFrame, by: list[str], column: str, wanted: dict[str, float
     return got.select(*by, *[between(k, q).alias(k) for k, q in wanted.items()])
 
 
-def profile_frame(df: DataFrame, columns: list[str] | None = None, exact: bool = False, kinds: dict[str, str] | None = None) -> DataFrame:
-    """One row a column: dtype, rows, nulls, null_pct, min, max, distinct_est, p50, p95, p99 (numbers only).
-
-    One pass: HyperLogLog and KLL sketches merge partial results on the map side. With ``exact``
-    distinct values are counted instead, which shuffles each column's values. ``kinds`` has text columns
-    read as ``number`` or ``datetime``; text that isn't one counts as null.
-    """
+def _read_as(df: DataFrame, kinds: dict[str, str] | None) -> DataFrame:
+    """``df`` with text columns read as ``number`` or ``datetime``."""
     for c, kind in (kinds or {}).items():
         df = df.withColumn(c, F.col(c).try_cast({"number": "double", "datetime": "timestamp"}[kind]))
-    names = columns or df.columns
-    made, rows = [F.count("*").alias("rows")], []
+    return df
+
+
+def _partials(schema: T.StructType, names: list[str], exact: bool = False) -> list[Column]:
+    """Aggregates that a profile is made of: rows, and for the i-th column n (nulls), lo, hi, d (HLL sketch) and k (KLL sketch of numbers)."""
+    made = [F.count("*").alias("rows")]
     for i, c in enumerate(names):
-        kind = df.schema[c].dataType
+        kind = schema[c].dataType
         plain = F.when(~_null(c, kind), F.col(c))
         ordered = not isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))
-        made += [F.sum(_null(c, kind).cast("long")).alias(f"n{i}"), (F.min(plain) if ordered else F.lit(None)).cast("string").alias(f"lo{i}"), (F.max(plain) if ordered else F.lit(None)).cast("string").alias(f"hi{i}")]
+        made += [F.sum(_null(c, kind).cast("long")).alias(f"n{i}"), (F.min(plain) if ordered else F.max(F.lit(None).cast("string"))).alias(f"lo{i}"), (F.max(plain) if ordered else F.max(F.lit(None).cast("string"))).alias(f"hi{i}")]
         text = F.to_json(F.struct(plain.alias("v"))) if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)) else plain.cast("string")
-        made.append((F.countDistinct(text) if exact else F.hll_sketch_estimate(F.hll_sketch_agg(text, 14))).alias(f"d{i}"))
+        made.append((F.countDistinct(text) if exact else F.hll_sketch_agg(text, 14)).alias(f"d{i}"))
         if kind_of(kind) == "number":
             made.append(F.call_function("kll_sketch_agg_double", plain.cast("double")).alias(f"k{i}"))
-    one = df.agg(*made)
+    return made
+
+
+def _merging(schema: T.StructType, names: list[str]) -> list[Column]:
+    """Aggregates that make one row of partials of several."""
+    made = [F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")]
     for i, c in enumerate(names):
-        numeric = kind_of(df.schema[c].dataType) == "number"
+        made += [F.sum(f"n{i}").alias(f"n{i}"), F.min(f"lo{i}").alias(f"lo{i}"), F.max(f"hi{i}").alias(f"hi{i}"), F.hll_union_agg(f"d{i}").alias(f"d{i}")]
+        if kind_of(schema[c].dataType) == "number":
+            made.append(F.call_function("kll_merge_agg_double", f"k{i}").alias(f"k{i}"))
+    return made
+
+
+def _report(one: DataFrame, schema: T.StructType, names: list[str], exact: bool = False) -> DataFrame:
+    """The profile's rows from one row of partials."""
+    rows = []
+    for i, c in enumerate(names):
+        numeric = kind_of(schema[c].dataType) == "number"
         # null where all values are null, since an empty sketch has no quantile
         empty = F.coalesce(F.col(f"n{i}"), F.lit(0)) >= F.col("rows")
         quantiles = [(F.when(~empty, F.call_function("kll_sketch_get_quantile_double", F.col(f"k{i}"), F.lit(q))) if numeric else F.lit(None).cast("double")).alias(p) for p, q in QUANTILES.items()]
+        distinct = F.col(f"d{i}") if exact else F.hll_sketch_estimate(f"d{i}")
         rows.append(
             F.struct(
-                F.lit(c).alias("column"), F.lit(kind_of(df.schema[c].dataType)).alias("dtype"), F.col("rows"), F.coalesce(F.col(f"n{i}"), F.lit(0)).alias("nulls"),
-                F.when(F.col("rows") > 0, F.col(f"n{i}") / F.col("rows")).otherwise(0.0).alias("null_pct"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"), F.coalesce(F.col(f"d{i}"), F.lit(0)).alias("distinct_est"), *quantiles,
+                F.lit(c).alias("column"), F.lit(kind_of(schema[c].dataType)).alias("dtype"), F.col("rows"), F.coalesce(F.col(f"n{i}"), F.lit(0)).alias("nulls"),
+                F.when(F.col("rows") > 0, F.col(f"n{i}") / F.col("rows")).otherwise(0.0).alias("null_pct"), F.col(f"lo{i}").cast("string").alias("min"), F.col(f"hi{i}").cast("string").alias("max"), F.coalesce(distinct, F.lit(0)).alias("distinct_est"), *quantiles,
             )
         )
     return one.select(F.inline(F.array(*rows)))
 
 
+def profile_frame(df: DataFrame, columns: list[str] | None = None, exact: bool = False, kinds: dict[str, str] | None = None) -> DataFrame:
+    """One row a column: dtype, rows, nulls, null_pct, min, max, distinct_est, p50, p95, p99 (numbers only).
+
+    One pass: HyperLogLog and KLL sketches merge partial results on the map side. With ``exact``
+    distinct values are counted instead, which shuffles each column's values. ``kinds`` has text columns
+    read as ``number`` or ``datetime``; text that isn't one counts as null.
+    """
+    df = _read_as(df, kinds)
+    names = columns or df.columns
+    return _report(df.agg(*_partials(df.schema, names, exact)), df.schema, names, exact)
+
+
+def sketched(table: Table, manifest: dict[str, Any]) -> DataFrame:
+    """Partial profiles of the manifest's files, one row a file: those that are stored, after those that aren't have been made.
+
+    Each commit's sketches are a folder beside its statistics, made when a profile first asks for them,
+    so a profile after an append reads the new files only. They go with the files: ``vacuum`` knows their
+    generation. A file with few values has small sketches; at most 16 KB of HLL and some KB of KLL a column.
+    """
+    schema = T.StructType.fromJson(manifest["spark_schema"])
+    files = table.stats(manifest).select("file", F.regexp_extract("file", r"/data/(gen-\d+)/", 1).alias("generation"))
+    there = set(table.store.names("meta/index"))
+    of_now = [r.generation for r in files.select("generation").distinct().orderBy("generation").collect()]  # a row a commit
+    folders = {g: f"sketch-{g.removeprefix('gen-')}" for g in of_now}
+    for g in [g for g in of_now if folders[g] not in there or not table.store.exists(f"meta/index/{folders[g]}/_SUCCESS")]:
+        data = table._folder(f"{table.path}/data/{g}", schema)
+        data = data.groupBy(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/").alias("file")).agg(*_partials(schema, schema.names))
+        data.write.mode("overwrite").parquet(f"{table.path}/meta/index/{folders[g]}")
+    stored = table.spark.read.parquet(*[f"{table.path}/meta/index/{f}" for f in folders.values()])
+    return stored.join(files.select("file"), "file", "left_semi")
+
+
+def profile_table(table: Table) -> DataFrame:
+    """The profile of a table's current rows, merged from its files' sketches."""
+    manifest = table.manifest()
+    schema = T.StructType.fromJson(manifest["spark_schema"])
+    return _report(sketched(table, manifest).agg(*_merging(schema, schema.names)), schema, schema.names)
+
+
 def violations(df: DataFrame, constraints: dict[str, dict[str, Any]]) -> DataFrame:
     """(column, rule, bad, sample): every broken rule with the rows that break it and up to ten values.
 
@@ -135,18 +191,28 @@ def violations(df: DataFrame, constraints: dict[str, dict[str, Any]]) -> DataFra
 
 
 def validate(table: Table) -> dict[str, Any]:
-    """Profile the table, store the profile, then check its constraints: broken ones raise one ValueError."""
+    """Profile the table, store the profile, then check its constraints: broken ones raise one ValueError.
+
+    After an append only the new files are read: the profile is merged from the files' sketches, and
+    files that have passed the same constraints before aren't checked again.
+    """
     manifest = table.manifest()
-    df = table._scan(manifest)
-    if not table.stats(manifest).take(1):
+    files = table.stats(manifest).select("file")
+    if not files.take(1):
         raise ValueError("no chunks to validate")
-    rows = profile_frame(df).collect()  # a row a column
+    rows = profile_table(table).collect()  # a row a column
     keys = ("dtype", "nulls", "null_pct", "min", "max", "distinct_est", "p50", "p95", "p99")
     doc = {"version": 1, "rows": rows[0].rows if rows else 0, "columns": {r.column: {k: r[k] for k in keys} for r in rows}}
     table.store.write_json("meta/profiles/quality.json", doc)
     rules = {f["name"]: f["constraints"] for f in manifest["schema"] if f.get("constraints")}
-    bad = violations(df, rules).orderBy("column", "rule").collect()
-    if bad:
-        raise ValueError("VALIDATION FAILED:\n" + "\n".join(f"- {r.column}: {r.rule} broken by {r.bad} rows" + (f" ({', '.join(r.sample)})" if r.sample else "") for r in bad))
+    if rules:
+        passed = f"meta/profiles/passed-{hashlib.sha256(json.dumps([rules, manifest['spark_schema']], sort_keys=True, default=str).encode()).hexdigest()[:16]}"
+        before = table.spark.read.schema("file string").parquet(f"{table.path}/{passed}") if table.store.exists(passed) else files.limit(0)
+        fresh = [r.file for r in files.join(before, "file", "left_anti").orderBy("file").collect()]
+        bad = violations(table._scan(manifest, fresh), rules).orderBy("column", "rule").collect() if fresh else []
+        if bad:
+            raise ValueError("VALIDATION FAILED:\n" + "\n".join(f"- {r.column}: {r.rule} broken by {r.bad} rows" + (f" ({', '.join(r.sample)})" if r.sample else "") for r in bad))
+        if fresh:
+            table.spark.createDataFrame([(f,) for f in fresh], "file string").coalesce(1).write.mode("append").parquet(f"{table.path}/{passed}")
     table.journal_append("validate", {"rows": doc["rows"]})
     return doc

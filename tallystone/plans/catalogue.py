@@ -333,6 +333,25 @@ def sketch_quantile_bound(spark, sf):
     return spark.createDataFrame([(r.col, r.quantile, ranks[f"lo{i}"] - 0.02 <= r.q <= ranks[f"hi{i}"] + 0.02) for i, r in enumerate(asked)], "col string, quantile string, within boolean")
 
 
+@query("sketch_merge", "SELECT c AS col, (SELECT count(*) FROM lineitem) AS n_rows, true AS distinct_within, true AS median_within FROM (VALUES ('l_orderkey'), ('l_partkey'), ('l_extendedprice')) v(c)")
+def sketch_merge(spark, sf):
+    """A profile merged from the stored sketches of a table's first files and of two appends, against exact figures of all rows."""
+    df, cols = read(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice"), ["l_orderkey", "l_partkey", "l_extendedprice"]
+    third = F.pmod(F.xxhash64(*cols), F.lit(3))
+    t = Table(spark, scratch(spark)).write(df.where(third == 0), auto_snapshot=False)
+    for i in (1, 2):
+        profile.validate(t)  # stores the sketches of the files so far
+        t.append(df.where(third == i))
+    made = profile.profile_table(t)
+    exact = df.agg(*[F.countDistinct(c).alias(f"n_{c}") for c in cols])
+    exact = exact.select(F.inline(F.array(*[F.struct(F.lit(c).alias("of"), F.col(f"n_{c}").alias("n")) for c in cols])))
+    medians = {r.column: r.p50 for r in made.collect()}  # three rows
+    ranks = df.agg(*[f.alias(f"{e}_{c}") for c in cols for e, f in (("lo", F.avg((F.col(c) < medians[c]).cast("double"))), ("hi", F.avg((F.col(c) <= medians[c]).cast("double"))))])
+    ranks = ranks.select(F.inline(F.array(*[F.struct(F.lit(c).alias("at"), F.col(f"lo_{c}").alias("lo"), F.col(f"hi_{c}").alias("hi")) for c in cols])))
+    joined = made.join(exact, F.col("column") == F.col("of")).join(ranks, F.col("column") == F.col("at"))
+    return joined.select(F.col("column").alias("col"), F.col("rows").alias("n_rows"), (F.abs(F.col("distinct_est") - F.col("n")) <= 0.05 * F.col("n")).alias("distinct_within"), ((F.col("lo") - 0.02 <= 0.5) & (F.col("hi") + 0.02 >= 0.5)).alias("median_within"))
+
+
 @query("violations_not_null", "SELECT 'quality' AS col, 'not_null' AS rule, count(*) AS bad FROM documents d LEFT JOIN labels l USING (doc_id) WHERE quality IS NULL")
 def violations_not_null(spark, sf):
     df = read(spark, sf, "documents").select("doc_id").join(read(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
@@ -380,6 +399,24 @@ def optimize_preserves_rows(spark, sf):
     return t.read()
 
 
+@query("optimize_small_files", "SELECT o_orderstatus, count(*) AS n, true AS large_kept, true AS fewer_small FROM orders GROUP BY 1")
+def optimize_small_files(spark, sf):
+    """A compaction after appends of a few rows each: large files keep their names, small ones are put together."""
+    orders = read(spark, sf, "orders")
+    tail = F.col("o_orderkey") % 50 < 3
+    t = Table(spark, scratch(spark)).write(orders.where(~tail), partition_by=["o_orderstatus"], auto_snapshot=False)
+    for i in range(3):
+        t.append(orders.where(F.col("o_orderkey") % 50 == i))
+    largest = t.stats(t.manifest()).groupBy("min_o_orderstatus").agg(F.max("rows").alias("most")).agg(F.min("most")).first()[0]
+    before = t.stats(t.manifest()).select("file", "rows", F.col("min_o_orderstatus").alias("o_orderstatus"))
+    optimize.optimize(t, target_rows=2 * largest)
+    after = t.stats(t.manifest()).select("file", "rows", F.col("min_o_orderstatus").alias("o_orderstatus"))
+    gone = before.join(after.select("file"), "file", "left_anti").groupBy("o_orderstatus").agg(F.max("rows").alias("greatest_gone"), F.count("*").alias("n_gone"))
+    new = after.join(before.select("file"), "file", "left_anti").groupBy("o_orderstatus").agg(F.count("*").alias("n_new"))
+    n = t.read(["o_orderstatus"]).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    return n.join(gone, "o_orderstatus", "left").join(new, "o_orderstatus", "left").select("o_orderstatus", "n", (F.coalesce("greatest_gone", F.lit(0)) * 2 < 2 * largest).alias("large_kept"), (F.coalesce("n_new", F.lit(0)) < F.col("n_gone")).alias("fewer_small"))
+
+
 @query("reindex_bloom_read", "SELECT c_custkey, c_name FROM customer WHERE c_name IN ('Customer#000000007', 'Customer#000000011', 'nobody')")
 def reindex_bloom_read(spark, sf):
     t = Table(spark, scratch(spark)).write(read(spark, sf, "customer"), partition_by=["c_mktsegment"], auto_snapshot=False)

@@ -229,10 +229,12 @@ class Table:
 
     def _put(
         self, df: DataFrame, part: str | None, op: str, *, old: dict | None = None, constraints=None, indexes=None, order=(), max_rows: int | None = None, details: dict | None = None, tie: tuple[str, ...] = (),
-        ranges: int | None = None, crypto: dict | None = None, stream: tuple[str, int] | None = None, publish: bool = True,
+        ranges: int | None = None, crypto: dict | None = None, stream: tuple[str, int] | None = None, publish: bool = True, carried: DataFrame | None = None,
     ) -> int:
         """Write, index and publish one version; call it under the lock. An append reads and writes nothing of earlier files.
 
+        ``carried`` are statistics of files of ``old`` that stay as they are.
+
         Without ``publish`` its manifest is written, but the table stays at its version.
         """
         schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema if f.name not in tie])
@@ -241,7 +243,8 @@ class Table:
         keep = old if op == "append" else None
         chunks, rows = (keep["chunks"], keep["rows"]) if keep else (0, 0)
         path = f"meta/index/stats-{version:06d}"
-        self._number(self._stats_of(folder, schema), chunks, path)
+        stats = self._stats_of(folder, schema)
+        self._number(stats if carried is None else stats.unionByName(carried.select(*stats.columns)), chunks, path)
         declared = indexes if indexes is not None else (old or {}).get("indexes", {})
         declared = {c: ({k: {} for k in v} if isinstance(v, list) else dict(v)) for c, v in declared.items()}
         if part:
@@ -252,6 +255,8 @@ class Table:
         filters = f"meta/index/bloom-{version:06d}" if blooms else None
         if blooms:
             self._build_blooms(self._folder(folder, schema), blooms, filters)
+            if carried is not None and (had := self.blooms(old)) is not None:
+                had.join(carried.select("file"), "file", "left_semi").write.mode("append").parquet(f"{self.path}/{filters}")
         n, more = self.spark.read.parquet(f"{self.path}/{path}").agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
         rules = constraints if constraints is not None else {x["name"]: x.get("constraints") for x in (old or {}).get("schema", [])}
         manifest = {
@@ -297,7 +302,7 @@ class Table:
         """Delete generations, statistics and filters that neither the current manifest nor a snapshot names; call it under the lock."""
         kept = [self.manifest(n) for n in {self.version(), *(self.store.read_json(f"meta/{s['file']}")["manifest"] for s in self.list_snapshots())}]
         data = {r.g for m in kept for r in self.stats(m).select(F.regexp_extract("file", r"/data/(gen-\d+)/", 1).alias("g")).distinct().collect()}
-        index = {p.rsplit("/", 1)[-1] for m in kept for p in [m["stats"], *m.get("more_stats", []), m["bloom"], *m.get("more_blooms", [])] if p}
+        index = {g.replace("gen-", "sketch-") for g in data} | {p.rsplit("/", 1)[-1] for m in kept for p in [m["stats"], *m.get("more_stats", []), m["bloom"], *m.get("more_blooms", [])] if p}
         gone = [f"data/{n}" for n in self.store.names("data") if n not in data] + [f"meta/index/{n}" for n in self.store.names("meta/index") if n not in index]
         numbers = {m["generation"] for m in kept}
         gone += [f"meta/{n}" for n in self.store.names("meta") if n.startswith("manifest-") and int(n[9:15]) not in numbers]
