@@ -1,6 +1,6 @@
 """License scans by canonical digest, in DataFrame functions alone.
 
-A text is brought to a canonical form: ASCII lower case, copyright lines out, equivalent
+A text is brought to a canonical form: ASCII lower case, copyright statements out, equivalent
 spellings made one, punctuation and white space as single spaces. The SHA-256 of the whole
 canonical text is hash-joined to the digests of known licences; a text's lines are held
 against the known notices in the same form.
@@ -38,15 +38,22 @@ SPARED = (
     "and or in is on of to for the that this these those which was were are as at be an any its it if not with from under may shall must will can such also "
     "infring\\w* relat\\w* proprietary policy policies information conditions? terms? list material works? subsist\\w* exceptions? limitations? duration appear\\w* itself over all including resulting details solely doctrines purposes"
 ).replace(" ", "|")
-#: A copyright statement: the word with a sign, a year or a name, or a sign with a year.
-COPYRIGHT_LINE = rf"(^|\n)[^a-z0-9\n]*(?:copyright[^a-z0-9\n]*\(c\)|copyright[^a-z0-9\n]*©|copyright[^a-z0-9\n]*(?:\d{{4}}|yyyy|years?\b)|copyright[ \t:]+[\[<{{]?(?!(?:{SPARED})\b)[a-z\x{{80}}-\x{{10FFFF}}]|\(c\)[^a-z0-9\n]*(?:copyright\b|\d{{4}})|©)[^\n]*"
+#: Lines that begin a copyright statement: the word with a sign or a year, or a sign with a year.
+STATEMENT = r"^[^a-z0-9]*(?:copyright[^a-z0-9]*\(c\)|copyright[^a-z0-9]*©|copyright[^a-z0-9]*(?:\d{4}|yyyy|years?\b)|\(c\)[^a-z0-9]*(?:copyright\b|\d{4})|©)"
+#: The word with a name; not where a sentence goes on, unless a year or a sign says that it is a name after all.
+NAMED_STATEMENT, SPARED_LINE = r"^[^a-z0-9]*copyright[ \t:]+[\[<{]?[a-z\x{80}-\x{10FFFF}]", rf"^[^a-z0-9]*copyright[ \t:]+[\[<{{]?(?:{SPARED})\b"
+DATED, LAWFUL = r"\b(?:19|20)\d\d\b[^a-z0-9]*$|\(c\)|©", r"^[^a-z0-9]*copyright[ \t:]+(?:treat\w*|laws?|acts?|conventions?)\b"
 #: '(c)' with a name: only in texts without a list item '(b)', where it isn't an item itself.
-SIGNED_LINE = r"(^|\n)[^a-z0-9\n]*\(c\)[^\n]*"
-#: Names in BSD licences, which their users put in, in the canonical form.
+SIGNED_LINE = r"^[^a-z0-9]*\(c\)"
+#: A statement goes on over lines of text, up to an empty one or to one that begins as a licence does; so many at most.
+GOES_ON = 20
+_STARTS, _STOPS = "\x01", "\x02"
+_WHOLE_STATEMENT = f"{_STARTS}(?:\n[^{_STARTS}{_STOPS}\n][^\n]*){{0,{GOES_ON}}}"
+#: Names in BSD licences, which their users put in, in the canonical form; of any length.
 NAMED = [
-    ("neither the names? of .{1,300}? nor the names of (?:its|their|the|any) contributors", "neither the name of the copyright holder nor the names of its contributors"),
-    ("this software is provided by .{1,300}? as is and any express", "this software is provided by the copyright holders and contributors as is and any express"),
-    ("in no event shall .{1,300}? be liable for any direct indirect", "in no event shall the copyright holder or contributors be liable for any direct indirect"),
+    ("neither the names? of [^\n]+? nor the names of (?:its|their|the|any) contributors", "neither the name of the copyright holder nor the names of its contributors"),
+    ("this software is provided by [^\n]+? as is and any express", "this software is provided by the copyright holders and contributors as is and any express"),
+    ("in no event shall [^\n]+? be liable for any direct indirect", "in no event shall the copyright holder or contributors be liable for any direct indirect"),
 ]
 BLANKS = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 
@@ -61,8 +68,8 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 _ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
 
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
-#: Licences and notices of the SQL (fixed values), each a whole text.
-_SQL_KNOWN = [
+#: Notices (fixed values), each a whole text, beside the shipped table.
+_FIRST = [
     ("MIT", _MIT),
     ("MIT", "MIT License\n\n" + _MIT),
     ("MIT", "Released under the MIT License."),
@@ -83,15 +90,38 @@ _SQL_KNOWN = [
     ("All-Rights-Reserved", "All rights reserved."),
 ]
 #: Known licences and notices, each a whole text: those above and the shipped table.
-KNOWN = _SQL_KNOWN + license_table.texts(_MIT, _ISC) + license_table.notices()
+KNOWN = _FIRST + license_table.texts(_MIT, _ISC) + license_table.notices()
+
+
+def openers(known: list[tuple[str, str]]) -> str:
+    """A pattern of lines that begin as a known text does, or as its first paragraphs and those after its statements do."""
+    words = set()
+    for _, text in known:
+        parts = [p.strip() for p in re.split(r"\n\s*\n", text.lower()) if p.strip()]
+        after = [b for a, b in zip(parts, parts[1:], strict=False) if re.match(STATEMENT, a)]
+        words |= {m[1] for p in [*parts[:3], *after] if not re.match(STATEMENT, p) and (m := re.match(r"[^a-z0-9]*([a-z]+)", p))}
+    return rf"^[^a-z0-9]*(?:{'|'.join(sorted(words | {'all'}))})\b"
+
+
+OPENERS = openers(KNOWN)
 
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text; empty for null."""
     text = F.coalesce(text, F.lit(""))
-    out = F.regexp_replace(F.translate(text, UPPER, LOWER), COPYRIGHT_LINE, "\n")
-    items = text.contains("(b)") | text.contains("(B)")
-    out = F.when((text.contains("(c)") | text.contains("(C)")) & ~items, F.regexp_replace(out, SIGNED_LINE, "\n")).otherwise(out)
+    low = F.translate(text, UPPER + _STARTS + _STOPS, LOWER + "  ")
+    may_sign = low.contains("(c)") & ~low.contains("(b)")
+
+    def marked(line: Column, signs: bool) -> Column:
+        statement = line.rlike(STATEMENT) | (line.rlike(NAMED_STATEMENT) & (~line.rlike(SPARED_LINE) | (line.rlike(DATED) & ~line.rlike(LAWFUL))))
+        statement = statement | line.rlike(SIGNED_LINE) if signs else statement
+        return F.when(statement, F.lit(_STARTS)).when(line.rlike(f"^{BLANKS[:-1]}*$") | line.rlike(OPENERS), F.concat(F.lit(_STOPS), line)).otherwise(line)
+
+    lines = F.split(low, "\n")
+    # two forms, as what a lambda asks of the whole text is asked for each line
+    lines = F.when(may_sign, F.transform(lines, lambda x: marked(x, True))).otherwise(F.transform(lines, lambda x: marked(x, False)))
+    without = F.regexp_replace(F.array_join(lines, "\n"), _WHOLE_STATEMENT, "\n")
+    out = F.when(low.contains("copyright") | low.contains("(c)") | low.contains("©"), without).otherwise(low)
     out = plain = F.trim(F.regexp_replace(out, BLANKS, " "))
     for pattern, becomes in EQUIVALENT:
         out = F.regexp_replace(out, rf"\b{pattern}\b", becomes.replace("\\", "$"))
@@ -135,8 +165,9 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFra
 
     ``license`` names the known licence whose canonical text is the whole text's, else null;
     ``notices`` lists, sorted, the distinct licences that single lines of the text name.
-    Null and empty texts have the digest of nothing and no licence. Ids may be null or repeat.
-    The known list is a parameter of the job, so its broadcast doesn't grow with the data.
+    Null and empty texts have the digest of nothing and no licence. Ids may be null or repeat; each of
+    repeated rows is scanned, texts of any length whole; other columns are not looked at, and an empty table
+    gives no rows. The known list is a parameter of the job, so its broadcast doesn't grow with the data.
     """
     spark = docs.sparkSession
     forms = _forms(spark, known)
@@ -156,31 +187,31 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFra
     return base.join(F.broadcast(digests), "digest", "left").select("doc_id", "digest", "license", F.concat_ws(",", "notices").alias("notices"))
 
 
-#: The SQL keeps the pattern it had, which drops every line that begins with 'copyright'.
-_SQL_COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*"
-
-
 def scan_sql() -> str:
-    """The same in DuckDB SQL over ``documents``, for texts that need no more than its list: no shipped licence, no
-    wrapped line that begins with 'copyright', no name in a BSD licence."""
+    """The same in DuckDB SQL over ``documents``, from the same list, patterns and spellings."""
 
     def quote(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
 
     def form(x: str) -> str:
-        out = f"regexp_replace(translate(coalesce({x}, ''), '{UPPER}', '{LOWER}'), {quote(_SQL_COPYRIGHT_LINE)}, chr(10), 'g')"
+        low = f"translate(coalesce({x}, ''), {quote(UPPER)} || chr(1) || chr(2), {quote(LOWER + '  ')})"
+        is_like = lambda p: f"regexp_matches(s, {quote(p)})"
+        statement = f"{is_like(STATEMENT)} OR ({is_like(NAMED_STATEMENT)} AND (NOT {is_like(SPARED_LINE)} OR ({is_like(DATED)} AND NOT {is_like(LAWFUL)})))"
+        stop = f"{is_like(f'^{BLANKS[:-1]}*$')} OR {is_like(OPENERS)}"
+        marked = lambda test: f"list_transform(string_split({low}, chr(10)), lambda s: CASE WHEN {test} THEN chr(1) WHEN {stop} THEN chr(2) || s ELSE s END)"
+        lines = f"CASE WHEN contains({low}, '(c)') AND NOT contains({low}, '(b)') THEN {marked(f'{statement} OR {is_like(SIGNED_LINE)}')} ELSE {marked(statement)} END"
+        out = f"regexp_replace(array_to_string({lines}, chr(10)), {quote(_WHOLE_STATEMENT)}, chr(10), 'g')"
         out = f"trim(regexp_replace({out}, {quote(BLANKS)}, ' ', 'g'))"
-        for pattern, becomes in EQUIVALENT:
+        for pattern, becomes in [*EQUIVALENT, *NAMED]:
             out = f"regexp_replace({out}, {quote(rf'\b{pattern}\b')}, {quote(becomes)}, 'g')"
         return out
 
-    rows = ", ".join(f"({quote(n)}, {quote(t)})" for n, t in _SQL_KNOWN)
+    rows = ", ".join(f"({quote(n)}, {quote(t)})" for n, t in KNOWN)
     return f"""
 WITH known AS (SELECT {form('t')} AS form, min(n) AS license FROM (VALUES {rows}) v(n, t) GROUP BY 1),
 base AS (SELECT row_number() OVER () AS k, doc_id, text, sha256({form('text')}) AS digest FROM documents),
 lines AS (SELECT k, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM base),
-named AS (SELECT k, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
-          FROM (SELECT k, {form('line')} AS form FROM lines WHERE regexp_matches(lower(line), 'licen[cs]e|licensed|rights|domain|released|permission')) JOIN known USING (form) GROUP BY k)
+named AS (SELECT k, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM (SELECT k, {form('line')} AS form FROM lines) JOIN known USING (form) WHERE form <> '' GROUP BY k)
 SELECT b.doc_id, b.digest, d.license, coalesce(n.notices, '') AS notices
 FROM base b LEFT JOIN (SELECT sha256(form) AS digest, license FROM known) d ON b.digest = d.digest LEFT JOIN named n ON b.k = n.k
 """

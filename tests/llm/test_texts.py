@@ -147,11 +147,43 @@ def test_whole_licenses(spark):
 def test_copyright_lines(spark):
     gone = ["Copyright (c) 2020 A. B.", "COPYRIGHT 1999-2001, X", " * Copyright: Ann Other", "(C) 2011 Z", "\u00a9 Z", "Copyright [yyyy] [name of copyright owner]", "Copyright by Z", "(c) Some Body", "(c) Copyright Z"]
     kept = ["copyright notice and this permission notice", "COPYRIGHT HOLDERS BE LIABLE", "copyright license to reproduce", "copyright owner that is granting", "copyright law", "copyright, patent", "Copyright. The"]
-    rows = [(f"a\n{t}\nz", "a z") for t in gone] + [(f"a\n{t}\nz", None) for t in kept] + [("(a) x\n(b) y\n(c) You must retain", "a x b y c you must retain")]
+    rows = [(f"a\n{t}\n\nz", "a z") for t in gone] + [(f"a\n{t}\nz", None) for t in kept] + [("(a) x\n(b) y\n(c) You must retain", "a x b y c you must retain")]
     for r in spark.createDataFrame(rows, "text string, want string").withColumn("form", licenses.canonical(F.col("text"))).collect():
         assert (r.form == r.want) if r.want else ("copyright" in r.form), r
 
 
+def test_statements_that_go_on(spark):
+    """A statement's further lines go with it, up to an empty line or the licence's own beginning."""
+    heads = [
+        "Copyright (c) 2020 Bob\nwith his friends", "Copyright (c) 2020 Bob\n   <bob@example.org>,\n   Ann and others", "Copyright and Co. 2019", "Copyright notice Corp 2020", "(c) Bob\nand Ann", "Copyright 2001 A\nCopyright 2002 B\nof two towns",
+    ]
+    rows = [(i * 10 + k, f"{title}{head}{gap}{licenses._MIT}") for i, head in enumerate(heads) for k, (title, gap) in enumerate((("", "\n\n"), ("MIT License\n\n", "\n\n"), ("", "\n"), ("", "\nAll rights reserved.\n\n")))]
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: "MIT" for i, _ in rows}
+    bsd = (licenses.license_table.FOLDER / "BSD-3-Clause.txt").read_text()
+    crowd = ", ".join(f"Contributor Number {i} of the Project" for i in range(60))
+    many = bsd.replace("the copyright holder nor", f"{crowd} nor").replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", crowd.upper()).replace("THE COPYRIGHT\nHOLDER OR CONTRIBUTORS", crowd.upper())
+    long = "Copyright 2020 A\n" + "line after line\n" * 50_000
+    odd = [(1, f"Copyright (c) 2009, {crowd}\n\n{many}"), (1, f"Copyright (c) 2009, {crowd}\n\n{many}"), (2, long), (3, "text " * 300_000)]
+    df = spark.createDataFrame(odd, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("digest", "license", "notices", "form", "line")})
+    assert sorted((r.doc_id, r.license) for r in licenses.scan(df).collect() if r.license) == [(1, "BSD-3-Clause")] * 2 and licenses.scan(df).count() == 4
+    prose = spark.createDataFrame([("under copyright law\nand so on",), ("Copyright treaty of\nDecember 20, 1996",)], "text string").select(licenses.canonical(F.col("text")).alias("form"))
+    assert sorted(r.form for r in prose.collect()) == ["copyright treaty of december 20 1996", "under copyright law and so on"]
+
+
+def test_scan_against_sql_on_every_known_text(spark, tmp_path):
+    """The SQL has the whole list: each known text, with a statement before it, gets its licence from both."""
+    import duckdb
+
+    texts = [t for i, (_, t) in enumerate(licenses.KNOWN) if len(t) > 300 or i % 40 == 0]
+    rows = [(i, f"Copyright (c) 20{i % 90 + 10} Owner {i}\nand others\n\n{t}" if len(t) > 300 else f"some text\n{t}\nmore text") for i, t in enumerate(texts)] + [(None, None), (5, ""), (6, "Copyright\x01 1999 x\x02\ny\r\n\r\nz © \u2028 é")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(map(str, (tuple(r) for r in licenses.scan(spark.read.parquet(str(tmp_path / "documents.parquet"))).collect())))
+    assert got == sorted(map(str, con.sql(licenses.scan_sql()).fetchall())) and sum("None, ''" not in x for x in got) > 0.95 * len(texts)
+
+
 def test_notices_of_any_known_text(spark):
     known = [("Beer", "Buy the author a beer."), ("Own", "Non-commercial favour"), ("MIT", "Released under the MIT License.")]
     rows = [(1, "x\n" + "=" * 4000 + " released under the MIT Licence " + "=" * 4000), (2, "buy the AUTHOR a beer!\nnoncommercial favor"), (3, "a beer")]
