@@ -419,7 +419,9 @@ def collocations(docs: DataFrame, least: int = 10, share: int = 50, top: int = 2
     )
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
     # phrases are spelled out only where they may be among the first, ties included
-    near, near_path = staged(two.union(three).withColumn("place", F.rank().over(best)).where(F.col("place") <= top).drop("place"), "best")
+    both = two.union(three).withColumn("part", F.pmod(F.xxhash64("w0", "w1", "w2"), F.lit(64)))  # a part's first ones hold the language's first ones
+    both = both.withColumn("place", F.rank().over(Window.partitionBy("lang", "part").orderBy(F.desc("score"), F.desc("a")))).where(F.col("place") <= top)
+    near, near_path = staged(both.withColumn("place", F.rank().over(best)).where(F.col("place") <= top).drop("place", "part"), "best")
 
     def spelled(i: int) -> DataFrame:
         return words.select(F.col("id").alias(f"w{i}"), F.col("word").alias(f"t{i}"))
