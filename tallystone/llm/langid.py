@@ -18,8 +18,8 @@ from .common import binary_parts, byte_chunks, held_out, no_clash
 
 #: Width of each direction, bytes of a window, windows scored at once.
 HIDDEN, WINDOW, LANES = 8, 64, 2048
-#: About so many rows of each language the model learns from, and training windows of each, spread over its whole text.
-PER_LANG, PER_ROW = 250, 48
+#: About so many rows of each language the model learns from, with their whole texts, and so many of all languages together.
+PER_LANG, MOST_ROWS = 250, 4000
 STEPS, BATCH = 220, 96
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -164,39 +164,27 @@ def probabilities(column: pa.Array, model: dict) -> Iterator[np.ndarray | None]:
                 yield None
 
 
-def training_windows(text: str, seed: int) -> bytes:
-    """Training windows of a text, one after another: all, or ``PER_ROW`` of them drawn from the whole text."""
-    raw, t = text.encode("utf-8", "replace"), WINDOW // 2
-    n = -(-len(raw) // t)
-    if n <= PER_ROW:
-        return raw
-    at = np.sort(np.random.default_rng(seed).choice(n, PER_ROW, replace=False)).tolist()
-    return b"".join(raw[i * t : (i + 1) * t].ljust(t) for i in at)
-
-
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[list[str], dict]:
     """Languages and model, from about ``per_lang`` different rows of each language, never the held-out ones.
 
     Rows are drawn by a hash of id and text, so repeated rows count once and any order of tasks gives
-    one model. The driver holds ``PER_ROW`` windows of each drawn row, and a number for each language.
+    one model. The driver holds the whole texts of about ``MOST_ROWS`` rows at most; where there are more
+    languages than that, the most frequent ones are learned, the first by name of equals.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where(~held_out())
     known = known.withColumn("mark", F.xxhash64("doc_id", "text"))
-    counts = sorted((r.lang, r.rows) for r in known.groupBy("lang").agg(F.approx_count_distinct("mark").alias("rows")).collect())
-    langs = [x for x, _ in counts]
+    counts = sorted((r.lang, r.rows) for r in known.groupBy("lang").agg(F.approx_count_distinct("mark").alias("rows")).orderBy(F.desc("rows"), "lang").limit(MOST_ROWS + 1).collect())
+    if len(counts) > MOST_ROWS:
+        counts = sorted(sorted(counts, key=lambda c: (-c[1], c[0]))[:MOST_ROWS])
+    langs, per_lang = [x for x, _ in counts], min(per_lang, MOST_ROWS / max(1, len(counts)))
     if not langs:
         return [], train_network([], np.zeros(0, np.int64), 1)
     shares = docs.sparkSession.createDataFrame([(x, min(1.0, 1.2 * per_lang / n)) for x, n in counts], "lang string, share double")
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            drawn = [training_windows(t, m & 0xFFFFFFFF) for m, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(drawn, pa.binary())], names=["lang", "mark", "windows"])
-
     chosen = known.join(F.broadcast(shares), "lang").where(F.pmod("mark", F.lit(1 << 24)) < F.col("share") * (1 << 24)).select("lang", "mark", "text")  # a row a language
-    rows = chosen.mapInArrow(draw, "lang string, mark long, windows binary").groupBy("lang", "mark").agg(F.min("windows").alias("windows")).collect()
+    rows = chosen.groupBy("lang", "mark").agg(F.min("text").alias("text")).collect()
     number = {x: i for i, x in enumerate(langs)}
-    rows = sorted((r.lang, r.mark, bytes(r.windows)) for r in rows)
+    rows = sorted((r.lang, r.mark, r.text.encode("utf-8", "replace")) for r in rows)
     return langs, train_network([t for _, _, t in rows], np.asarray([number[x] for x, _, _ in rows], np.int64), len(langs))
 
 

@@ -264,8 +264,65 @@ def test_language_of_short_texts_and_many_languages(spark):
     # repeated rows change nothing
     a, b = langid.train(two), langid.train(two.union(two).repartition(5))
     assert a[0] == b[0] and all(np.array_equal(a[1][x][y], b[1][x][y]) for x in a[1] for y in a[1][x])
-    long = "ab" * 100_000
-    assert len(langid.training_windows(long, 1)) == 32 * langid.PER_ROW and langid.training_windows("kurz", 1) == b"kurz"
+
+
+def test_languages_beyond_the_bound(spark, monkeypatch):
+    """A dirty lang column doesn't grow what the driver holds: the most frequent languages are learned."""
+    monkeypatch.setattr(langid, "MOST_ROWS", 6)
+    rows = [(i, f"text of {i % 3}", f"l{i % 3}") for i in range(60)] + [(100 + i, f"junk {i}", f"junk{i}") for i in range(40)]
+    langs, _ = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(langs) == 6 and {"l0", "l1", "l2"} <= set(langs)
+
+
+def test_training_steps_against_a_plain_network():
+    """An Adam step, from slopes of the loss that are found one position and one number at a time."""
+    texts, labels, n = [b"the cat sat on the mat, all of it", b"le chat est sur le tapis vert et"], np.asarray([0, 1]), 2
+    start, batch = langid.train_network(texts, labels, n, steps=0), langid.BATCH
+    params = {(a, k): v.astype(float).copy() for a, part in start.items() for k, v in part.items()}
+    rng = np.random.default_rng(3)
+    h, t = langid.HIDDEN, langid.WINDOW // 2
+    for shape in ((3 * h, 256), (3 * h, h)) * 2:
+        rng.normal(0, 1, shape)
+    rng.normal(0, 1, (n, 2 * h))
+    padded = [x.ljust(-(-len(x) // t) * t) for x in texts]
+
+    def loss(p, windows, y):
+        total = 0.0
+        for w, label in zip(windows, y, strict=True):
+            states = []
+            for side, order in (("f", w), ("r", w[::-1])):
+                s, out = np.zeros(h), []
+                for c in order:
+                    x, rec = p[side, "w"][:, c], p[side, "u"] @ s
+                    r, z = np.clip(x[:h] + rec[:h], 0, 1), np.clip(x[h : 2 * h] + rec[h : 2 * h], 0, 1)
+                    s = z * s + (1 - z) * np.tanh(x[2 * h :] + r * (rec[2 * h :] + p[side, "b"][:, 0]))
+                    out.append(s)
+                states.append(out if side == "f" else out[::-1])
+            for f, b in zip(*states, strict=True):
+                o = p["o", "v"] @ np.concatenate((f, b)) + p["o", "c"][:, 0]
+                total += np.log(np.exp(o - o.max()).sum()) + o.max() - o[label]
+        return total / (t * len(windows))
+
+    checked = [("o", "c", (0, 0)), ("o", "v", (1, 3)), ("f", "u", (2, 1)), ("r", "u", (h + 1, 0)), ("f", "b", (3, 0)), ("r", "w", (2 * h + 1, ord("e")))]
+    by = [[0], [1]]
+    rows = [b[rng.integers(len(b))] for b in by for _ in range(batch // 2)]
+    windows = []
+    for i in rows:
+        at = t * rng.integers(len(padded[i]) // t)
+        windows.append(padded[i][at : at + t])
+    one = langid.train_network(texts, labels, n, steps=1)
+    for a, k, where in checked:
+        ends = []
+        for e in (1e-4, -1e-4):
+            q = {x: v.copy() for x, v in params.items()}
+            q[a, k][where] += e
+            ends.append(loss(q, windows, labels[rows]))
+        slope = (ends[0] - ends[1]) / 2e-4
+        rate = 0.03 * min(1.0, 2 * (1 - 1 / 2))
+        m, v = 0.1 * slope, 0.01 * slope * slope
+        step = rate * (m / 0.1) / (np.sqrt(v / 0.01) + 1e-7)
+        if abs(slope) > 1e-4:  # below, rounding decides the first step's direction
+            assert one[a][k][where] == pytest.approx(start[a][k][where] - step, abs=2e-4)
 
 
 def test_quality_features_and_scores_by_hand(spark, odd):
