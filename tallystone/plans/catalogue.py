@@ -455,11 +455,13 @@ def kpi_delta(spark, sf):
 
 
 WHERES = ["a = 1 AND b >= 3", "a IN (1, 2, 3)", "b BETWEEN 1 AND 2", "c == 'x' AND a = 5", "b < 7"]
+_SHARE = "count(*) FILTER (event_id % 5 = {})"
 
 
-@query("advise_predicates", "SELECT * FROM (VALUES ('a', 5::BIGINT, 0::BIGINT), ('b', 0, 3), ('c', 1, 0)) v(col, eq_n, range_n)")
+@query("advise_predicates", f"SELECT 'a' AS col, {_SHARE.format(0)} + 3 * {_SHARE.format(1)} + {_SHARE.format(3)} AS eq_n, 0::BIGINT AS range_n FROM events UNION ALL SELECT 'b', 0, {_SHARE.format(0)} + {_SHARE.format(2)} + {_SHARE.format(4)} FROM events UNION ALL SELECT 'c', {_SHARE.format(3)}, 0 FROM events")
 def advise_predicates(spark, sf):
-    log = spark.createDataFrame([(w,) for w in WHERES], "where string")
+    """Each event asks with one of five predicates."""
+    log = read(spark, sf, "events").select(F.element_at(F.array(*map(F.lit, WHERES)), (F.col("event_id") % 5 + 1).cast("int")).alias("where"))
     return usage.mined(log).select(F.col("column").alias("col"), F.col("eq").cast("long").alias("eq_n"), F.col("range").cast("long").alias("range_n"))
 
 
