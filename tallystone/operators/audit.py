@@ -33,11 +33,10 @@ def append(table: Table, event: dict[str, Any], chained: bool = True, day: str |
     day = day if day and re.fullmatch(r"\d{8}", day) else table.clock().strftime("%Y%m%d")
     name = f"{FOLDER}/{day}.jsonl"
     with table.store.lock("meta/.audit.lock"):
-        text = table.store.read_text(name) if table.store.exists(name) else ""
-        lines = [x for x in text.split("\n") if x]
         if chained:
-            _, event = chained_line(event, hashlib.sha256(lines[-1].encode()).hexdigest() if lines else ZERO)
-        table.store.write_text(name, text + json.dumps(event, ensure_ascii=False, separators=(",", ":")) + "\n")
+            last = table.store.last_line(name)
+            _, event = chained_line(event, hashlib.sha256(last.encode()).hexdigest() if last is not None else ZERO)
+        table.store.append_line(name, json.dumps(event, ensure_ascii=False, separators=(",", ":")))
     return event
 
 

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ed25519
-from ..operators import asof, audit, encrypt, integrity, ledger, optimize, profile, usage, vector
+from ..operators import asof, audit, encrypt, integrity, intervals, ledger, optimize, profile, usage, vector
 from ..sources import container
 from ..sources.table import Table
+from ..streaming import windows
 from . import QUERIES, SQL, query
 
 __all__ = ["QUERIES", "SQL"]
@@ -174,6 +175,52 @@ def asof_whole(spark, sf):
     return asof_pick(spark, sf)
 
 
+_SPAN = "o_orderdate AS opens, o_orderdate + to_hours((1 + o_orderkey % 6)::INT) AS closes"
+
+
+@query("interval_join", f"SELECT e.event_id, o.o_orderkey FROM (SELECT event_id, ts - INTERVAL 28 YEAR AS at FROM events) e JOIN (SELECT o_orderkey, {_SPAN} FROM orders) o ON o.opens <= e.at AND e.at < o.closes")
+def interval_join(spark, sf):
+    """Each event with the orders that are open at its time, for one to six hours each."""
+    events = read(spark, sf, "events").select("event_id", (F.col("ts") - F.expr("INTERVAL '28' YEAR")).alias("at"))
+    orders = read(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").alias("opens"), (F.col("o_orderdate") + F.make_dt_interval(hours=(1 + F.col("o_orderkey") % 6).cast("int"))).alias("closes"))
+    return intervals.interval_join(events, orders, "at", "opens", "closes").select("event_id", "o_orderkey")
+
+
+@query("interval_overlaps", f"WITH o AS (SELECT o_orderkey, o_custkey, {_SPAN} FROM orders WHERE o_orderpriority = '1-URGENT') SELECT a.o_orderkey AS one, b.o_orderkey AS other FROM o a JOIN o b ON a.opens < b.closes AND b.opens < a.closes AND a.o_orderkey < b.o_orderkey")
+def interval_overlaps(spark, sf):
+    """Pairs of urgent orders that are open at one time."""
+    o = read(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey", F.col("o_orderdate").alias("opens"), (F.col("o_orderdate") + F.make_dt_interval(hours=(1 + F.col("o_orderkey") % 6).cast("int"))).alias("closes"))
+    other = o.select(F.col("o_orderkey").alias("other"), F.col("opens").alias("from"), F.col("closes").alias("until"))
+    return intervals.interval_join(o.withColumnRenamed("o_orderkey", "one"), other, ("opens", "closes"), "from", "until").where("one < other").select("one", "other")
+
+
+def _measures():
+    return {"n": F.count("*"), "total": F.sum("value"), "greatest": F.max("value")}
+
+
+@query("window_tumbling", "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total, max(value) AS greatest FROM events GROUP BY 1, 2")
+def window_tumbling(spark, sf):
+    out = windows.windowed(read(spark, sf, "events"), "ts", "6 hours", _measures(), ["event_type"])
+    return out.select("window_start", "event_type", "n", F.round("total", 4).alias("total"), "greatest")
+
+
+@query("stream_windows", "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total, max(value) AS greatest FROM events GROUP BY 1, 2")
+def stream_windows(spark, sf):
+    """The same from a stream in five parts, in which a tenth of the rows come up to a part late, appended to a table as windows close."""
+    events, folder = read(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value"), scratch(spark)
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    share = (F.unix_micros("ts") - F.unix_micros(F.lit(low))) / (F.unix_micros(F.lit(high)) - F.unix_micros(F.lit(low)) + 1)
+    part = F.floor(share * 4).cast("int") + (F.col("event_id") % 10 == 0).cast("int")
+    for i in range(5):
+        events.where(part == i).coalesce(1).write.parquet(f"{folder}/in/{i}")
+    # an event long after closes the last windows; its own stays open
+    spark.createDataFrame([(-1, high + dt.timedelta(days=60), "end", 0.0)], events.schema).coalesce(1).write.parquet(f"{folder}/in/5")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+    t = Table(spark, f"{folder}/table")
+    windows.append_windows(stream, t, f"{folder}/checkpoint", "ts", "6 hours", _measures(), ["event_type"], late="20 days").awaitTermination()
+    return t.read(["window_start", "event_type", "n", "total", "greatest"]).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"), "greatest")
+
+
 @query("asof_encrypted", f"SELECT {ORDERS} FROM orders WHERE o_orderdate <= TIMESTAMP '1998-01-01'")
 def asof_encrypted(spark, sf):
     """A snapshot from before the encryption, read after it."""

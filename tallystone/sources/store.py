@@ -64,8 +64,48 @@ class Store:
         self.write_text(name, json.dumps(value, ensure_ascii=False, indent=1, default=str))
 
     def append_line(self, name: str, line: str) -> None:
-        """Add a line; call it under ``lock``."""
-        self.write_text(name, (self.read_text(name) if self.exists(name) else "") + line + "\n")
+        """Add a line to the file's end; call it under ``lock``. Earlier lines aren't rewritten where the store can append."""
+        raw = (line + "\n").encode()
+        path = local_path(self.uri(name))
+        if path is not None:
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with contextlib.suppress(FileNotFoundError):  # Hadoop's checksum of the file as it was
+                os.remove(f"{os.path.dirname(path)}/.{os.path.basename(path)}.crc")
+            with open(path, "ab") as f:
+                f.write(raw)
+                f.flush()
+                os.fsync(f.fileno())
+            return
+        out = None
+        if self.exists(name):
+            with contextlib.suppress(Exception):  # a store without appends
+                out = self._fs.append(self._path(name))
+        if out is None:
+            self.write_text(name, (self.read_text(name) if self.exists(name) else "") + line + "\n")
+            return
+        try:
+            out.write(bytearray(raw))
+            out.hsync()
+        finally:
+            out.close()
+
+    def last_line(self, name: str, step: int = 1 << 16) -> str | None:
+        """The last line that isn't empty, from the file's end; None without one."""
+        if not self.exists(name):
+            return None
+        size, tail = self._fs.getFileStatus(self._path(name)).getLen(), b""
+        stream = self._fs.open(self._path(name))
+        try:
+            at = size
+            while at > 0 and tail.rstrip(b"\n").count(b"\n") == 0:
+                at = max(0, at - step)
+                stream.seek(at)
+                n = size - at - len(tail)
+                tail = bytes(self._jvm.org.apache.commons.io.IOUtils.readFully(stream, n)) + tail
+        finally:
+            stream.close()
+        lines = [x for x in tail.split(b"\n") if x]
+        return lines[-1].decode() if lines else None
 
     def names(self, folder: str) -> list[str]:
         """Documents of a folder, sorted."""
