@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from typing import TYPE_CHECKING, Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import usage as U
 
@@ -30,18 +31,68 @@ def layout(df: DataFrame, part: str | None, target_rows: int, order: list[str],
     return sized.withColumn("__chunk", F.floor((F.row_number().over(w) - 1) / step)).drop("__n", "__key")
 
 
-def optimize(table: Table, compact: bool = True, target_rows: int = 100_000, order: list[str] | None = None, min_chunks: int = 1, whole: bool = False) -> dict[str, Any]:
+#: Ranks that a column of a Z-order is cut into, as bits.
+RANK_BITS = 8
+
+
+def _position(column: Column, kind: T.DataType) -> Column:
+    """A number that never falls where the column rises: of texts their first six bytes."""
+    if isinstance(kind, T.StringType):
+        return F.conv(F.rpad(F.substring(F.hex(column), 1, 12), 12, "0"), 16, 10).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), column).cast("double")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(column).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(column).cast("double")
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        return column.cast("double")
+    raise ValueError(f"no order of {kind.simpleString()}")
+
+
+def _rank(x: Column, cuts: list[float]) -> Column:
+    """How many cuts are not above x, by halving; 0 for null."""
+
+    def below(i: int, j: int) -> Column:
+        if i == j:
+            return F.lit(i)
+        m = (i + j) // 2
+        return F.when(x < cuts[m], below(i, m)).otherwise(below(m + 1, j))
+
+    return F.when(x.isNull(), F.lit(0)).otherwise(below(0, len(cuts)))
+
+
+def interleaved(df: DataFrame, columns: list[str]) -> Column:
+    """The bits of the columns' ranks in turn, highest first: near values of all columns have near numbers."""
+    if not 0 < len(columns) <= 62 // RANK_BITS:
+        raise ValueError(f"a Z-order takes 1 to {62 // RANK_BITS} columns")
+    places = {f"p{i}": _position(F.col(c), df.schema[c].dataType) for i, c in enumerate(columns)}
+    n = 1 << RANK_BITS
+    found = df.select(*[p.alias(k) for k, p in places.items()]).approxQuantile(list(places), [i / n for i in range(1, n)], 0.2 / n)
+    z = F.lit(0).cast("long")
+    for i, (position, cuts) in enumerate(zip(places.values(), found, strict=True)):
+        rank = _rank(position, sorted(set(cuts))).cast("long")
+        for bit in range(RANK_BITS):
+            z = z.bitwiseOR(F.shiftleft(F.shiftright(rank, bit).bitwiseAND(F.lit(1)), bit * len(columns) + len(columns) - 1 - i))
+    return z
+
+
+def optimize(table: Table, compact: bool = True, target_rows: int = 100_000, order: list[str] | None = None, min_chunks: int = 1, whole: bool = False, zorder: list[str] | None = None) -> dict[str, Any]:
     """Rewrite small files, or with an order or ``whole`` all files, fewer and sorted. Row order within files is ``order``, then the old position.
 
     A file is small with fewer rows than half the target; those that share their partition value with another
     small one are put together, and all other files are carried over by reference, under their names.
+    With ``zorder``, all files are rewritten as ranges of the interleaved ranks of these columns, so that a
+    condition on any one of them leaves few files.
 
     With an order, files are ranges of (partition value, order), so their statistics don't overlap;
     without, ranges of the old position, or of an unordered partitioned table what Spark's rebalancing
     makes. There are as many tasks as files, whatever the size of a partition value. Encrypted tables are refused; nothing to do is an error.
     """
-    if not compact and not order:
+    if not compact and not order and not zorder:
         raise ValueError("Nothing to do: neither compact nor order")
+    if order and zorder:
+        raise ValueError("either order or zorder")
     if target_rows <= 0:
         raise ValueError("target_rows must be positive")
     if table.crypto():
@@ -52,12 +103,12 @@ def optimize(table: Table, compact: bool = True, target_rows: int = 100_000, ord
         if not before:
             return {"changed": False, "reason": "no_chunks"}
         names = [f["name"] for f in manifest["schema"]]
-        for c in order or []:
+        for c in [*(order or []), *(zorder or [])]:
             if c not in names:
                 raise ValueError(f"unknown order column: {c}")
         part = manifest["partitions"][0]["by"] if manifest["partitions"] else None
         carried, chosen = None, None
-        if not order and not whole and min_chunks == 1:
+        if not order and not zorder and not whole and min_chunks == 1:
             small = (F.col("rows") * 2 < target_rows).alias("small")
             beside = F.count("*").over(Window.partitionBy(*([f"min_{part}"] if part else [F.lit(0)]), small))  # files are few next to rows
             judged = table.stats(manifest).withColumn("again", small & (beside > 1))
@@ -67,9 +118,11 @@ def optimize(table: Table, compact: bool = True, target_rows: int = 100_000, ord
             chosen, rows = [r.file for r in picked], sum(r.rows for r in picked)
             carried = judged.where("not again").drop("again")
         df = table._scan(manifest, chosen).withColumns({"__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")})  # keeps equal rows in place
-        ranges = max(min_chunks, -(-rows // target_rows)) if order or not part else None
+        ranges = max(min_chunks, -(-rows // target_rows)) if order or zorder or not part else None
+        if zorder:
+            df = df.withColumn("__z", interleaved(df, zorder))
         pre = U.kpis(table)
-        table._put(df, part, "optimize", old=manifest, order=order or (["ts"] if "ts" in names else []), max_rows=target_rows, tie=("__file", "__row"), ranges=ranges, carried=carried, details={"order": order, "target_rows": target_rows, "before": before})
+        table._put(df, part, "optimize", old=manifest, order=order or (["ts"] if "ts" in names and not zorder else []), max_rows=target_rows, tie=("__z", "__file", "__row") if zorder else ("__file", "__row"), ranges=ranges, carried=carried, details={"order": order, "target_rows": target_rows, "before": before})
     table.snapshot(note="auto after optimize")
     fresh = table.manifest()
     after = fresh["chunks"]

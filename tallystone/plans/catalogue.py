@@ -464,6 +464,19 @@ def optimize_small_files(spark, sf):
     return n.join(gone, "o_orderstatus", "left").join(new, "o_orderstatus", "left").select("o_orderstatus", "n", (F.coalesce("greatest_gone", F.lit(0)) * 2 < 2 * largest).alias("large_kept"), (F.coalesce("n_new", F.lit(0)) < F.col("n_gone")).alias("fewer_small"))
 
 
+@query("optimize_zorder", "SELECT count(*) AS n, sum(l_orderkey)::BIGINT AS keys, round(sum(l_extendedprice), 1) AS total, true AS fewer_by_second FROM lineitem")
+def optimize_zorder(spark, sf):
+    """Rows after a Z-order by two columns, and whether a range of the second one leaves fewer files than an order by both does."""
+    lines = read(spark, sf, "lineitem")
+    target = -(-lines.count() // 64)
+    left = []
+    for how in ({"order": ["l_partkey", "l_shipdate"]}, {"zorder": ["l_partkey", "l_shipdate"]}):
+        t = Table(spark, scratch(spark)).write(lines, auto_snapshot=False)
+        optimize.optimize(t, target_rows=target, **how)
+        left.append(t.plan("l_shipdate >= '1997-01-01' AND l_shipdate < '1997-03-01'")["count"])
+    return t.read(["l_orderkey", "l_extendedprice"]).agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"), F.round(F.sum("l_extendedprice"), 1).alias("total"), F.lit(left[1] < left[0]).alias("fewer_by_second"))
+
+
 @query("reindex_bloom_read", "SELECT c_custkey, c_name FROM customer WHERE c_name IN ('Customer#000000007', 'Customer#000000011', 'nobody')")
 def reindex_bloom_read(spark, sf):
     t = Table(spark, scratch(spark)).write(read(spark, sf, "customer"), partition_by=["c_mktsegment"], auto_snapshot=False)

@@ -98,3 +98,23 @@ def test_a_file_beyond_2_gib(spark, tmp_path):
         f.truncate(3 << 30)
     got = {r.name: r.bytes for r in integrity.entry_digests(t).collect()}
     assert got["data/extra.bin"] == 3 << 30
+
+
+def test_z_order_serves_every_column(spark, tmp_path):
+    n = 4000
+    df = spark.range(n).select("id", F.pmod(F.xxhash64("id"), F.lit(1000)).alias("a"), F.when(F.col("id") % 50 != 0, F.concat(F.lit("name"), F.lpad(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1000)).cast("string"), 4, "0"))).alias("b"))
+    t = Table(spark, str(tmp_path / "t")).write(df)
+    with pytest.raises(ValueError, match="either order or zorder"):
+        optimize.optimize(t, order=["a"], zorder=["b"])
+    with pytest.raises(ValueError, match="unknown order column"):
+        optimize.optimize(t, zorder=["nope"])
+    counts = {}
+    for name, how in (("lexical", {"order": ["a", "b"]}), ("z", {"zorder": ["a", "id"]})):
+        optimize.optimize(t, target_rows=n // 32, **how)
+        counts[name] = [t.plan(w)["count"] for w in ("a >= 500 AND a < 520", "id >= 100 AND id < 200")]
+        assert sorted(r.id for r in t.read(["id"]).collect()) == list(range(n)) and t.schema().names == ["id", "a", "b"]
+    assert counts["z"][1] < counts["lexical"][1] / 2 and counts["z"][0] <= 16
+    optimize.optimize(t, target_rows=n // 32, zorder=["b", "a", "id"])
+    assert t.read().count() == n and t.read(where="b IS NULL").count() == n // 50
+    ranks = df.select(optimize.interleaved(df, ["a"]).alias("z"), "a").groupBy("z").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).orderBy("z").collect()
+    assert all(x.hi < y.lo for x, y in zip(ranks, ranks[1:], strict=False)) and len(ranks) > 200
