@@ -73,6 +73,9 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
+SQL["op8_topk"] = topk.top_k_sql()
+
+
 @register
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language(read_table(spark, sf_dir, "documents")).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -307,3 +307,14 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
     out, _ = staged(out, "top")
     drop_path(spark, path, asks_path, reached_path)
     return out
+
+
+def top_k_sql(every: int = 50, k: int = 5) -> str:
+    """The contract's query for DuckDB, over all pairs; ids must differ and scores fit a long."""
+    return f"""
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % {every} = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {k}"""
