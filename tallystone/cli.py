@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 
 from .functions import ed25519
 from .operators import audit, encrypt, evidence, integrity, ledger, optimize, profile, usage
+from .sources import container
 from .sources.table import Table
 
 
@@ -34,7 +35,7 @@ def _parser() -> argparse.ArgumentParser:
     command("plan", flag("--where"), flag("--as-of"))
     command("inspect")
     command("validate")
-    command("optimize", flag("--order"), flag("--target-rows", type=int, default=100_000), flag("--min-chunks", type=int, default=1))
+    command("optimize", flag("--order"), flag("--target-rows", type=int, default=100_000), flag("--min-chunks", type=int, default=1), flag("--whole", action="store_true"), flag("--zorder"))
     command("reindex", flag("spec", help="JSON: {column: {minmax: {}, bloom: {}}}"))
     command("snapshot", flag("--note"))
     command("log")
@@ -50,6 +51,11 @@ def _parser() -> argparse.ArgumentParser:
     command("check-seal", flag("--issuer", action="append", required=True), flag("--pubkey"))
     command("verify-seal", flag("seal_id"), flag("--issuer-key", required=True))
     command("usage")
+    command("kpis", flag("--window", type=int), flag("--baseline", action="store_true"))
+    reading = (flag("--columns"), flag("--where"), flag("--as-of"), secret)
+    command("zip-read", flag("container"), flag("--limit", type=int, default=10), *reading, table=False)
+    command("zip-verify", flag("container"), flag("--pubkey"), table=False)
+    command("zip-import", flag("container"), flag("--partition-by"), *reading)
     command("demo")
     return p
 
@@ -88,6 +94,17 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
             ed25519.save_private(pair, f"{a.out}.key")
             ed25519.save_public(pair.public_hex, f"{a.out}.pub")
             return show({"private": f"{a.out}.key", "public": f"{a.out}.pub"})
+        if a.command == "zip-verify":
+            r = container.verify_container(spark, a.container, key(a.pubkey))
+            show(r)
+            return 0 if r["valid"] else 1
+        if a.command.startswith("zip-"):
+            df = container.read_container(spark, a.container, split(a.columns), a.where, a.as_of, passphrase=a.passphrase)
+            if a.command == "zip-import":
+                return show(Table(spark, a.table).write(df, partition_by=split(a.partition_by)).inspect())
+            for row in df.limit(a.limit).toJSON().collect() if a.limit else df.toJSON().toLocalIterator():
+                print(row)
+            return 0
         if a.command == "verify-seal":
             r = ledger.Ledger(spark, a.table, ed25519.load_private(a.issuer_key)).verify_seal(a.seal_id)
             show(r)
@@ -111,7 +128,7 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
         if a.command == "validate":
             return show(profile.validate(t))
         if a.command == "optimize":
-            return show(optimize.optimize(t, target_rows=a.target_rows, order=split(a.order), min_chunks=a.min_chunks))
+            return show(optimize.optimize(t, target_rows=a.target_rows, order=split(a.order), min_chunks=a.min_chunks, whole=a.whole, zorder=split(a.zorder)))
         if a.command == "reindex":
             return show(optimize.reindex(t, json.loads(a.spec)))
         if a.command == "snapshot":
@@ -120,6 +137,8 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
             return show([r.asDict() for r in t.log().collect()])
         if a.command == "advise":
             return show(usage.advise(t))
+        if a.command == "kpis":
+            return show(usage.update_kpis(t, a.baseline, a.window))
         if a.command == "usage":
             return show(usage.aggregate(t))
         if a.command in ("encrypt", "decrypt"):

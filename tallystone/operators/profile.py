@@ -30,6 +30,8 @@ def _null(c: str, kind: T.DataType) -> Column:
 
 #: Ranges of values into which the search for an order statistic is cut.
 RANGES = 128
+#: So many different values, about, are ordered without ranges.
+FEW = 50_000
 
 
 def order_statistics(df: DataFrame, by: list[str], column: str, picks: dict[str, Callable[[Column], Column]]) -> DataFrame:
@@ -37,9 +39,16 @@ def order_statistics(df: DataFrame, by: list[str], column: str, picks: dict[str,
 
     Values are counted, the counts summed over ranges of values, and only the range that holds a place
     is ordered. So no group's values come together in one row or task, and a frequent value is one row.
-    Groups without values are left out.
+    Groups without values are left out. Where there are at most FEW different values, one task orders their counts at once.
     """
     have = df.where(F.col(column).isNotNull()).select(F.struct(*by).alias("by") if by else F.lit(0).alias("by"), F.col(column).alias("value"))
+    if (have.agg(F.approx_count_distinct(F.struct("by", "value"))).first()[0] or 0) <= FEW:
+        each = have.groupBy("by", "value").agg(F.count("*").alias("n"))
+        group = Window.partitionBy("by")
+        each = each.withColumns({"up_to": F.sum("n").over(group.orderBy("value")), "total": F.sum("n").over(group)})
+        here = {name: (pick(F.col("total")).cast("long") >= F.col("up_to") - F.col("n")) & (pick(F.col("total")).cast("long") < F.col("up_to")) for name, pick in picks.items()}
+        out = each.groupBy("by").agg(F.max("total").alias("n"), *[F.max(F.when(test, F.col("value"))).alias(name) for name, test in here.items()])
+        return out.select(*[F.col("by")[c].alias(c) for c in by], "n", *picks)
     cuts = sorted(set(have.select(F.col("value").cast("double")).approxQuantile("value", [i / RANGES for i in range(1, RANGES)], 0.2 / RANGES)))
     place = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c < F.col("value").cast("double"))) if cuts else F.lit(0)
     counts = have.groupBy("by", place.alias("range"), "value").agg(F.count("*").alias("n"))

@@ -48,9 +48,10 @@ def difference(pre: dict[str, Any], now: dict[str, Any]) -> dict[str, Any]:
     return {k: now[k] - pre[k] for k in now if pre.get(k) is not None and now[k] is not None}
 
 
-def kpis(table: Table) -> dict[str, Any]:
-    """Key figures over the whole log, {} when it is empty."""
-    row = figures(records(table)).first()
+def kpis(table: Table, window: int | None = None) -> dict[str, Any]:
+    """Key figures over the whole log, or its last ``window`` records; {} when there are none."""
+    log = records(table)
+    row = figures(log.orderBy(F.desc("ts")).limit(window) if window else log).first()
     return row.asDict() if row.reads_total else {}
 
 
@@ -74,10 +75,10 @@ def aggregate(table: Table, limit: int = 1000) -> dict[str, Any]:
     return doc
 
 
-def update_kpis(table: Table, baseline: bool = False) -> dict[str, Any]:
-    """Store the present figures as the baseline (``pre``), or as ``post`` with the difference to it."""
+def update_kpis(table: Table, baseline: bool = False, window: int | None = None) -> dict[str, Any]:
+    """Store the present figures (of the last ``window`` records, if given) as the baseline (``pre``), or as ``post`` with the difference to it."""
     doc = table.store.read_json("meta/profiles/kpis.json") or {}
-    now = kpis(table)
+    now = kpis(table, window)
     if baseline:
         doc = {"pre_kpis": now}
     else:

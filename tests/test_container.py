@@ -216,3 +216,20 @@ def test_export_and_patterns(spark, tmp_path):
     assert C.read_container(spark, f"{tmp_path}/out/*.zip", ["id"], "at >= '2024-02-01' AND kind IS NULL").count() == sum(1 for r in rows if r[2] >= dt.datetime(2024, 2, 1) and r[1] is None)
     with pytest.raises(FileNotFoundError):
         C.read_container(spark, f"{tmp_path}/none/*.zip")
+
+
+def test_commands(spark, tmp_path, capsys):
+    from tallystone.cli import run
+    from tallystone.sources.table import Table
+
+    key = ed25519.generate_keypair(spark)
+    path, t = signed(spark, tmp_path / "a.zip", entries(), key), str(tmp_path / "t")
+    ed25519.save_public(key.public_hex, str(tmp_path / "k.pub"))
+    assert run(["zip-verify", path, "--pubkey", str(tmp_path / "k.pub")], spark) == 0
+    assert run(["zip-read", path, "--columns", "id", "--where", "id = 7"], spark) == 0 and '{"id":7}' in capsys.readouterr().out
+    assert run(["zip-import", t, path, "--partition-by", "country"], spark) == 0 and Table(spark, t).read(where="country = 'UY'").count() == 50
+    rewritten(path, lambda b: b + b"tail")
+    assert run(["zip-verify", path], spark) == 1 and run(["zip-read", path], spark) == 1
+    for i in range(3):
+        Table(spark, t).read(["id"], f"id = {i}", usage=True)
+    assert run(["kpis", t, "--window", "2"], spark) == 0 and '"reads_total": 2' in capsys.readouterr().out

@@ -368,10 +368,13 @@ def test_a_lock_left_behind_is_taken_over(spark, table):
     assert not table.store.exists("meta/.lock")
 
 
-def test_order_statistics_by_brute_force(spark):
+@pytest.mark.parametrize("few", [profile.FEW, 0])
+def test_order_statistics_by_brute_force(spark, monkeypatch, few):
     import math
     import random
 
+    monkeypatch.setattr(profile, "FEW", few)
+
     rng = random.Random(4)
     data = [(g, None if rng.random() < 0.1 else float(rng.choice([7, rng.randrange(1000), rng.random()]))) for g in ("a", "b", None) for _ in range({"a": 700, "b": 3}.get(g, 50))] + [("hot", 5.0)] * 2000 + [("none", None)]
     df = spark.createDataFrame(data, "g string, v double").repartition(5)
