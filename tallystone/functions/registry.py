@@ -1,4 +1,8 @@
-"""Kinds of file indexes by name: how to build one from data, and how to ask it."""
+"""Kinds of file indexes by name: how to build one from data, and how to ask it.
+
+A table builds the kinds that its columns declare for the files of each commit, and asks them before it
+reads: a file stays out where a kind says that no row can match.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +17,8 @@ from ..operators import stats
 
 @dataclass(frozen=True)
 class IndexKind:
-    """``build(data, column, **options)`` gives a row per file; ``may_match(op, value)`` a filter over those rows."""
+    """``build(data, column, **options)`` gives a row per file, with ``file``; ``may_match(op, value)`` a filter over those
+    rows, for the ops ``= != < <= > >= contains``: true wherever the file may hold a match, and for ops it doesn't know."""
 
     build: Callable[..., DataFrame]
     may_match: Callable[[str, Column], Column]
@@ -32,6 +37,10 @@ def get(name: str) -> IndexKind:
     return _KINDS[name]
 
 
+def known(name: str) -> bool:
+    return name in _KINDS
+
+
 def _minmax(data: DataFrame, column: str) -> DataFrame:
     one = stats.file_stats(data, [column])
     return one.select("file", "rows", F.col(f"min_{column}").alias("min"), F.col(f"max_{column}").alias("max"))
@@ -48,3 +57,31 @@ def _bloom(op: str, value: Column) -> Column:
 
 register("minmax", IndexKind(_minmax, _between))
 register("bloom", IndexKind(stats.file_blooms, _bloom))
+
+
+def _grams(text: Column) -> Column:
+    """All runs of three characters; the lookahead consumes nothing, so they overlap."""
+    return F.regexp_extract_all(text, F.lit("(?s)(?=(.{3}))"), F.lit(1))
+
+
+def _trigram_bits(data: DataFrame, column: str, bits: int = 65_536) -> DataFrame:
+    """(file, bits, words map<int, long>) per file: a bitmap of its trigrams' hashes, combined by OR on the map side; no bits where all texts are shorter."""
+    bits = max(64, -(-int(bits) // 64) * 64)
+    at = data.select(F.col("_metadata.file_path").alias("file"), F.explode_outer(F.array_distinct(F.transform(_grams(F.col(column)), lambda g: F.pmod(F.xxhash64(g), F.lit(bits))))).alias("at"))
+    words = at.groupBy("file", F.floor(F.col("at") / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))).alias("set"))
+    return words.groupBy("file").agg(F.map_from_entries(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("w", "set")))).alias("words")).select("file", F.lit(bits).alias("bits"), "words")
+
+
+def _holds_trigrams(op: str, value: Column) -> Column:
+    if op not in ("=", "contains"):
+        return F.lit(True)
+
+    def is_set(g: Column) -> Column:
+        at = F.pmod(F.xxhash64(g), F.col("bits"))
+        word = F.coalesce(F.try_element_at("words", F.floor(at / 64).cast("int")), F.lit(0))
+        return word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))) != 0
+
+    return F.forall(_grams(value.cast("string")), is_set)
+
+
+register("trigrams", IndexKind(_trigram_bits, _holds_trigrams))

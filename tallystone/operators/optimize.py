@@ -130,7 +130,7 @@ def optimize(table: Table, compact: bool = True, target_rows: int = 100_000, ord
 
 
 def reindex(table: Table, spec: dict[str, dict[str, Any]]) -> list[str]:
-    """Declare and build indexes: ``{column: {"minmax": {}, "bloom": {"fp_rate": 0.01}}}``. Unknown columns are skipped."""
+    """Declare and build indexes: ``{column: {"minmax": {}, "bloom": {"fp_rate": 0.01}, "trigrams": {}}}``. Unknown columns are skipped."""
     with table.store.lock():
         manifest = table.manifest()
         names = [f["name"] for f in manifest["schema"]]
@@ -146,6 +146,8 @@ def reindex(table: Table, spec: dict[str, dict[str, Any]]) -> list[str]:
             table._build_blooms(table._scan(manifest), blooms, manifest["bloom"])
         else:
             manifest["bloom"] = None
+        further = {c: {k: spec.get(c, {}).get(k) or {} for k in kinds} for c, kinds in manifest["indexes"].items() if c in names and c not in locked}
+        manifest["kinds"] = {k: [p] for k, p in table._build_kinds(table._scan(manifest), further, version).items()}
         table._publish(version, manifest)
         table.journal_append("reindex", {"columns": done})
     return done

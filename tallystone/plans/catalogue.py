@@ -312,6 +312,20 @@ def plan_bloom(spark, sf):
     return index.join(hit, "file", "left_semi").select(F.col("min_event_type").alias("event_type")).distinct()
 
 
+@query("plan_trigrams", "SELECT DISTINCT event_type FROM events WHERE contains(event_type, 'urch')")
+def plan_trigrams(spark, sf):
+    """Files that may hold a text, which min and max can't tell; their partition values."""
+    t = Table(spark, scratch(spark)).write(read(spark, sf, "events"), partition_by=["event_type"], indexes={"event_type": {"trigrams": {}}}, auto_snapshot=False)
+    return _flags(t, "event_type CONTAINS 'urch'", "event_type")
+
+
+@query("filter_contains", "SELECT doc_id, lang, source FROM documents WHERE contains(text, 'ment') AND lang <> 'en' OR contains(text, 'Copyright')")
+def filter_contains(spark, sf):
+    """Whole texts searched for words, through bitmaps of the files' trigrams."""
+    t = Table(spark, scratch(spark)).write(read(spark, sf, "documents"), partition_by=["lang"], indexes={"text": {"trigrams": {"bits": 1 << 18}}}, auto_snapshot=False)
+    return t.read(["doc_id", "lang", "source"], "text CONTAINS 'ment' AND lang != 'en' OR text CONTAINS 'Copyright'")
+
+
 @query("plan_summary", "SELECT count(DISTINCT event_type) AS total_chunks, 1::BIGINT AS candidates_count, round(1.0 / count(DISTINCT event_type), 6)::DOUBLE AS pruning_ratio FROM events")
 def plan_summary(spark, sf):
     p = built(spark, sf, "events", "event_type").plan("event_type = 'click'")

@@ -5,6 +5,7 @@
     meta/manifest-000001.json                     schema, constraints, partitioning, indexes, files' statistics
     meta/index/stats-000001/                      one row per file of a commit: rows, bytes, min, max, nulls
     meta/index/bloom-000001/                      one row per file and column of a commit
+    meta/index/kind-trigrams-000001/              the same of a further kind of index
     meta/{snapshots,journal,audit,usage,profiles}
 
 Files hold all columns, so reading needs no partition discovery; partition values are
@@ -17,12 +18,14 @@ import datetime as dt
 import hashlib
 import json
 from collections.abc import Callable
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import registry
 from ..operators import stats as S
 from ..plans import predicate as P
 from .store import Store
@@ -131,6 +134,11 @@ class Table:
         paths = [p for p in [manifest.get("bloom"), *manifest.get("more_blooms", [])] if p]
         return self.spark.read.parquet(*[f"{self.path}/{p}" for p in paths]) if paths else None
 
+    def kind_rows(self, manifest: dict[str, Any], kind: str) -> DataFrame | None:
+        """One row per file and column of a further kind of index, if there is any."""
+        paths = manifest.get("kinds", {}).get(kind)
+        return self.spark.read.parquet(*[f"{self.path}/{p}" for p in paths]) if paths else None
+
     # ------------------------------------------------------------ journal
 
     def journal_append(self, op: str, details: dict[str, Any]) -> None:
@@ -238,6 +246,8 @@ class Table:
         Without ``publish`` its manifest is written, but the table stays at its version.
         """
         schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema if f.name not in tie])
+        for kind in {k for v in (indexes or {}).values() for k in v} - {"minmax", "bloom"}:
+            registry.get(kind)
         version = self.next_version()
         folder = self._write_files(df, part, version, list(order), max_rows, tie, ranges)
         keep = old if op == "append" else None
@@ -251,6 +261,10 @@ class Table:
             declared.setdefault(part, {}).setdefault("bloom", {})
         if "ts" in schema.names:
             declared.setdefault("ts", {}).setdefault("minmax", {})
+        built = self._build_kinds(self._folder(folder, schema), {c: v for c, v in declared.items() if c in schema.names and c not in (crypto or {}).get("columns", [])}, version)
+        for kind, path_of in built.items():
+            if carried is not None and (had := self.kind_rows(old, kind)) is not None:
+                had.join(carried.select("file"), "file", "left_semi").write.mode("append").parquet(f"{self.path}/{path_of}")
         blooms = {c: v["bloom"] for c, v in declared.items() if "bloom" in v and c in schema.names and c not in (crypto or {}).get("columns", [])}
         filters = f"meta/index/bloom-{version:06d}" if blooms else None
         if blooms:
@@ -266,6 +280,7 @@ class Table:
             "created_at": (old or {}).get("created_at") or self.now(), "spark_schema": schema.jsonValue(), "generation": version, "chunks": chunks + n, "rows": rows + more,
             "stats": keep["stats"] if keep else path, "more_stats": [*keep.get("more_stats", []), path] if keep else [],
             "bloom": keep["bloom"] if keep and keep["bloom"] else filters, "more_blooms": [*keep.get("more_blooms", []), *([filters] if filters and keep["bloom"] else [])] if keep else [],
+            "kinds": {k: [*(keep or {}).get("kinds", {}).get(k, []), *([built[k]] if k in built else [])] for k in {**(keep or {}).get("kinds", {}), **built}},
             "crypto": crypto, "streams": {**(old or {}).get("streams", {}), **({stream[0]: stream[1]} if stream else {})},
         }
         if len(manifest["more_stats"]) >= MANY_COMMITS:  # so that readers open few folders, at a cost that each commit shares
@@ -288,12 +303,26 @@ class Table:
         if manifest["bloom"]:
             out["bloom"] = f"meta/index/bloom-{version:06d}-all"
             self.blooms(manifest).write.parquet(f"{self.path}/{out['bloom']}")
+        for kind, paths in manifest["kinds"].items():
+            out["kinds"] = {**out["kinds"], kind: [f"meta/index/kind-{kind}-{version:06d}-all"]}
+            self.spark.read.parquet(*[f"{self.path}/{p}" for p in paths]).write.parquet(f"{self.path}/{out['kinds'][kind][0]}")
         return out
 
     def _build_blooms(self, data: DataFrame, blooms: dict[str, dict], path: str) -> None:
         for c, options in blooms.items():
             S.file_blooms(data, c, float(options.get("fp_rate", 0.01))).withColumn("column", F.lit(c)).withColumn("file", F.regexp_replace("file", "^file:/+", "file:/")).write.mode("append").parquet(f"{self.path}/{path}")
 
+    def _build_kinds(self, data: DataFrame, declared: dict[str, dict[str, dict]], version: int) -> dict[str, str]:
+        """Build the declared indexes of registered kinds beside min/max and Bloom filters; the folder of each kind."""
+        folders = {}
+        for c, kinds in declared.items():
+            for kind, options in kinds.items():
+                if kind not in ("minmax", "bloom"):
+                    folders[kind] = f"meta/index/kind-{kind}-{version:06d}"
+                    rows = registry.get(kind).build(data, c, **options)
+                    rows.withColumn("column", F.lit(c)).withColumn("file", F.regexp_replace("file", "^file:/+", "file:/")).write.mode("append").parquet(f"{self.path}/{folders[kind]}")
+        return folders
+
     def _publish(self, version: int, manifest: dict) -> None:
         self.store.write_json(f"meta/manifest-{version:06d}.json", manifest)
         self.store.write_json("meta/CURRENT.json", {"version": version})
@@ -302,7 +331,7 @@ class Table:
         """Delete generations, statistics and filters that neither the current manifest nor a snapshot names; call it under the lock."""
         kept = [self.manifest(n) for n in {self.version(), *(self.store.read_json(f"meta/{s['file']}")["manifest"] for s in self.list_snapshots())}]
         data = {r.g for m in kept for r in self.stats(m).select(F.regexp_extract("file", r"/data/(gen-\d+)/", 1).alias("g")).distinct().collect()}
-        index = {g.replace("gen-", "sketch-") for g in data} | {p.rsplit("/", 1)[-1] for m in kept for p in [m["stats"], *m.get("more_stats", []), m["bloom"], *m.get("more_blooms", [])] if p}
+        index = {g.replace("gen-", "sketch-") for g in data} | {p.rsplit("/", 1)[-1] for m in kept for p in _index_paths(m)}
         gone = [f"data/{n}" for n in self.store.names("data") if n not in data] + [f"meta/index/{n}" for n in self.store.names("meta/index") if n not in index]
         numbers = {m["generation"] for m in kept}
         gone += [f"meta/{n}" for n in self.store.names("meta") if n.startswith("manifest-") and int(n[9:15]) not in numbers]
@@ -332,7 +361,29 @@ class Table:
             b = F.try_element_at("blooms", F.lit(column))
             return S.may_hold(value.cast(schema[column].dataType), b["m"], b["k"], b["words"])
 
-        return index.where(P.may_match(tree, schema, stats, bloom))
+        tree_down = P.pushed_down(tree) if tree is not None else None
+        flags: dict[P.Test, list[str]] = {}
+        for kind in manifest.get("kinds", {}):
+            if not registry.known(kind):  # registered elsewhere: its files are read
+                continue
+            ask = registry.get(kind).may_match
+            for c, tests in _by_column(P.tests_of(tree_down)).items():
+                if kind not in manifest["indexes"].get(c, []):
+                    continue
+                made = {}
+                for t in tests:
+                    name = f"__{kind}_{len(flags)}_{len(made)}"
+                    if (passed := _asked(ask, t, schema[c].dataType)) is not None:
+                        made[name] = passed
+                        flags.setdefault(t, []).append(name)
+                if made:
+                    rows = self.kind_rows(manifest, kind).where(F.col("column") == c)
+                    index = index.join(rows.select("file", *[x.alias(n) for n, x in made.items()]), "file", "left")
+
+        def other(t: P.Test):
+            return reduce(lambda a, b: a & b, [F.coalesce(F.col(n), F.lit(True)) for n in flags.get(t, [])], F.lit(True))
+
+        return index.where(P.may_match(tree, schema, stats, bloom, other)).drop(*[n for names in flags.values() for n in names])
 
     def _scan(self, manifest: dict, files: list[str] | None = None) -> DataFrame:
         schema = T.StructType.fromJson(manifest["spark_schema"])
@@ -426,7 +477,7 @@ class Table:
         return {
             "where": where, "as_of": as_of, "normalized": P.normal(tree), "total_chunks": total, "candidates_count": len(ids), "pruning_ratio": len(ids) / total if total else 1.0,
             "candidates_by_col": by_column, "candidates_final": ids, "candidate_paths": [r.file for r in final], "candidates": ids, "count": len(ids),
-            "indexes": {"minmax": {"n_chunks_indexed": total, **minmax}, "bloom": bloom},
+            "indexes": {"minmax": {"n_chunks_indexed": total, **minmax}, "bloom": bloom, **{k: {"n_chunks_indexed": self.kind_rows(manifest, k).select("file").distinct().count()} for k in manifest.get("kinds", {})}},
         }
 
     def plan_plus(self, where: str | None = None) -> dict[str, Any]:
@@ -457,7 +508,7 @@ class Table:
         name = f"{ts:%Y%m%dT%H%M%S%f}Z.json"
         doc = {
             "version": 1, "ts": ts.isoformat().replace("+00:00", "Z"), "manifest_hash": self.manifest_hash(m), "manifest": m["generation"],
-            "chunks": [{"chunk_id": r.chunk_id, "path": r.file} for r in files], "indexes": [x for x in (m["stats"], *m.get("more_stats", []), m["bloom"], *m.get("more_blooms", [])) if x], "profiles": {"quality": self.store.exists("meta/profiles/quality.json")}, "note": note,
+            "chunks": [{"chunk_id": r.chunk_id, "path": r.file} for r in files], "indexes": _index_paths(m), "profiles": {"quality": self.store.exists("meta/profiles/quality.json")}, "note": note,
         }
         self.store.write_json(f"meta/snapshots/{name}", doc)
         self.journal_append("snapshot", {"snapshot": name, "note": note})
@@ -497,6 +548,29 @@ class Table:
         return self.store.read_json(f"meta/{fit[-1]['file']}")
 
 
+def _index_paths(manifest: dict[str, Any]) -> list[str]:
+    """Folders of a manifest's statistics and indexes."""
+    m = manifest
+    return [p for p in [m["stats"], *m.get("more_stats", []), m["bloom"], *m.get("more_blooms", []), *(p for paths in m.get("kinds", {}).values() for p in paths)] if p]
+
+
+def _by_column(tests: list[P.Test]) -> dict[str, list[P.Test]]:
+    out: dict[str, list[P.Test]] = {}
+    for t in tests:
+        out.setdefault(t.column, []).append(t)
+    return out
+
+
+def _asked(ask: Callable, t: P.Test, kind: T.DataType):
+    """What an index says of one test; None where no index is asked."""
+    v = [P.literal(x, kind) for x in t.values]
+    if t.op == "null":
+        return None
+    if t.op == "in":
+        return reduce(lambda a, b: a | b, [ask("=", x) for x in v])
+    return ask(">=", v[0]) & ask("<=", v[1]) if t.op == "between" else ask(t.op, v[0])
+
+
 def _tests(tree: P.Tree | None) -> list[P.Tree]:
     if tree is None:
         return []
