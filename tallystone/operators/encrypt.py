@@ -1,8 +1,8 @@
 """Column encryption: AES-256-GCM per value, in Spark's own functions.
 
 A key of its own for each column and call is derived from the passphrase's key; the
-associated data binds a value to its table, column, generation of files and partition
-value. Each manifest says how its own files are encrypted, so older snapshots stay readable. Keys reach the plan as a
+associated data binds a value to its table, column, generation of files, partition value and
+row: the digest of the row's plaintext, or of those of its columns that are named as its key. Each manifest says how its own files are encrypted, so older snapshots stay readable. Keys reach the plan as a
 scalar subquery over a one-row frame, so no plan text shows them. Spark draws the nonces.
 """
 
@@ -62,7 +62,16 @@ def _aad(config: dict, column: str, generation: Column, part: str | None) -> Col
     if config["aad_v"] < 3:
         return own
     value = F.coalesce(F.col(part).cast("string"), F.lit("\0")) if part else F.lit("")
-    return F.concat(own, F.lit("|gen:"), generation.cast("string"), F.lit("|part:"), value)
+    bound = [own, F.lit("|gen:"), generation.cast("string"), F.lit("|part:"), value]
+    return F.concat(*bound, *([F.lit("|row:"), _row_digest(config["row_key"])] if config["aad_v"] > 3 else []))
+
+
+#: Rows as text that doesn't depend on the session's settings.
+EXACT = {"ignoreNullFields": "false", "timeZone": "UTC", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "dateFormat": "yyyy-MM-dd"}
+
+
+def _row_digest(columns: list[str]) -> Column:
+    return F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), EXACT), 256) if columns else F.lit("")
 
 
 def _generation() -> Column:
@@ -91,11 +100,19 @@ def closed(df: DataFrame, table: Table, config: dict, columns: list[str], passph
     return df.withColumns({c: close_value(c) for c in columns})
 
 
-def encrypt_columns(table: Table, columns: list[str], passphrase: str, scrypt: dict | None = None) -> dict:
+def _keyed(config: dict, schema: T.StructType) -> list[str]:
+    """The plaintext columns that values are bound to."""
+    return [c for c in (schema.names if config.get("row_named") is None else config["row_named"]) if c in schema.names and c not in config["columns"]]
+
+
+def encrypt_columns(table: Table, columns: list[str], passphrase: str, scrypt: dict | None = None, row_key: list[str] | None = None) -> dict:
     """Rewrite the table, and every generation that a snapshot names, with ``columns`` as ciphertext; the plaintext files,
     their statistics and filters are deleted.
 
-    Repeated calls add columns under the same passphrase; columns that are encrypted already are left.
+    Values are bound to the plaintext of their row: a value that is moved to a row with another plaintext, or whose
+    row's plaintext is changed, doesn't authenticate. ``row_key`` names the columns that tell rows apart, so that
+    reading an encrypted column needs these only; without, all plaintext columns are taken. Repeated calls add
+    columns under the same passphrase; columns that are encrypted already are left, and a key is kept.
     Snapshots keep their times and rows and need the passphrase from then on. Readers that are still
     at work on the old files fail.
     """
@@ -104,6 +121,8 @@ def encrypt_columns(table: Table, columns: list[str], passphrase: str, scrypt: d
     for c in columns:
         if c not in schema.names:
             raise ValueError(f"no column to encrypt: {c}")
+    if unknown := [c for c in row_key or [] if c not in schema.names or c in columns]:
+        raise ValueError(f"no plaintext column for the row's key: {', '.join(unknown)}")
     if config:
         _key(table, config, passphrase)
         config = json.loads(json.dumps(config))
@@ -111,7 +130,7 @@ def encrypt_columns(table: Table, columns: list[str], passphrase: str, scrypt: d
         cost = scrypt or SCRYPT
         salt = os.urandom(16)
         key = derive_key(passphrase, salt, cost["n"], cost["r"], cost["p"])
-        config = {"version": 2, "algo": "AES-256-GCM", "kdf": "scrypt", "scrypt": {**cost, "salt": salt.hex()}, "nonce_size": 12, "aad_v": 3, "columns": [], "parts": {}, "kinds": {}, "container_id": uuid.uuid4().hex}
+        config = {"version": 2, "algo": "AES-256-GCM", "kdf": "scrypt", "scrypt": {**cost, "salt": salt.hex()}, "nonce_size": 12, "aad_v": 4, "columns": [], "parts": {}, "kinds": {}, "container_id": uuid.uuid4().hex}
         config["check"] = _check(key, config["container_id"])
     new = [c for c in dict.fromkeys(columns) if c not in config["columns"]]
     if not new:
@@ -124,6 +143,9 @@ def encrypt_columns(table: Table, columns: list[str], passphrase: str, scrypt: d
     config["parts"] |= {c: table.next_version() for c in new}
     config["kinds"] |= {c: schema[c].dataType.jsonValue() for c in new}
     config["columns"] = [*config["columns"], *new]
+    config["aad_v"] = 4
+    config["row_named"] = row_key if row_key is not None else config.get("row_named")
+    config["row_key"] = _keyed(config, schema)
     with table.store.lock():
         if table.version() != manifest["generation"]:
             raise RuntimeError("the table changed meanwhile")
@@ -143,6 +165,7 @@ def encrypt_columns(table: Table, columns: list[str], passphrase: str, scrypt: d
             of_old = dict(old.get("crypto") or {})
             locked = [*of_old.get("columns", []), *own]
             mine = {**config, "part": by, "columns": locked, "parts": {c: of_old.get("parts", config["parts"])[c] if c in of_old.get("columns", []) else config["parts"][c] for c in locked}, "kinds": {c: kept[c].dataType.jsonValue() if c in own else of_old["kinds"][c] for c in locked}}
+            mine["row_key"] = _keyed(mine, kept)
             df = table._scan(old)
             if of_old.get("columns"):  # values move to another generation
                 df = decrypted(df, table, of_old["columns"], passphrase, of_old)

@@ -319,6 +319,51 @@ def test_encryption_covers_history_and_appends(spark, tmp_path):
     assert t.crypto()["columns"] == ["salario"] and t.read(where="dni = 'D00003'").count() == 2 and listed(t.read(as_of=before[0], passphrase="pw")) == plain[0]
 
 
+def test_an_encrypted_value_is_bound_to_its_row(spark, tmp_path):
+    def kinds(n):
+        when = F.timestamp_micros(F.lit(1_700_000_000_123_456) + F.col("id"))
+        more = {"at": when, "on": F.to_date(when), "local": when.cast("timestamp_ntz"), "x": F.when(F.col("id") % 3 > 0, F.col("id") / 7), "l": F.array("id", F.lit(None)), "s": F.struct(when.alias("t"), F.lit(None).cast("string").alias("z"))}
+        return frame(spark, n).withColumns(more)
+
+    def swapped(t, a, b):
+        scan = t._scan(t.manifest())
+        held = {r.id: r.dni for r in scan.where(F.col("id").isin(a, b)).collect()}
+        return encrypt.decrypted(scan.withColumn("dni", F.when(F.col("id") == a, F.lit(held[b])).when(F.col("id") == b, F.lit(held[a])).otherwise(F.col("dni"))), t, ["dni"], "pw")
+
+    whole = Table(spark, str(tmp_path / "whole")).write(kinds(20))
+    want = listed(whole.read())
+    encrypt.encrypt_columns(whole, ["dni"], "pw", COST)
+    assert whole.crypto()["row_key"] == [c for c in kinds(1).columns if c != "dni"]
+    keyed = Table(spark, str(tmp_path / "keyed")).write(kinds(20))
+    encrypt.encrypt_columns(keyed, ["dni"], "pw", COST, row_key=["id"])
+    for t in (whole, keyed):
+        for setting, value in (("spark.sql.session.timeZone", "Asia/Tokyo"), ("spark.sql.jsonGenerator.ignoreNullFields", "false")):
+            before = spark.conf.get(setting)
+            try:
+                spark.conf.set(setting, value)  # what a reader's session has set doesn't matter
+                encrypt.check_values(t, "pw")
+            finally:
+                spark.conf.set(setting, before)
+        assert listed(t.read(passphrase="pw")) == want
+        with pytest.raises(Exception, match="CorruptCiphertext: dni"):  # both in one partition and generation
+            swapped(t, 1, 2).collect()
+    changed = whole._scan(whole.manifest()).withColumn("nota", F.lit("another"))
+    with pytest.raises(Exception, match="CorruptCiphertext: dni"):
+        encrypt.decrypted(changed, whole, ["dni"], "pw").collect()
+    plan = keyed.read(["dni"], passphrase="pw")._jdf.queryExecution().executedPlan().toString()
+    assert "nota" not in plan.split("ReadSchema")[1].split("\n")[0]
+    encrypt.encrypt_columns(keyed, ["salario"], "pw")  # the key is kept
+    assert keyed.crypto()["row_key"] == ["id"] and listed(keyed.read(passphrase="pw")) == want
+    encrypt.encrypt_columns(whole, ["nota"], "pw")
+    assert "nota" not in whole.crypto()["row_key"] and listed(whole.read(passphrase="pw")) == want
+    whole.append(kinds(3), passphrase="pw")
+    encrypt.decrypt_columns(whole, ["nota"], "pw")
+    encrypt.check_values(whole, "pw")
+    assert listed(whole.read(passphrase="pw")) == sorted(want + listed(kinds(3)))
+    with pytest.raises(ValueError, match="row's key: none"):
+        encrypt.encrypt_columns(whole, ["nota"], "pw", row_key=["none"])
+
+
 def test_encryption_that_fails_leaves_the_table(spark, tmp_path, monkeypatch):
     t = Table(spark, str(tmp_path / "t")).write(frame(spark, 20))
     t.append(frame(spark, 5))
