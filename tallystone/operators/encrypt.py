@@ -175,9 +175,9 @@ def encrypt_columns(table: Table, columns: list[str], passphrase: str, scrypt: d
             moved[number] = table._put(df, by, "encrypt", old=old, indexes=indexes, order=order, crypto=mine, details={"columns": own}, publish=number == manifest["generation"])
         for number, docs in named.items():
             fresh = table.manifest(moved[number])
-            files = table.stats(fresh).select("chunk_id", "file").orderBy("chunk_id").collect()
             for name, doc in docs:
-                table.store.write_json(f"meta/{name}", {**doc, "manifest": fresh["generation"], "manifest_hash": table.manifest_hash(fresh), "chunks": [{"chunk_id": r.chunk_id, "path": r.file} for r in files], "indexes": [x for x in (fresh["stats"], fresh["bloom"]) if x]})
+                doc.pop("chunks", None)  # of older versions: a list of the files
+                table.store.write_json(f"meta/{name}", {**doc, "manifest": fresh["generation"], "manifest_hash": table.manifest_hash(fresh), **table.listed(fresh)})
         table.vacuum()
     table.snapshot(note="auto after encrypt")
     return config

@@ -127,7 +127,7 @@ class Table:
 
     def stats(self, manifest: dict[str, Any]) -> DataFrame:
         """One row per file with its statistics."""
-        return self.spark.read.parquet(*[f"{self.path}/{p}" for p in [manifest["stats"], *manifest.get("more_stats", [])]])
+        return self.spark.read.parquet(*[f"{self.path}/{p}" for p in _stats_paths(manifest)])
 
     def blooms(self, manifest: dict[str, Any]) -> DataFrame | None:
         """One row per file and column with its Bloom filter, if there is any."""
@@ -501,27 +501,37 @@ class Table:
     # ------------------------------------------------------------ snapshots
 
     def snapshot(self, note: str | None = None) -> str:
-        """Record the current files under the present time; returns the document's name."""
+        """Record the current files under the present time; returns the document's name.
+
+        The document names the statistics that list the files, so its size doesn't grow with them.
+        """
         m = self.manifest()
         ts = self.clock().astimezone(dt.UTC)
-        files = self.stats(m).select("chunk_id", "file").orderBy("chunk_id").collect()
         name = f"{ts:%Y%m%dT%H%M%S%f}Z.json"
         doc = {
             "version": 1, "ts": ts.isoformat().replace("+00:00", "Z"), "manifest_hash": self.manifest_hash(m), "manifest": m["generation"],
-            "chunks": [{"chunk_id": r.chunk_id, "path": r.file} for r in files], "indexes": _index_paths(m), "profiles": {"quality": self.store.exists("meta/profiles/quality.json")}, "note": note,
+            **self.listed(m), "profiles": {"quality": self.store.exists("meta/profiles/quality.json")}, "note": note,
         }
         self.store.write_json(f"meta/snapshots/{name}", doc)
         self.journal_append("snapshot", {"snapshot": name, "note": note})
         return name
 
+    def listed(self, manifest: dict[str, Any]) -> dict[str, Any]:
+        """What a snapshot says of its files: how many, and where they and their indexes are listed."""
+        return {"n_chunks": manifest["chunks"], "parts": _stats_paths(manifest), "indexes": _index_paths(manifest)}
+
     def list_snapshots(self) -> list[dict[str, Any]]:
         """file, ts, chunks, indexes, note of each snapshot, oldest first."""
         out = []
         for name in self.store.names("meta/snapshots"):
             d = self.store.read_json(f"meta/snapshots/{name}")
-            out.append({"file": f"snapshots/{name}", "ts": d["ts"], "chunks": len(d["chunks"]), "indexes": len(d["indexes"]), "note": d["note"]})
+            out.append({"file": f"snapshots/{name}", "ts": d["ts"], "chunks": d["n_chunks"] if "n_chunks" in d else len(d["chunks"]), "indexes": len(d["indexes"]), "note": d["note"]})
         return sorted(out, key=lambda d: d["ts"])
 
+    def snapshot_files(self, as_of: str) -> DataFrame:
+        """(chunk_id, path) of the newest snapshot's files not after ``as_of``."""
+        return self.stats(self.manifest_as_of(as_of)).select("chunk_id", F.col("file").alias("path"))
+
     def resolve_as_of(self, token: str | None) -> str | None:
         """None and plain times as they are; ``latest`` and ``snapshots/x.json`` as their times (None if absent)."""
         if token is None:
@@ -548,10 +558,14 @@ class Table:
         return self.store.read_json(f"meta/{fit[-1]['file']}")
 
 
+def _stats_paths(manifest: dict[str, Any]) -> list[str]:
+    return [manifest["stats"], *manifest.get("more_stats", [])]
+
+
 def _index_paths(manifest: dict[str, Any]) -> list[str]:
     """Folders of a manifest's statistics and indexes."""
     m = manifest
-    return [p for p in [m["stats"], *m.get("more_stats", []), m["bloom"], *m.get("more_blooms", []), *(p for paths in m.get("kinds", {}).values() for p in paths)] if p]
+    return [p for p in [*_stats_paths(m), m["bloom"], *m.get("more_blooms", []), *(p for paths in m.get("kinds", {}).values() for p in paths)] if p]
 
 
 def _by_column(tests: list[P.Test]) -> dict[str, list[P.Test]]:

@@ -118,3 +118,16 @@ def test_z_order_serves_every_column(spark, tmp_path):
     assert t.read().count() == n and t.read(where="b IS NULL").count() == n // 50
     ranks = df.select(optimize.interleaved(df, ["a"]).alias("z"), "a").groupBy("z").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).orderBy("z").collect()
     assert all(x.hi < y.lo for x, y in zip(ranks, ranks[1:], strict=False)) and len(ranks) > 200
+
+
+def test_a_snapshot_of_many_files_is_small(spark, tmp_path):
+    few = Table(spark, str(tmp_path / "few")).write(spark.range(40).select("id", (F.col("id") % 2).alias("part")), partition_by=["part"])
+    many = Table(spark, str(tmp_path / "many")).write(spark.range(40).select("id", F.col("id").alias("part")), partition_by=["part"])
+    names = [t.list_snapshots()[-1]["file"] for t in (few, many)]
+    sizes = [len(t.store.read_text(f"meta/{n}")) for t, n in zip((few, many), names, strict=True)]
+    assert abs(sizes[0] - sizes[1]) < 20 and [t.list_snapshots()[-1]["chunks"] for t in (few, many)] == [2, 40]
+    first = many.list_snapshots()[-1]["ts"]
+    many.append(spark.createDataFrame([(40, 40)], "id long, part long"))
+    found = many.snapshot_files(first).collect()
+    assert [r.chunk_id for r in sorted(found)] == list(range(40)) and all("/gen-000001/" in r.path for r in found)
+    assert many.snapshot_files("latest").count() == 41 and many.read(as_of=first).count() == 40
