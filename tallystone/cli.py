@@ -36,11 +36,11 @@ def _parser() -> argparse.ArgumentParser:
     command("inspect")
     command("validate")
     command("optimize", flag("--order"), flag("--target-rows", type=int, default=100_000), flag("--min-chunks", type=int, default=1), flag("--whole", action="store_true"), flag("--zorder"))
-    command("reindex", flag("spec", help="JSON: {column: {minmax: {}, bloom: {}}}"))
+    command("reindex", flag("spec", help="JSON: {column: {minmax: {}, bloom: {}, trigrams: {}}}"))
     command("snapshot", flag("--note"))
     command("log")
     command("advise")
-    command("encrypt", flag("columns"), secret)
+    command("encrypt", flag("columns"), flag("--row-key"), secret)
     command("decrypt", flag("--columns", default=""), secret)
     command("keygen", flag("--out", default="tallystone_signing"), table=False)
     command("sign", flag("--key", required=True), flag("--signer"))
@@ -144,8 +144,8 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
         if a.command in ("encrypt", "decrypt"):
             if not a.passphrase:
                 raise ValueError("a passphrase is needed")
-            f = encrypt.encrypt_columns if a.command == "encrypt" else encrypt.decrypt_columns
-            c = f(t, split(a.columns) or [], a.passphrase)
+            columns = split(a.columns) or []
+            c = encrypt.encrypt_columns(t, columns, a.passphrase, row_key=split(a.row_key)) if a.command == "encrypt" else encrypt.decrypt_columns(t, columns, a.passphrase)
             return show({"encrypted": (c or {}).get("columns", [])})
         if a.command == "sign":
             return show({"root": integrity.sign_table(t, ed25519.load_private(a.key).private_hex, a.signer)["payload"]["entries_root"]})

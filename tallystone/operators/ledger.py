@@ -23,6 +23,8 @@ SEALS = "seal_id string, n long, ts string, entries_root string, payload string,
 KEYS = "key_id string, key_hash string, tier string, label string, licence string, created string, revoked boolean"
 #: Seals a month.
 TIERS = {"free": 10, "pro": 500, "business": 5000}
+#: Time between two free keys of one client.
+FREE_EVERY = dt.timedelta(hours=1)
 
 
 def links(seals: DataFrame) -> DataFrame:
@@ -99,6 +101,15 @@ class Ledger:
         row = self.keys().where((F.col("key_hash") == hashlib.sha256(secret.encode()).hexdigest()) & ~F.col("revoked")).first()
         return row.asDict() if row else None
 
+    def free_key(self, client: str) -> str:
+        """A free key for a client (an address, say), one an hour; PermissionError before the hour is over."""
+        label = f"client:{client}"
+        with self.store.lock(".keys.lock"):
+            last = self.keys().where((F.col("tier") == "free") & (F.col("label") == label)).agg(F.max("created")).first()[0]
+            if last and self.clock() - dt.datetime.fromisoformat(last.replace("Z", "+00:00")) < FREE_EVERY:
+                raise PermissionError("one free key an hour for each client")
+            return self.create_key("free", label)
+
     def revoke(self, licence: str) -> int:
         """Revoke all keys of a licence; how many."""
         rows = self.keys().where((F.col("licence") == licence) & ~F.col("revoked")).collect()
@@ -150,7 +161,17 @@ class Ledger:
         return row.asDict() if row else None
 
     def find_by_root(self, entries_root: str) -> DataFrame:
-        return by_roots(self.seals(), self.spark.createDataFrame([(entries_root,)], "entries_root string")).orderBy("n")
+        return by_roots(self.seals(), self.spark.createDataFrame([(entries_root.lower(),)], "entries_root string")).orderBy("n")
+
+    def health(self) -> dict[str, Any]:
+        """Whether the log can be read, and whose it is."""
+        self.store.names("seals")
+        return {"ok": True, "issuer_public_key": self.issuer.public_hex}
+
+    def entries(self, after: int = 0, limit: int = 50) -> DataFrame:
+        """A page of the public log: what was sealed when, with its chain hash and the subject's name."""
+        name = F.coalesce(F.get_json_object("payload", "$.subject.name"), F.lit(""))
+        return page(self.seals(), after, limit).select("n", "seal_id", "ts", "entries_root", "chain_hash", name.alias("name"))
 
     def log_list(self, after: int = 0, limit: int = 50) -> DataFrame:
         return page(self.seals(), after, limit)

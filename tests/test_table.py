@@ -319,6 +319,24 @@ def test_encryption_covers_history_and_appends(spark, tmp_path):
     assert t.crypto()["columns"] == ["salario"] and t.read(where="dni = 'D00003'").count() == 2 and listed(t.read(as_of=before[0], passphrase="pw")) == plain[0]
 
 
+def test_a_client_gets_one_free_key_an_hour_and_reads_the_log(spark, tmp_path):
+    now = [dt.datetime(2024, 3, 1, 12, tzinfo=dt.UTC)]
+    log = ledger.Ledger(spark, str(tmp_path / "log"), ed25519.generate_keypair(spark), clock=lambda: now[0])
+    assert log.health() == {"ok": True, "issuer_public_key": log.issuer.public_hex} and log.entries().count() == 0
+    key = log.free_key("192.0.2.7")
+    assert log.usage(key) == {"tier": "free", "used": 0, "limit": 10, "remaining": 10} and log.free_key("192.0.2.8") != key
+    now[0] += dt.timedelta(minutes=59)
+    with pytest.raises(PermissionError, match="an hour"):
+        log.free_key("192.0.2.7")
+    now[0] += dt.timedelta(minutes=1)
+    log.free_key("192.0.2.7")
+    roots = ["ab" * 32, "cd" * 32]
+    for r, subject in zip(roots, ({"signer": "s", "public_key": "00", "name": "first"}, {}), strict=True):
+        log.seal(r, 1, subject, key)
+    assert [(r.n, r.entries_root, r.name) for r in log.entries().collect()] == [(1, roots[0], "first"), (2, roots[1], "")]
+    assert [r.n for r in log.entries(after=1, limit=0).collect()] == [2] and [r.n for r in log.find_by_root("AB" * 32).collect()] == [1]
+
+
 def test_an_encrypted_value_is_bound_to_its_row(spark, tmp_path):
     def kinds(n):
         when = F.timestamp_micros(F.lit(1_700_000_000_123_456) + F.col("id"))
