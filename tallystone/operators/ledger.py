@@ -30,9 +30,10 @@ FREE_EVERY = dt.timedelta(hours=1)
 def links(seals: DataFrame) -> DataFrame:
     """Seals with ``linked``: its hash follows from its predecessor's, found by an equi-join on n - 1 (no global order)."""
     before = seals.select((F.col("n") + 1).alias("n"), F.col("chain_hash").alias("before"))
-    own = F.sha2(F.concat("prev_hash", F.sha2("payload", 256)), 256)
-    fits = (F.coalesce("before", F.when(F.col("n") == 1, F.lit(ZERO))) == F.col("prev_hash")) & (own == F.col("chain_hash"))
-    return seals.join(before, "n", "left").withColumn("linked", F.coalesce(fits, F.lit(False)))
+    # hashed before the join, so that payloads nobody asks for aren't shuffled
+    hashed = seals.withColumn("__own", F.sha2(F.concat("prev_hash", F.sha2("payload", 256)), 256))
+    fits = (F.coalesce("before", F.when(F.col("n") == 1, F.lit(ZERO))) == F.col("prev_hash")) & (F.col("__own") == F.col("chain_hash"))
+    return hashed.join(before, "n", "left").withColumn("linked", F.coalesce(fits, F.lit(False))).drop("__own")
 
 
 def page(seals: DataFrame, after: int = 0, limit: int = 50) -> DataFrame:

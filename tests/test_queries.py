@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tallystone.plans.catalogue import QUERIES, SQL
 
@@ -54,3 +55,17 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_chains_of_null_payloads_carry_digests_alone(spark, sf, tmp_path):
+    from tallystone.plans import catalogue
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs.withColumn("text", F.when(F.col("doc_id") % 7 != 0, F.col("text"))).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("ledger_links", "ledger_chain"):
+        got = {r.n: r.linked for r in QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got == {r.doc_id + 1: r.doc_id % 100 != 50 for r in docs.select("doc_id").collect()}
+    runs = catalogue._seals(spark, sf).select(F.lit(0).cast("long").alias("run"), "n", "payload")
+    lines = catalogue._chains(runs, one=True)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    below = next(lines[i + 1] for i, x in enumerate(lines) if "Repartition 1," in x)
+    assert "AS digest" in below and "AS payload" not in below  # what the one stream reads
