@@ -90,3 +90,11 @@ def test_appends_to_the_audit_log_take_no_longer_as_it_grows(spark, tmp_path):
         f.write(b'{"cut')  # a writer that died
     audit.append(t, {"op": "y"}, day="20240101")
     assert audit.verify(t)["events"] == 451
+
+
+def test_few_rows_with_many_pairs_go_to_many_tasks(spark):
+    a = spark.range(600).select("id", (F.col("id") * 10).cast("double").alias("x"))
+    b = spark.range(600).select(F.col("id").alias("j"), (F.col("id") * 10 - 50).cast("double").alias("lo"), (F.col("id") * 10 + 51).cast("double").alias("hi"))
+    got = intervals.interval_join(a, b, "x", "lo", "hi")
+    assert got.count() == 600 * 11 - 2 * 15  # from 5 before to 5 behind each
+    assert got.groupBy(F.spark_partition_id().alias("task")).count().count() > 8
