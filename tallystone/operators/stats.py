@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,12 +18,40 @@ def ordered_columns(schema: T.StructType) -> list[str]:
     return [f.name for f in schema if isinstance(f.dataType, ORDERED)]
 
 
+def _least_greatest(x: pa.Array) -> tuple:
+    """Least and greatest values in Spark's order, in which NaN is above all others; null for none."""
+    if pa.types.is_floating(x.type) and pc.any(nan := pc.is_nan(x)).as_py():
+        rest = x.filter(pc.invert(nan))
+        return pc.min(rest) if rest.null_count < len(rest) else pa.scalar(math.nan, x.type), pa.scalar(math.nan, x.type)
+    found = pc.min_max(x)
+    return found["min"], found["max"]
+
+
 def file_stats(data: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per file of ``data``: file, rows, and min_c, max_c, nulls_c of each column, in one aggregate."""
-    aggregates = [F.count("*").alias("rows")]
-    for c in columns:
-        aggregates += [F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"), F.sum(F.col(c).isNull().cast("long")).alias(f"nulls_{c}")]
-    return data.groupBy(F.col("_metadata.file_path").alias("file")).agg(*aggregates)
+    """One row per file of ``data``: file, rows, and min_c, max_c, nulls_c of each column.
+
+    Tasks reduce their batches, so no rows are sorted by their files (Spark sorts to aggregate texts), and a task holds one batch.
+    """
+    kinds = [data.schema[c].dataType for c in columns]
+    fields = [T.StructField("file", T.StringType()), T.StructField("rows", T.LongType())]
+    for c, k in zip(columns, kinds, strict=True):
+        fields += [T.StructField(f"min_{c}", k), T.StructField(f"max_{c}", k), T.StructField(f"nulls_{c}", T.LongType())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            runs = pc.run_end_encode(b.column(0))  # a file's rows follow one another
+            start = 0
+            for file, end in zip(runs.values, runs.run_ends.to_pylist(), strict=True):
+                part = b.slice(start, end - start)
+                row = [file, pa.scalar(end - start, pa.int64())]
+                for i in range(1, part.num_columns):
+                    row += [*_least_greatest(part.column(i)), pa.scalar(part.column(i).null_count, pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.repeat(v, 1) for v in row], names=[f.name for f in fields])
+                start = end
+
+    made = data.select(F.col("_metadata.file_path").alias("file"), *[F.col(f"`{c}`") for c in columns]).mapInArrow(run, T.StructType(fields))
+    totals = [f(f"`{p}{c}`").alias(f"{p}{c}") for c in columns for p, f in (("min_", F.min), ("max_", F.max), ("nulls_", F.sum))]
+    return made.groupBy("file").agg(F.sum("rows").alias("rows"), *totals)
 
 
 def bloom_shape(n: int, rate: float) -> tuple[int, int]:

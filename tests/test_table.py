@@ -3,13 +3,14 @@
 import datetime as dt
 import json
 import os
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallystone.cli import run as cli
 from tallystone.functions import ed25519
-from tallystone.operators import audit, encrypt, evidence, integrity, ledger, optimize, profile, usage
+from tallystone.operators import audit, encrypt, evidence, integrity, ledger, optimize, profile, stats, usage
 from tallystone.plans import predicate as P
 from tallystone.sources.table import Table
 
@@ -511,3 +512,19 @@ def test_profile_of_text_as_numbers(spark):
     df = spark.createDataFrame([("1",), ("2.5",), ("x",), (None,)], "a string")
     r = profile.profile_frame(df, kinds={"a": "number"}).first()
     assert (r.dtype, r.nulls, r.min, r.max, r.distinct_est) == ("number", 2, "1.0", "2.5", 2)
+
+
+def test_stats_are_spark_s_own_minimum_and_maximum_without_a_sort(spark, tmp_path):
+    schema = "p int, i int, f float, d double, s string, m decimal(20,2), t timestamp, n timestamp_ntz, y date, b boolean"
+    day = dt.datetime(2024, 1, 2, 3, 4, 5, 678901)
+    some = [(p, i, float(i), float("nan") if i % (3 - p) == 0 else -i / 3, f"é{i}" if i % 2 else "", Decimal(i), day + dt.timedelta(i), day - dt.timedelta(i), day.date(), i > 3) for p in range(3) for i in range(7)]
+    spark.createDataFrame([*some, *[(p, *[None] * 9) for p in (0, 1, 3)]], schema).write.partitionBy("p").parquet(str(tmp_path / "t"))
+    data = spark.read.parquet(str(tmp_path / "t"))
+    columns = stats.ordered_columns(data.schema)
+    assert len(columns) == 10
+    aggregates = [f(c).alias(f"{p}{c}") for c in columns for p, f in (("min_", F.min), ("max_", F.max), ("nulls_", lambda c: F.sum(F.col(c).isNull().cast("long"))))]
+    want = data.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows"), *aggregates)
+    got = stats.file_stats(data, columns)
+    assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    below = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].split("MapInArrow")[1]
+    assert "Sort" not in below  # sorts take what batches were reduced to
