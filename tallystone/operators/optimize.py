@@ -33,6 +33,20 @@ def layout(df: DataFrame, part: str | None, target_rows: int, order: list[str],
 
 #: Ranks that a column of a Z-order is cut into, as bits.
 RANK_BITS = 8
+#: Rows of a task that writes ranges of an order, where files have fewer; and as many ranges as are always files of their own.
+RANGE_ROWS, RANGES = 500_000, 64
+
+
+def _old_position() -> dict[str, Column]:
+    """A scanned row's place in the table: its file's number, by generation, task and the task's files in turn, and its own in the file.
+
+    Numbers, as paths of some hundred bytes would be sampled, shuffled and sorted with each row.
+    """
+    name = F.col("_metadata.file_name")
+    number = lambda text: F.coalesce(text.try_cast("long"), F.lit(0).cast("long"))
+    generation = number(F.regexp_extract(F.col("_metadata.file_path"), r"/data/gen-(\d+)/", 1))
+    task, count = (number(F.regexp_extract(name, x, 1)) for x in (r"^part-(\d+)", r"[-.]c(\d+)\."))
+    return {"__file": F.shiftleft(generation, 40) + F.shiftleft(task, 20) + count, "__row": F.col("_metadata.row_index")}
 
 
 def _position(column: Column, kind: T.DataType) -> Column:
@@ -87,7 +101,8 @@ def optimize(table: Table, compact: bool = True, target_rows: int = 100_000, ord
 
     With an order, files are ranges of (partition value, order), so their statistics don't overlap;
     without, ranges of the old position, or of an unordered partitioned table what Spark's rebalancing
-    makes. There are as many tasks as files, whatever the size of a partition value. Encrypted tables are refused; nothing to do is an error.
+    makes. Up to 64 files are a task each; of more, small ones are written several by a task in the order's turn, so that
+    tasks and what is sampled of their rows grow with the rows, not with the files. Encrypted tables are refused; nothing to do is an error.
     """
     if not compact and not order and not zorder:
         raise ValueError("Nothing to do: neither compact nor order")
@@ -117,8 +132,11 @@ def optimize(table: Table, compact: bool = True, target_rows: int = 100_000, ord
                 return {"changed": False, "reason": "no_small_chunks"}
             chosen, rows = [r.file for r in picked], sum(r.rows for r in picked)
             carried = judged.where("not again").drop("again")
-        df = table._scan(manifest, chosen).withColumns({"__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")})  # keeps equal rows in place
-        ranges = max(min_chunks, -(-rows // target_rows)) if order or zorder or not part else None
+        df = table._scan(manifest, chosen).withColumns(_old_position())  # keeps equal rows in place
+        ranges = None
+        if order or zorder or not part:
+            files = -(-rows // target_rows)
+            ranges = max(min_chunks, min(files, max(RANGES, -(-rows // RANGE_ROWS))))
         if zorder:
             df = df.withColumn("__z", interleaved(df, zorder))
         pre = U.kpis(table)

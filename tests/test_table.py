@@ -528,3 +528,16 @@ def test_stats_are_spark_s_own_minimum_and_maximum_without_a_sort(spark, tmp_pat
     assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     below = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].split("MapInArrow")[1]
     assert "Sort" not in below  # sorts take what batches were reduced to
+
+
+def test_many_files_of_an_order_are_written_by_few_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(optimize, "RANGES", 4)
+    df = spark.range(2000).select("id", (F.col("id") * 7919 % 2000).alias("k"), (F.col("id") % 2).alias("half"))
+    t = Table(spark, str(tmp_path / "t")).write(df.repartition(5), partition_by=["half"], auto_snapshot=False)
+    optimize.optimize(t, order=["k"], target_rows=10)
+    files = t.stats(t.manifest()).select("rows", F.regexp_extract("file", r"part-(\d+)", 1).alias("task"), "min_half", "min_k", "max_k").collect()
+    assert 200 <= len(files) <= 210 and max(r.rows for r in files) == 10 and len({r.task for r in files}) <= 4
+    for half in (0, 1):
+        spans = sorted((r.min_k, r.max_k) for r in files if r.min_half == half)
+        assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    assert sorted(t.read(["id"]).collect()) == [(i,) for i in range(2000)]
