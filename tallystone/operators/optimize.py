@@ -17,18 +17,25 @@ if TYPE_CHECKING:
 def layout(df: DataFrame, part: str | None, target_rows: int, order: list[str], min_chunks: int = 1, tie: list[str] | None = None) -> DataFrame:
     """Rows with ``__chunk``: within each partition value, runs of ceil(n / max(min_chunks, ceil(n / target))) rows in ``order``.
 
-    The exact numbering orders each partition value in one task, so it is for plans and
-    reports; ``optimize`` leaves the cutting of files to the writer.
+    The numbering is exact: rows are counted by bins of the first column's values, and each bin is ordered by
+    itself, so a partition value is dealt over as many tasks as it has bins. Rows that share their first
+    column's value are ordered by one task, which spills, and so are all of them without an order;
+    ``optimize`` leaves the cutting of files to the writer.
     """
     if target_rows <= 0:
         raise ValueError("target_rows must be positive")
-    key = F.col(part) if part else F.lit(0)
-    by = [F.asc_nulls_last(c) for c in [*order, *(tie or [])]] or [F.lit(0)]
-    w = Window.partitionBy("__key").orderBy(*by)
-    sized = df.withColumn("__key", key).withColumn("__n", F.count("*").over(Window.partitionBy("__key")))
+    names = [*order, *(tie or [])]
+    by = [F.asc_nulls_last(c) for c in names] or [F.lit(0)]
+    sized = df.withColumns({"__key": F.col(part) if part else F.lit(0), "__bin": _bins(df, names[0]) if names else F.lit(0)})
+    bins = sized.groupBy(F.col("__key").alias("__k"), F.col("__bin").alias("__b")).agg(F.count("*").alias("__c"))
+    whole = Window.partitionBy("__k")
+    before = F.coalesce(F.sum("__c").over(whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = bins.select("__k", "__b", F.sum("__c").over(whole).alias("__n"), before.alias("__before"))  # 257 rows of a partition value at most
     parts = F.greatest(F.lit(min_chunks), F.ceil(F.col("__n") / target_rows))
     step = F.ceil(F.col("__n") / parts)
-    return sized.withColumn("__chunk", F.floor((F.row_number().over(w) - 1) / step)).drop("__n", "__key")
+    placed = sized.join(bins, F.col("__key").eqNullSafe(F.col("__k")) & (F.col("__bin") == F.col("__b")))
+    rank = F.row_number().over(Window.partitionBy("__key", "__bin").orderBy(*by)) + F.col("__before")
+    return placed.withColumn("__chunk", F.floor((rank - 1) / step)).drop("__n", "__key", "__bin", "__k", "__b", "__before")
 
 
 #: Ranks that a column of a Z-order is cut into, as bits.
@@ -76,6 +83,13 @@ def _rank(x: Column, cuts: list[float]) -> Column:
     return F.when(x.isNull(), F.lit(0)).otherwise(below(0, len(cuts)))
 
 
+def _bins(df: DataFrame, column: str) -> Column:
+    """Bins of about as many rows each, that never fall where the column rises; nulls are in the last."""
+    position, n = _position(F.col(column), df.schema[column].dataType), 1 << RANK_BITS
+    cuts = sorted(set(df.select(position.alias("p")).approxQuantile("p", [i / n for i in range(1, n)], 0.2 / n)))
+    return F.when(position.isNull(), F.lit(len(cuts) + 1)).otherwise(_rank(position, cuts))
+
+
 def interleaved(df: DataFrame, columns: list[str]) -> Column:
     """The bits of the columns' ranks in turn, highest first: near values of all columns have near numbers."""
     if not 0 < len(columns) <= 62 // RANK_BITS:

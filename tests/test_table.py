@@ -541,3 +541,19 @@ def test_many_files_of_an_order_are_written_by_few_tasks(spark, tmp_path, monkey
         spans = sorted((r.min_k, r.max_k) for r in files if r.min_half == half)
         assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
     assert sorted(t.read(["id"]).collect()) == [(i,) for i in range(2000)]
+
+
+def test_a_layout_s_numbering_is_exact_and_dealt_over_tasks(spark):
+    df = spark.range(3000).select((F.col("id") * 7919 % 3000).alias("k"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("part"))
+    df = df.withColumn("v", F.when(F.col("k") % 10 > 0, F.when(F.col("k") % 10 > 1, F.col("k") / 3).otherwise(float("nan"))))
+    made = optimize.layout(df, "part", 70, ["v"], tie=["k"])
+    assert made.columns == [*df.columns, "__chunk"]
+    want = []
+    for part in (None, 1, 2):
+        rows = sorted((r for r in df.collect() if r.part == part), key=lambda r: (r.v is None, r.v != r.v, 0 if r.v is None or r.v != r.v else r.v, r.k))
+        step = -(-len(rows) // -(-len(rows) // 70))
+        want += [(*r, i // step) for i, r in enumerate(rows)]
+    assert sorted(str(tuple(r)) for r in made.collect()) == sorted(map(str, want))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    ranked = next(x for x in plan.splitlines() if "row_number()" in x and "Window [" in x)
+    assert "__bin#" in ranked  # by bins of a partition value
