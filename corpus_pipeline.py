@@ -19,6 +19,8 @@ from tallystone.llm.ngram_join import ngram_components, row_key
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document goes if its language's probability is below this, or it has no letter.
 LEAST_LANGUAGE = 0.4
+#: Units of text in a generation of the tokenizer's cache: few, as the workers still hold what earlier stages took.
+UNITS = 50_000
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +65,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A null or empty text is one piece with the end id; longer texts are cut. Each repeated row is packed,
     null ids included. An empty table gives no rows.
     """
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=2048, end_id=0)
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=2048, end_id=0, units=UNITS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

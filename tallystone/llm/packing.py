@@ -109,16 +109,17 @@ class Places:
         return seq, off
 
 
-def pieces(docs: DataFrame, tokenizer: str, limit: int, end_id: int, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, limit: int, end_id: int, with_ids: bool = False, units: int | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each text's ids and the end id, cut where longer than ``limit``.
 
     The first piece takes what the others of ``limit`` ids leave. Null texts are empty: one piece with the end id.
     """
+    units = units or UNITS
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())]
     schema = pa.schema(fields if with_ids else fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = hf_encoder(tokenizer, True, UNITS)
+        encoder = hf_encoder(tokenizer, True, units)
         for b in batches:
             rows: list[tuple] = []
             keys = iter(b.column(0).to_pylist())
@@ -177,9 +178,12 @@ def pack(cut: DataFrame, limit: int) -> DataFrame:
     return ranked.mapInArrow(run, ddl)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, limit: int = 2048, end_id: int = 0) -> DataFrame:
-    """Pieces of all texts with sequence_id and offset: as few sequences of at most ``limit`` ids as best-two-fit finds."""
-    cut, path = staged(pieces(docs, tokenizer, limit, end_id), "pieces")
+def pack_documents(docs: DataFrame, tokenizer: str, limit: int = 2048, end_id: int = 0, units: int | None = None) -> DataFrame:
+    """Pieces of all texts with sequence_id and offset: as few sequences of at most ``limit`` ids as best-two-fit finds.
+
+    ``units`` bounds a worker's tokenizer cache (``UNITS``); fewer take less memory and more time.
+    """
+    cut, path = staged(pieces(docs, tokenizer, limit, end_id, units=units), "pieces")
     out, _ = staged(pack(cut, limit), "packed")
     drop_path(docs.sparkSession, path)
     return out

@@ -332,3 +332,19 @@ def test_range_parts(spark):
     rows = spark.range(-3, 5003).select("id", range_part(F.col("id"), cuts, "bigint").alias("part"), range_part(F.col("id"), cuts[:50], "bigint").alias("few")).collect()
     assert all(r.part == np.searchsorted(cuts, r.id) and r.few == np.searchsorted(cuts[:50], r.id) for r in rows)
     assert spark.range(1).select(range_part(F.lit(None).cast("long"), cuts, "bigint")).first()[0] == 0
+
+
+def test_pieces_do_not_depend_on_the_tokenizer_s_cache(spark, sf):
+    import public_tokenizers
+
+    from tallystone.llm import common, packing
+
+    docs, path = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").toPandas(), public_tokenizers.path("byte_bpe_50k.json")
+    common._encoders.pop(path, None)
+    few = common.hf_encoder(path, True, 50)
+    texts = docs.text.fillna("").tolist()
+    ids = [x.tolist() for i in range(0, len(texts), 20) for x in few(texts[i : i + 20])]
+    common._encoders.pop(path, None)
+    assert len(few.old) > 0 and ids == [x.tolist() for x in common.hf_encoder(path, True, packing.UNITS)(texts)]
+    made = packing.pieces(spark.read.parquet(f"{sf}/documents.parquet"), path, 2048, 0, units=50)
+    assert made.groupBy("doc_id").sum("length").count() == len(texts)
