@@ -35,6 +35,9 @@ class CorruptCiphertext(ValueError):
 #: Cost of new tables' key derivation.
 SCRYPT = {"n": 2**17, "r": 8, "p": 1}
 
+#: Rows that a task encrypts; they take much longer than to be read, and a file may hold millions.
+ROWS_A_TASK = 100_000
+
 
 def derive_key(passphrase: str, salt: bytes, n: int, r: int, p: int) -> bytes:
     return hashlib.scrypt(passphrase.encode(), salt=salt, n=n, r=r, p=p, dklen=32, maxmem=2**28)
@@ -113,7 +116,7 @@ def encrypt_columns(table: Table, columns: list[str], passphrase: str, scrypt: d
     row's plaintext is changed, doesn't authenticate. ``row_key`` names the columns that tell rows apart, so that
     reading an encrypted column needs these only; without, all plaintext columns are taken. Repeated calls add
     columns under the same passphrase; columns that are encrypted already are left, and a key is kept.
-    Snapshots keep their times and rows and need the passphrase from then on. Readers that are still
+    Files that a snapshot and later ones share are rewritten once, and stay shared. Snapshots keep their times and rows and need the passphrase from then on. Readers that are still
     at work on the old files fail.
     """
     manifest, schema = table.manifest(), table.schema()
@@ -154,9 +157,9 @@ def encrypt_columns(table: Table, columns: list[str], passphrase: str, scrypt: d
         for s in table.list_snapshots():
             doc = table.store.read_json(f"meta/{s['file']}")
             named.setdefault(doc["manifest"], []).append((s["file"], doc))
-        moved = {}
+        moved, olds = {}, {}
         for number in sorted({*named, manifest["generation"]}, key=lambda n: (n == manifest["generation"], n)):  # the current one last
-            old = table.manifest(number)
+            old = olds[number] = table.manifest(number)
             kept = T.StructType.fromJson(old["spark_schema"])
             own = [c for c in new if c in kept.names]
             by = old["partitions"][0]["by"] if old["partitions"] else None
@@ -166,13 +169,16 @@ def encrypt_columns(table: Table, columns: list[str], passphrase: str, scrypt: d
             locked = [*of_old.get("columns", []), *own]
             mine = {**config, "part": by, "columns": locked, "parts": {c: of_old.get("parts", config["parts"])[c] if c in of_old.get("columns", []) else config["parts"][c] for c in locked}, "kinds": {c: kept[c].dataType.jsonValue() if c in own else of_old["kinds"][c] for c in locked}}
             mine["row_key"] = _keyed(mine, kept)
-            df = table._scan(old)
+            base, files = next(((n, f) for n in sorted(moved, reverse=True) if (f := table.added(old, olds[n]))), (None, None))
+            df, rows = table._scan(old, files), old["rows"] - (olds[base]["rows"] if base else 0)
             if of_old.get("columns"):  # values move to another generation
                 df = decrypted(df, table, of_old["columns"], passphrase, of_old)
+            if by and rows > ROWS_A_TASK:  # without a partition column, files keep their rows
+                df = df.repartition(-(-rows // ROWS_A_TASK))
             df = closed(df, table, mine, locked, passphrase, table.next_version(), by)
             order = ["ts"] if "ts" in kept.names and "ts" not in locked else []
             indexes = {c: k for c, k in old["indexes"].items() if c not in locked}
-            moved[number] = table._put(df, by, "encrypt", old=old, indexes=indexes, order=order, crypto=mine, details={"columns": own}, publish=number == manifest["generation"])
+            moved[number] = table._put(df, by, "encrypt", old=old, indexes=indexes, order=order, crypto=mine, details={"columns": own}, publish=number == manifest["generation"], onto=table.manifest(moved[base]) if base else None)
         for number, docs in named.items():
             fresh = table.manifest(moved[number])
             for name, doc in docs:
@@ -193,7 +199,9 @@ def decrypted(df: DataFrame, table: Table, columns: list[str], passphrase: str,
     def open_value(c: str) -> Column:
         kind = T._parse_datatype_json_value(config["kinds"][c])
         plain = F.call_function("try_aes_decrypt", F.col(c), _column_key(table, config, key, c), F.lit("GCM"), F.lit("DEFAULT"), _aad(config, c, F.col("__gen"), part))
-        return F.when(F.col(c).isNull(), F.lit(None).cast(kind)).when(plain.isNull(), F.raise_error(F.lit(f"CorruptCiphertext: {c}")).cast(kind)).otherwise(_from_text(plain.cast("string"), kind))
+        # named once, so that no value is opened twice
+        plain = F.coalesce(plain, F.raise_error(F.lit(f"CorruptCiphertext: {c}")).cast("binary"))
+        return F.when(F.col(c).isNotNull(), _from_text(plain.cast("string"), kind))
 
     return df.withColumns({c: open_value(c) for c in columns}).drop("__gen")
 

@@ -238,10 +238,11 @@ class Table:
     def _put(
         self, df: DataFrame, part: str | None, op: str, *, old: dict | None = None, constraints=None, indexes=None, order=(), max_rows: int | None = None, details: dict | None = None, tie: tuple[str, ...] = (),
         ranges: int | None = None, crypto: dict | None = None, stream: tuple[str, int] | None = None, publish: bool = True, carried: DataFrame | None = None,
+        onto: dict | None = None,
     ) -> int:
         """Write, index and publish one version; call it under the lock. An append reads and writes nothing of earlier files.
 
-        ``carried`` are statistics of files of ``old`` that stay as they are.
+        ``carried`` are statistics of files of ``old`` that stay as they are; ``onto`` is a manifest whose files all come first, as in an append.
 
         Without ``publish`` its manifest is written, but the table stays at its version.
         """
@@ -250,7 +251,7 @@ class Table:
             registry.get(kind)
         version = self.next_version()
         folder = self._write_files(df, part, version, list(order), max_rows, tie, ranges)
-        keep = old if op == "append" else None
+        keep = onto or (old if op == "append" else None)
         chunks, rows = (keep["chunks"], keep["rows"]) if keep else (0, 0)
         path = f"meta/index/stats-{version:06d}"
         stats = self._stats_of(folder, schema)
@@ -393,6 +394,15 @@ class Table:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*files)
 
+    def added(self, manifest: dict, base: dict) -> list[str] | None:
+        """The files that ``manifest`` has beside those of ``base``, where appends alone lie between them; else None."""
+        paths, first = _stats_paths(manifest), _stats_paths(base)
+        alike = all(manifest.get(k) == base.get(k) for k in ("spark_schema", "partitions", "indexes", "crypto"))
+        if not alike or len(paths) == len(first) or paths[: len(first)] != first:
+            return None
+        more = self.spark.read.parquet(*[f"{self.path}/{p}" for p in paths[len(first) :]])
+        return [r.file for r in more.select("file").orderBy("file").collect()]
+
     def manifest_as_of(self, as_of: str | None) -> dict[str, Any]:
         """The current manifest, or that of the newest snapshot not after ``as_of``; none raises ValueError."""
         if as_of is None:
