@@ -1,5 +1,7 @@
 """Index kinds that a table's planner asks: trigram bitmaps, and one that a user registers."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +61,20 @@ def test_trigrams_after_appends_compaction_snapshots_and_encryption(spark, table
     assert not table.manifest()["kinds"] and rows(table.read(["id"], "note CONTAINS 'stony'", passphrase="pw")) == [(103,), (104,)]
 
 
+def test_trigrams_of_any_text(spark, tmp_path, monkeypatch):
+    """The runs of three characters, not of halves of characters, of all texts, however long, and none across two texts."""
+    monkeypatch.setattr(registry, "MANY_CHARACTERS", 50)
+    rng = random.Random(3)
+    notes = ["".join(rng.choices("aäb€😀\0\ufffd \n", k=n)) for n in [*range(8), 47, 48, 49, 50, 51, 52, 53, 99, 100, 101, 102, 500]] * 2
+    raw = [*(x.encode() for x in notes), None, b"ab\xff\xf0\x9fcde\x80"]
+    want = {x[i : i + 3] for x in [*notes, raw[-1].decode("utf-8", "replace")] for i in range(len(x) - 2)}
+    got = list(registry.distinct_grams(iter(raw)))
+    assert set().union(*got) == want and all(len(g) == len(set(g)) for g in got) and list(registry.distinct_grams(iter([b"ab", None, b"", b"cd"]))) == []
+    t = Table(spark, str(tmp_path / "t")).write(spark.createDataFrame([(i % 2, "😀bc" if i % 2 else "a") for i in range(20)], "part int, note string"), partition_by=["part"], indexes={"note": {"trigrams": {}}})
+    bits = [sum((w & (1 << 64) - 1).bit_count() for w in (r.words or {}).values()) for r in t.kind_rows(t.manifest(), "trigrams").collect()]
+    assert sorted(bits) == [0, 1] and files(t, "note CONTAINS '😀bc'") == 1 and rows(t.read(["part"], "note CONTAINS 'bc'")) == [(1,)] * 10
+
+
 def test_a_kind_of_the_users_own(spark, tmp_path):
     def build(data, column):
         return data.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.collect_set(F.col(column) % 10).alias("ends"))
