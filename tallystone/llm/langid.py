@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_parts, byte_chunks, held_out, no_clash
+from .common import binary_parts, byte_chunks, held_out, no_clash, with_text
 
 #: Width of each direction, bytes of a window, windows scored at once.
 HIDDEN, WINDOW, LANES = 8, 64, 2048
@@ -198,19 +198,20 @@ def language(docs: DataFrame, per_lang: int = PER_LANG, keep: tuple[str, ...] =
     """
     no_clash(keep, "lang_pred", "score")
     langs, model = train(docs, per_lang)
+    rows, at = with_text(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names, scores = [], []
-            column = b.column(b.num_columns - 1).fill_null("")
+            column = b.column(at).fill_null("")
             for p in probabilities(column, model):
                 if p is None or not langs:
                     names.append("und"), scores.append(0.0)
                 else:
                     best = int(np.argmax(p))
                     names.append(langs[best]), scores.append(min(1.0, float(p[best])))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     fields = docs.select(*keep).schema.fields
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double"
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, ddl)
+    return rows.mapInArrow(run, ddl)

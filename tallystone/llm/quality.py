@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _P, _PINV, U64, binary_parts, byte_chunks, held_out, mix, no_clash, powers, words_of
+from .common import _P, _PINV, U64, binary_parts, byte_chunks, held_out, mix, no_clash, powers, with_text, words_of
 
 BITS = 18
 #: Most labelled rows of each class that the model is fitted on.
@@ -139,14 +139,15 @@ def quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, keep
     no_clash(keep, "score", "predicted")
     w, b, scale = train(docs, labels, per_class)
     model = docs.sparkSession.sparkContext.broadcast((w.astype(np.float64), b, scale))
+    rows, at = with_text(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias, k = model.value
         for batch in batches:
-            margin = np.asarray([weights[ids].sum() / math.sqrt(max(1, len(ids))) + bias for ids in features(batch.column(batch.num_columns - 1))], np.float64)
+            margin = np.asarray([weights[ids].sum() / math.sqrt(max(1, len(ids))) + bias for ids in features(batch.column(at))], np.float64)
             score = 1 / (1 + np.exp(-np.clip(margin * k, -500, 500)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
     fields = docs.select(*keep).schema.fields
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double, predicted int"
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, ddl)
+    return rows.mapInArrow(run, ddl)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, drop_path, mix, no_clash, staged
+from .common import U64, drop_path, mix, no_clash, staged, with_text
 
 BITS = 20
 #: Lengths of the n-grams.
@@ -188,15 +188,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, kee
     no_clash(keep, "score", "predicted")
     weights, bias, scale = train(docs, labels, per_class)
     model = docs.sparkSession.sparkContext.broadcast((weights, weights != 0))
+    rows, at = with_text(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, wanted = model.value
         for b in batches:
-            row, ids = grams(b.column(b.num_columns - 1).to_pylist(), wanted)
+            row, ids = grams(b.column(at).to_pylist(), wanted)
             margin = np.bincount(row, w[ids], minlength=b.num_rows) + bias
             score = 1 / (1 + np.exp(-np.clip(margin * scale, -500, 500)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
     fields = docs.select(*keep).schema.fields
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double, predicted int"
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, ddl)
+    return rows.mapInArrow(run, ddl)

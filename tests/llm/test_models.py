@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tallystone.llm import langid, packing, quality, templates, topk
+from tallystone.llm import common, langid, packing, quality, templates, topk
 from tallystone.llm.common import held_out
 
 BIG = "/root/testdata/sf0.01"
@@ -346,3 +346,45 @@ def test_names_that_clash_are_refused(spark, docs, labels):
     for call in (lambda: quality.quality(other, labels, keep=("doc_id", "score")), lambda: langid.language(other, keep=("score",)), lambda: packing.pack(docs.withColumn("rank", F.lit(1)), 8)):
         with pytest.raises(ValueError, match="named like"):
             call()
+
+
+def test_a_kept_text_goes_to_python_once(docs, labels, odd):
+    from tallystone.llm import toxicity
+
+    for make in (lambda d, keep: quality.quality(d, labels, keep=keep), lambda d, keep: langid.language(d, keep=keep), lambda d, keep: toxicity.toxicity(d, labels, keep=keep)):
+        for d in (docs, odd):
+            plain, kept = make(d, ("doc_id",)), make(d, ("text", "doc_id"))
+            assert "__text" not in kept._jdf.queryExecution().toString() and kept.columns == ["text", *plain.columns]
+            assert sorted(map(str, kept.drop("text").collect())) == sorted(map(str, plain.collect()))
+            assert sorted(map(str, kept.select("text").collect())) == sorted(map(str, d.select("text").collect()))
+
+
+def test_stages_hand_texts_to_python_in_small_batches(spark, sf, docs):
+    import corpus_pipeline as C
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    texts = spark.range(3000, numPartitions=1).select(F.repeat(F.lit("some words "), 800).alias("text"))  # 26 MB
+
+    def largest(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["bytes", "rows"])
+
+    def seen():
+        return texts.mapInArrow(largest, "bytes long, rows long").agg(F.max("bytes"), F.sum("rows")).first()
+
+    try:
+        for _, stage in C.STAGES:
+            spark.conf.set(key, before)
+            stage(spark, docs.limit(50), sf)
+            most, rows = seen()
+            assert most < 5 << 20 and rows == 3000
+        for set_before, then in (("300k", "300k"), ("1g", "4194304b"), ("5000000", "4194304b")):
+            spark.conf.set(key, set_before)
+            common.small_batches(spark)
+            assert spark.conf.get(key) == then
+        spark.conf.set(key, "1g")
+        C.run(spark, sf).count()
+        assert spark.conf.get(key) == "1g"
+    finally:
+        spark.conf.set(key, before)
