@@ -179,7 +179,8 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[list[str], dict]:
     langs, per_lang = [x for x, _ in counts], min(per_lang, MOST_ROWS / max(1, len(counts)))
     if not langs:
         return [], train_network([], np.zeros(0, np.int64), 1)
-    shares = docs.sparkSession.createDataFrame([(x, min(1.0, 1.2 * per_lang / n)) for x, n in counts], "lang string, share double")
+    # as Arrow: rows of Python objects would go through Python workers of their own, which stay beside those that score
+    shares = docs.sparkSession.createDataFrame(pa.table({"lang": pa.array(langs, pa.string()), "share": pa.array([min(1.0, 1.2 * per_lang / n) for _, n in counts], pa.float64())}))
 
     chosen = known.join(F.broadcast(shares), "lang").where(F.pmod("mark", F.lit(1 << 24)) < F.col("share") * (1 << 24)).select("lang", "mark", "text")  # a row a language
     rows = chosen.groupBy("lang", "mark").agg(F.min("text").alias("text")).collect()

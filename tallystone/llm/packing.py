@@ -152,10 +152,10 @@ def pack(cut: DataFrame, limit: int) -> DataFrame:
     for r in cut.groupBy("length").count().toPandas().itertuples():  # at most limit rows
         counts[r.length] = r[2]
     salts = counts // RANKED + PARTS
-    more = [(int(n), int(salts[n])) for n in np.flatnonzero(salts > PARTS)]
+    more = np.flatnonzero(salts > PARTS)
     parts = F.lit(PARTS).cast("long")
-    if more:
-        cut = cut.join(F.broadcast(spark.createDataFrame(more, "length long, salts long")), "length", "left")  # at most limit rows
+    if len(more):
+        cut = cut.join(F.broadcast(spark.createDataFrame(pa.table({"length": more.astype(np.int64), "salts": salts[more]}))), "length", "left")  # at most limit rows
         parts = F.coalesce("salts", parts)
     cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), parts)).select(*columns, "salt")
     first = np.cumsum(salts) - salts  # where a length's parts begin in a flat table
