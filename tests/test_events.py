@@ -98,3 +98,36 @@ def test_few_rows_with_many_pairs_go_to_many_tasks(spark):
     got = intervals.interval_join(a, b, "x", "lo", "hi")
     assert got.count() == 600 * 11 - 2 * 15  # from 5 before to 5 behind each
     assert got.groupBy(F.spark_partition_id().alias("task")).count().count() > 8
+
+
+def shuffled(spark):
+    """Rows written to shuffle files so far."""
+    g, bus = spark.sparkContext._gateway, spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty(30_000)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, g.new_array(g.jvm.double, 0), g.jvm.java.util.ArrayList())
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def new_rows(spark, before):
+    return sum(n for k, n in shuffled(spark).items() if k not in before)
+
+
+def test_rows_copied_grow_no_faster_than_rows(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "PAIRS", 100)
+    wrote = []
+    for n in (400, 800):  # pairs grow as the square
+        a = spark.range(n).select("id", (F.col("id") % 4).cast("double").alias("x"))
+        b = spark.range(n).select(F.col("id").alias("j"), (F.col("id") % 2).cast("double").alias("lo"), F.lit(4.0).alias("hi"))
+        before = shuffled(spark)
+        assert intervals.interval_join(a, b, "x", "lo", "hi").count() == n * n * 7 // 8
+        wrote.append(new_rows(spark, before))
+    assert wrote[1] < 2.6 * wrote[0]
+
+
+def test_rows_whose_bin_the_other_side_lacks_are_not_shuffled(spark):
+    a = spark.range(20_000).select("id", (F.col("id") % 20 * 100).cast("double").alias("x"))
+    b = spark.range(20_000).select(F.col("id").alias("j"), F.when(F.col("id") < 3, 500.0).otherwise(F.col("id") % 20 * 100 + 40.0).alias("lo")).withColumn("hi", F.col("lo") + 1)
+    before = shuffled(spark)
+    got = intervals.interval_join(a, b, "x", "lo", "hi").select("id", "j").collect()
+    assert sorted(map(tuple, got)) == [(i, j) for i in range(5, 20_000, 20) for j in range(3)]
+    assert new_rows(spark, before) < 2_000
